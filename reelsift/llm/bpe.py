@@ -173,7 +173,7 @@ def ids_of(left: pa.Table, right: pa.Table, path: str, buckets: int) -> tuple[pa
     return docs, flat[where], total
 
 
-def encode_corpus(docs: DataFrame, tokenizer: str | None = None, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), chunk_bytes: int = 12 << 20, bucket_bytes: int = 32 << 20, ordered: bool = False, end_id: int | None = None) -> DataFrame:
+def encode_corpus(docs: DataFrame, tokenizer: str | None = None, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), chunk_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20, ordered: bool = False, end_id: int | None = None) -> DataFrame:
     """Encode every whole text with a byte-level BPE tokenizer file, and decode the ids again.
 
     Returns ``chunk``, ``doc_id`` and the ``outputs`` among n_tokens, ids (list of int), decoded (string), ids_sha256 (of the

@@ -221,7 +221,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(t.num_rows), pa.int32()), t.column("distinct").combine_chunks(), t.column("tokens").combine_chunks()], names=["cell", "distinct", "tokens"])
 
 
-def score_corpus(docs: DataFrame, folds: int = 10, states: int = STATES, classes: int = CLASSES, iterations: int = ITERATIONS, chunk_bytes: int = 12 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
+def score_corpus(docs: DataFrame, folds: int = 10, states: int = STATES, classes: int = CLASSES, iterations: int = ITERATIONS, chunk_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
     """Score all whole texts by a hidden Markov model that learns from those not held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (log10 by smoothed word counts alone) and score

@@ -122,8 +122,13 @@ class SuffixIndex:
         self.loose: list[DataFrame] = []
 
     def _write(self, df: DataFrame) -> str:
-        name = f"suffixes_{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").bucketBy(self.buckets, "key").sortBy("key", "ctx").saveAsTable(name)
+        name, conf, all_keys = f"suffixes_{uuid.uuid4().hex}", self.spark.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+        before = conf.get(all_keys)
+        conf.set(all_keys, "false")  # buckets by key serve a join by key and ctx too
+        try:
+            df.write.option("compression", "zstd").bucketBy(self.buckets, "key").sortBy("key", "ctx").saveAsTable(name)
+        finally:
+            conf.set(all_keys, before)
         self.tables.append(name)
         return name
 
@@ -157,7 +162,7 @@ class SuffixIndex:
         for t in self.tables:
             self.spark.sql(f"drop table if exists {t}")
 
-    def repeats(self, docs: DataFrame, hot: int = 20_000) -> DataFrame:
+    def repeats(self, docs: DataFrame, hot: int = 1_000) -> DataFrame:
         """All spans of strings that start earlier too. Keys of over ``hot`` stretches are settled string by string in an
         aggregation with map-side combining rather than in one task."""
         self.close()
@@ -171,12 +176,12 @@ class SuffixIndex:
         stretches = stored(docs.select("doc_id", "text").join(open_, "doc_id").mapInArrow(_cut(min_len, width), "key long, n long, doc_id long, s long, runs long, bytes binary"), "stretches")
         release(self.spark)
         count = stretches.count()
-        groups = max(1, count // 10_000)
+        groups = max(1, count // 5_000)
         few = stretches.where(F.col("n") <= hot).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("g").applyInArrow(lambda t: _settle(t, min_len), SPAN)
-        many = stretches.where(F.col("n") > hot).mapInArrow(_strings(min_len), "hash long, doc_id long, s long, first boolean")
+        many = stretches.where(F.col("n") > hot).mapInArrow(_strings(min_len), "hash long, doc_id long, s long, e long, first boolean")
         least = many.where("first").groupBy("hash").agg(F.min(F.struct("doc_id", "s")).alias("least"))
-        again = many.where("first").join(least, "hash").where("struct(doc_id, s) > least").union(many.where("not first").selectExpr("hash", "doc_id", "s", "first", "null"))
-        spans += [few, again.selectExpr("doc_id", "s", f"s + {min_len} as e")]
+        again = many.where("first").join(least, "hash").where("struct(doc_id, s) > least")
+        spans += [few, *(x.select("doc_id", "s", "e") for x in (again, many.where("not first")))]
         return _union(spans)
 
 
@@ -241,9 +246,15 @@ def _settle(table: pa.Table, min_len: int) -> pa.Table:
 def _strings(min_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, doc, s = _windows(batch, min_len)
-            order, first = _order(h, doc, s)
-            yield pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), pa.array(doc[order]), pa.array(s[order]), pa.array(first)], names=["hash", "doc_id", "s", "first"])
+            for i in range(0, batch.num_rows, 5_000):
+                h, doc, s = _windows(batch.slice(i, 5_000), min_len)
+                order, first = _order(h, doc, s)
+                once, again = order[first], order[~first]
+                # Of equal strings here only the first goes on; the others are repeats already, given as runs.
+                columns = [pa.array(h[once].view(np.int64)), pa.array(doc[once]), pa.array(s[once]), pa.array(s[once] + min_len)]
+                runs = _spans(doc[again], s[again], min_len)
+                for rows, flag in ((columns, True), ([pa.array(np.zeros(len(runs[0]), np.int64)), *runs], False)):
+                    yield pa.RecordBatch.from_arrays([*rows, pa.array([flag] * len(rows[0]), pa.bool_())], names=["hash", "doc_id", "s", "e", "first"])
 
     return run
 
@@ -267,7 +278,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def dedup_substrings(docs: DataFrame, min_len: int = 100, anchor: int = 32, n_batches: int = 2, hot: int = 20_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_len: int = 100, anchor: int = 32, n_batches: int = 2, hot: int = 1_000) -> DataFrame:
     """Remove every byte covered by a ``min_len``-byte string that also starts earlier.
 
     Earlier: in a text of smaller doc_id, or at a smaller start of the same text. Texts are UTF-8 bytes and matches do not

@@ -29,7 +29,7 @@ ENCODING = {
 }
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, chunk_bytes: int = 12 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, chunk_bytes: int = 8 << 20) -> None:
     """Write doc_id, n_tokens and ids (array of int) of all whole texts to ``path``, a folder ``shard=N`` per range of doc_id,
     shards and the rows in them in ascending doc_id order. ``end_id`` follows each text; a null text is an empty one."""
     rows = encode_corpus(docs, tokenizer, ("n_tokens", "ids"), chunk_bytes, ordered=True, end_id=end_id)
@@ -64,7 +64,7 @@ def token_directory(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokens_round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, chunk_bytes: int = 12 << 20) -> DataFrame:
+def tokens_round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, chunk_bytes: int = 8 << 20) -> DataFrame:
     """``write_tokens`` to the shared folder, then ``token_directory`` from the files."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
