@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsift.llm import kernels as K
+from reelsift.llm.chunks import from_blob, to_blob
 from reelsift.llm.common import release, shared_dir, stored, text_bytes
 
 SUFFIX = "key long, ctx long, doc_id long, at long, shape long, first boolean"
@@ -29,7 +30,7 @@ SPAN = "doc_id long, s long, e long"
 _POSITION = 23  # bits for a position within a piece; the hash keeps the others
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray, min_len: int, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _pieces(data: np.ndarray, offsets: np.ndarray, min_len: int, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     n = len(data) - min_len + 1
     for lo in range(0, max(n, 0), size):
         yield lo, min(lo + size, n)
@@ -163,8 +164,8 @@ class SuffixIndex:
             self.spark.sql(f"drop table if exists {t}")
 
     def repeats(self, docs: DataFrame, hot: int = 1_000) -> DataFrame:
-        """All spans of strings that start earlier too. Keys of over ``hot`` stretches are settled string by string in an
-        aggregation with map-side combining rather than in one task."""
+        """All spans of strings that start earlier too. The strings of keys of over ``hot`` stretches are dealt out by their
+        own hash, equal ones combined before the shuffle, rather than settled in one task."""
         self.close()
         min_len, width = self.min_len, self.min_len - self.anchor + 1
         if not self.levels:
@@ -178,10 +179,11 @@ class SuffixIndex:
         count = stretches.count()
         groups = max(1, count // 5_000)
         few = stretches.where(F.col("n") <= hot).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("g").applyInArrow(lambda t: _settle(t, min_len), SPAN)
-        many = stretches.where(F.col("n") > hot).mapInArrow(_strings(min_len), "hash long, doc_id long, s long, e long, first boolean")
-        least = many.where("first").groupBy("hash").agg(F.min(F.struct("doc_id", "s")).alias("least"))
-        again = many.where("first").join(least, "hash").where("struct(doc_id, s) > least")
-        spans += [few, *(x.select("doc_id", "s", "e") for x in (again, many.where("not first")))]
+        # Strings of large groups, packed by hash: about 40 to a stretch, and as many to a group as one task settles.
+        large = stretches.where(F.col("n") > hot)
+        bins = max(1, large.count() * 40 // 400_000)
+        many = large.mapInArrow(_strings(min_len, bins), "g int, blob binary").groupBy("g").applyInArrow(_settle_strings(min_len), SPAN)
+        spans += [few, many]
         return _union(spans)
 
 
@@ -243,7 +245,7 @@ def _settle(table: pa.Table, min_len: int) -> pa.Table:
     return pa.Table.from_arrays(_spans(doc[again], s[again], min_len), names=["doc_id", "s", "e"])
 
 
-def _strings(min_len: int):
+def _strings(min_len: int, bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 5_000):
@@ -251,10 +253,26 @@ def _strings(min_len: int):
                 order, first = _order(h, doc, s)
                 once, again = order[first], order[~first]
                 # Of equal strings here only the first goes on; the others are repeats already, given as runs.
-                columns = [pa.array(h[once].view(np.int64)), pa.array(doc[once]), pa.array(s[once]), pa.array(s[once] + min_len)]
-                runs = _spans(doc[again], s[again], min_len)
-                for rows, flag in ((columns, True), ([pa.array(np.zeros(len(runs[0]), np.int64)), *runs], False)):
-                    yield pa.RecordBatch.from_arrays([*rows, pa.array([flag] * len(rows[0]), pa.bool_())], names=["hash", "doc_id", "s", "e", "first"])
+                runs = [x.to_numpy() for x in _spans(doc[again], s[again], min_len)]
+                parts = [np.concatenate(x) for x in zip((h[once], doc[once], s[once], s[once] + min_len, np.ones(len(once), bool)), (K.mix(runs[0].astype(np.uint64)), *runs, np.zeros(len(runs[0]), bool)))]
+                at = (parts[0] % np.uint64(bins)).astype(np.int32)
+                by = np.argsort(at, kind="stable")
+                for rows in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
+                    if len(rows):
+                        blob = to_blob(**{k: x[rows] for k, x in zip(("hash", "doc_id", "s", "e", "first"), parts)})
+                        yield pa.RecordBatch.from_arrays([pa.array(at[rows[:1]]), pa.array([blob], pa.binary())], names=["g", "blob"])
+
+    return run
+
+
+def _settle_strings(min_len: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([from_blob(b) for b in table.column("blob").combine_chunks()]).combine_chunks()
+        h, doc, s, e, first = (rows.column(c).to_numpy() for c in ("hash", "doc_id", "s", "e", "first"))
+        order, new = _order(h[first], doc[first], s[first])
+        again = order[~new]
+        found = _spans(doc[first][again], s[first][again], min_len)
+        return pa.Table.from_arrays([pa.array(np.concatenate([x.to_numpy(), y[~first]])) for x, y in zip(found, (doc, s, e))], names=["doc_id", "s", "e"])
 
     return run
 
