@@ -21,7 +21,7 @@ from reelsift.llm import kernels as K
 from reelsift.llm.common import stored
 
 #: Bounds of what the model is fitted on: labelled rows (by a hash of doc_id) and lexicon voters.
-MAX_TRAIN, MAX_LEXICON = 20_000, 1_500
+MAX_TRAIN, MAX_LEXICON = 10_000, 500
 BEGINNINGS = (4, 5, 6)
 PATTERNS = ("shouting", "exclaiming", "signs", "digits", "repeating")
 
