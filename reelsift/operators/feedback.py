@@ -71,6 +71,20 @@ def corrections(events: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFr
     return new, all_.where("reason is not null").select("event_id", "rating", "reason")
 
 
+def undo_last(events: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """S-20: the newest event that is no correction, neither undone nor superseded, of each ``per`` (of all without it), and
+    the status that undoing it gives back to its target."""
+    pick = F.max_by(F.struct("event_id", "target_id"), F.struct("created_at", "event_id"))
+    last = effective(events).where("supersedes_event_id is null").groupBy(*per).agg(pick.alias("x")).where("x is not null").select(*per, "x.*")
+    before = with_status(events.join(last.select("target_id").distinct(), "target_id", "left_semi"))
+    return last.join(before.select("event_id", F.col("previous_status").alias("status")), "event_id")
+
+
+def tag_list(text: Column) -> Column:
+    """S-23: tags written with commas between them, trimmed, without empty ones; null gives none."""
+    return F.coalesce(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
+
+
 def comparisons(pairs: DataFrame) -> DataFrame:
     """S-21: a like for the winner and a dislike for the loser of each comparison."""
     both = F.array(F.struct(F.col("winner").alias("target_id"), F.lit("like").alias("rating"), F.concat(F.lit("over "), F.col("loser").cast("string")).alias("note")), F.struct(F.col("loser").alias("target_id"), F.lit("dislike").alias("rating"), F.concat(F.lit("under "), F.col("winner").cast("string")).alias("note")))

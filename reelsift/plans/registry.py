@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelsift.functions import columns as X
-from reelsift.operators import catalog, clips, evaluate, feedback, lab, quality, review, search
+from reelsift.operators import catalog, clips, evaluate, explain, feedback, lab, lineage, quality, review, search
 from reelsift.operators import rerank as rr
 from reelsift.operators import vectors as vec
 from reelsift.plans import tables as t
@@ -589,3 +589,75 @@ def clip_name_round_trip(spark, d):
     k = F.col("s_suppkey")
     name = X.clip_name(F.col("s_name"), k % 1000, (k % 50).cast("double"), k % 50 + 2.5)
     return t.table(spark, d, "supplier").select(k.alias("id"), X.clip_interval(name).alias("i")).select("id", "i.start", "i.end")
+
+
+# Explanations and lineage -------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {t.EVENTS}, a AS (SELECT source, event_id, target_id FROM eff WHERE supersedes_event_id IS NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY created_at DESC, event_id DESC) = 1),
+s AS (SELECT *, CASE rating WHEN 'like' THEN 'liked' WHEN 'dislike' THEN 'disliked' WHEN 'neutral' THEN 'reviewed' END AS x FROM ev),
+r AS (SELECT event_id, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY target_id ORDER BY created_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'candidate') AS status FROM s)
+SELECT a.source, a.event_id, a.target_id, r.status FROM a JOIN r ON a.event_id = r.event_id""")
+def undo_last(spark, d):
+    return feedback.undo_last(t.events(spark, d), ("source",)).select("source", "event_id", "target_id", "status")
+
+
+@query("SELECT doc_id AS id, array_to_string(list_filter(list_transform(string_split(concat_ws(' , ', lang, '', source, ''), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags FROM documents")
+def tag_lists(spark, d):
+    text = F.concat_ws(" , ", "lang", F.lit(""), "source", F.lit(""))
+    return t.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(feedback.tag_list(text), "|").alias("tags"))
+
+
+@query(f"""WITH {t.STAGES}, s AS (SELECT video, stage, max(status) AS stage_status FROM st GROUP BY 1, 2),
+a AS (SELECT (l_orderkey * 10 + l_linenumber % 2)::BIGINT AS video, 'gif_clip' AS stage, count(*) AS n FROM lineitem WHERE l_linenumber > 4 AND l_quantity > 20 GROUP BY 1)
+SELECT o_orderkey AS id, o_orderkey AS job, o_orderstatus AS job_status, (o_orderkey * 10 + 1)::BIGINT AS video, s.stage, s.stage_status, coalesce(n, 0) AS artifacts
+FROM orders LEFT JOIN s ON s.video = o_orderkey * 10 + 1 LEFT JOIN a ON a.video = s.video AND a.stage = s.stage""")
+def provenance_trail(spark, d):
+    o, li = t.table(spark, d, "orders"), t.table(spark, d, "lineitem").where("l_linenumber > 4 and l_quantity > 20")
+    key = F.col("o_orderkey")
+    made = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber") % 2).cast("long").alias("video"), F.lit("gif_clip").alias("stage"))
+    return lineage.provenance(o.select(key.alias("id"), key.alias("job"), (key * 10 + 1).cast("long").alias("video")), o.select(key.alias("job"), F.col("o_orderstatus").alias("status")), t.stages(spark, d), made)
+
+
+@query(f"WITH {t.FRAMES}, r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY ts, frame) AS rn FROM fr) SELECT video, count(*) AS n, string_agg(frame::VARCHAR, ',' ORDER BY rn) AS frames FROM r WHERE rn <= 8 GROUP BY 1")
+def synthesis_frames(spark, d):
+    return lineage.synthesis_frames(t.frames(spark, d)).select("video", "n", F.array_join(F.transform("frames", lambda x: x.frame.cast("string")), ",").alias("frames"))
+
+
+@query("WITH m AS (SELECT p_partkey % 7 = 0 AS r, p_partkey % 4 = 1 AS g, p_size > 20 AS a FROM part) SELECT count(*) FILTER (r) AS total, count(*) FILTER (r AND a) AS annotated, count(*) FILTER (r AND NOT a) AS remaining, round(count(*) FILTER (g AND a) / count(*) FILTER (g), 4) AS gif_share FROM m")
+def representative_coverage(spark, d):
+    p, k = t.table(spark, d, "part"), F.col("p_partkey")
+    media = p.select(k.alias("id"), (k % 7 == 0).alias("is_representative"), F.when(k % 4 == 1, "gif").otherwise("video").alias("media_type"))
+    return lineage.representative_coverage(media, p.where("p_size > 20").select(k.alias("id")))
+
+
+@query(f"""WITH rr AS ({ORACLE_SQL["feedback_rerank"]}), {t.EVENTS}, {t.VECTORS},
+s AS (SELECT q.id AS q, i.id, round({_COS.format(a='q.vector', b='i.vector')}, 6) AS s FROM vec q JOIN vec i ON q.id <> i.id WHERE q.id % 50 = 0 AND i.id IN (SELECT target_id FROM pro WHERE rating <> 'dislike')),
+k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, id) <= 5), n AS (SELECT q, string_agg(id::VARCHAR, ',' ORDER BY s DESC, id) AS nearest FROM k GROUP BY 1)
+SELECT rr.id, rr.base, coalesce(rr.global_like, 0) AS global_like, coalesce(rr.scenario_like, 0) AS scenario_like, coalesce(rr.dislike, 0) AS dislike, rr.final_score, coalesce(n.nearest, '') AS nearest FROM rr LEFT JOIN n ON rr.id = n.q WHERE rr.id % 50 = 0""")
+def ranking_explanations(spark, d):
+    liked = feedback.profile_events(t.events(spark, d)).where("rating <> 'dislike'").select(F.col("target_id").alias("id"))
+    return explain.ranking_explanation(feedback_rerank(spark, d).where("id % 50 = 0"), liked, t.vectors(spark, d).select("id", "vector"))
+
+
+@query(f"""WITH {t.CANDIDATES}, x AS (SELECT id, base, CASE WHEN id % 9 <> 0 THEN (id * 31 % 97)::DOUBLE / 97 END AS final, id % 5 AS run, source FROM cand)
+SELECT id, CASE WHEN final IS NULL THEN 1 ELSE 2 END AS n, 'Selected with ' || concat_ws('; ', printf('base=%.2f', base), printf('final=%.2f', final)) || ' (run ' || run || ', source ' || source || ')' AS sentence FROM x""")
+def selection_explanations(spark, d):
+    rows = t.candidates(spark, d).select("id", "base", F.when(F.col("id") % 9 != 0, F.col("id") * 31 % 97 / 97).alias("final"), (F.col("id") % 5).alias("run"), "source")
+    return explain.selection_explanation(rows, ["base", "final"], ["run", "source"]).select("id", F.size("components").alias("n"), "sentence")
+
+
+@query(f"""WITH {t.VECTORS}, s AS (SELECT q.id AS query_id, i.id, i.label, round({_COS.format(a='q.vector', b='i.vector')}, 6) AS s FROM vec q JOIN vec i ON q.id <> i.id WHERE q.id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s QUALIFY rank <= 3)
+SELECT query_id, string_agg(id || ':emotion ' || label || ':a' || id % 3 || '+b' || id % 5 || '+c', '|' ORDER BY rank) AS context FROM k GROUP BY 1""")
+def retrieval_contexts(spark, d):
+    v = t.vectors(spark, d)
+    tag = lambda s, n: F.concat(F.lit(s), (F.col("id") % n).cast("string"))
+    labels = v.select("id", F.concat(F.lit("emotion "), F.col("label").cast("string")).alias("emotion"), F.array(tag("a", 3), tag("b", 5), F.lit("c"), F.lit("d")).alias("tags"))
+    rows = explain.retrieval_context(v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), v.select("id", "vector"), labels)
+    return rows.select("query_id", F.array_join(F.transform("context", lambda x: F.concat_ws(":", x.id.cast("string"), x.emotion, F.array_join(x.tags, "+"))), "|").alias("context"))
+
+
+@query()
+def taste_map(spark, d):
+    return explain.taste_map(t.vectors(spark, d)).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))

@@ -34,7 +34,10 @@ def embed(rows: DataFrame, embed_batch: Callable[[list[str]], list[list[float] |
 
 
 class LatestRating(StatefulProcessor):
-    """Z-03: for each target, the latest event that is neither undone nor superseded; a correction may come before its event."""
+    """Z-03: for each target, the latest event that is neither undone nor superseded; a correction may come before its event.
+
+    A target without such an event gives nulls, which take back what was given for it before.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.events = handle.getMapState("events", "event_id long", "rating string, at timestamp, undone boolean")
@@ -47,9 +50,8 @@ class LatestRating(StatefulProcessor):
                 if pd.notna(r.supersedes_event_id):
                     self.gone.updateValue((int(r.supersedes_event_id),), (True,))
         live = [(v[1], k[0], v[0]) for k, v in self.events.iterator() if not v[2] and not self.gone.containsKey(k)]
-        if live:
-            at, event, rating = max(live)
-            yield pd.DataFrame({"target_id": [key[0]], "event_id": [event], "rating": [rating], "created_at": [at]})
+        at, event, rating = max(live) if live else (None, None, None)
+        yield pd.DataFrame({"target_id": [key[0]], "event_id": [event], "rating": [rating], "created_at": [at]})
 
     def close(self) -> None:
         pass
@@ -97,6 +99,7 @@ class OnlineClips(StatefulProcessor):
 
 
 def online_clips(stream: DataFrame, gap: float = 15.0, longest: float = 24.0, late: str = "1 minute") -> DataFrame:
+    """Z-06: ``stream(video, ts, score, event_time)``; ts is event_time in seconds. Frames later than ``late`` are dropped."""
     rows = stream.withWatermark("event_time", late)
     return rows.groupBy("video").transformWithStateInPandas(OnlineClips(gap, longest), "video long, start double, end double, frames long, score double", "append", "eventtime")
 

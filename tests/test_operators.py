@@ -2,13 +2,16 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reelsift.functions import columns as X
-from reelsift.operators import catalog, clips, evaluate, quality, review
+from reelsift.operators import catalog, clips, evaluate, explain, feedback, quality, review
 from reelsift.operators.feedback import comparisons, corrections
 from reelsift.operators.greedy import independent
 from reelsift.sources import files
+from reelsift.plans import tables
 from reelsift.streaming import jobs
 
 
@@ -148,3 +151,53 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").select("term", "id", "tf").exceptAll(postings(docs).select("term", "id", "tf")).isEmpty()
     made = jobs.embed(docs, lambda ts: [[1.0, 2.0] if t else [1.0] for t in ts], 2).groupBy("reason").count().collect()
     assert sum(x["count"] for x in made) == docs.count()
+
+
+def test_taste_map_is_the_projection_on_two_axes(spark):
+    r = np.random.default_rng(7)
+    v = r.standard_normal((40, 5)) * [5, 3, 1, 1, 1] + 2
+    got = {x.id: (x.x, x.y) for x in explain.taste_map(spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(v)], "id long, vector array<double>")).collect()}
+    c = v - v.mean(0)
+    want = c @ np.linalg.svd(c)[2][:2].T
+    want *= np.sign(want[np.abs(want).argmax(0), [0, 1]])
+    assert np.allclose([got[i] for i in range(40)], want)
+    one = explain.taste_map(spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id long, vector array<double>")).collect()
+    assert [tuple(x) for x in one] == [(1, 0.0, 0.0)]
+
+
+def test_undo_of_nothing(spark, sf):
+    assert feedback.undo_last(tables.events(spark, sf).limit(0)).isEmpty()
+    assert feedback.undo_last(tables.events(spark, sf)).count() == 1
+
+
+@pytest.fixture
+def rocksdb(spark):
+    pytest.importorskip("google.protobuf")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def test_latest_ratings_equal_the_batch(spark, sf, tmp_path, rocksdb):
+    events = tables.events(spark, sf).withColumn("target_id", F.col("target_id") % 20)
+    events.repartition(2).write.parquet(f"{tmp_path}/in")
+    found = {}
+
+    def take(batch, _):
+        found.update((x.target_id, x.event_id) for x in batch.collect())
+
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.latest_ratings(stream).writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    want = {x.target_id: x.event_id for x in feedback.latest(feedback.effective(events)).collect()}
+    assert {k: v for k, v in found.items() if v is not None} == want
+
+
+def test_online_clips_close_after_a_gap(spark, tmp_path, rocksdb):
+    rows = [(v, 1000.0 + t, 0.1 * (t % 7)) for v in (1, 2) for t in (0, 5, 10, 60, 65, 200)]
+    df = spark.createDataFrame(rows, "video long, ts double, score double").withColumn("event_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    found = []
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    jobs.online_clips(stream).writeStream.foreachBatch(lambda b, _: found.extend(b.collect())).outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert {(x.video, x.start, x.end, x.frames) for x in found} >= {(v, s, e, n) for v in (1, 2) for s, e, n in ((1000.0, 1010.0, 3), (1060.0, 1065.0, 2))}
