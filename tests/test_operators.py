@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelsift.functions import columns as X
-from reelsift.operators import catalog, clips, evaluate, explain, feedback, quality, review
+from reelsift.operators import catalog, clips, evaluate, explain, feedback, lab, quality, review
 from reelsift.operators.feedback import comparisons, corrections
 from reelsift.operators.greedy import independent
 from reelsift.sources import files
@@ -201,3 +201,18 @@ def test_online_clips_close_after_a_gap(spark, tmp_path, rocksdb):
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     jobs.online_clips(stream).writeStream.foreachBatch(lambda b, _: found.extend(b.collect())).outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert {(x.video, x.start, x.end, x.frames) for x in found} >= {(v, s, e, n) for v in (1, 2) for s, e, n in ((1000.0, 1010.0, 3), (1060.0, 1065.0, 2))}
+
+
+def test_imports(spark):
+    runs = spark.createDataFrame([("v", None, [(1.0, 2.0), (3.0, 4.0)])], "video string, sha256 string, top_clips array<struct<start: double, end: double>>")
+    assert [(x.run_candidate_id, x.start) for x in files.run_candidates(runs).collect()] == [("adaptive-clip-0001", 1.0), ("adaptive-clip-0002", 3.0)]
+    items = files.benchmark_items(spark.createDataFrame([(" /a/b.mp4 ", "fast| |dark ")], "source_path string, difficulty_tags string")).first()
+    assert (items.source_path, items.difficulty_tags) == ("/a/b.mp4", ["fast", "dark"])
+    last = files.last_judgments(spark.createDataFrame([("a", "like", 1), ("a", "skip", 2)], "candidate_id string, rating string, judged_at long"))
+    assert [tuple(x) for x in last.collect()] == [("a", "skip")]
+
+
+def test_promotion(spark):
+    runs = spark.createDataFrame([(c, s, "completed") for c in "ab" for s in ("tune", "holdout")][:3], "config string, split string, status string")
+    got = lab.promotion(spark.createDataFrame([("a",), ("b",)], "config string"), runs, spark.createDataFrame([("a",), ("b",)], "config string"), spark.createDataFrame([("b", 0.5)], "config string, value double"))
+    assert {x.config: (x.reasons, x.promoted) for x in got.collect()} == {"a": ("", True), "b": ("no holdout run; exports incomplete", False)}
