@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.llm import kernels as K
-from reelsift.llm.common import stored
+from reelsift.llm.common import partitions, stored
 
 WINDOW, LITERALS, RUN = 8, 5, 6
 #: Windows that may be broadcast: 8 bytes of hash, 8 of item and 8 of position each. Beyond it they are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
+#: Matched windows, of whole documents, that a task holds at a time, about.
+GROUP_HITS = 100_000
 #: Unit words, which are placeholders after a number.
 UNITS = ["mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "cl", "l", "s", "ms", "min", "h", "hr", "hrs", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "months", "month", "years", "year", "mph", "kmh", "w", "kw", "kwh", "v", "a", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "usd", "eur", "gbp", "dollars", "euros", "cents", "percent", "meters", "metres", "kilometers", "kilometres", "miles", "feet", "inches", "grams", "kilograms", "pounds", "liters", "litres", "degrees"]
 
@@ -172,8 +174,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lite
     small = known.count() <= BROADCAST_WINDOWS
     wanted = np.sort(np.array([r.hash for r in known.select("hash").distinct().collect()], np.int64).view(np.uint64)) if small else None
     found = rows.mapInArrow(_scan(size, literals, wanted), "doc_id long, at long, hash long, shown array<long>")
-    hits = found.join(F.broadcast(known) if small else known, "hash")
-    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    hits = stored(found.join(F.broadcast(known) if small else known, "hash"), "hits")
+    groups = max(4 * partitions(docs.sparkSession), hits.count() // GROUP_HITS)
     return hits.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")).applyInArrow(_consistent(run_length, size), "doc_id long, item_id long, n_matched long, n_windows long, first_token long, reparameterised boolean")
 
 

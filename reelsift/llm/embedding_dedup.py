@@ -116,9 +116,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, miss: float = 0.00
     fine = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("key", F.when(fine, F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x + 0.0).cast("string"))), 256)))
     points = stored(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"), F.any_value("embedding").alias("embedding")).where("node is not null"), "vectors")
-    bits, tables = tables_for(points.count(), threshold, miss)
+    n = points.count()
+    bits, tables = tables_for(n, threshold, miss)
     cells = points.select("node", "size", "embedding").mapInArrow(_cells(bits, tables), CELLS)
-    found = stored(cell_groups(cells, "node", block).groupBy("g").applyInArrow(_links(threshold, eps), "a long, b long, n long"), "links")
+    found = stored(cell_groups(cells, "node", n * tables, block, group_rows=20_000).groupBy("g").applyInArrow(_links(threshold, eps), "a long, b long, n long"), "links")
     names = components(found.where("a <> b").select("a", "b"))
     links = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     known = points.select("key", "node", "size").join(links, "node", "left").join(names, "node", "left").select("key", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelsift.llm.common import partitions
 
-def cell_groups(rows: DataFrame, node: str, block: int = 2048, group_rows: int = 20_000) -> DataFrame:
+
+def cell_groups(rows: DataFrame, node: str, n_rows: int, block: int = 2048, group_rows: int = 50_000) -> DataFrame:
     """Rows ``(cell long, node, ...)`` with ``g``, the group to compare in, ``part`` and ``cross``.
 
-    Cells of one row are left out. Cells of up to ``block`` rows share groups. Larger cells are cut in parts, and each pair
-    of parts makes a group, so that no task holds more than two parts; ``cross`` then asks for pairs of different parts.
+    Cells of one row are left out. Cells of up to ``block`` rows share groups, as many as keep a group at about ``group_rows``
+    of the ``n_rows`` there are at most. Larger cells are cut in parts, and each pair of parts makes a group, so that no task
+    holds more than two parts; ``cross`` then asks for pairs of different parts.
     """
     sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     kept = rows.join(sizes, "cell")
-    groups = F.lit(max(1, rows.sparkSession.conf.get("spark.sql.shuffle.partitions") and int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))).cast("long")
-    small = kept.where(F.col("n") <= block).select(F.pmod(F.xxhash64("cell"), groups * F.lit(4)).alias("g"), *rows.columns, F.lit(0).cast("long").alias("part"), F.lit(False).alias("cross"))
+    groups = F.lit(max(4 * partitions(rows.sparkSession), ceil(n_rows / group_rows))).cast("long")
+    small = kept.where(F.col("n") <= block).select(F.pmod(F.xxhash64("cell"), groups).alias("g"), *rows.columns, F.lit(0).cast("long").alias("part"), F.lit(False).alias("cross"))
     parts = F.ceil(F.col("n") / block)
     large = (
         kept.where(F.col("n") > block).withColumn("part", F.pmod(F.xxhash64(node, "cell"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))

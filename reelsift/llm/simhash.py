@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -108,7 +109,7 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> Da
     # Finer cells for more points: a choice of runs tells about 1.5 bits a segment apart.
     groups = next((g for g in range(radius + 2, radius + 5) if 48 * (g - radius) / g >= np.log2(max(n, 2)) - 2), radius + 5)
     cells = grid_cells(points, radius, groups)
-    edges = cell_groups(cells, "node", block=4096).groupBy("g").applyInArrow(_links(radius), "a long, b long")
+    edges = cell_groups(cells, "node", n * comb(groups, radius), block=4096).groupBy("g").applyInArrow(_links(radius), "a long, b long")
     names = components(stored(edges, "edges"))
     point_names = points.join(names, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(point_names, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -189,7 +189,7 @@ def test_grid_finds_every_pair_within_the_radius(spark):
     points = spark.createDataFrame(list(zip(signed, range(len(signed)))), "fp long, node long")
     for groups in (5, 6):
         cells = simhash.grid_cells(points, 3, groups)
-        links = simhash.cell_groups(cells, "node", block=7).groupBy("g").applyInArrow(simhash._links(3), "a long, b long").collect()
+        links = simhash.cell_groups(cells, "node", cells.count(), block=7, group_rows=40).groupBy("g").applyInArrow(simhash._links(3), "a long, b long").collect()
         want = components(len(prints), [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
         assert components(len(prints), links) == want
 
