@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.llm import kernels as K
-from reelsift.llm.common import partitions, stored
+from reelsift.llm.common import stored
 
 WINDOW, LITERALS, RUN = 8, 5, 6
 #: Windows that may be broadcast: 8 bytes of hash, 8 of item and 8 of position each. Beyond it they are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
-#: Matched windows, of whole documents, that a task holds at a time, about.
-GROUP_HITS = 100_000
 #: Unit words, which are placeholders after a number.
 UNITS = ["mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "cl", "l", "s", "ms", "min", "h", "hr", "hrs", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "months", "month", "years", "year", "mph", "kmh", "w", "kw", "kwh", "v", "a", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "usd", "eur", "gbp", "dollars", "euros", "cents", "percent", "meters", "metres", "kilometers", "kilometres", "miles", "feet", "inches", "grams", "kilograms", "pounds", "liters", "litres", "degrees"]
 
@@ -69,92 +66,138 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return token, number | unit | name, written, text
 
 
-def windows(token: np.ndarray, slot: np.ndarray, text: np.ndarray, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first token of every window of ``size`` tokens in a text that holds ``literals`` words or more."""
+Stream = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def streams(data: np.ndarray, offsets: np.ndarray) -> list[Stream]:
+    """The readings of the texts, as ``canonical`` gives them, with the number of each token's first word in its text. The last
+    has what was written and no placeholders."""
+    token, slot, written, text = canonical(data, offsets)
+    origin = np.arange(len(text)) - np.searchsorted(text, text)
+    return [(token, slot, written, text, origin), (written, np.zeros(len(slot), bool), written, text, origin)]
+
+
+def windows(stream: Stream, which: int, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first token of every run of ``size`` tokens in a text that holds ``literals`` words or more."""
+    token, slot, _, text, _ = stream
     n = len(token) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    value = np.zeros(n, np.uint64)
-    for j in range(size):
-        value = value * np.uint64(0x9E3779B97F4A7C15) + K.mix(token[j : j + n])
     words = np.append(0, np.cumsum(~slot))
-    ok = np.flatnonzero((text[:n] == text[size - 1 :]) & (words[size:] - words[:n] >= literals))
-    return K.mix(value[ok]), ok
+    at = np.flatnonzero((text[:n] == text[size - 1 :]) & (words[size:] - words[:n] >= literals))
+    sums = np.append(np.uint64(0), np.cumsum(K.mix(token) * K._powers(0, False, len(token)), dtype=np.uint64))
+    value = (sums[at + size] - sums[at]) * K._powers(0, True, len(token))[at]
+    return K.mix(value + np.uint64((which << 32) + size)), at
+
 
+ITEM = "item long, item_id long, stream int, tokens array<long>, slots array<long>, starts array<long>, size long, hashes array<long>"
 
-def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """hash, item_id, pos, n (windows of the item) and slots (hash of what is written in each placeholder, 0 for words).
 
-    An item shorter than a window has none and can't be found; items with null or empty text likewise.
+def benchmark_items(benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+    """A row per item and reading: item (a number of its id and text), item_id, stream, tokens, slots (hash of what is written in
+    each placeholder, 0 for words), and the starts, size and hashes of the windows.
+
+    An item without a window in a reading has itself as its only one; without any word, it has that as it is written. Items
+    with null or empty text, or without tokens, have no rows and can't be found.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in ITEM.split(", ")]
         for batch in batches:
-            ids = batch.column("item_id").to_numpy(zero_copy_only=False)
-            data, offsets = K.flat(batch.column("text"))
-            token, slot, written, text = canonical(data, offsets)
-            value, at = windows(token, slot, text, size, literals)
-            first = np.searchsorted(text, np.arange(batch.num_rows))
-            shown = np.where(slot, written, 0).astype(np.uint64).view(np.int64)
-            n = np.bincount(text[at], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[text[at]], pa.int64()), pa.array(at - first[text[at]]), pa.array(n[text[at]]), pa.array([shown[a : a + size].tolist() for a in at], pa.list_(pa.int64()))], names=["hash", "item_id", "pos", "n", "slots"])
-
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    return rows.mapInArrow(run, "hash long, item_id long, pos long, n long, slots array<long>")
-
-
-def _scan(size: int, literals: int, wanted: np.ndarray | None):
-    """Windows of the documents, those alone whose hash is wanted if that is given."""
+            rows = []
+            for item, item_id, words in zip(*(batch.column(c).to_pylist() for c in ("item", "item_id", "text"))):
+                read = streams(*K.flat(pa.array([words])))
+                plain = not any((~s[1]).any() for s in read[:-1])
+                for which, stream in enumerate(read):
+                    n = len(stream[0])
+                    if not n or (which == len(read) - 1) != plain:
+                        continue
+                    value, at = windows(stream, which, size, literals)
+                    length = size
+                    if not len(at):
+                        length = n
+                        value, at = windows(stream, which, n, 1)
+                    shown = np.where(stream[1], stream[2], 0).astype(np.uint64)
+                    if len(at):
+                        rows.append((item, item_id, which, stream[0].view(np.int64).tolist(), shown.view(np.int64).tolist(), at.tolist(), length, value.view(np.int64).tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), *(pa.list_(pa.int64()),) * 3, pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 8, kinds)], names=names)
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    return rows.withColumn("item", F.xxhash64("item_id", "text")).mapInArrow(run, ITEM)
+
+
+def _scan(size: int, literals: int, lengths: list[tuple[int, int]], wanted: np.ndarray | None):
+    """Windows of the documents, those alone whose hash is wanted if that is given; lengths: readings and lengths of whole items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = K.flat(batch.column("text"))
             for i, j in K.slices(offsets):
-                token, slot, written, text = canonical(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                value, at = windows(token, slot, text, size, literals)
-                if wanted is not None:
-                    hit = wanted[np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)] == value if len(wanted) else np.zeros(len(value), bool)
-                    value, at = value[hit], at[hit]
-                shown = np.where(slot, written, 0).astype(np.uint64).view(np.int64)
-                first = np.searchsorted(text, np.arange(j - i))
-                slots = shown[at[:, None] + np.arange(size)] if len(at) else np.zeros((0, size), np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, slots.size + 1, size), pa.int32()), pa.array(slots.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + text[at]], pa.int64()), pa.array(at - first[text[at]]), pa.array(value.view(np.int64)), lists], names=["doc_id", "at", "hash", "shown"])
+                read = streams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for which, length, least in [*((w, size, literals) for w in range(len(read) - 1)), *((w, n, 1) for w, n in lengths)]:
+                    text = read[which][3]
+                    value, at = windows(read[which], which, length, least)
+                    if wanted is not None:
+                        hit = wanted[np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)] == value if len(wanted) else np.zeros(len(value), bool)
+                        value, at = value[hit], at[hit]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + text[at]], pa.int64()), pa.array(at - np.searchsorted(text, text[at])), pa.array(value.view(np.int64))], names=["doc_id", "at", "hash"])
 
     return run
 
 
-def _consistent(run_length: int, size: int):
-    """Of the matched windows of documents: the (document, item) pairs with enough of them on one diagonal where equal slots of
-    the item are equal in the document."""
-
-    def run(table: pa.Table) -> pa.Table:
-        found = defaultdict(list)
-        for doc, at, item, pos, n, shown, slots in zip(*(table.column(c).to_pylist() for c in ("doc_id", "at", "item_id", "pos", "n", "shown", "slots"))):
-            found[doc, item, at - pos].append((pos, n, at, shown, slots))
-        best: dict[tuple[int, int], tuple] = {}
-        for (doc, item, _), rows in found.items():
-            rows = {r[0]: r for r in sorted(rows, key=lambda r: (r[0], r[3]))}.values()
-            bound: dict[int, int] = {}
-            good, changed, last, length, most = [], False, None, 0, 0
-            for pos, n, at, shown, slots in rows:
-                pairs = [(s, d) for s, d in zip(slots, shown) if s]
-                trial = {}
-                if any(bound.get(s, trial.setdefault(s, d)) != d or trial.get(s, d) != d for s, d in pairs):
-                    continue
-                bound |= dict(pairs)
-                changed |= any(s != d for s, d in pairs)
-                length = length + 1 if last == pos - 1 else 1
-                most, last = max(most, length), pos
-                good.append((pos, n, at))
-            if good and most >= min(run_length, good[0][1]):
-                one = (len(good), most, not changed, -good[0][2], good[0][1])
-                best[doc, item] = max(best.get((doc, item), one), one)
-        rows = sorted((doc, item, x[0], x[4], -x[3], not x[2]) for (doc, item), x in best.items())
-        names, kinds = ("doc_id", "item_id", "n_matched", "n_windows", "first_token", "reparameterised"), (pa.int64(),) * 5 + (pa.bool_(),)
-        cols = list(zip(*rows)) or [()] * 6
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(names, cols, kinds)})
+PLACE = "doc_id long, item long, stream int, from long, token array<long>, shown array<long>, origin array<long>"
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of documents where items may lie, as far as the document has them; ``from`` is the item's token there."""
+    for batch in batches:
+        for doc, words, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
+            read, rows = streams(*K.flat(pa.array([words]))), []
+            shown = [np.where(s[1], s[2], 0).astype(np.uint64).view(np.int64) for s in read]
+            for f in found:
+                token, origin = read[f["stream"]][0].view(np.int64), read[f["stream"]][4]
+                a, b = max(0, f["start"]), min(len(token), f["start"] + f["n"])
+                rows.append((doc, f["item"], f["stream"], a - f["start"], token[a:b].tolist(), shown[f["stream"]][a:b].tolist(), origin[a:b].tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), *(pa.list_(pa.int64()),) * 3)
+            for k in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1000]), kinds)], names=[c.split()[0] for c in PLACE.split(", ")])
+
+
+FOUND = "doc_id long, item_id long, covered long, n_matched long, same boolean, first_token long, n_windows long"
+
+
+def _verified(need: int):
+    """Of the places, those with a run of ``need`` tokens of the item (all, if it has fewer) where words and placeholders are equal
+    and equal slots of the item are equal in the document. The run holds a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in FOUND.split(", ")]
+        for batch in batches:
+            rows = []
+            for r in (r for k in range(0, batch.num_rows, 200) for r in batch.slice(k, 200).to_pylist()):
+                n, at, bound, runs = len(r["tokens"]), r["from"], {}, []
+                alike = np.array(r["tokens"][at : at + len(r["token"])], np.int64) == np.array(r["token"], np.int64)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], alike.astype(np.int8), [0]])))
+                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    if b - a < r["size"]:
+                        continue
+                    begin = a
+                    for k in range(a, b):
+                        slot = r["slots"][at + k]
+                        if slot and bound.setdefault(slot, r["shown"][k]) != r["shown"][k]:
+                            runs.append((begin, k))
+                            begin = k + 1
+                    runs.append((begin, b))
+                inside = [(a, b, sum(a <= s - at and s - at + r["size"] <= b for s in r["starts"])) for a, b in runs]
+                inside = [x for x in inside if x[2]]
+                if any(b - a >= min(need, n) for a, b, _ in inside):
+                    same = all(r["slots"][at + k] == r["shown"][k] for a, b, _ in inside for k in range(a, b))
+                    first = min(s - at for s in r["starts"] if s - at >= inside[0][0])
+                    rows.append((r["doc_id"], r["item_id"], sum(b - a for a, b, _ in inside), sum(x[2] for x in inside), same, r["origin"][first], len(r["starts"])))
+            kinds = (*(pa.int64(),) * 4, pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, kinds)], names=names)
 
     return run
 
@@ -162,21 +205,30 @@ def _consistent(run_length: int, size: int):
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS, run_length: int = RUN) -> DataFrame:
     """Pairs of a document and a benchmark item that it contains, verbatim or with other numbers, names and units.
 
-    Both are made canonical with typed placeholders; windows of ``size`` tokens with ``literals`` words are joined by hash; a
-    pair counts if ``run_length`` neighbouring windows of the item (all, if it has fewer) lie on one diagonal with consistent
-    slots. Returns doc_id, item_id, n_matched, n_windows (of the item), first_token and reparameterised (a slot differs).
+    Both are made canonical with typed placeholders; windows of ``size`` tokens with ``literals`` words, joined by hash, tell where
+    an item may lie, and the tokens there are compared one by one. A pair counts if as many tokens in a row as ``run_length``
+    neighbouring windows cover (all, if the item has fewer) are equal with consistent slots. Items without a window are matched
+    as a whole, those without a word as written. Returns doc_id, item_id, n_matched (windows of the item in such runs), n_windows
+    (of the item), first_token (of the first of them) and reparameterised (a slot differs).
 
     Null or empty texts and null ids match nothing. Rows that repeat a doc_id or item_id count as one. Empty tables give an
     empty result; other columns are ignored.
     """
-    known = stored(benchmark_windows(benchmark, size, literals).dropDuplicates(["hash", "item_id", "pos"]), "windows")
+    items = stored(benchmark_items(benchmark, size, literals), "items")
+    known = items.select("item", "stream", F.size("tokens").cast("long").alias("n"), F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("item", "stream", "n", F.col("w.starts").alias("pos"), F.col("w.hashes").alias("hash"))
+    known = stored(known, "windows")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     small = known.count() <= BROADCAST_WINDOWS
     wanted = np.sort(np.array([r.hash for r in known.select("hash").distinct().collect()], np.int64).view(np.uint64)) if small else None
-    found = rows.mapInArrow(_scan(size, literals, wanted), "doc_id long, at long, hash long, shown array<long>")
-    hits = stored(found.join(F.broadcast(known) if small else known, "hash"), "hits")
-    groups = max(4 * partitions(docs.sparkSession), hits.count() // GROUP_HITS)
-    return hits.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")).applyInArrow(_consistent(run_length, size), "doc_id long, item_id long, n_matched long, n_windows long, first_token long, reparameterised boolean")
+    whole = items.where("size(starts) = 1 and size = size(tokens)").select("stream", "size").distinct()
+    lengths = sorted((r.stream, r.size) for r in whole.collect())
+    hits = rows.mapInArrow(_scan(size, literals, lengths, wanted), "doc_id long, at long, hash long").join(F.broadcast(known) if small else known, "hash")
+    spots = hits.select("doc_id", "item", "stream", (F.col("at") - F.col("pos")).alias("start"), "n").distinct()
+    spots = stored(spots.groupBy("doc_id").agg(F.collect_list(F.struct("item", "stream", "start", "n")).alias("found")), "spots")
+    places = rows.join(F.broadcast(spots) if (spots.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_WINDOWS else spots, "doc_id").mapInArrow(_places, PLACE)
+    sure = places.join(F.broadcast(items.drop("hashes")) if small else items.drop("hashes"), ["item", "stream"]).mapInArrow(_verified(size + run_length - 1), FOUND)
+    best = sure.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "n_matched", "same", (-F.col("first_token")).alias("before"), "n_windows")).alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.n_matched").alias("n_matched"), F.col("b.n_windows").alias("n_windows"), (-F.col("b.before")).alias("first_token"), (~F.col("b.same")).alias("reparameterised"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS, run_length: int = RUN) -> DataFrame:
