@@ -24,8 +24,6 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
-_STOP = np.zeros(256, bool)
-_STOP[[33, 46, 58, 63, 10]] = True
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (11, 13, 17))
 
 
@@ -37,44 +35,72 @@ def _hash_words(words: list[str]) -> np.ndarray:
 UNIT_HASHES = np.sort(_hash_words(UNITS))
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical tokens of the texts of a buffer: token hash, or NUMBER, NAME or UNIT; whether it is one of these; the hash of
-    what was written; and the text number.
+#: Whether a character of the basic plane is a capital.
+_CAPITAL = np.array([chr(c).isupper() for c in range(1 << 16)])
 
-    Tokens are runs of letters and digits, in lower case (A-Z). A number has a digit; a unit is a unit word after a number; a
-    name starts with a capital and has none after it, and does not begin a sentence.
+
+def _capitals(data: np.ndarray) -> np.ndarray:
+    """Whether a capital begins at each byte of UTF-8 text."""
+    out, n = _UPPER[data], len(data)
+    for low, high, more in ((0xC2, 0xE0, 1), (0xE0, 0xF0, 2)):
+        at = np.flatnonzero((data >= low) & (data < high))
+        at = at[at + more < n]
+        code = data[at].astype(np.int64) & (0x3F >> more)
+        for k in range(1, more + 1):
+            code = code << 6 | data[at + k] & 0x3F
+        out[at] = _CAPITAL[code]
+    return out
+
+
+Stream = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def streams(data: np.ndarray, offsets: np.ndarray) -> list[Stream]:
+    """Three readings of the texts of a buffer, each as canonical tokens: token hash, or NUMBER, NAME or UNIT; whether it is one
+    of these; the hash of what was written; the text number; and the number of the token's first word in its text.
+
+    Tokens are runs of letters and digits, in lower case (A-Z); a number takes in the points, commas and apostrophes between its
+    digits and ends where a letter follows its first digits. A number has a digit; a unit is a unit word after a number. The
+    first reading has names: words that start with a capital and have none after it, at the start of a sentence as elsewhere;
+    names with only spaces between them are one, and what was written is the last of them. The second has names as words,
+    for copies in other case. The third has what was written and no placeholders.
     """
-    solid = _WORD[data]
     n = len(data)
+    digit, letter = _DIGIT[data], _WORD[data] & ~_DIGIT[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    solid = _WORD[data]
+    if n > 2:
+        inner = np.isin(data[1:-1], np.frombuffer(b".,'", np.uint8)) & digit[:-2] & digit[2:] & ~edge[1 : n - 1] & ~edge[2:n]
+        solid[1:-1] |= inner
     before = np.append(True, ~solid[:-1] | edge[1:-1]) if n else np.zeros(0, bool)
+    begin = np.maximum.accumulate(np.where(solid & before, np.arange(n), 0)) if n else np.zeros(0, np.int64)
+    sums = lambda mask: np.append(0, np.cumsum(mask, dtype=np.int32))
+    letters = sums(letter)
+    # A letter after digits alone begins a token of its own.
+    cut = np.zeros(n + 1, bool)
+    if n > 1:
+        cut[1:n] = letter[1:] & digit[:-1] & (letters[1:n] == letters[begin[:-1]]) & solid[1:] & ~before[1:]
     after = np.append(~solid[1:] | edge[1:-1], True) if n else np.zeros(0, bool)
-    start, end = np.flatnonzero(solid & before), np.flatnonzero(solid & after) + 1
+    start = np.flatnonzero(solid & (before | cut[:n]))
+    end = np.flatnonzero(solid & (after | cut[1:])) + 1
     text = np.searchsorted(offsets, start, "right") - 1
-    sums = lambda mask: np.append(0, np.cumsum(mask, dtype=np.int32))
-    digits, capitals, stops = sums(_DIGIT[data]), sums(_UPPER[data]), sums(_STOP[data])
+    capital = _capitals(data) if n else np.zeros(0, bool)
+    digits, capitals, spaces = sums(digit), sums(capital), sums(data == 32)
     written = K.Hashes(K.LOWER[data]).of(start, end)
     number = digits[end] > digits[start]
-    previous = np.append(0, end[:-1]) if len(end) else end
-    first = np.append(True, text[1:] != text[:-1]) if len(text) else np.zeros(0, bool)
-    first |= stops[start] > stops[np.maximum(previous, offsets[text])]
-    name = _UPPER[data[start]] & (capitals[end] - capitals[start] == 1) & ~first & ~number & (end - start > 1)
-    after_number = np.append(False, number[:-1] & (text[1:] == text[:-1])) if len(text) else np.zeros(0, bool)
-    unit = after_number & ~number & np.isin(written, UNIT_HASHES)
-    token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, written)))
-    return token, number | unit | name, written, text
-
-
-Stream = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-
-
-def streams(data: np.ndarray, offsets: np.ndarray) -> list[Stream]:
-    """The readings of the texts, as ``canonical`` gives them, with the number of each token's first word in its text. The last
-    has what was written and no placeholders."""
-    token, slot, written, text = canonical(data, offsets)
+    name = capital[start] & (capitals[end] - capitals[start] == 1) & ~number & (end - start > 1)
+    same = np.append(False, text[1:] == text[:-1]) if len(text) else np.zeros(0, bool)
+    unit = same & np.append(False, number[:-1])[: len(text)] & ~number & np.isin(written, UNIT_HASHES)
+    name &= ~unit
     origin = np.arange(len(text)) - np.searchsorted(text, text)
-    return [(token, slot, written, text, origin), (written, np.zeros(len(slot), bool), written, text, origin)]
+    plain = np.where(number, NUMBER, np.where(unit, UNIT, written))
+    gap = np.append(0, start[1:] - end[:-1])[: len(start)]
+    joined = name & np.append(False, name[:-1])[: len(text)] & same & (gap == spaces[start] - spaces[start - gap])
+    head = np.flatnonzero(~joined)
+    tail = np.append(head[1:], len(joined)) - 1 if len(head) else head
+    named = (np.where(name, NAME, plain)[head], (number | unit | name)[head], written[tail], text[head], origin[head])
+    return [named, (plain, number | unit, written, text, origin), (written, np.zeros(len(text), bool), written, text, origin)]
 
 
 def windows(stream: Stream, which: int, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
