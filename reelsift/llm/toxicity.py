@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from reelsift.llm import kernels as K
 from reelsift.llm.common import stored
 
-#: Bounds of what the model is fitted on: labelled rows (by a hash of doc_id) and lexicon voters.
-MAX_TRAIN, MAX_LEXICON = 10_000, 500
+#: Bound of what the model is fitted on: labelled rows (by a hash of doc_id).
+MAX_TRAIN = 10_000
 BEGINNINGS = (4, 5, 6)
 PATTERNS = ("shouting", "exclaiming", "signs", "digits", "repeating")
 
@@ -89,6 +89,25 @@ def votes(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray) -> tuple[n
     return (np.concatenate(text), np.concatenate(voter)) if text else (np.zeros(0, np.int64),) * 2
 
 
+def co_votes(doc: np.ndarray, voter: np.ndarray, width: int, n: int, cells: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For blocks of voters i to j: where in a grid of (voters of the block, all voters) votes were cast together, and how often."""
+    to = np.searchsorted(doc, np.arange(n + 1))
+    order = np.argsort(voter, kind="stable")
+    of_voter = np.searchsorted(voter[order], np.arange(width + 1))
+    step = max(1, cells // max(1, width))
+    for i in range(0, width, step):
+        j = min(width, i + step)
+        grid = np.zeros((j - i) * width, np.int32)
+        for v in range(i, j):
+            docs = doc[order[of_voter[v] : of_voter[v + 1]]]
+            size = to[docs + 1] - to[docs]
+            ends = np.cumsum(size)
+            where = np.repeat(to[docs] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+            grid[(v - i) * width : (v - i + 1) * width] = np.bincount(voter[where], minlength=width)
+        at = np.flatnonzero(grid).astype(np.int32)
+        yield i, j, at, grid[at]
+
+
 class LabelModel:
     """Naive Bayes over votes by expectation maximisation, with voters that repeat each other weighed down.
 
@@ -96,24 +115,34 @@ class LabelModel:
     voter, of a fixed accuracy, which keeps the two classes from drifting.
     """
 
-    def __init__(self, ballots: np.ndarray, labels: np.ndarray, accuracy: float = 0.98, rounds: int = 10):
-        """ballots: documents by voters, 0 or 1; labels: 0 or 1 for each document."""
-        x = ballots.astype(np.float32)
+    def __init__(self, doc: np.ndarray, voter: np.ndarray, width: int, labels: np.ndarray, accuracy: float = 0.98, rounds: int = 10):
+        """doc and voter of each vote, sorted by doc, without repeats; width: voters; labels: 0 or 1 for each document."""
+        n = len(labels)
+        together = list(co_votes(doc, voter, width, n))
         p = np.where(labels == 1, accuracy, 1 - accuracy)
         said = np.where(labels == 1, 1, -1) * np.log(accuracy / (1 - accuracy))
         for _ in range(rounds):
-            self.prior = (p.sum() + 1) / (len(p) + 2)
-            self.yes = (p @ x + 0.1) / (p.sum() + 1)
-            self.no = ((1 - p) @ x + 0.1) / ((1 - p).sum() + 1)
-            # Of voters that agree beyond what the label explains, each gets the share of one.
-            residual = x - np.outer(p, self.yes) - np.outer(1 - p, self.no)
-            scale = np.sqrt((residual * residual).sum(0)) + 1e-6
-            related = np.abs(residual.T @ residual) / np.outer(scale, scale)
-            related[related < 0.5] = 0
-            np.fill_diagonal(related, 1)
-            self.share = 1 / related.sum(1)
-            weight = self.share * (np.log(self.yes) - np.log(self.no))
-            p = 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + said + x @ weight, -30, 30)))
+            q = 1 - p
+            self.prior = (p.sum() + 1) / (n + 2)
+            with_yes, with_no = np.bincount(voter, p[doc], width), np.bincount(voter, q[doc], width)
+            self.yes = yes = (with_yes + 0.1) / (p.sum() + 1)
+            self.no = no = (with_no + 0.1) / (q.sum() + 1)
+            # Of voters that agree beyond what the label explains, each gets the share of one. Products of the residuals
+            # x - p yes - q no come from counts of votes cast together, a block of voters at a time.
+            pp, pq, qq = p @ p, p @ q, q @ q
+            own = with_yes + with_no - 2 * (yes * with_yes + no * with_no) + yes * yes * pp + 2 * yes * no * pq + no * no * qq
+            scale = np.sqrt(np.maximum(own, 0)) + 1e-6
+            self.share = np.zeros(width)
+            for i, j, at, count in together:
+                product = np.outer(yes[i:j] * pp + no[i:j] * pq - with_yes[i:j], yes) + np.outer(yes[i:j] * pq + no[i:j] * qq - with_no[i:j], no)
+                product -= np.outer(yes[i:j], with_yes) + np.outer(no[i:j], with_no)
+                product.ravel()[at] += count
+                related = np.abs(product) / np.outer(scale[i:j], scale)
+                related[related < 0.5] = 0
+                related[np.arange(j - i), np.arange(i, j)] = 1
+                self.share[i:j] = 1 / related.sum(1)
+            weight = self.share * (np.log(yes) - np.log(no))
+            p = 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + said + np.bincount(doc, weight[voter], n), -30, 30)))
         self.posterior = p
 
 
@@ -127,7 +156,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX_TRAIN, max_lexicon: int = MAX_LEXICON) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX_TRAIN) -> Classifier:
     """Fit on up to ``max_train`` labelled documents whose crc32(doc_id as text) modulo ``folds`` is not 0."""
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != 0))
@@ -143,8 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX
     k, m, rate = F.col("toxic"), F.col("n"), toxic / n
     evidence = k * F.log(k / m / rate) + F.when(m > k, (m - k) * F.log((1 - k / m) / (1 - rate))).otherwise(0.0)
     enough = float(np.log(max(1, mined.count()))) + 2
-    lexicon = mined.where(k > 0.5 * m).withColumn("evidence", evidence).where(F.col("evidence") >= enough).orderBy(F.desc("evidence"), "gram").limit(max_lexicon).select("gram").collect()
-    lexicon = np.sort(np.array([r.gram for r in lexicon], np.int64).view(np.uint64))
+    lexicon = mined.where(k > 0.5 * m).withColumn("evidence", evidence).where(F.col("evidence") >= enough).select("gram").toArrow()
+    lexicon = np.sort(lexicon.column("gram").to_numpy().view(np.uint64))
     width = len(lexicon) + len(PATTERNS)
 
     def ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,16 +184,19 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX
                 cast[t].append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([sorted(c) for c in cast], pa.list_(pa.int32()))], names=["doc_id", "toxic", "votes"])
 
-    sample = rows.mapInArrow(ballots, "doc_id long, toxic int, votes array<int>").orderBy("doc_id").collect()
-    grid = np.zeros((len(sample), width), bool)
-    for i, r in enumerate(sample):
-        grid[i, r.votes] = True
-    silent = ~grid[:, : len(lexicon)].any(1, keepdims=True)
-    model = LabelModel(np.hstack([grid, silent]), np.array([r.toxic for r in sample]))
+    sample = rows.mapInArrow(ballots, "doc_id long, toxic int, votes array<int>").orderBy("doc_id").toArrow().combine_chunks()
+    cast = sample.column("votes").to_pylist()
+    # That no lexicon voter fires is the vote of one more.
+    full = [v if v and v[0] < len(lexicon) else [*v, width] for v in cast]
+    doc, voter = np.repeat(np.arange(len(full)), [len(v) for v in full]), np.array([x for v in full for x in v], np.int64)
+    model = LabelModel(doc, voter, width + 1, sample.column("toxic").to_numpy())
     # Documents of equal votes make one training row for either label, weighed by their posteriors.
-    distinct, of, count = np.unique(grid, axis=0, return_inverse=True, return_counts=True)
-    posterior = np.bincount(of.ravel(), model.posterior) / count
-    training = [(Vectors.sparse(width, (at := np.flatnonzero(b)).tolist(), [1.0] * len(at)), y, float(c * (p if y else 1 - p))) for b, p, c in zip(distinct, posterior, count) for y in (0.0, 1.0)]
+    equal: dict[tuple[int, ...], list[float]] = {}
+    for v, p in zip(cast, model.posterior.tolist()):
+        both = equal.setdefault(tuple(v), [0.0, 0.0])
+        both[0] += 1 - p
+        both[1] += p
+    training = [(Vectors.sparse(width, list(v), [1.0] * len(v)), float(y), both[y]) for v, both in sorted(equal.items()) for y in (0, 1)]
     schema = T.StructType([T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType()), T.StructField("weight", T.DoubleType())])
     line = LogisticRegression(weightCol="weight", maxIter=60, regParam=1e-5, standardization=False).fit(spark.createDataFrame(training, schema).repartition(1))
     return Classifier(lexicon, line.coefficients.toArray(), line.intercept)
