@@ -556,14 +556,17 @@ def json_props(spark, d):
     return t.table(spark, d, "events").select("event_id", X.strict_json(F.concat(F.lit("```json\n"), "props", F.lit("\n```")), "k long").k.alias("k"))
 
 
-def _annotations(spark, d):
-    n = F.col("doc_id")
-    return t.table(spark, d, "documents").select(n.alias("id"), F.substring("text", 1, 40).alias("caption"), F.element_at(F.array(*map(F.lit, ["joy", "Fear|anger", "boredom", " calm "])), (n % 4 + 1).cast("int")).alias("emotion"), F.when(n % 5 != 0, F.array(F.substring("text", 1, 20), F.substring("text", 20, 20), F.lit("short"))).alias("notes"), F.substring("text", 1, 15).alias("why"), F.array("lang").alias("tags"), (F.col("n_chars") / 4000).alias("worth"), F.col("source").alias("reason"))
+def _annotations(spark, d, whole=False):
+    """Annotations of documents: from their beginnings, as the SQL of media_quality_gate has them, or the whole text as caption,
+    its lines as notes and the first of them as why."""
+    n, lines = F.col("doc_id"), F.split("text", "\n")
+    caption, notes, why = (F.col("text"), lines, F.element_at(lines, 1)) if whole else (F.substring("text", 1, 40), F.array(F.substring("text", 1, 20), F.substring("text", 20, 20), F.lit("short")), F.substring("text", 1, 15))
+    return t.table(spark, d, "documents").select(n.alias("id"), caption.alias("caption"), F.element_at(F.array(*map(F.lit, ["joy", "Fear|anger", "boredom", " calm "])), (n % 4 + 1).cast("int")).alias("emotion"), F.when(n % 5 != 0, notes).alias("notes"), why.alias("why"), F.array("lang").alias("tags"), (F.col("n_chars") / 4000).alias("worth"), F.col("source").alias("reason"))
 
 
 @query()
 def frame_quality_gate(spark, d):
-    return quality.frame_gate(_annotations(spark, d)).groupBy("status", "errors").agg(F.count("*").alias("n"))
+    return quality.frame_gate(_annotations(spark, d, whole=True)).groupBy("status", "errors").agg(F.count("*").alias("n"))
 
 
 @query("""WITH a AS (SELECT doc_id AS id, substr(text, 1, 40) AS c, CASE WHEN doc_id % 5 <> 0 THEN 3 ELSE 0 END AS notes, substr(text, 1, 15) AS why, n_chars / 4000 AS w, source AS r FROM documents)
