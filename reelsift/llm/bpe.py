@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from reelsift.llm import chunks as C
 from reelsift.llm import kernels as K
+from reelsift.llm.common import bound_batches
 
 #: The white space of Unicode, and the contractions of the pre-tokenizer's pattern.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -145,10 +146,9 @@ def _answer(path: str):
         tok = _tokenizer(path)
         blobs = [C.from_blob(b) for b in table.column("blob").combine_chunks()]
         words, places = C.distinct_of(blobs)
-        words, ids = words.cast(pa.large_string()), []
-        for i in range(0, len(words), 20_000):
-            ids += [x.ids for x in tok.encode_batch_fast(words[i : i + 20_000].to_pylist(), add_special_tokens=False)]
-        lists = pa.array(ids, pa.large_list(pa.uint32()))
+        words, kind = words.cast(pa.large_string()), pa.large_list(pa.uint32())
+        found = [pa.array([x.ids for x in tok.encode_batch_fast(words[i : i + 5_000].to_pylist(), add_special_tokens=False)], kind) for i in range(0, len(words), 5_000)]
+        lists = pa.concat_arrays(found) if found else pa.array([], kind)
         return table.drop_columns("blob").append_column("blob", pa.array([C.to_blob(ids=lists.take(pa.array(p))) for p in places], pa.binary()))
 
     return answer
@@ -166,14 +166,17 @@ def ids_of(left: pa.Table, right: pa.Table, path: str, buckets: int) -> tuple[pa
     flat = lists.flatten().to_numpy()
     size = lists.value_lengths().to_numpy()
     begin = np.cumsum(size) - size
-    many = size[vocabulary.word]
-    to = np.cumsum(many)
-    where = np.repeat(begin[vocabulary.word] - (to - many), many) + np.arange(to[-1])
-    total = np.append(0, to)[np.searchsorted(vocabulary.text, np.arange(n + 1))]
-    return docs, flat[where], total
+    ids, total = [], np.zeros(n + 1, np.int64)
+    for i, j in K.slices(vocabulary.to, 1 << 17):
+        word = vocabulary.word[vocabulary.to[i] : vocabulary.to[j]]
+        many = size[word]
+        to = np.append(0, np.cumsum(many))
+        ids.append(flat[np.repeat(begin[word] - to[:-1], many) + np.arange(to[-1])])
+        total[i + 1 : j + 1] = total[i] + to[vocabulary.to[i + 1 : j + 1] - vocabulary.to[i]]
+    return docs, np.concatenate(ids), total
 
 
-def encode_corpus(docs: DataFrame, tokenizer: str | None = None, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), chunk_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20, ordered: bool = False, end_id: int | None = None) -> DataFrame:
+def encode_corpus(docs: DataFrame, tokenizer: str | None = None, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), chunk_bytes: int = 4 << 20, bucket_bytes: int = 24 << 20, ordered: bool = False, end_id: int | None = None) -> DataFrame:
     """Encode every whole text with a byte-level BPE tokenizer file, and decode the ids again.
 
     Returns ``chunk``, ``doc_id`` and the ``outputs`` among n_tokens, ids (list of int), decoded (string), ids_sha256 (of the
@@ -183,6 +186,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str | None = None, outputs: tuple[
     """
     path = tokenizer or default_tokenizer()
     types = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    bound_batches(docs.sparkSession)
     packed, n = C.chunked(docs, chunk_bytes, ordered)
     buckets = max(1, n * chunk_bytes // bucket_bytes)
 

@@ -42,6 +42,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound what reaches Python at once by bytes: texts differ in length by orders of magnitude, so a count of rows bounds nothing."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

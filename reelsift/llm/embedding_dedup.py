@@ -119,7 +119,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, miss: float = 0.00
     n = points.count()
     bits, tables = tables_for(n, threshold, miss)
     cells = points.select("node", "size", "embedding").mapInArrow(_cells(bits, tables), CELLS)
-    found = stored(cell_groups(cells, "node", n * tables, block, group_rows=20_000).groupBy("g").applyInArrow(_links(threshold, eps), "a long, b long, n long"), "links")
+    found = stored(cell_groups(cells, "node", n * tables, block, group=20_000).groupBy("g").applyInArrow(_links(threshold, eps), "a long, b long, n long"), "links")
     names = components(found.where("a <> b").select("a", "b"))
     links = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     known = points.select("key", "node", "size").join(links, "node", "left").join(names, "node", "left").select("key", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))

@@ -6,29 +6,34 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.llm.common import partitions
 
 
-def cell_groups(rows: DataFrame, node: str, n_rows: int, block: int = 2048, group_rows: int = 50_000) -> DataFrame:
+def cell_groups(rows: DataFrame, node: str, total: int, block: int = 2048, group: int = 50_000, weight: Column | None = None, settled: Column | None = None) -> DataFrame:
     """Rows ``(cell long, node, ...)`` with ``g``, the group to compare in, ``part`` and ``cross``.
 
-    Cells of one row are left out. Cells of up to ``block`` rows share groups, as many as keep a group at about ``group_rows``
-    of the ``n_rows`` there are at most. Larger cells are cut in parts, and each pair of parts makes a group, so that no task
-    holds more than two parts; ``cross`` then asks for pairs of different parts.
+    A row weighs 1, or ``weight``. Cells of one row are left out. Cells of a weight up to ``block`` share groups, as many as keep a
+    group of the ``total`` weight at about ``group`` at most. Larger cells are cut in parts, and each pair of parts makes a group,
+    so that no task holds more than two parts; ``cross`` then asks for pairs of different parts. Rows that are ``settled`` need no
+    comparing with each other: in a large cell they meet the parts of the other rows only.
     """
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    kept = rows.join(sizes, "cell")
-    groups = F.lit(max(4 * partitions(rows.sparkSession), ceil(n_rows / group_rows))).cast("long")
-    small = kept.where(F.col("n") <= block).select(F.pmod(F.xxhash64("cell"), groups).alias("g"), *rows.columns, F.lit(0).cast("long").alias("part"), F.lit(False).alias("cross"))
-    parts = F.ceil(F.col("n") / block)
-    large = (
-        kept.where(F.col("n") > block).withColumn("part", F.pmod(F.xxhash64(node, "cell"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        .withColumn("g", F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")))
-    )
+    weight = F.lit(1) if weight is None else weight
+    open_ = F.lit(True) if settled is None else ~settled
+    kept = rows.withColumns({"weight_": weight.cast("long"), "open_": open_})
+    sizes = kept.groupBy("cell").agg(F.count("*").alias("n_"), F.sum("weight_").alias("w_"), F.coalesce(F.sum(F.when(F.col("open_"), F.col("weight_"))), F.lit(0)).alias("u_")).where("n_ > 1")
+    kept = kept.join(sizes, "cell")
+    groups = F.lit(max(4 * partitions(rows.sparkSession), ceil(total / group))).cast("long")
+    small = kept.where(F.col("w_") <= block).select(F.pmod(F.xxhash64("cell"), groups).alias("g"), *rows.columns, F.lit(0).cast("long").alias("part"), F.lit(False).alias("cross"))
+    # Parts of the open rows come first, then those of the settled ones.
+    first, rest = F.ceil(F.col("u_") / block), F.ceil((F.col("w_") - F.col("u_")) / block)
+    large = kept.where(F.col("w_") > block).withColumn("part", F.when(F.col("open_"), F.pmod(F.xxhash64(node, "cell"), first)).otherwise(first + F.pmod(F.xxhash64(node, "cell"), rest)))
+    meets = F.when(F.col("open_"), first + rest).otherwise(first)
+    large = large.withColumn("other", F.explode(F.when(meets > 0, F.sequence(F.lit(0).cast("long"), meets - 1))))
     # The part with itself needs its rows once; a pair of parts gets the rows of both.
+    large = large.withColumn("g", F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")))
     large = large.select("g", *[F.col("g").alias("cell") if c == "cell" else F.col(c) for c in rows.columns], "part", (F.col("part") != F.col("other")).alias("cross"))
     return small.union(large)
 

@@ -11,14 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelsift.llm import kernels as K
-from reelsift.llm.common import stored
+from reelsift.llm.common import bound_batches, stored
 
 #: Bound of what the model is fitted on: labelled rows (by a hash of doc_id).
 MAX_TRAIN = 10_000
@@ -158,7 +156,11 @@ class Classifier:
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX_TRAIN) -> Classifier:
     """Fit on up to ``max_train`` labelled documents whose crc32(doc_id as text) modulo ``folds`` is not 0."""
+    from pyspark.ml.classification import LogisticRegression  # here, so that workers that only score don't load it
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
     spark = docs.sparkSession
+    bound_batches(spark)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
