@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from reelsift.llm import chunks as C
 from reelsift.llm import kernels as K
-from reelsift.llm.common import stored
+from reelsift.llm.common import bound_batches, stored
 
-STATES, CLASSES, ITERATIONS, SEGMENT = 8, 1024, 2, 128
+STATES, CLASSES, ITERATIONS = 8, 1024, 2
 END = b" "  # no word holds a space
 _CELL = "cell int, value double"
 
@@ -35,12 +35,11 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def classes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, classes: int) -> np.ndarray:
     """A word's class: its last three bytes, hashed. The last class is the end token's."""
-    out = np.zeros(len(start), np.int32)
-    for i in range(0, len(start), 1 << 20):
-        s, e = start[i : i + (1 << 20)], end[i : i + (1 << 20)]
-        lo, hi = s[0], e[-1]
-        out[i : i + (1 << 20)] = K.Hashes(data[lo:hi]).of(np.maximum(s, e - 3) - lo, e - lo) % np.uint64(classes - 1)
-    return out
+    size = np.minimum(end - start, 3)
+    value = size.astype(np.uint64)
+    for k in (1, 2, 3):
+        value = value << np.uint64(8) | np.where(size >= k, data[np.maximum(end - k, start)], 0).astype(np.uint64)
+    return (K.mix(value) % np.uint64(classes - 1)).astype(np.int32)
 
 
 def sequences(data: np.ndarray, offsets: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,26 +51,26 @@ def sequences(data: np.ndarray, offsets: np.ndarray, classes: int) -> tuple[np.n
 
 
 class Model:
-    """Start, continuation and transition probabilities, and emission of classes by state."""
+    """Start and transition probabilities, and emission of classes by state."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start, self.move, self.emit = start, move, emit  # (2, K), (K, K), (K, C)
+        self.start, self.move, self.emit = start, move, emit  # (K,), (K, K), (K, C)
 
     @classmethod
     def first(cls, states: int, classes: int) -> Model:
         r = np.random.default_rng(7)
         norm = lambda x: x / x.sum(-1, keepdims=True)
         # Sticky states with emissions far apart: near-equal ones would take many iterations to part.
-        return cls(np.full((2, states), 1 / states), norm(np.eye(states) + 0.002), norm(r.gamma(0.3, 1, (states, classes)) + 0.02))
+        return cls(np.full(states, 1 / states), norm(np.eye(states) + 0.002), norm(r.gamma(0.3, 1, (states, classes)) + 0.02))
 
     @classmethod
     def of_counts(cls, cells: np.ndarray, states: int, classes: int) -> Model:
         """Expected counts, smoothed: every class keeps some probability in every state."""
         norm = lambda x: x / x.sum(-1, keepdims=True)
-        a, b = 2 * states, 2 * states + states * states
+        a, b = states, states + states * states
         emit = cells[b:].reshape(states, classes)
         prior = (emit.sum(0) + 0.1) / (emit.sum() + 0.1 * classes)
-        return cls(norm(cells[:a].reshape(2, states) + 1), norm(cells[a:b].reshape(states, states) + 0.1), norm(emit + 10 * prior))
+        return cls(norm(cells[:a] + 1), norm(cells[a:b].reshape(states, states) + 0.1), norm(emit + 10 * prior))
 
 
 def _padded(seq: np.ndarray, to: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +107,7 @@ def log_likelihood(model: Model, seq: np.ndarray, to: np.ndarray) -> np.ndarray:
         alpha = None
         for t, n in enumerate(live):
             b = emit[seq[begin[:n] + t]]
-            alpha = model.start[0] * b if alpha is None else (alpha[:n] @ model.move) * b
+            alpha = model.start * b if alpha is None else (alpha[:n] @ model.move) * b
             scale = alpha.sum(1)
             alpha /= scale[:, None]
             sums[:n] += np.log10(scale)
@@ -116,43 +115,103 @@ def log_likelihood(model: Model, seq: np.ndarray, to: np.ndarray) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Model, seq: np.ndarray, to: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
-    """Baum-Welch counts of all sequences: starts, moves and emissions. Long sequences are learned from in segments."""
-    states, classes = model.emit.shape
-    size = to[1:] - to[:-1]
-    parts = -(-size // segment)
-    of = np.repeat(np.arange(len(size)), parts)
+def _segments(to: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of the segments of all sequences, the number of each in its sequence, and the sequence of each."""
+    parts = -(-(to[1:] - to[:-1]) // segment)
+    of = np.repeat(np.arange(len(parts)), parts)
     number = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-    cuts = np.append(to[:-1][of] + number * segment, to[-1])
+    return np.append(to[:-1][of] + number * segment, to[-1]), number, of
+
+
+def _transfers(model: Model, seq: np.ndarray, cuts: np.ndarray, wanted: np.ndarray, emit: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """For each segment, but for a factor, the probability of its tokens and last state given the state before it."""
+    states = len(move)
+    out = np.zeros((len(cuts) - 1, states, states), np.float32)
+    out[:] = np.eye(states, dtype=np.float32)
+    pick = np.flatnonzero(wanted)
+    size = cuts[pick + 1] - cuts[pick]
+    order = pick[np.argsort(-size, kind="stable")]
+    for i in range(0, len(order), 256):
+        own = order[i : i + 256]
+        begin, size = cuts[own], cuts[own + 1] - cuts[own]
+        live = np.searchsorted(-size, -np.arange(size[0]), "left")
+        for t, n in enumerate(live):
+            now = (out[own[:n]].reshape(-1, states) @ move).reshape(n, states, states) * emit[seq[begin[:n] + t]][:, None, :]
+            out[own[:n]] = now / now.sum((1, 2), keepdims=True)
+    return out
+
+
+def expected_counts(model: Model, seq: np.ndarray, to: np.ndarray, segment: int = 1024) -> np.ndarray:
+    """Baum-Welch counts of all sequences, each as a whole: starts, moves and emissions.
+
+    Long sequences are worked on in segments side by side. What a segment does to the distribution of states is a matrix; their
+    products give the distribution before each segment and the weight of what follows it, so the counts are those of the whole.
+    """
+    states, classes = model.emit.shape
+    cuts, number, of = _segments(to, segment)
     emit, move = np.ascontiguousarray(model.emit.T.astype(np.float32)), model.move.astype(np.float32)
     start = model.start.astype(np.float32)
-    starts, moves, emits = np.zeros((2, states)), np.zeros((states, states)), np.zeros((states, classes))
+    last = np.append(of[1:] != of[:-1], True) if len(of) else np.zeros(0, bool)
+    before, after = np.zeros((len(of), states), np.float32), np.ones((len(of), states), np.float32)
+    if number.any():
+        many = ~last | (number > 0)
+        across = _transfers(model, seq, cuts, many & (number > 0), emit, move)
+        rows = np.flatnonzero(many & (number == 0))
+        before_next = _first_ends(model, seq, cuts, rows, emit, move, start)
+        while len(rows):  # over the segments of all long sequences, number by number
+            going = ~last[rows]
+            rows, before_next = rows[going] + 1, before_next[going]
+            before[rows] = before_next
+            before_next = np.einsum("ni,nij->nj", before_next, across[rows])
+            before_next /= before_next.sum(1, keepdims=True)
+        rows = np.flatnonzero(many & last & (number > 0))
+        while len(rows):
+            onto = np.einsum("nij,nj->ni", across[rows], after[rows])
+            rows = rows - 1
+            after[rows] = onto / onto.sum(1, keepdims=True)
+            rows = rows[number[rows] > 0]
+    starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))
     for order in _batches(cuts, 300_000):
         grid, live = _padded(seq, cuts, order)
-        later = (number[order] > 0).astype(int)
+        first = number[order] == 0
         alpha, scale = [], []
         for t, n in enumerate(live):
             b = emit[grid[t, :n]]
-            a = start[later] * b if t == 0 else (alpha[-1][:n] @ move) * b
+            a = np.where(first[:, None], start, before[order] @ move) * b if t == 0 else (alpha[-1][:n] @ move) * b
             c = a.sum(1, keepdims=True)
             alpha.append(a / c), scale.append(c)
         beta, shares = None, [None] * len(live)
         for t in range(len(live) - 1, -1, -1):
             n = live[t]
-            now = np.ones((n, states), np.float32)
-            if beta is not None:
-                m = live[t + 1]
+            m = live[t + 1] if t + 1 < len(live) else 0
+            now = np.empty((n, states), np.float32)
+            if m:
                 onward = emit[grid[t + 1, :m]] * beta / scale[t + 1]
                 moves += alpha[t][:m].T @ onward
                 now[:m] = onward @ move.T
+            ends = after[order[m:n]]
+            now[m:] = ends / (alpha[t][m:n] * ends).sum(1, keepdims=True)
             beta = now
             shares[t] = alpha[t] * beta
+        # The step from the segment before.
+        later = np.flatnonzero(~first)
+        moves += before[order[later]].T @ (emit[grid[0, later]] * beta[later] / scale[0][later])
         symbols = np.concatenate([grid[t, :n] for t, n in enumerate(live)])
         share = np.concatenate(shares)
         for k in range(states):
             emits[k] += np.bincount(symbols, share[:, k], classes)
-        np.add.at(starts, later, shares[0])
-    return np.concatenate([starts.ravel(), (moves * model.move).ravel(), emits.ravel()])
+        starts += shares[0][first].sum(0)
+    return np.concatenate([starts, (moves * model.move).ravel(), emits.ravel()])
+
+
+def _first_ends(model: Model, seq: np.ndarray, cuts: np.ndarray, rows: np.ndarray, emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The distribution of states at the end of the first segment of long sequences; these are all of one length."""
+    a = None
+    for t in range(int(cuts[rows[0] + 1] - cuts[rows[0]]) if len(rows) else 0):
+        b = emit[seq[cuts[rows] + t]]
+        a = start * b if a is None else (a @ move) * b
+        a /= a.sum(1, keepdims=True)
+    return a if a is not None else np.zeros((0, len(move)), np.float32)
 
 
 def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,16 +226,16 @@ def train(docs: DataFrame, folds: int = 10, states: int = STATES, classes: int =
     for _ in range(iterations):
 
         def count(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
-            cells = np.zeros(2 * states + states * states + states * classes)
+            cells = np.zeros(states + states * states + states * classes)
             for batch in batches:
                 data, offsets = _lowered(batch.column("text").filter(pa.array(~held_out(batch.column("doc_id"), folds))))
-                for i, j in K.slices(offsets):
+                for i, j in K.slices(offsets, 4 << 20):
                     cells += expected_counts(model, *sequences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], classes))
             some = np.flatnonzero(cells)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(cells[some])], names=["cell", "value"])
 
         sums = rows.mapInArrow(count, _CELL).groupBy("cell").agg(F.sum("value").alias("value")).collect()
-        cells = np.zeros(2 * states + states * states + states * classes)
+        cells = np.zeros(states + states * states + states * classes)
         for r in sums:
             cells[r.cell] = r.value
         model = Model.of_counts(cells, states, classes)
@@ -189,7 +248,7 @@ def _ask(buckets: int, folds: int):
         data = K.LOWER[data]
         vocabulary = C.Vocabulary(data, offsets, _tokens, buckets)
         learn = ~held_out(ids, folds)
-        n = np.bincount(vocabulary.word[learn[vocabulary.text]], minlength=len(vocabulary.first)).astype(np.int64)
+        n = np.bincount(vocabulary.word[np.repeat(learn, np.diff(vocabulary.to))], minlength=len(vocabulary.start)).astype(np.int64)
         return vocabulary.requests(data, table.column("chunk")[0].as_py(), n=n)
 
     return ask
@@ -230,6 +289,7 @@ def score_corpus(docs: DataFrame, folds: int = 10, states: int = STATES, classes
     ignored. With nothing to learn from, all words are unknown and the model stays as it began.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bound_batches(docs.sparkSession)
     model = train(docs, folds, states, classes, iterations)
     packed, n = C.chunked(docs, chunk_bytes)
     buckets = max(1, n * chunk_bytes // bucket_bytes)
@@ -249,8 +309,8 @@ def score_corpus(docs: DataFrame, folds: int = 10, states: int = STATES, classes
         right = C.answers_of(right)
         count = right.column("n").to_numpy() if right.num_columns else np.zeros(0, np.int64)
         c = count[vocabulary.word]
-        of = classes_of(data, vocabulary.start, vocabulary.end, classes)
-        to = np.searchsorted(vocabulary.text, np.arange(len(offsets)))
+        of = classes_of(data, vocabulary.start, vocabulary.end, classes)[vocabulary.word]
+        to = vocabulary.to
         # The end token comes last; in the model it is its class's only word.
         seq, seq_to = np.insert(of, to[1:], classes - 1), to + np.arange(len(to))
         c = np.insert(c, to[1:], ends)

@@ -110,7 +110,7 @@ def test_forward_recursion_sums_over_all_paths():
     for a, b in zip(to, to[1:]):
         total = 0
         for path in np.ndindex(*[3] * (b - a)):
-            p = model.start[0, path[0]] if path else 1
+            p = model.start[path[0]] if path else 1
             for t, s in enumerate(path):
                 p *= model.emit[s, seq[a + t]] * (model.move[path[t - 1], s] if t else 1)
             total += p
@@ -118,10 +118,36 @@ def test_forward_recursion_sums_over_all_paths():
     assert hmm.log_likelihood(model, seq, to) == pytest.approx(want)
     before = sum(hmm.log_likelihood(model, seq, to))
     cells = hmm.expected_counts(model, seq, to)
-    assert cells[6 + 9 :].sum() == pytest.approx(5, rel=1e-5)
+    assert cells[3 + 9 :].sum() == pytest.approx(5, rel=1e-5)
     assert sum(hmm.log_likelihood(hmm.Model.of_counts(cells * 1e6, 3, 5), seq, to)) > before
 
 
+def test_long_texts_are_learned_from_as_a_whole():
+    """Counts by the plain forward-backward recursion over whole sequences, however they are cut in segments."""
+    r = np.random.default_rng(3)
+    model = hmm.Model.first(3, 7)
+    to = np.cumsum([0, 1, 10_000, 0, 40, 64, 65, 128])
+    seq = r.integers(0, 7, to[-1])
+    starts, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 7))
+    for a, b in zip(to, to[1:]):
+        x, alpha, scale = seq[a:b], [], []
+        for t, s in enumerate(x):
+            now = (alpha[-1] @ model.move if t else model.start) * model.emit[:, s]
+            scale.append(now.sum()), alpha.append(now / now.sum())
+        beta = np.ones(3)
+        for t in range(len(x) - 1, -1, -1):
+            emits[:, x[t]] += alpha[t] * beta
+            if t:
+                onward = model.emit[:, x[t]] * beta / scale[t]
+                moves += np.outer(alpha[t - 1], onward) * model.move
+                beta = model.move @ onward
+        if len(x):
+            starts += alpha[0] * beta
+    want = np.concatenate([starts, moves.ravel(), emits.ravel()])
+    for segment in (7, 64, 1024, 100_000):
+        assert hmm.expected_counts(model, seq, to, segment) == pytest.approx(want, rel=2e-3, abs=1e-2)
+
+
 def test_perspectives_render_and_mask(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, "ann", "bye"), (2, 0, "system", "alone"), (None, None, None, "who"), (None, 1, "cy", "é" * 5000)]
     got = chat.rotate_perspectives(spark.createDataFrame([(*t, 1, "x") for t in turns], "conv_id long, turn long, role string, text string, block int, segment string"), block=4).collect()
@@ -189,7 +215,7 @@ def test_grid_finds_every_pair_within_the_radius(spark):
     points = spark.createDataFrame(list(zip(signed, range(len(signed)))), "fp long, node long")
     for groups in (5, 6):
         cells = simhash.grid_cells(points, 3, groups)
-        links = simhash.cell_groups(cells, "node", cells.count(), block=7, group_rows=40).groupBy("g").applyInArrow(simhash._links(3), "a long, b long").collect()
+        links = simhash.cell_groups(cells, "node", cells.count(), block=7, group=40).groupBy("g").applyInArrow(simhash._links(3), "a long, b long").collect()
         want = components(len(prints), [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
         assert components(len(prints), links) == want
 
