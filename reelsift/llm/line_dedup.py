@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from reelsift.llm.common import stored
 
-#: A line is boilerplate on a host if it is on more than RATIO of the host's pages and on MIN_PAGES of them at least.
-RATIO, MIN_PAGES = 0.1, 5
-#: Keys that may be broadcast: 16 bytes each and the host's name.
-BROADCAST_KEYS = 200_000
+#: A line is boilerplate on a host if it is on more than RATIO of the host's pages; a line on one page alone is no repeat.
+RATIO, MIN_PAGES = 0.1, 2
+#: Keys that may be broadcast: 16 bytes each and the host's name. Beyond it they are joined by a shuffle, each host in SALTS parts.
+BROADCAST_KEYS, SALTS = 200_000, 64
 
 
 def host_of(url: Column) -> Column:
@@ -37,26 +37,31 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return counts.join(totals, "host").withColumn("share", share).where(F.col("share") > ratio).select("host", "key", "pages", "share")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """docs with ``text`` less the boilerplate lines of their host, and n_lines and n_dropped.
 
     Lines are what line feeds separate, compared without spaces around them; the lines that stay keep their bytes and order.
     A null text stays null and has no lines; an empty one has one blank line. Null hosts form one host. A page of nothing but
     boilerplate gets an empty text. Rows that repeat are pages each. An empty table gives an empty result; all other columns
-    of docs are kept (n_lines and n_dropped are replaced).
+    of docs are kept whatever their names (n_lines and n_dropped are replaced).
     """
-    pages = docs.select(F.coalesce(F.col(host), F.lit("\0")).alias("host"), F.split(text, "\n", -1).alias("lines"))
-    found = stored(boilerplate(pages, ratio, min_pages), "boilerplate")
-    keys = found.groupBy("host").agg(F.collect_list("key").alias("__keys")).withColumnRenamed("host", "__host")
-    if found.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    rows = docs.drop("n_lines", "n_dropped").withColumn("__host", F.coalesce(F.col(host), F.lit("\0"))).join(keys, "__host", "left")
-    lines = F.split(text, "\n", -1)
-    kept = F.when(F.col("__keys").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("__keys", line_key(x))))
-    rows = rows.withColumns({"__kept": kept, "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long")})
-    rows = rows.withColumn("n_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")).cast("long"))
-    rows = rows.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    return rows.withColumn(text, F.array_join("__kept", "\n")).drop("__host", "__keys", "__kept")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), F.split(F.col(text), "\n", -1).alias("lines"))
+    found = stored(boilerplate(packed, ratio, min_pages), "boilerplate")
+    keys = found.groupBy("host").agg(F.collect_list("key").alias("keys"))
+    if found.count() <= broadcast_keys:
+        rows = packed.join(F.broadcast(keys), "host", "left")
+    else:
+        keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = packed.withColumn("salt", F.pmod(F.hash("lines"), F.lit(SALTS))).join(keys, ["host", "salt"], "left")
+    # Which of the host's keys a page has at all is found through a hash set of their first halves.
+    hits = F.array_intersect(F.transform("lines", lambda x: line_key(x).a), F.transform("keys", lambda k: k.a))
+    rows = rows.withColumn("hits", F.when(F.col("keys").isNotNull(), hits))
+    drop = lambda x: (F.trim(x) != "") & F.array_contains("hits", line_key(x).a) & F.array_contains("keys", line_key(x))
+    rows = rows.withColumn("kept", F.when(F.coalesce(F.size("hits"), F.lit(0)) > 0, F.filter("lines", lambda x: ~drop(x))).otherwise(F.col("lines")))
+    n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    n_dropped = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long")
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.select(*[F.array_join("kept", "\n").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in own], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def line_dedup_sql(docs: str = "documents") -> str:
