@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX
     if not 0 < toxic < n:
         return Classifier(np.zeros(0, np.uint64), np.zeros(len(PATTERNS)), float(np.log((toxic + 0.5) / (n - toxic + 0.5))) if n else -2.0)
     mined = rows.mapInArrow(_mine, "gram long, toxic long, n long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    mined = stored(mined.where("n >= 3"), "grams")
+    mined = stored(mined, "grams")
     # Evidence in nats that a gram's share of toxic documents isn't the share of all; it must outweigh the number of grams tried.
     k, m, rate = F.col("toxic"), F.col("n"), toxic / n
     evidence = k * F.log(k / m / rate) + F.when(m > k, (m - k) * F.log((1 - k / m) / (1 - rate))).otherwise(0.0)
