@@ -295,16 +295,20 @@ def test_toxicity_learns_markers_and_ignores_labels_at_scoring(spark):
     assert {round(x.score, 6) for x in toxicity.score_toxicity(docs, known.limit(0)).collect()} == {round(1 / (1 + math.exp(2)), 6)}
 
 
-def test_line_dedup_by_host(spark):
+@pytest.mark.parametrize("broadcast_keys", [1000, 0])
+def test_line_dedup_by_host(spark, broadcast_keys):
     head, foot = "Home  | About", "All rights reserved."
     rows = [(i, f"{head}\nbody {i}\n\n {foot}" if i % 2 else f"body {i}\r\n{foot}\n{foot}", "big") for i in range(20)]
     rows += [(100 + i, f"{head}\nother {i}", "small") for i in range(3)] + [(200, None, "big"), (201, "", "big"), (202, foot, "big"), (203, foot, None), (1, f"{head}\nbody 1\n\n {foot}", "big")]
-    docs = spark.createDataFrame([(*r, 9, 9) for r in rows], "doc_id long, text string, source string, n_lines int, key int")
-    got = {}
-    for r in line_dedup.drop_boilerplate(docs).collect():
+    clash = ["row", "host", "lines", "keys", "salt", "hits", "kept", "__keys", "__host", "__kept"]
+    docs = spark.createDataFrame([(*r, 9, 9, *clash) for r in rows], "doc_id long, text string, source string, n_lines int, key int, " + ", ".join(f"{c} string" for c in clash))
+    got, left = {}, line_dedup.drop_boilerplate(docs, broadcast_keys=broadcast_keys)
+    assert left.columns == ["doc_id", "text", "source", "key", *clash, "n_lines", "n_dropped"]
+    for r in left.collect():
+        assert [r[c] for c in clash] == clash and r.key == 9
         got.setdefault(r.doc_id, []).append((r.text, r.n_lines, r.n_dropped))
     assert got[1] == [("body 1\n", 4, 2)] * 2 and got[2] == [("body 2\r", 3, 2)]
-    assert got[100] == [(f"{head}\nother 0", 2, 0)]
+    assert got[100] == [("other 0", 2, 1)]
     assert got[200] == [(None, 0, 0)] and got[201] == [("", 1, 0)] and got[202] == [("", 1, 1)] and got[203] == [(foot, 1, 0)]
 
 
