@@ -190,7 +190,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str | None = None, outputs: tuple[
     packed, n = C.chunked(docs, chunk_bytes, ordered)
     buckets = max(1, n * chunk_bytes // bucket_bytes)
 
-    def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
         ids_docs, ids, to = ids_of(left, right, path, buckets)
         if end_id is not None:
             ids, to = np.insert(ids, to[1:], end_id), to + np.arange(len(to))

@@ -44,7 +44,7 @@ def chunked(docs: DataFrame, chunk_bytes: int, ordered: bool = False) -> tuple[D
     bounds = rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if ordered and n > 1 else []
     deal = F.coalesce("doc_id", F.lit(-(2**63))) if ordered else F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n))
     bounds = np.unique(np.array(bounds, np.int64)) if ordered else None
-    return rows.withColumn("chunk", deal).mapInArrow(lambda it: _pack(it, bounds), "chunk int, blob binary"), n
+    return rows.withColumn("chunk", deal).mapInArrow(K.tidied(lambda it: _pack(it, bounds)), "chunk int, blob binary"), n
 
 
 def _pack(batches: Iterator[pa.RecordBatch], bounds: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -128,5 +128,20 @@ REQUEST = "bucket int, chunk int, blob binary"
 
 def exchange(packed: DataFrame, ask: Callable[[pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table], join: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """ask over each chunk, answer over each bucket, join of each chunk with its answers."""
-    replies = packed.groupBy("chunk").applyInArrow(ask, REQUEST).groupBy("bucket").applyInArrow(answer, REQUEST)
-    return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(join, schema)
+    def asked(table: pa.Table) -> pa.Table:
+        out = ask(table)
+        K.tidy()
+        return out
+
+    def answered(table: pa.Table) -> pa.Table:
+        out = answer(table)
+        K.tidy()
+        return out
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = join(left, right)
+        K.tidy()
+        return out
+
+    replies = packed.groupBy("chunk").applyInArrow(asked, REQUEST).groupBy("bucket").applyInArrow(answered, REQUEST)
+    return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(joined, schema)

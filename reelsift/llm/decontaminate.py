@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.llm import kernels as K
-from reelsift.llm.common import stored
+from reelsift.llm.common import bound_batches, stored
 
 WINDOW, LITERALS, RUN = 8, 5, 6
 #: Windows that may be broadcast: 8 bytes of hash, 8 of item and 8 of position each. Beyond it they are joined by a shuffle.
@@ -240,6 +240,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lite
     Null or empty texts and null ids match nothing. Rows that repeat a doc_id or item_id count as one. Empty tables give an
     empty result; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     items = stored(benchmark_items(benchmark, size, literals), "items")
     known = items.select("item", "stream", F.size("tokens").cast("long").alias("n"), F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("item", "stream", "n", F.col("w.starts").alias("pos"), F.col("w.hashes").alias("hash"))
     known = stored(known, "windows")
@@ -248,11 +249,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lite
     wanted = np.sort(np.array([r.hash for r in known.select("hash").distinct().collect()], np.int64).view(np.uint64)) if small else None
     whole = items.where("size(starts) = 1 and size = size(tokens)").select("stream", "size").distinct()
     lengths = sorted((r.stream, r.size) for r in whole.collect())
-    hits = rows.mapInArrow(_scan(size, literals, lengths, wanted), "doc_id long, at long, hash long").join(F.broadcast(known) if small else known, "hash")
+    hits = rows.mapInArrow(K.tidied(_scan(size, literals, lengths, wanted)), "doc_id long, at long, hash long").join(F.broadcast(known) if small else known, "hash")
     spots = hits.select("doc_id", "item", "stream", (F.col("at") - F.col("pos")).alias("start"), "n").distinct()
     spots = stored(spots.groupBy("doc_id").agg(F.collect_list(F.struct("item", "stream", "start", "n")).alias("found")), "spots")
-    places = rows.join(F.broadcast(spots) if (spots.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_WINDOWS else spots, "doc_id").mapInArrow(_places, PLACE)
-    sure = places.join(F.broadcast(items.drop("hashes")) if small else items.drop("hashes"), ["item", "stream"]).mapInArrow(_verified(size + run_length - 1), FOUND)
+    places = rows.join(F.broadcast(spots) if (spots.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_WINDOWS else spots, "doc_id").mapInArrow(K.tidied(_places), PLACE)
+    sure = places.join(F.broadcast(items.drop("hashes")) if small else items.drop("hashes"), ["item", "stream"]).mapInArrow(K.tidied(_verified(size + run_length - 1)), FOUND)
     best = sure.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "n_matched", "same", (-F.col("first_token")).alias("before"), "n_windows")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n_matched").alias("n_matched"), F.col("b.n_windows").alias("n_windows"), (-F.col("b.before")).alias("first_token"), (~F.col("b.same")).alias("reparameterised"))
 

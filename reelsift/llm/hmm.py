@@ -234,7 +234,7 @@ def train(docs: DataFrame, folds: int = 10, states: int = STATES, classes: int =
             some = np.flatnonzero(cells)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(cells[some])], names=["cell", "value"])
 
-        sums = rows.mapInArrow(count, _CELL).groupBy("cell").agg(F.sum("value").alias("value")).collect()
+        sums = rows.mapInArrow(K.tidied(count), _CELL).groupBy("cell").agg(F.sum("value").alias("value")).collect()
         cells = np.zeros(states + states * states + states * classes)
         for r in sums:
             cells[r.cell] = r.value
@@ -249,6 +249,7 @@ def _ask(buckets: int, folds: int):
         vocabulary = C.Vocabulary(data, offsets, _tokens, buckets)
         learn = ~held_out(ids, folds)
         n = np.bincount(vocabulary.word[np.repeat(learn, np.diff(vocabulary.to))], minlength=len(vocabulary.start)).astype(np.int64)
+        K.tidy()
         return vocabulary.requests(data, table.column("chunk")[0].as_py(), n=n)
 
     return ask
@@ -268,6 +269,7 @@ def _answer(classes: int):
         known = count > 0
         stats = C.to_blob(distinct=np.bincount(of[known], minlength=classes), tokens=np.bincount(of, count, classes).astype(np.int64))
         out = [C.to_blob(n=count[p]) for p in places]
+        K.tidy()
         return pa.table({"bucket": pa.concat_arrays([*table.column("bucket").chunks, pa.array([table.column("bucket")[0].as_py()], pa.int32())]), "chunk": pa.array([*table.column("chunk").to_pylist(), -1], pa.int32()), "blob": pa.array([*out, stats], pa.binary())})
 
     return answer
@@ -318,6 +320,7 @@ def score_corpus(docs: DataFrame, folds: int = 10, states: int = STATES, classes
         by_text = lambda x: np.add.reduceat(x, seq_to[:-1]) if len(x) else np.zeros(0)
         word = log_c - in_class[seq]
         word[seq_to[1:] - 1] = 0
+        K.tidy()
         base = by_text(log_c - np.log10(total + 0.1 * (types + 1)))
         return pa.table({"doc_id": ids, "held_out": pa.array(held_out(ids, folds)), "n_tokens": pa.array(np.diff(seq_to)), "n_known": pa.array(by_text((c > 0).astype(np.int64)).astype(np.int64)), "train_tokens": pa.array([int(total)] * len(ids), pa.int64()), "base_score": pa.array(base), "score": pa.array(log_likelihood(model, seq, seq_to) + by_text(word))})
 

@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             found.append(bits(np.array(hashes, np.uint64), n))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.tidied(run), "doc_id long, fp long")
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:
@@ -89,6 +89,7 @@ def _links(radius: int):
             same = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= radius
             forest.link(i[same], j[same])
         i, j = forest.edges()
+        K.tidy()
         return pa.table({"a": node[i], "b": node[j]})
 
     return run

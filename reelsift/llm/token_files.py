@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelsift.llm import kernels as K
 from reelsift.llm.bpe import encode_corpus
 from reelsift.llm.common import shared_dir
 
@@ -56,7 +57,7 @@ def token_directory(spark: SparkSession, path: str) -> DataFrame:
     Sums are taken within a shard and over the shards' totals, so no task sees all documents. Rows that share a doc_id come
     in the order of n_tokens and ids_crc32; a null doc_id comes first. Empty files give an empty result.
     """
-    rows = read_tokens(spark, path).mapInArrow(_crc, "shard int, doc_id long, n_tokens long, ids_crc32 long")
+    rows = read_tokens(spark, path).mapInArrow(K.tidied(_crc), "shard int, doc_id long, n_tokens long, ids_crc32 long")
     before = read_tokens(spark, path, ("n_tokens",)).groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = before.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0))

@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < n:
         return Classifier(np.zeros(0, np.uint64), np.zeros(len(PATTERNS)), float(np.log((toxic + 0.5) / (n - toxic + 0.5))) if n else -2.0)
-    mined = rows.mapInArrow(_mine, "gram long, toxic long, n long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    mined = rows.mapInArrow(K.tidied(_mine), "gram long, toxic long, n long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     mined = stored(mined, "grams")
     # Evidence in nats that a gram's share of toxic documents isn't the share of all; it must outweigh the number of grams tried.
     k, m, rate = F.col("toxic"), F.col("n"), toxic / n
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX
                 cast[t].append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([sorted(c) for c in cast], pa.list_(pa.int32()))], names=["doc_id", "toxic", "votes"])
 
-    sample = rows.mapInArrow(ballots, "doc_id long, toxic int, votes array<int>").orderBy("doc_id").toArrow().combine_chunks()
+    sample = rows.mapInArrow(K.tidied(ballots), "doc_id long, toxic int, votes array<int>").orderBy("doc_id").toArrow().combine_chunks()
     cast = sample.column("votes").to_pylist()
     # That no lexicon voter fires is the vote of one more.
     full = [v if v and v[0] < len(lexicon) else [*v, width] for v in cast]
@@ -220,7 +220,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == 0)
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return rows.mapInArrow(K.tidied(run), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
@@ -232,4 +232,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: in
         for batch in batches:
             yield batch.filter(pa.array(model.score(*K.flat(batch.column("text"))) < threshold))
 
-    return docs.select(columns).mapInArrow(run, docs.schema)
+    return docs.select(columns).mapInArrow(K.tidied(run), docs.schema)
