@@ -9,24 +9,33 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import partitions
+from reelsift.llm.common import partitions, stored
 
 
-def cell_groups(rows: DataFrame, node: str, total: int, block: int = 2048, group: int = 50_000, weight: Column | None = None, settled: Column | None = None) -> DataFrame:
+#: Large cells that may be broadcast.
+BROADCAST_CELLS = 500_000
+
+
+def cell_groups(rows: DataFrame, node: str, total: int, block: int = 2048, group: int = 50_000, weight: Column | None = None, settled: Column | None = None, sparse: bool = True) -> DataFrame:
     """Rows ``(cell long, node, ...)`` with ``g``, the group to compare in, ``part`` and ``cross``.
 
     A row weighs 1, or ``weight``. Cells of one row are left out. Cells of a weight up to ``block`` share groups, as many as keep a
     group of the ``total`` weight at about ``group`` at most. Larger cells are cut in parts, and each pair of parts makes a group,
     so that no task holds more than two parts; ``cross`` then asks for pairs of different parts. Rows that are ``settled`` need no
-    comparing with each other: in a large cell they meet the parts of the other rows only.
+    comparing with each other: in a large cell they meet the parts of the other rows only. ``sparse``: most cells have one row, so
+    that it pays to look for the others first; else only the large cells are looked for, and rows of the others move once.
     """
     weight = F.lit(1) if weight is None else weight
     open_ = F.lit(True) if settled is None else ~settled
     kept = rows.withColumns({"weight_": weight.cast("long"), "open_": open_})
     sizes = kept.groupBy("cell").agg(F.count("*").alias("n_"), F.sum("weight_").alias("w_"), F.coalesce(F.sum(F.when(F.col("open_"), F.col("weight_"))), F.lit(0)).alias("u_")).where("n_ > 1")
-    kept = kept.join(sizes, "cell")
+    if not sparse:
+        sizes = stored(sizes.where(F.col("w_") > block), "large")
+    # A row of sizes is 40 bytes, and of large cells there are total / block at most.
+    small_sizes = not sparse and sizes.count() <= BROADCAST_CELLS
+    kept = kept.join(F.broadcast(sizes) if small_sizes else sizes, "cell", "inner" if sparse else "left")
     groups = F.lit(max(4 * partitions(rows.sparkSession), ceil(total / group))).cast("long")
-    small = kept.where(F.col("w_") <= block).select(F.pmod(F.xxhash64("cell"), groups).alias("g"), *rows.columns, F.lit(0).cast("long").alias("part"), F.lit(False).alias("cross"))
+    small = kept.where(F.coalesce(F.col("w_"), F.lit(0)) <= block).select(F.pmod(F.xxhash64("cell"), groups).alias("g"), *rows.columns, F.lit(0).cast("long").alias("part"), F.lit(False).alias("cross"))
     # Parts of the open rows come first, then those of the settled ones.
     first, rest = F.ceil(F.col("u_") / block), F.ceil((F.col("w_") - F.col("u_")) / block)
     large = kept.where(F.col("w_") > block).withColumn("part", F.when(F.col("open_"), F.pmod(F.xxhash64(node, "cell"), first)).otherwise(first + F.pmod(F.xxhash64(node, "cell"), rest)))
