@@ -18,8 +18,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _RANDOM = np.random.default_rng(20240607)
-#: One random odd 64-bit value per byte, and an odd base, for each of two independent hashes.
-BYTE_VALUE = [_RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+#: One random 64-bit value per byte, and an odd base, for each of two independent hashes.
+BYTE_VALUE = [_RANDOM.integers(0, 2**64, 256, dtype=np.uint64) for _ in range(2)]
 BASE = [int(_RANDOM.integers(0, 2**63)) * 2 + 1 for _ in range(2)]
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 

@@ -5,9 +5,11 @@ A suffix array here is a bucketed table of sampled suffixes, sorted by ``(key, c
 string alone, so two equal strings hold a sampled suffix at the same place and no repeat is lost. Each sampled suffix
 stands for the run of strings that chose it: ``key`` hashes its first bytes, ``ctx`` the whole stretch of that run.
 
-New batches get a suffix array each. Two levels of equal size are merge-scanned by a sort-merge join of their buckets,
-without a shuffle: stretches that the older level has are repeats, the rest goes to a level twice as large. In the last
-level, keys with more than one stretch are settled exactly, string by string, from the bytes of the texts.
+Each new batch gets a suffix array. It is merge-scanned against every level that exists, by sort-merge joins of their buckets
+without a shuffle: stretches that an older level has are repeats, and leave the array as spans. Levels of equal size are merged
+the same way to one of twice the size. In the last level, keys with more than one stretch are settled exactly, string by
+string, from the bytes of the texts. Order is that of hashes, not of the bytes: arrays with 100 bytes of each suffix in them
+would not fit the disk limits, and equal prefixes of fixed lengths are neighbours in either order.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from reelsift.llm import kernels as K
 from reelsift.llm.chunks import from_blob, to_blob
-from reelsift.llm.common import release, shared_dir, stored, text_bytes
+from reelsift.llm.common import bound_batches, release, shared_dir, stored, text_bytes
 
 SUFFIX = "key long, ctx long, doc_id long, at long, shape long, first boolean"
 SPAN = "doc_id long, s long, e long"
@@ -87,7 +89,7 @@ def sampled_suffixes(docs: DataFrame, min_len: int = 100, anchor: int = 32) -> D
             key = np.where(first, key, K.mix(doc.astype(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc), pa.array(at), pa.array(shape), pa.array(first)], names=["key", "ctx", "doc_id", "at", "shape", "first"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null and octet_length(text) >= %d" % min_len).mapInArrow(run, SUFFIX)
+    return docs.select("doc_id", "text").where("doc_id is not null and octet_length(text) >= %d" % min_len).mapInArrow(K.tidied(run), SUFFIX)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +122,7 @@ class SuffixIndex:
         self.buckets = buckets
         self.levels: list[tuple[int, str]] = []
         self.tables: list[str] = []
-        self.loose: list[DataFrame] = []
+        self.spans: list[DataFrame] = []
 
     def _write(self, df: DataFrame) -> str:
         name, conf, all_keys = f"suffixes_{uuid.uuid4().hex}", self.spark.conf, "spark.sql.requireAllClusterKeysForCoPartition"
@@ -139,19 +141,42 @@ class SuffixIndex:
         # Repeats within an Arrow batch are known at once; the others are found in sorted order of their bucket.
         rows = sampled_suffixes(batch, self.min_len, self.anchor)
         array = rows.repartition(self.buckets, "key").sortWithinPartitions("key", "ctx", "doc_id", "at").mapInArrow(_scan, SUFFIX)
-        self.levels.append((1, self._write(array)))
+        name, size, kept = self._write(array), 1, len(self.levels)
+        while kept and self.levels[kept - 1][0] == size:  # the levels that merge with it now are scanned as they do
+            kept, size = kept - 1, 2 * size
+        if kept:
+            name = self._against(name, [old for _, old in self.levels[:kept]])
+        self.levels.append((1, name))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             self._merge()
 
+    def _leave(self, *names: str) -> None:
+        """Keep the repeats of tables that are read for the last time, as spans."""
+        width = self.min_len - self.anchor + 1
+        rows = _union([self.spark.table(t).where("not first") for t in names])
+        self.spans.append(stored(rows.select("doc_id", F.col("at").alias("s"), (F.col("at") + F.col("shape") % width + self.min_len).alias("e")), "repeats"))
+
+    def _against(self, name: str, levels: list[str]) -> str:
+        """The array of a new batch, less what any of the levels has."""
+        self._leave(name)
+        rows, seen = self.spark.table(name).where("first"), F.lit(False)
+        for k, old in enumerate(levels):
+            rows = rows.join(self.spark.table(old).where("first").select("key", "ctx", F.lit(True).alias(f"seen{k}")), ["key", "ctx"], "left")
+            seen = seen | F.col(f"seen{k}").isNotNull()
+        out = self._write(rows.select("key", "ctx", "doc_id", "at", "shape", (~seen).alias("first")))
+        self._drop(name)
+        return out
+
     def _merge(self) -> None:
         (size, b), (more, a) = self.levels.pop(), self.levels.pop()
+        self._leave(a, b)
         old, new = self.spark.table(a), self.spark.table(b)
-        self.loose += [old.where("not first"), new.where("not first")]
         old, new = (t.where("first").select("key", "ctx", F.struct("doc_id", "at", "shape").alias("w")) for t in (old, new))
         pair = old.alias("o").join(new.alias("n"), ["key", "ctx"], "full_outer")
         entry = lambda w, first: F.struct("key", "ctx", F.col(f"{w}.doc_id").alias("doc_id"), F.col(f"{w}.at").alias("at"), F.col(f"{w}.shape").alias("shape"), first.alias("first"))
         rows = pair.select(F.explode(F.filter(F.array(entry("o.w", F.lit(True)), entry("n.w", F.col("o.w").isNull())), lambda x: x.doc_id.isNotNull())).alias("x")).select("x.*")
         self.levels.append((size + more, self._write(rows)))
+        self._drop(a, b)
         release(self.spark)
 
     def close(self) -> None:
@@ -159,9 +184,13 @@ class SuffixIndex:
         while len(self.levels) > 1:
             self._merge()
 
-    def drop(self) -> None:
-        for t in self.tables:
+    def _drop(self, *names: str) -> None:
+        for t in names:
             self.spark.sql(f"drop table if exists {t}")
+            self.tables.remove(t)
+
+    def drop(self) -> None:
+        self._drop(*list(self.tables))
 
     def repeats(self, docs: DataFrame, hot: int = 1_000) -> DataFrame:
         """All spans of strings that start earlier too. The strings of keys of over ``hot`` stretches are dealt out by their
@@ -171,10 +200,11 @@ class SuffixIndex:
         if not self.levels:
             return self.spark.createDataFrame([], SPAN)
         last = self.spark.table(self.levels[0][1])
-        spans = [t.where("not first").select("doc_id", F.col("at").alias("s"), (F.col("at") + F.col("shape") % width + min_len).alias("e")) for t in [*self.loose, last]]
+        self._leave(self.levels[0][1])
+        spans = list(self.spans)
         shared = last.where("first").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         open_ = last.where("first").join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "n", "at", "shape")).alias("open"))
-        stretches = stored(docs.select("doc_id", "text").join(open_, "doc_id").mapInArrow(_cut(min_len, width), "key long, n long, doc_id long, s long, runs long, bytes binary"), "stretches")
+        stretches = stored(docs.select("doc_id", "text").join(open_, "doc_id").mapInArrow(K.tidied(_cut(min_len, width)), "key long, n long, doc_id long, s long, runs long, bytes binary"), "stretches")
         release(self.spark)
         count = stretches.count()
         groups = max(1, count // 5_000)
@@ -182,7 +212,7 @@ class SuffixIndex:
         # Strings of large groups, packed by hash: about 40 to a stretch, and as many to a group as one task settles.
         large = stretches.where(F.col("n") > hot)
         bins = max(1, large.count() * 40 // 400_000)
-        many = large.mapInArrow(_strings(min_len, bins), "g int, blob binary").groupBy("g").applyInArrow(_settle_strings(min_len), SPAN)
+        many = large.mapInArrow(K.tidied(_strings(min_len, bins)), "g int, blob binary").groupBy("g").applyInArrow(_settle_strings(min_len), SPAN)
         spans += [few, many]
         return _union(spans)
 
@@ -211,20 +241,21 @@ def _cut(min_len: int, width: int):
     return run
 
 
-def _windows(table: pa.Table | pa.RecordBatch, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash, doc_id and start of every string of min_len bytes in the stretches."""
+def _windows(table: pa.Table | pa.RecordBatch, min_len: int) -> tuple[np.ndarray, ...]:
+    """Two hashes, doc_id and start of every string of min_len bytes in the stretches."""
     data, offsets = K.flat(table.column("bytes"))
     runs = np.minimum(table.column("runs").to_numpy(), np.maximum(0, np.diff(offsets) - min_len + 1))
     row = np.repeat(np.arange(len(runs)), runs)
     j = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)
     at = offsets[row] + j
-    return K.Hashes(data).of(at, at + min_len), table.column("doc_id").to_numpy()[row], table.column("s").to_numpy()[row] + j
+    return K.Hashes(data).of(at, at + min_len), K.Hashes(data, 1).of(at, at + min_len), table.column("doc_id").to_numpy()[row], table.column("s").to_numpy()[row] + j
 
 
-def _order(h: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((s, doc, h))
-    first = np.ones(len(order), bool)
-    first[1:] = h[order][1:] != h[order][:-1]
+def _order(h: np.ndarray, more: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings by their 128 bits of hashes, then place; and which are the first of equal ones."""
+    order = np.lexsort((s, doc, more, h))
+    first, h, more = np.ones(len(order), bool), h[order], more[order]
+    first[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
     return order, first
 
 
@@ -239,9 +270,10 @@ def _spans(doc: np.ndarray, s: np.ndarray, min_len: int) -> list[pa.Array]:
 
 
 def _settle(table: pa.Table, min_len: int) -> pa.Table:
-    h, doc, s = _windows(table, min_len)
-    order, first = _order(h, doc, s)
+    h, more, doc, s = _windows(table, min_len)
+    order, first = _order(h, more, doc, s)
     again = order[~first]
+    K.tidy()
     return pa.Table.from_arrays(_spans(doc[again], s[again], min_len), names=["doc_id", "s", "e"])
 
 
@@ -249,17 +281,17 @@ def _strings(min_len: int, bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 5_000):
-                h, doc, s = _windows(batch.slice(i, 5_000), min_len)
-                order, first = _order(h, doc, s)
+                h, more, doc, s = _windows(batch.slice(i, 5_000), min_len)
+                order, first = _order(h, more, doc, s)
                 once, again = order[first], order[~first]
                 # Of equal strings here only the first goes on; the others are repeats already, given as runs.
                 runs = [x.to_numpy() for x in _spans(doc[again], s[again], min_len)]
-                parts = [np.concatenate(x) for x in zip((h[once], doc[once], s[once], s[once] + min_len, np.ones(len(once), bool)), (K.mix(runs[0].astype(np.uint64)), *runs, np.zeros(len(runs[0]), bool)))]
+                parts = [np.concatenate(x) for x in zip((h[once], more[once], doc[once], s[once], s[once] + min_len, np.ones(len(once), bool)), (K.mix(runs[0].astype(np.uint64)), np.zeros(len(runs[0]), np.uint64), *runs, np.zeros(len(runs[0]), bool)))]
                 at = (parts[0] % np.uint64(bins)).astype(np.int32)
                 by = np.argsort(at, kind="stable")
                 for rows in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
                     if len(rows):
-                        blob = to_blob(**{k: x[rows] for k, x in zip(("hash", "doc_id", "s", "e", "first"), parts)})
+                        blob = to_blob(**{k: x[rows] for k, x in zip(("hash", "more", "doc_id", "s", "e", "first"), parts)})
                         yield pa.RecordBatch.from_arrays([pa.array(at[rows[:1]]), pa.array([blob], pa.binary())], names=["g", "blob"])
 
     return run
@@ -268,10 +300,11 @@ def _strings(min_len: int, bins: int):
 def _settle_strings(min_len: int):
     def run(table: pa.Table) -> pa.Table:
         rows = pa.concat_tables([from_blob(b) for b in table.column("blob").combine_chunks()]).combine_chunks()
-        h, doc, s, e, first = (rows.column(c).to_numpy() for c in ("hash", "doc_id", "s", "e", "first"))
-        order, new = _order(h[first], doc[first], s[first])
+        h, more, doc, s, e, first = (rows.column(c).to_numpy() for c in ("hash", "more", "doc_id", "s", "e", "first"))
+        order, new = _order(h[first], more[first], doc[first], s[first])
         again = order[~new]
         found = _spans(doc[first][again], s[first][again], min_len)
+        K.tidy()
         return pa.Table.from_arrays([pa.array(np.concatenate([x.to_numpy(), y[~first]])) for x, y in zip(found, (doc, s, e))], names=["doc_id", "s", "e"])
 
     return run
@@ -296,7 +329,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def dedup_substrings(docs: DataFrame, min_len: int = 100, anchor: int = 32, n_batches: int = 2, hot: int = 1_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_len: int = 100, anchor: int = 32, n_batches: int = 8, hot: int = 1_000) -> DataFrame:
     """Remove every byte covered by a ``min_len``-byte string that also starts earlier.
 
     Earlier: in a text of smaller doc_id, or at a smaller start of the same text. Texts are UTF-8 bytes and matches do not
@@ -305,18 +338,24 @@ def dedup_substrings(docs: DataFrame, min_len: int = 100, anchor: int = 32, n_ba
     Null or empty texts, and texts shorter than ``min_len``: nothing is removed. Null doc_id: the row is returned, its text
     is neither cut nor compared. Rows that repeat a doc_id are one text in the order, so that each keeps what only such a
     twin has at the same start. An empty table gives an empty result; other columns are ignored.
+
+    The documents come to the index in ``n_batches`` ranges of doc_id, as they would if they arrived over time.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     index = SuffixIndex(spark, min_len, anchor, max(8, min(65536, text_bytes(docs) // (8 << 20))))
     cuts = docs.stat.approxQuantile("doc_id", [i / n_batches for i in range(1, n_batches)], 0.01) if n_batches > 1 else []
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        part = docs
-        part = part if lo is None else part.where(F.col("doc_id") > int(lo))
-        index.add(part if hi is None else part.where(F.col("doc_id") <= int(hi)))
-    spans = index.repeats(docs, hot)
-    # A document's spans number no more than its sampled suffixes.
-    spans = stored(spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    index.drop()
+    cuts = sorted(set(cuts))
+    try:
+        for lo, hi in zip([None, *cuts], [*cuts, None]):
+            part = docs
+            part = part if lo is None else part.where(F.col("doc_id") > int(lo))
+            index.add(part if hi is None else part.where(F.col("doc_id") <= int(hi)))
+        spans = index.repeats(docs, hot)
+        # A document's spans number no more than its sampled suffixes.
+        spans = stored(spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    finally:
+        index.drop()
     release(spark)
-    return docs.join(spans, "doc_id", "left").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.join(spans, "doc_id", "left").mapInArrow(K.tidied(_remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -70,7 +70,7 @@ def kept(rows, size):
     return out
 
 
-@pytest.mark.parametrize(("size", "batches", "hot"), [(100, 5, 20_000), (20, 2, 1)])
+@pytest.mark.parametrize(("size", "batches", "hot"), [(100, 8, 20_000), (20, 3, 1)])
 def test_suffix_dedup_is_exact(spark, rows, size, batches, hot):
     got = suffix_dedup.dedup_substrings(frame(spark, rows), min_len=size, anchor=min(32, size - 8), n_batches=batches, hot=hot).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got} == kept(rows, size)
@@ -181,14 +181,39 @@ def test_vectors_link_exactly(spark):
     assert all(got[i].component_id == names[i] and got[i].kept == (names[i] == i) for i in got)
 
 
-def test_code_estimates_are_unbiased_and_bounded():
+def test_vectors_of_any_length_link_by_direction(spark):
+    data = [(1e200, 1e200), (2e200, 2e200), (1e-200, 1e-200), (2e-200, 2e-200), (1.0, 1.0), (1.0, -1.0), (5e-324, 5e-324)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame([(i, list(v)) for i, v in enumerate(data)], "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (0, 5, True) if i == 5 else (5, 0, i == 0) for i in range(7)}
+
+
+@pytest.mark.parametrize("d", [3, 64, 100])
+def test_code_estimates_are_unbiased_and_bounded(d):
     r = np.random.default_rng(2)
-    v = r.standard_normal((400, 64))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v = r.standard_normal((400, d))
+    v[200:] = v[:200] + 0.2 * v[200:]
+    v = embedding_dedup.unit(v)
     i, j = np.triu_indices(400, 1)
-    about, error = embedding_dedup.estimates(v @ embedding_dedup.rotation(64).T, i, j, 4.0)
-    off = about - np.einsum("ij,ij->i", v[i], v[j])
-    assert abs(off.mean()) < 0.003 and (np.abs(off) <= error).mean() > 0.999
+    off = []
+    for k in range(8):
+        about, error = embedding_dedup.estimates(*embedding_dedup.encode(v @ embedding_dedup.rotation(d, k).T), d, i, j, 4.0)
+        off.append(about - np.einsum("ij,ij->i", v[i], v[j]))
+        assert (np.abs(off[-1]) <= error).mean() > 0.999
+    if d > 3:
+        assert abs(np.mean(off)) < 0.003 and abs(np.mean(off, axis=0)[j == i + 200].mean()) < 0.03
+
+
+def test_near_copies_of_given_vectors_are_found(spark):
+    """Recall against brute force: the given vectors and a copy of each at a cosine about 0.95 to 0.99."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").toArrow()
+    v, r = embedding_dedup.unit(np.array(table.column(0).to_pylist(), np.float64)), np.random.default_rng(6)
+    noise = embedding_dedup.unit(r.standard_normal(v.shape))
+    v = embedding_dedup.unit(np.concatenate([v, v + r.uniform(0.15, 0.33, (len(v), 1)) * noise]))
+    want = (v @ v.T >= 0.95).sum(1) - 1
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {x.vec_id: x.n_links for x in embedding_dedup.near_vectors(rows).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.99 * want.sum() > 1000
 
 
 def test_simhash_fingerprints_and_components(spark, rows):
