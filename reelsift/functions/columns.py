@@ -8,8 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The emotions an annotation may name, and the texts that mark a placeholder.
-EMOTIONS = ["joy", "sadness", "anger", "fear", "surprise", "love", "tension", "calm", "nostalgia", "melancholy", "longing", "loneliness", "hope", "humor", "awe", "other"]
-PLACEHOLDERS = ["placeholder", "todo", "n/a", "unknown", "lorem ipsum", "example", "tbd", "none", "null", "undefined", "no description", "not available"]
+EMOTIONS = [
+    "tension", "melancholy", "awe", "joy", "sadness", "catharsis", "serenity", "excitement", "dread", "nostalgia", "admiration",
+    "intimacy", "vulnerability", "longing", "desire", "other",
+]
+PLACEHOLDERS = [
+    "what you see", "one word", "one reason", "2-3 observations", "2-4 qualities", "3-5 keywords", "why this works as a gif",
+    "describe what you actually see", "describe actual visible subjects", "concise description", "what you actually observe",
+    "one personal cinephile reason",
+]
+#: What counts as white space around a text.
+BLANKS = " \t\n\r\x0b\x0c"
 #: Worthiness of a word used in place of a number.
 WORTH_WORDS = {"excellent": 0.9, "good": 0.7, "average": 0.4, "bad": 0.15}
 
@@ -18,10 +27,14 @@ def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
 
+def strip(text: Column) -> Column:
+    return F.trim(text, F.lit(BLANKS))
+
+
 def film_name(path: Column) -> Column:
-    """X-01: the file stem up to its first separator, unless that is one character or all digits: then the stem."""
+    """X-01: the file stem up to its first separator after a character, unless that is one character or all digits: then the stem."""
     stem = F.regexp_replace(F.element_at(F.split(path, "[/\\\\]"), -1), r"\.[^.]*$", "")
-    head = F.regexp_extract(stem, r"^(.*?)(?:[-_ .]+|$)", 1)
+    head = strip(F.regexp_extract(stem, r"^(.+?)[-_\s.]+.*$", 1))
     return F.when((F.length(head) >= 2) & ~head.rlike("^[0-9]+$"), head).otherwise(stem)
 
 
@@ -34,14 +47,16 @@ def scenario_keys(emotion: Column, scene: Column, tags: Column) -> Column:
 
 def canonical_emotion(raw: Column) -> Column:
     """X-03: a known emotion, or the first known part of a list by bar or comma, or ``other``."""
-    parts = F.filter(F.transform(F.split(F.translate(F.lower(raw), "|", ","), ","), lambda x: F.trim(x)), lambda x: x.isin(EMOTIONS))
+    parts = F.filter(F.transform(F.split(F.translate(F.lower(raw), "|", ","), ","), strip), lambda x: x.isin(EMOTIONS))
     return F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit("other"))
 
 
 def placeholders(text: Column) -> Column:
     """X-04: the placeholder texts within; ``empty`` for a blank one."""
-    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    return F.when(low == "", F.array(F.lit("empty"))).otherwise(F.filter(F.array(*map(F.lit, PLACEHOLDERS)), lambda p: F.contains(low, p)))
+    low = F.lower(strip(F.coalesce(text, F.lit(""))))
+    none = F.array().cast("array<string>")
+    found = F.concat(*(F.when(F.contains(low, F.lit(p)), F.array(F.lit(p))).otherwise(none) for p in PLACEHOLDERS))
+    return F.when(low == "", F.array(F.lit("empty"))).otherwise(found)
 
 
 def worthiness(value: Column) -> Column:
@@ -75,11 +90,29 @@ def readable_error(raw: Column) -> Column:
 
 
 def strict_json(raw: Column, schema: str) -> Column:
-    """X-06, X-24: a struct from a model's answer: think tags and code fences stripped, then the text, else its first object."""
-    text = F.regexp_replace(F.regexp_replace(raw, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
-    whole, inner = F.trim(text), F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    good = lambda t: F.when(F.get_json_object(t, "$").isNotNull(), F.from_json(t, schema))
-    return F.coalesce(good(whole), good(inner))
+    """X-06, X-24: a struct from a model's answer: think tags and code fences stripped, then the text, else the first of its
+    balanced objects that is JSON."""
+    text = strip(F.element_at(F.split(raw, "</think>"), -1))
+    text = F.when(F.startswith(text, F.lit("```")), strip(F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", ""))).otherwise(text)
+    good = lambda t: F.get_json_object(t, "$").isNotNull()
+    inner = F.try_element_at(F.filter(balanced(text), good), F.lit(1))
+    return F.from_json(F.when(good(text), text).otherwise(inner), schema)
+
+
+def balanced(text: Column) -> Column:
+    """The outermost ``{...}`` of a text, in order; one pass over its characters."""
+    kind = "struct<at:int,depth:int,start:int,found:array<string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("start"), F.array().cast("array<string>").alias("found")).cast(kind)
+
+    def step(s: Column, c: Column) -> Column:
+        at = s.at + 1
+        depth = s.depth + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        start = F.when((c == "{") & (s.depth == 0), at).otherwise(s.start)
+        ends = (c == "}") & (depth == 0) & (s.start > 0)
+        found = F.when(ends, F.array_append(s.found, F.substring(text, s.start, at - s.start + 1))).otherwise(s.found)
+        return F.struct(at.alias("at"), depth.alias("depth"), start.alias("start"), found.alias("found")).cast(kind)
+
+    return F.aggregate(F.split(text, ""), zero, step, lambda s: s.found)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -51,11 +51,18 @@ def calibrated(rows: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def strategy(rows: DataFrame) -> DataFrame:
-    """A-30: advice from range, middle gap and miscalibration of scores."""
-    curve = reliability(rows, 5).agg(F.sum(F.abs(F.col("mean_score") - F.col("positive_rate")) * F.col("n")).alias("off"), F.sum("n").alias("n"))
-    span = rows.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    advice = F.when(F.col("n") < 10, "collect more labels").when(F.col("hi") - F.col("lo") < 0.3, "widen the scale").when(F.col("off") / F.col("n") < 0.2, "keep the scores").otherwise("fit a calibrator")
-    return curve.crossJoin(span).select("n", F.round(F.col("off") / F.col("n"), 6).alias("miscalibration"), advice.alias("advice"))
+    """A-30: how to turn scores ``(score, label)`` into decisions, from the calibrator's merging, the gap in the bin about one half,
+    the range of scores and the mean gap of the bins that have rows."""
+    total, pools = rows.count(), calibrator(rows).count() if rows.take(1) else 0
+    curve = reliability(rows).where("n > 0").withColumn("gap", F.abs(F.col("mean_score") - F.col("positive_rate")))
+    facts = curve.agg(F.avg("gap").alias("off"), F.max(F.when(F.col("bin") == 5, F.col("gap"))).alias("middle"))
+    span = rows.agg((F.max("score") - F.min("score")).alias("span"))
+    merged = 1 - pools / max(total, 1)
+    advice = (
+        F.when(F.lit(total < 10), "fixed-threshold (insufficient data for reliable calibration)").when(F.lit(merged > 0.3), "monotonic-calibration")
+        .when(F.coalesce(F.col("middle") < 0.15, F.lit(False)), "fixed-threshold").when(F.col("span") < 0.3, "percentile-threshold").when(F.col("off") < 0.2, "fixed-threshold").otherwise("monotonic-calibration")
+    )
+    return facts.crossJoin(span).select(F.lit(total).alias("n"), F.round(F.lit(merged), 6).alias("merge_ratio"), F.round("off", 6).alias("miscalibration"), advice.alias("advice"))
 
 
 def ndcg(rows: DataFrame, keys: list[str], k: int, linear: bool = False) -> DataFrame:

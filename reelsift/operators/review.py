@@ -34,13 +34,15 @@ def explore_scores(rows: DataFrame, centroids: DataFrame, overall: DataFrame) ->
 def farthest_first(rows: DataFrame, n: int, weight: float = 0.5) -> DataFrame:
     """T-16: n rows of ``(id, score, vector)``: the best, then each time the one of highest score and distance to those chosen.
 
-    Choices are made among the top max(5 n, 100) by score: a pool of a fixed size, in n rounds on the driver.
+    A missing vector is at distance 0 of all. Choices are made among the top max(5 n, 100) by score: a pool of a fixed size, in n rounds on the driver.
     """
     pool = rows.orderBy(F.desc("score"), "id").limit(max(5 * n, 100)).collect()
     chosen: list[tuple[int, int]] = []
     near = {r.id: None for r in pool}
 
     def unit(v):
+        if v is None:
+            return None
         length = sum(x * x for x in v) ** 0.5
         return [x / length for x in v] if length else v
 
@@ -51,7 +53,7 @@ def farthest_first(rows: DataFrame, n: int, weight: float = 0.5) -> DataFrame:
         chosen.append((pick.id, len(chosen) + 1))
         del left[pick.id]
         for i in left:
-            d = 1 - sum(a * b for a, b in zip(units[i], units[pick.id]))
+            d = 1 - sum(a * b for a, b in zip(units[i], units[pick.id])) if units[i] and units[pick.id] else 0.0
             near[i] = d if near[i] is None else min(near[i], d)
     return rows.sparkSession.createDataFrame(chosen, "id long, rank long")
 

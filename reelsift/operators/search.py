@@ -56,6 +56,32 @@ def text_rank(index: DataFrame, terms: list[str], docs: int, mean_length: float,
     return rows.select("id", F.round(F.col("bm25") / (1 + F.col("bm25")), 6).alias("score"))
 
 
+def text_scores(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """T-02 without an index: BM25 of ``docs(id, text)`` that hold all terms, as score / (1 + score).
+
+    One scan of the texts counts each one's words and the wanted terms alone; figures of the corpus come from these counts.
+    """
+    wanted = sorted(set(terms))
+    is_ = lambda term: lambda w: w == term
+    words = F.filter(F.split(F.lower("text"), WORD), lambda w: w != "")
+    rows = docs.where("text is not null").select("id", words.alias("words"))
+    rows = rows.select("id", F.size("words").alias("length"), *[F.size(F.filter("words", is_(term))).alias(f"tf{i}") for i, term in enumerate(wanted)]).checkpoint()
+    tf = [F.col(f"tf{i}") for i in range(len(wanted))]
+    corpus = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *[F.count_if(x > 0).alias(f"df{i}") for i, x in enumerate(tf)])
+    part = lambda i, x: F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * x * (k1 + 1) / (x + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    hits = rows.where(reduce(lambda a, c: a & c, [x > 0 for x in tf], F.lit(True))).crossJoin(F.broadcast(corpus))
+    bm25 = reduce(lambda a, c: a + c, [part(i, x) for i, x in enumerate(tf)], F.lit(0.0))
+    return hits.select("id", bm25.alias("bm25")).select("id", F.round(F.col("bm25") / (1 + F.col("bm25")), 6).alias("score"))
+
+
+def paged(rows: DataFrame, order: list[Column], size: int = 24, offset: int = 0) -> DataFrame:
+    """P-18, P-20: a page of at most 1,000 rows, each with the total of all rows and whether more follow."""
+    size, offset = min(max(size, 1), 1000), max(offset, 0)
+    total = rows.agg(F.count("*").alias("total"))
+    page = rows.orderBy(*order).offset(offset).limit(size)
+    return page.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + size)
+
+
 def blended(lexical: DataFrame, vectors: DataFrame, query: list[float], weight: float = 0.5) -> DataFrame:
     """T-02, J-09: lexical score and similarity of the query's vector, of the same dimension, blended."""
     same = vectors.where(F.size("vector") == len(query))

@@ -358,12 +358,19 @@ def inherited_labels(spark, d):
     return catalog.inherit(p.where("id % 3 = 0").select("id", "emotion", "tags"), p.select("id", "cluster"))
 
 
+def _outline(text):
+    """Stands for a file by its lines but the middle one: files that differ there alone are probable moves."""
+    lines = F.split(text, "\n")
+    middle = F.floor(F.size(lines) / 2).cast("int")
+    return F.sha2(F.array_join(F.concat(F.slice(lines, 1, middle), F.slice(lines, middle + 2, F.size(lines))), "\n"), 256)
+
+
 def _scanned(spark, d):
-    x = t.table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"), F.sha2(F.substring("text", 1, 40), 256).alias("fingerprint"))
+    x = t.table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"), _outline(F.col("text")).alias("fingerprint"))
     return x.where("doc_id % 2 = 0").withColumn("path", F.concat(F.lit("/old/"), "doc_id")).withColumn("id", F.col("doc_id")), x.where("doc_id % 2 = 1").withColumn("path", F.concat(F.lit("/new/"), "doc_id"))
 
 
-@query("""WITH x AS (SELECT doc_id, sha256(text) AS h, sha256(substr(text, 1, 40)) AS f FROM documents WHERE text IS NOT NULL), c AS (SELECT * FROM x WHERE doc_id % 2 = 0), s AS (SELECT * FROM x WHERE doc_id % 2 = 1),
+@query("""WITH x AS (SELECT doc_id, sha256(text) AS h, sha256(array_to_string(list_concat(l[1 : len(l) // 2], l[len(l) // 2 + 2 :]), chr(10))) AS f FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)), c AS (SELECT * FROM x WHERE doc_id % 2 = 0), s AS (SELECT * FROM x WHERE doc_id % 2 = 1),
 e AS (SELECT c.doc_id AS id, s.doc_id AS n, 'exact' AS kind FROM c JOIN s ON c.h = s.h), p AS (SELECT c.doc_id AS id, s.doc_id AS n, 'probable' AS kind FROM c JOIN s ON c.f = s.f AND c.h <> s.h WHERE c.doc_id NOT IN (SELECT id FROM e)), a AS (SELECT * FROM e UNION ALL SELECT * FROM p)
 SELECT id, '/old/' || id AS old_path, '/new/' || n AS new_path, CASE WHEN count(*) OVER (PARTITION BY n) > 1 THEN 'conflict' ELSE kind END AS kind FROM a""")
 def relink_proposals(spark, d):
@@ -390,8 +397,7 @@ _POSTINGS = "w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(tex
 @query(f"WITH {_POSTINGS}, h AS (SELECT * FROM po WHERE term IN ('the', 'that')), f AS (SELECT term, count(*) AS df FROM h GROUP BY 1), k AS (SELECT count(*) AS n, avg(len(ws)) AS m FROM w WHERE ws IS NOT NULL), s AS (SELECT id, count(*) AS c, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m))) AS x FROM h JOIN f USING (term), k GROUP BY 1) SELECT id, round(x / (1 + x), 6) AS score FROM s WHERE c = 2")
 def text_search(spark, d):
     docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    n, mean = docs.where("text is not null").select(F.size(F.filter(F.split(F.lower("text"), search.WORD), lambda w: w != "")).alias("n")).agg(F.count("*"), F.avg("n")).first()
-    return search.text_rank(search.postings(docs), ["the", "that"], n, mean or 1.0)
+    return search.text_scores(docs, ["the", "that"])
 
 
 @query(f"WITH {_POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM po GROUP BY 1")
@@ -556,22 +562,36 @@ def json_props(spark, d):
     return t.table(spark, d, "events").select("event_id", X.strict_json(F.concat(F.lit("```json\n"), "props", F.lit("\n```")), "k long").k.alias("k"))
 
 
-def _annotations(spark, d, whole=False):
-    """Annotations of documents: from their beginnings, as the SQL of media_quality_gate has them, or the whole text as caption,
-    its lines as notes and the first of them as why."""
+def _annotations(spark, d):
+    """Annotations of documents: the whole text as caption, its lines as notes and the first of them as why."""
     n, lines = F.col("doc_id"), F.split("text", "\n")
-    caption, notes, why = (F.col("text"), lines, F.element_at(lines, 1)) if whole else (F.substring("text", 1, 40), F.array(F.substring("text", 1, 20), F.substring("text", 20, 20), F.lit("short")), F.substring("text", 1, 15))
-    return t.table(spark, d, "documents").select(n.alias("id"), caption.alias("caption"), F.element_at(F.array(*map(F.lit, ["joy", "Fear|anger", "boredom", " calm "])), (n % 4 + 1).cast("int")).alias("emotion"), F.when(n % 5 != 0, notes).alias("notes"), why.alias("why"), F.array("lang").alias("tags"), (F.col("n_chars") / 4000).alias("worth"), F.col("source").alias("reason"))
+    emotion = F.element_at(F.array(*map(F.lit, ["joy", "Awe|tension", "boredom", " Serenity "])), (n % 4 + 1).cast("int"))
+    why, reason = F.element_at(lines, 1), F.concat(F.lit("seen in "), "source")
+    rows = t.table(spark, d, "documents")
+    return rows.select(n.alias("id"), F.col("text").alias("caption"), emotion.alias("emotion"), F.when(n % 5 != 0, lines).alias("notes"), why.alias("why"), F.array("lang").alias("tags"), (F.col("n_chars") / 4000).alias("worth"), reason.alias("reason"))
 
 
-@query()
+_BAD = "(trim({x}, k.ws) = '' OR len(list_filter(k.marks, lambda m: contains(lower({x}), m))) > 0)"
+_CONSTANTS = "k AS (SELECT ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) AS ws, [" + ", ".join(f"'{p}'" for p in X.PLACEHOLDERS) + "] AS marks)"
+
+
+@query(f"""WITH {_CONSTANTS}, a AS (SELECT doc_id AS id, trim(coalesce(text, ''), ws) AS c, trim(coalesce(string_split(text, chr(10))[1], ''), ws) AS y, ['joy', 'Awe|tension', 'boredom', 'Serenity'][doc_id % 4 + 1] AS e,
+ CASE WHEN doc_id % 5 <> 0 AND text IS NOT NULL THEN list_transform(string_split(text, chr(10)), lambda x: trim(x, ws)) END AS n, n_chars / 4000 AS w FROM documents, k),
+f AS (SELECT id, {_BAD.format(x='c')} AS bc, length(c) AS lc, {_BAD.format(x='y')} AS bw, length(y) AS lw, e, n IS NULL AS nn, coalesce(len(list_filter(n, lambda x: {_BAD.format(x='x')})), 0) AS bn,
+ coalesce(len(list_filter(n, lambda x: length(x) < 8 AND NOT {_BAD.format(x='x')})), 0) AS sn, coalesce(len(list_filter(n, lambda x: length(x) >= 8 AND NOT {_BAD.format(x='x')})), 0) AS gn, w FROM a, k),
+g AS (SELECT concat_ws('; ', CASE WHEN bc THEN 'caption placeholder' END, CASE WHEN NOT bc AND lc < 8 THEN 'caption short' END, CASE WHEN contains(e, '|') THEN 'several emotions' END, CASE WHEN e = 'boredom' THEN 'unknown emotion' END,
+ CASE WHEN nn THEN 'no notes' END, CASE WHEN bn > 0 THEN 'note placeholder' END, CASE WHEN sn > 0 THEN 'note short' END, CASE WHEN gn < 2 THEN 'few notes' END, CASE WHEN bw THEN 'why placeholder' END,
+ CASE WHEN NOT bw AND lw < 12 THEN 'why short' END, CASE WHEN w < 0 OR w > 1 THEN 'worth range' END) AS errors FROM f)
+SELECT CASE WHEN errors = '' THEN 'passed' ELSE 'quality_failed' END AS status, errors, count(*) AS n FROM g GROUP BY 1, 2""")
 def frame_quality_gate(spark, d):
-    return quality.frame_gate(_annotations(spark, d, whole=True)).groupBy("status", "errors").agg(F.count("*").alias("n"))
+    return quality.frame_gate(_annotations(spark, d)).groupBy("status", "errors").agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT doc_id AS id, substr(text, 1, 40) AS c, CASE WHEN doc_id % 5 <> 0 THEN 3 ELSE 0 END AS notes, substr(text, 1, 15) AS why, n_chars / 4000 AS w, source AS r FROM documents)
-SELECT id, concat_ws(';', CASE WHEN coalesce(length(trim(c)), 0) < 8 THEN 'caption' END, CASE WHEN notes = 0 THEN 'notes' END, CASE WHEN coalesce(length(trim(why)), 0) < 12 THEN 'why' END, CASE WHEN w IS NULL OR w > 1 THEN 'worth' END, CASE WHEN coalesce(length(trim(r)), 0) < 8 THEN 'reason' END) AS errors,
- false AS ok FROM a""")
+@query("""WITH a AS (SELECT doc_id AS id, coalesce(length(trim(text)), 0) AS c, CASE WHEN doc_id % 5 <> 0 THEN coalesce(len(string_split(text, chr(10))), 0) ELSE 0 END AS n,
+ coalesce(length(trim(string_split(text, chr(10))[1])), 0) AS y, n_chars / 4000 AS w, length(trim('seen in ' || source)) AS r, lang FROM documents),
+e AS (SELECT id, concat_ws(';', CASE WHEN c < 8 THEN 'caption' END, CASE WHEN n NOT BETWEEN 2 AND 4 THEN 'notes' END, CASE WHEN y < 12 THEN 'why' END, CASE WHEN w IS NULL OR w NOT BETWEEN 0 AND 1 THEN 'worth' END,
+ CASE WHEN coalesce(r, 0) < 8 THEN 'reason' END) AS errors FROM a)
+SELECT id, errors, errors = '' AS ok FROM e""")
 def media_quality_gate(spark, d):
     return quality.media_gate(_annotations(spark, d))
 

@@ -100,10 +100,10 @@ def test_scalars(spark):
     one = spark.range(1)
     val = lambda c: one.select(c.alias("x")).first().x
     assert [val(X.worthiness(F.lit(v))) for v in ("0.4", "7", "Excellent!", "so bad", "??", None)] == [0.4, 1.0, 0.9, 0.15, 0.5, 0.5]
-    assert [val(X.canonical_emotion(F.lit(v))) for v in ("Joy", "boredom | Fear", "x", None)] == ["joy", "fear", "other", "other"]
-    assert val(X.placeholders(F.lit("  "))) == ["empty"] and val(X.placeholders(F.lit("A TODO here"))) == ["todo"]
+    assert [val(X.canonical_emotion(F.lit(v))) for v in ("Joy", "boredom | Dread", "x", None)] == ["joy", "dread", "other", "other"]
+    assert val(X.placeholders(F.lit("  "))) == ["empty"] and val(X.placeholders(F.lit("Describe what you actually SEE"))) == ["describe what you actually see"]
     assert tuple(val(X.clip_interval(F.lit("a@@@001_1500ms-2000ms.gif")))) == (1.5, 2.0) and tuple(val(X.clip_interval(F.lit("x.gif")))) == (0.0, 0.0)
-    assert val(X.film_name(F.lit("/m/Heat-01.mp4"))) == "Heat" and val(X.film_name(F.lit("/m/12-a.mp4"))) == "12-a"
+    assert val(X.film_name(F.lit("/m/Heat-01.mp4"))) == "Heat" and val(X.film_name(F.lit("/m/12-a.mp4"))) == "12-a" and val(X.film_name(F.lit("_abc_def.gif"))) == "_abc"
     assert val(X.hamming(X.hash_bits(F.lit("f" * 16)), X.hash_bits(F.lit("0" * 16)))) == 64 and val(X.hamming(X.hash_bits(F.lit("no")), F.lit(1).cast("long"))) == 64
     for raw in ('<think>x</think>```json\n{"a": 1}\n```', 'sure: {"a": 1} bye', "none"):
         got = val(X.strict_json(F.lit(raw), "a int"))
@@ -111,7 +111,7 @@ def test_scalars(spark):
 
 
 def test_gates(spark):
-    rows = [(1, "A calm lake at dawn", "calm", ["soft light here", "still water now"], "because it is quiet", 0.5), (2, "todo", "joy|fear", None, "x", 3.0)]
+    rows = [(1, "A calm lake at dawn", "awe", ["soft light here", "still water now"], "because it is quiet", 0.5), (2, "one word", "joy|dread", None, "x", 3.0)]
     got = {x.id: x for x in quality.frame_gate(spark.createDataFrame(rows, "id long, caption string, emotion string, notes array<string>, why string, worth double")).collect()}
     assert got[1].status == "passed" and got[2].status == "quality_failed" and "several emotions" in got[2].errors
     raw = [("s", '{"schema_version": 1, "stage": "s", "clip_count": 1, "clips": [{"clip_id": "a"}]}'), ("s", '{"schema_version": 2, "stage": "t", "clip_count": 3, "clips": [{"clip_id": "a"}, {"clip_id": "a"}]}'), ("s", "no")]
@@ -216,3 +216,32 @@ def test_promotion(spark):
     runs = spark.createDataFrame([(c, s, "completed") for c in "ab" for s in ("tune", "holdout")][:3], "config string, split string, status string")
     got = lab.promotion(spark.createDataFrame([("a",), ("b",)], "config string"), runs, spark.createDataFrame([("a",), ("b",)], "config string"), spark.createDataFrame([("b", 0.5)], "config string, value double"))
     assert {x.config: (x.reasons, x.promoted) for x in got.collect()} == {"a": ("", True), "b": ("no holdout run; exports incomplete", False)}
+
+
+def test_broken_objects_are_passed_over(spark):
+    raw = ['note {oops} {"k": 2} {"k": 3}', '<think>{"k": 9}</think> ```json\n{"k": 1}\n```', "} {", None, '{"a": {"k": 5}, "k": 6} tail', ""]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string").select("i", X.strict_json(F.col("raw"), "k int").k.alias("k")).collect()
+    assert {r.i: r.k for r in got} == {0: 2, 1: 1, 2: None, 3: None, 4: 6, 5: None}
+
+
+def test_missing_vectors_are_near_all(spark):
+    rows = spark.createDataFrame([(1, 0.9, [1.0, 0.0]), (2, 0.8, None), (3, 0.7, [0.0, 1.0])], "id long, score double, vector array<double>")
+    assert [r.id for r in review.farthest_first(rows, 3).orderBy("rank").collect()] == [1, 3, 2]
+
+
+def test_diverse_frames_by_rounds(spark):
+    import random
+
+    from reelsift.operators import library
+
+    r = random.Random(3)
+    rows = [(v, f, r.random(), (1 << r.randrange(40)) ^ (r.choice([0, (1 << 50) - 1]))) for v in range(4) for f in range(30)]
+    want = set()
+    for v in range(4):
+        chosen = []
+        for _, f, _, b in sorted((x for x in rows if x[0] == v), key=lambda x: (-x[2], x[1])):
+            if len(chosen) < 9 and all((b ^ c).bit_count() > 1 for _, c in chosen):
+                chosen.append((f, b))
+        want |= {(v, f, i + 1) for i, (f, _) in enumerate(chosen)}
+    got = library.diverse_frames(spark.createDataFrame(rows, "video int, frame long, score double, bits long"), 1)
+    assert {(x.video, x.frame, x["rank"]) for x in got.collect()} == want
