@@ -66,7 +66,11 @@ def token_directory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokens_round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """``write_tokens`` to the shared folder, then ``token_directory`` from the files."""
+    """``write_tokens`` to the shared folder, then ``token_directory`` from the files.
+
+    A null text counts as empty and has the end id alone; a null doc_id comes first; rows that repeat a doc_id have a row each;
+    an empty table gives an empty result; other columns are ignored.
+    """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer, end_id, chunk_bytes)

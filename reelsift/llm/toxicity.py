@@ -209,7 +209,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train
 
     A score depends on the text alone. Null and empty texts have no votes and get the score of such; a null doc_id counts as
     the empty text for held_out. Labels that are null, or of both kinds for a doc_id, count as missing, or as toxic. Without
-    labels of both kinds the score is the share of toxic ones for all. Repeated rows are scored each; an empty table gives an
+    labels of both kinds the score is the share of toxic ones for all, and without any it is 0.12. Repeated rows are scored each; an empty table gives an
     empty result; other columns are ignored.
     """
     model = fit(docs, labels, folds, max_train)
@@ -224,7 +224,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
-    """docs less those that the classifier finds toxic; all their columns."""
+    """docs less those that the classifier finds toxic; all their columns.
+
+    Null and empty texts get the score of a text without votes; rows that repeat are judged each; an empty table gives an empty
+    result. Without labels of both kinds the share of toxic ones decides for all, and without any nothing goes.
+    """
     model = fit(docs, labels, folds, max_train)
     columns = docs.columns
 

@@ -354,17 +354,59 @@ def test_empty_tables(spark):
     assert line_dedup.drop_boilerplate(docs).count() == 0
 
 
+def without_boilerplate(rows):
+    """Line dedup in plain Python over (doc_id, source, text)."""
+    total, pages = Counter(s for _, s, _ in rows), Counter()
+    for _, s, t in rows:
+        pages.update({(s, line.strip(" ")) for line in (t or "").split("\n") if line.strip(" ")})
+    bad = {k for k, n in pages.items() if n >= 2 and n > 0.1 * total[k[0]]}
+    return [(i, t and "\n".join(line for line in t.split("\n") if (s, line.strip(" ")) not in bad)) for i, s, t in rows]
+
+
 def test_pipeline_stages_take_effect(spark, sf):
     import corpus_pipeline
 
+    from test_near_copies import firsts
+
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     toxic = {r.doc_id for r in toxicity.score_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 1").collect()}
-    one = docs.where(~F.col("doc_id").isin(list(toxic) or [-1]))
-    two = corpus_pipeline.line_dedup(spark, one, sf)
-    three = simhash.simhash_components(two).where("doc_id = component_id").select("doc_id")
-    left = two.join(three, "doc_id")
-    bad = {r.doc_id for r in decontaminate.contaminated(left, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
-    want = {r.doc_id: r.text for r in left.collect() if r.doc_id not in bad}
+    one = [(r.doc_id, r.source, r.text) for r in docs.orderBy("doc_id").collect() if r.doc_id not in toxic]
+    two = without_boilerplate(one)
+    first = firsts(two)
+    three = [r for r in two if r[0] in first]
+    bad = {r.doc_id for r in decontaminate.contaminated(spark.createDataFrame(three, "doc_id long, text string"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    want = {i: t for i, t in three if i not in bad}
+    assert 0 < len(want) < len(three) < len(two) < docs.count()
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert set(got) == set(want)
-    assert all(got[i].ids == tokenizer().encode(t, add_special_tokens=False).ids for i, t in want.items())
+    assert all(got[i].ids == tokenizer().encode(t or "", add_special_tokens=False).ids for i, t in want.items())
+
+
+def test_ids_may_repeat_or_be_missing(spark, rows):
+    """Null and repeated doc_ids: every row has a result of its own, the same as with ids of their own."""
+    some = [(None, rows[12][1]), (None, None), (7, rows[20][1]), (7, rows[20][1]), (7, rows[21][1]), (9, "")]
+    docs = frame(spark, some)
+    count = lambda df: sorted((-1 if r.doc_id is None else r.doc_id) for r in df.collect())
+    ids = sorted(-1 if i is None else i for i, _ in some)
+    for result in (suffix_dedup.dedup_substrings(docs, n_batches=2), hmm.score_corpus(docs), simhash.simhash_components(docs), bpe.encode_corpus(docs), token_files.tokens_round_trip(docs)):
+        assert count(result) == ids
+    tokens = sorted(r.n_tokens for r in bpe.encode_corpus(docs).collect())
+    assert tokens == sorted(len(tokenizer().encode(t or "", add_special_tokens=False).ids) for _, t in some)
+    starts = sorted((r.start, r.n_tokens) for r in token_files.tokens_round_trip(docs).collect())
+    assert [s for s, _ in starts] == list(np.cumsum([0, *(n for _, n in starts)][:-1]))
+
+
+def test_texts_beyond_the_slices_of_kernels(spark):
+    """One text of several slices, among short ones."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefg") for _ in range(r.randint(1, 9))) for _ in range(5000)]
+    long = " ".join(r.choice(words) for _ in range(120_000))
+    rows = [(1, "a b c"), (2, long), (3, long[:300_000]), (4, None)]
+    got = {x.doc_id: x for x in suffix_dedup.dedup_substrings(frame(spark, rows), n_batches=2).collect()}
+    assert got[2].n_removed == 0 and got[3].n_removed == 300_000 and got[1].n_bytes == 5
+    ids = {x.doc_id: x.ids for x in bpe.encode_corpus(frame(spark, rows)).collect()}
+    assert ids[2] == tokenizer().encode(long, add_special_tokens=False).ids
+    scores = {x.doc_id: x for x in hmm.score_corpus(frame(spark, rows)).collect()}
+    assert scores[2].n_tokens == 120_001 and scores[2].score < 0
+    prints = {x.doc_id: x for x in simhash.simhash_components(frame(spark, rows)).collect()}
+    assert prints[4].fingerprint == "0" * 16 and prints[2].component_id in (2, 3) and len(prints) == 4
