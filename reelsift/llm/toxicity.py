@@ -173,7 +173,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX
     # Evidence in nats that a gram's share of toxic documents isn't the share of all; it must outweigh the number of grams tried.
     k, m, rate = F.col("toxic"), F.col("n"), toxic / n
     evidence = k * F.log(k / m / rate) + F.when(m > k, (m - k) * F.log((1 - k / m) / (1 - rate))).otherwise(0.0)
-    enough = float(np.log(max(1, mined.count()))) + 2
+    # Those on so few documents that even all of them toxic would not do are no trials.
+    tally = {r.n: r.c for r in mined.groupBy(F.least("n", F.lit(64)).alias("n")).agg(F.count("*").alias("c")).collect()}
+    for least in range(1, 65):
+        tried = sum(c for n, c in tally.items() if n >= least)
+        enough = float(np.log(max(1, tried))) + 2
+        if least * np.log(1 / rate) >= enough:
+            break
     lexicon = mined.where(k > 0.5 * m).withColumn("evidence", evidence).where(F.col("evidence") >= enough).select("gram").toArrow()
     lexicon = np.sort(lexicon.column("gram").to_numpy().view(np.uint64))
     width = len(lexicon) + len(PATTERNS)
