@@ -30,6 +30,10 @@ ENCODING = {
 }
 
 
+#: Shards whose totals one task sums up.
+SHARD_GROUP = 4096
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, chunk_bytes: int = 8 << 20) -> None:
     """Write doc_id, n_tokens and ids (array of int) of all whole texts to ``path``, a folder ``shard=N`` per range of doc_id,
     shards and the rows in them in ascending doc_id order. ``end_id`` follows each text; a null text is an empty one."""
@@ -54,12 +58,14 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_directory(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document.
 
-    Sums are taken within a shard and over the shards' totals, so no task sees all documents. Rows that share a doc_id come
+    Sums are taken within a shard, over the shards of a group and over the groups, so no task sees all documents or all shards. Rows that share a doc_id come
     in the order of n_tokens and ids_crc32; a null doc_id comes first. Empty files give an empty result.
     """
     rows = read_tokens(spark, path).mapInArrow(K.tidied(_crc), "shard int, doc_id long, n_tokens long, ids_crc32 long")
-    before = read_tokens(spark, path, ("n_tokens",)).groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = before.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+    shards = read_tokens(spark, path, ("n_tokens",)).groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("group", F.floor(F.col("shard") / SHARD_GROUP))
+    groups = shards.groupBy("group").agg(F.sum("n").alias("n")).select("group", (F.sum("n").over(Window.orderBy("group")) - F.col("n")).alias("earlier"))
+    upto = F.sum("n").over(Window.partitionBy("group").orderBy("shard"))
+    before = shards.withColumn("upto", upto).join(groups, "group").select("shard", (F.col("earlier") + F.col("upto") - F.col("n")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("within", within - F.col("n_tokens")).join(before, "shard")
     return rows.select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
