@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,20 +13,24 @@ def independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids of ``nodes(id)`` that a pass in order of priority keeps: each is kept unless a kept one comes before it on an edge.
 
     ``edges(id, other)`` point to the neighbours of higher priority. In each round, nodes with no undecided neighbour before
-    them are kept and drop those behind them; rounds end when all are decided. Results of a round are checkpointed.
+    them are kept and drop those behind them; rounds end when all are decided. A round writes what is still undecided and
+    what it has kept, no earlier choice again.
     """
     spark = nodes.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="spark-"))
     edges = edges.distinct().checkpoint()
-    state = nodes.select("id").distinct().join(edges.select("id").distinct(), "id", "left_anti").withColumn("kept", F.lit(True)).checkpoint()
-    open_ = edges.select("id").distinct().checkpoint()
-    while not open_.isEmpty():
-        known = edges.join(open_, "id", "left_semi").join(state.withColumnRenamed("id", "other"), "other", "left")
-        each = known.groupBy("id").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("near"), F.bool_and(F.col("kept").isNotNull()).alias("all"))
-        decided = each.where("near or all").select("id", (~F.col("near")).alias("kept")).checkpoint()
-        state = state.union(decided).checkpoint()
-        open_ = open_.join(decided, "id", "left_anti").checkpoint()
-    return state.where("kept").select("id")
+    left = edges.select("id").distinct().checkpoint()
+    first = nodes.select("id").distinct().join(left, "id", "left_anti").checkpoint()
+    kept = first
+    while not left.isEmpty():
+        gone = edges.join(first.withColumnRenamed("id", "other"), "other", "left_semi").select("id").distinct()
+        done = first.union(gone).checkpoint()
+        edges = edges.join(done, "id", "left_anti").join(done.withColumnRenamed("id", "other"), "other", "left_anti").select("id", "other").checkpoint()
+        left = left.join(done, "id", "left_anti").checkpoint()
+        first = left.join(edges.select("id").distinct(), "id", "left_anti").checkpoint()
+        kept = kept.union(first)
+    return kept
