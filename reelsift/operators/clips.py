@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelsift.operators.greedy import independent
@@ -39,22 +43,41 @@ def islands(frames: DataFrame, gap: float, threshold: float) -> DataFrame:
 def clips(frames: DataFrame, gap: float = 15.0, threshold: float = 0.3, longest: float = 24.0, peak: float = 0.0) -> DataFrame:
     """W-06: frames merged into clips of at most ``longest`` seconds (0: any); a weak clip becomes its best frame.
 
-    The cap runs along an island, as a fold over its frames in order.
+    The cap runs along a video's frames in order; a task carries only the clip that is open, so an island may be of any length.
+    Frames without a time are left out.
     """
-    rows = islands(frames, gap, threshold)
-    sorted_ = F.array_sort(F.collect_list(F.struct("ts", "frame", "score")))
-    groups = rows.groupBy("video", "island").agg(sorted_.alias("f"))
-    empty = F.struct(F.lit(0).alias("g"), F.lit(None).cast("double").alias("s"), F.array().cast("array<struct<g:int,ts:double,frame:bigint,score:double>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        over = a.s.isNull() | ((F.lit(longest) > 0) & (x.ts - a.s > longest))
-        g = F.when(over, a.g + 1).otherwise(a.g)
-        item = F.struct(g.alias("g"), x.ts.cast("double").alias("ts"), x.frame.cast("long").alias("frame"), x.score.cast("double").alias("score"))
-        return F.struct(g.cast("int").alias("g"), F.when(over, x.ts).otherwise(a.s).cast("double").alias("s"), F.concat(a.out, F.array(item.cast("struct<g:int,ts:double,frame:bigint,score:double>"))).alias("out"))
-
-    cut = groups.select("video", "island", F.explode(F.aggregate("f", empty, step, lambda a: a.out)).alias("x")).select("video", "island", "x.*")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, since, number = None, 0.0, 0
+        for rows in batches:
+            if rows.empty:
+                continue
+            ts, clip = rows["ts"].to_numpy(), np.empty(len(rows), np.int64)
+            place = list(zip(rows["part"], rows["island"]))
+            heads = [i for i in range(len(place)) if i == 0 or place[i] != place[i - 1]]
+            for i, j in zip(heads, [*heads[1:], len(place)]):
+                if place[i] != last:
+                    last, since, number = place[i], ts[i], number + 1
+                while i < j:
+                    end = i + int(np.searchsorted(ts[i:j], since + longest, "right")) if longest > 0 else j
+                    # Sums and differences round differently; the difference decides.
+                    while longest > 0 and end < j and ts[end] - since <= longest:
+                        end += 1
+                    while longest > 0 and end > i and ts[end - 1] - since > longest:
+                        end -= 1
+                    clip[i:end] = number
+                    if end < j:
+                        since, number = ts[end], number + 1
+                    i = end
+            yield rows.drop(columns="part").assign(g=clip)
+
+    # Video numbers may be of any type; equal ones are told apart by a hash, which sorts with them.
+    rows = islands(frames.where("ts is not null"), gap, threshold).select(F.xxhash64("video").alias("part"), "video", "island", F.col("ts").cast("double"), F.col("frame").cast("long"), F.col("score").cast("double"))
+    rows = rows.repartition("part").sortWithinPartitions("part", "video", "island", "ts", "frame")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "part")
+    cut_ = rows.mapInPandas(cut, f"{schema}, g long")
     best = F.max_by(F.struct("ts", "frame", "score"), F.struct("score", -F.col("ts"), -F.col("frame")))
-    out = cut.groupBy("video", "island", "g").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), best.alias("best"))
+    out = cut_.groupBy("video", "island", "g").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), best.alias("best"))
     weak = (F.col("n") > 1) & (F.col("best.score") < peak)
     return out.select("video", F.when(weak, F.col("best.ts")).otherwise(F.col("a")).alias("start"), F.when(weak, F.col("best.ts")).otherwise(F.col("b")).alias("end"), F.when(weak, 1).otherwise(F.col("n")).alias("frames"), F.col("best.ts").alias("peak"), F.col("best.score").alias("score"))
 

@@ -5,10 +5,20 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Have checkpoints go to spark.checkpoint.dir; where it is unset, to a folder of our own, in local mode alone."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="spark-"))
+
+
 def independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids of ``nodes(id)`` that a pass in order of priority keeps: each is kept unless a kept one comes before it on an edge.
 
@@ -16,12 +26,7 @@ def independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     them are kept and drop those behind them; rounds end when all are decided. A round writes what is still undecided and
     what it has kept, no earlier choice again.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    shared_checkpoints(nodes.sparkSession)
     edges = edges.distinct().checkpoint()
     left = edges.select("id").distinct().checkpoint()
     first = nodes.select("id").distinct().join(left, "id", "left_anti").checkpoint()

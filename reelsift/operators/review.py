@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelsift.functions.columns import cosine
+from reelsift.operators.greedy import independent, shared_checkpoints
 
 
 def queue(rows: DataFrame, limit: int, ratios: tuple[float, float] = (0.7, 0.2), seed: int = 7) -> DataFrame:
@@ -60,43 +61,40 @@ def farthest_first(rows: DataFrame, n: int, weight: float = 0.5) -> DataFrame:
 
 def narrative(rows: DataFrame, beats: DataFrame) -> DataFrame:
     """T-17: for each beat in order, the best candidate of its collection not used yet; candidates ``(collection, id, source,
-    quality, preference, vector)``, beats ``(collection, beat, vector)``. One group per collection."""
-
-    def assign(key, cands, wanted):
-        import numpy as np
-        import pandas as pd
-
-        def scaled(x):
-            lo, hi = x.min(), x.max()
-            return np.full(len(x), 0.5) if hi == lo else (x - lo) / (hi - lo)
-
-        cands = cands.sort_values("id").reset_index(drop=True)
-        out, used, seen = [], set(), set()
-        if len(cands):
-            v = np.stack(cands["vector"]).astype(float)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            q, p = scaled(cands["quality"].to_numpy(float)), scaled(cands["preference"].to_numpy(float))
-        for _, b in wanted.sort_values("beat").iterrows():
-            free = [i for i in range(len(cands)) if i not in used]
-            if not free:
-                out.append((key[0], b["beat"], None, "no candidate left"))
-                continue
-            t = np.asarray(b["vector"], float)
-            fit = v @ (t / max(np.linalg.norm(t), 1e-12))
-            total = [0.4 * fit[i] + 0.3 * q[i] + 0.2 * p[i] + 0.1 * (0.1 if cands["source"][i] not in seen else 0.0) for i in free]
-            i = free[int(np.argmax(np.round(total, 9)))]
-            used.add(i), seen.add(cands["source"][i])
-            out.append((key[0], b["beat"], int(cands["id"][i]), None))
-        return pd.DataFrame(out, columns=["collection", "beat", "id", "missing"])
-
-    return rows.groupBy("collection").cogroup(beats.groupBy("collection")).applyInPandas(assign, "collection long, beat long, id long, missing string")
+    quality, preference, vector)``, beats ``(collection, beat, vector)``.
+
+    A beat is a round: fits are taken for all candidates where they lie, and a collection's best is a grouped maximum, so no task
+    holds a collection. A missing vector, quality or preference counts as 0; of equal candidates the one of least id is taken.
+    """
+
+    def scaled(name: str) -> Column:
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        return F.coalesce(F.when(hi == lo, F.lit(0.5)).otherwise((F.col(name) - lo) / (hi - lo)), F.lit(0.0))
+
+    shared_checkpoints(rows.sparkSession)
+    span = rows.groupBy("collection").agg(*[f(x).alias(f"{x}_{n}") for x in ("quality", "preference") for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    left = rows.join(span, "collection").select("collection", "id", "source", "vector", (0.3 * scaled("quality") + 0.2 * scaled("preference")).alias("worth")).checkpoint()
+    order = beats.withColumn("turn", F.row_number().over(Window.partitionBy("collection").orderBy("beat"))).checkpoint()
+    used, out = None, None
+    for turn in range(1, (order.agg(F.max("turn")).first()[0] or 0) + 1):
+        wanted = order.where(F.col("turn") == turn).select("collection", "beat", F.col("vector").alias("wanted"))
+        free = left.join(wanted, "collection")
+        fresh = F.lit(0.1)
+        if used is not None:
+            free = free.join(used.select("collection", "id"), ["collection", "id"], "left_anti")
+            free = free.join(used.select("collection", "source", F.lit(True).alias("seen")).distinct(), ["collection", "source"], "left")
+            fresh = F.when(F.col("seen"), 0.0).otherwise(0.1)
+        total = F.round(0.4 * F.coalesce(cosine(F.col("vector"), F.col("wanted")), F.lit(0.0)) + F.col("worth") + 0.1 * fresh, 9)
+        best = free.select("collection", "id", "source", total.alias("total")).groupBy("collection").agg(F.max_by(F.struct("id", "source"), F.struct("total", -F.col("id"))).alias("x")).select("collection", "x.*").checkpoint()
+        used = best if used is None else used.union(best)
+        made = wanted.join(best, "collection", "left").select("collection", "beat", "id", F.when(F.col("id").isNull(), "no candidate left").alias("missing"))
+        out = made if out is None else out.union(made)
+    return out if out is not None else rows.sparkSession.createDataFrame([], "collection long, beat long, id long, missing string")
 
 
 def greedy_near(rows: DataFrame, threshold: float) -> DataFrame:
     """T-08, T-11: rows ``(id, grp, score, vector)`` of a group in order of score, each kept unless it is within the threshold of
     a kept one. Rows without a vector are kept. Pairs are made within a group, and choices in rounds."""
-    from reelsift.operators.greedy import independent
-
     a = rows.where("vector is not null").select("id", "grp", "score", "vector")
     b = a.select(F.col("id").alias("other"), "grp", F.col("score").alias("rival"), F.col("vector").alias("near"))
     edges = a.join(b, "grp").where(F.struct(-F.col("rival"), "other") < F.struct(-F.col("score"), "id")).where(cosine(F.col("vector"), F.col("near")) >= threshold).select("id", "other")

@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against plain Python, and the hand-made cases."""
 
+import math
 import random
 
 import numpy as np
@@ -58,6 +59,46 @@ def test_clip_merge(spark):
         assert got == merge(frames, *args)
 
 
+def test_clip_merge_carries_over_batches_and_videos(spark):
+    r = random.Random(8)
+    rows = [(v, float(i), i, r.choice([0.2, 0.5, 0.9])) for v in range(4) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, "video long, ts double, frame long, score double").repartition(3)
+        got = sorted((x.video, x.start, x.end, x.frames, x.score) for x in clips.clips(df, 15, 0.1, 24, 0).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted((v, *c) for v in range(4) for c in merge([(x[1], x[3]) for x in rows if x[0] == v], 15, 0.1, 24, 0))
+
+
+def test_narrative_takes_the_best_free_candidate_of_each_beat(spark):
+    r = random.Random(9)
+    vec = lambda: [r.uniform(-1, 1) for _ in range(4)]
+    rows = [(c, c * 100 + i, r.randrange(3), r.random(), r.choice([0.0, 0.5, 1.0]), vec()) for c, n in ((0, 40), (1, 2), (2, 5)) for i in range(n)]
+    beats = [(c, b, vec()) for c in (0, 1, 3) for b in range(4)]
+    got = review.narrative(
+        spark.createDataFrame(rows, "collection long, id long, source long, quality double, preference double, vector array<double>").repartition(3),
+        spark.createDataFrame(beats, "collection long, beat long, vector array<double>"),
+    ).collect()
+
+    def scaled(xs, x):
+        return 0.5 if max(xs) == min(xs) else (x - min(xs)) / (max(xs) - min(xs))
+
+    def fit(a, b):
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+    want, used, seen = {}, set(), set()
+    for c, b, v in beats:
+        all_ = [x for x in rows if x[0] == c]
+        total = lambda x: 0.4 * fit(x[5], v) + 0.3 * scaled([y[3] for y in all_], x[3]) + 0.2 * scaled([y[4] for y in all_], x[4]) + (0 if (c, x[2]) in seen else 0.01)  # noqa: E731, B023
+        best = max((x for x in all_ if x[1] not in used), key=total, default=None)
+        want[c, b] = best and best[1]
+        if best:
+            used.add(best[1]), seen.add((c, best[2]))
+    assert {(x.collection, x.beat): x.id for x in got} == want
+    assert all((x.id is None) == (x.missing is not None) for x in got)
+
+
 def test_temporal_dedup(spark):
     r = random.Random(4)
     rows = [(i, i % 3, float(r.randrange(300)), r.choice([0.1, 0.5, 0.9])) for i in range(120)]
