@@ -157,3 +157,13 @@ def blend(parts: list[tuple[Column, float]]) -> Column:
     if total <= 0 or any(w < 0 for _, w in parts):
         raise ValueError("weights must not be negative and must have a positive sum")
     return reduce(lambda a, b: a + b, (c * (w / total) for c, w in parts))
+
+
+def min_max(value: Column, least: Column, most: Column) -> Column:
+    """X-16: the value's place between the pool's least and greatest, one half where they are equal; null counts as 0."""
+    return F.coalesce(F.when(most - least < 1e-12, F.lit(0.5)).otherwise((value - least) / (most - least)), F.lit(0.0))
+
+
+def ids_hash(ids: Column) -> Column:
+    """A-24: sha256 of the sorted ids as a JSON list, in a row that holds them."""
+    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(ids), lambda i: F.concat(F.lit('"'), i.cast("string"), F.lit('"'))), ", "), F.lit("]")), 256)

@@ -6,6 +6,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelsift.operators.greedy import shared_checkpoints
+
 
 def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:
     """A-26: mean score, share of positives and count in equal bins of [0, 1], with the empty ones."""
@@ -83,18 +85,26 @@ def at_top(ranked: DataFrame, judged: DataFrame, k: int = 20) -> DataFrame:
     return hits.crossJoin(liked).select(F.round(F.when(F.col("all") > 0, F.col("l") / F.col("all")).otherwise(0.0), 6).alias("like_at_k"), F.round(F.col("d") / k, 6).alias("dislike_at_k"))
 
 
-def win_rate(rows: DataFrame, judged: DataFrame) -> DataFrame:
-    """A-34: share of liked rows that rank higher by ``preference`` than by ``base``. A rank is 1 and the rows of better score,
-    counted over distinct scores in ranges, so that no window holds all rows."""
+def global_rank(rows: DataFrame, score: str, id_: str = "id", name: str = "rank") -> DataFrame:
+    """W-04: rows with their rank among all by score, best first, equal scores by id; a null score comes last.
 
-    def ranks(score: str, name: str) -> DataFrame:
-        b = F.floor(F.col(score) * 256)
-        by = rows.withColumn("b", b)
-        above = by.groupBy("b").agg(F.count("*").alias("c")).withColumn("above", F.sum("c").over(Window.orderBy(F.desc("b"))) - F.col("c")).select("b", "above")
-        return by.withColumn("w", F.row_number().over(Window.partitionBy("b").orderBy(F.desc(score), "id"))).join(above, "b").select("id", (F.col("w") + F.col("above")).alias(name))
+    Rows are dealt out in ranges of score and id, ranked within their range and behind the ranges before: ties are split like
+    the rest, and one window spans the ranges alone. The ranges are written, so that all that follows sees the same ones.
+    """
+    shared_checkpoints(rows.sparkSession)
+    order = (F.desc_nulls_last(score), F.col(id_))
+    dealt = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__at", inside).join(F.broadcast(before), "__range").select(*rows.columns, (F.col("__at") + F.col("__before")).cast("long").alias(name))
 
+
+def win_rate(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """A-34: share of liked rows that rank higher by ``preference`` than by ``base``, among all rows."""
     liked = judged.where("rating = 'like'").select("id")
-    both = liked.join(ranks("base", "r1"), "id").join(ranks("preference", "r2"), "id")
+    ranked = lambda score, name: global_rank(rows.select("id", score), score, name=name).select("id", name)
+    both = liked.join(ranked("base", "r1"), "id").join(ranked("preference", "r2"), "id")
     return both.agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg((F.col("r2") < F.col("r1")).cast("double")), F.lit(0.0)), 6).alias("win_rate"))
 
 

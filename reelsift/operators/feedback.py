@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelsift.operators.digest import digests
+
 RATINGS = ["like", "dislike", "neutral", "skip", "quality_reject", "favorite"]
 #: The candidate status that a rating sets, and the weight of a rating in a profile.
 STATUS = {"like": "liked", "dislike": "disliked", "neutral": "reviewed", "quality_reject": "rejected"}
@@ -47,14 +49,34 @@ def profile_events(events: DataFrame, mode: str = "resolved") -> DataFrame:
     return latest(kept.where(F.col("rating").isin("like", "dislike", "favorite")))
 
 
-def with_status(events: DataFrame, start: str = "candidate") -> DataFrame:
-    """W-03, W-16: status of the target after each event, and before it."""
+def with_status(events: DataFrame, start: Column | str = "candidate") -> DataFrame:
+    """W-03, W-16: status of the target after each event, and before it; ``start`` is its status before all, or a column of it."""
     w = Window.partitionBy("target_id").orderBy("created_at", "event_id")
     sets = events.withColumn("set", chosen(F.col("rating"), STATUS))
     sets = sets.withColumn("status", F.coalesce(F.last("set", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(start)))
     return sets.withColumn("previous_status", F.coalesce(F.last("set", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(start))).drop("set")
 
 
+def record(incoming: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S-18: events to append, with the status of the target before each; refused ones, of an unknown or null rating; and the
+    candidates ``(id, status)`` whose status changes. An unknown target has no status before its first rating that sets one."""
+    good, bad = expect(incoming, "rating", RATINGS)
+    known = candidates.select(F.col("id").alias("target_id"), F.col("status").alias("known"))
+    rows = with_status(good.join(known, "target_id", "left"), F.col("known"))
+    new = rows.withColumns({"event_kind": F.lit("feedback"), "supersedes_event_id": F.lit(None).cast("string")})
+    last = latest(rows.where(F.col("rating").isin(list(STATUS)) & F.col("known").isNotNull()))
+    changed = last.where(F.col("status") != F.col("known")).select(F.col("target_id").alias("id"), "status")
+    return new.drop("known", "status"), bad, changed
+
+
+def until(events: DataFrame, mark) -> tuple[DataFrame, DataFrame]:
+    """Z-04: the events up to a watermark in event time, which a profile may learn from, and the later ones to hold it against.
+
+    The watermark is a snapshot's, a value or a column of literals, not a stream's. An event without a time is in neither."""
+    at = F.col("created_at")
+    return events.where(at <= mark), events.where(at > mark)
+
+
 def corrections(events: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S-19: new events for corrections ``(event_id, rating, note, created_at)`` and those refused with a reason.
 
@@ -106,6 +128,29 @@ def gates(events: DataFrame) -> DataFrame:
     return row.select("effective", "positive", "negative", "sources", "max_share", "watermark", F.array_join(reasons, "; ").alias("reasons"), (F.size(reasons) == 0).alias("ready"))
 
 
+def vector_gates(events: DataFrame, vectors: DataFrame, model: str, dim: int) -> DataFrame:
+    """A-15: of the profile's events, targets with a vector of ``vectors(id, model, dim)``, and the reasons against a build: no
+    vectors at all, another model or dimension than wanted, or targets without a vector."""
+    fits = (F.col("model") == model) & (F.col("dim") == dim)
+    found = vectors.agg(F.count("*").alias("vectors"), F.coalesce(F.bool_and(F.col("model") == model), F.lit(False)).alias("model_ok"), F.coalesce(F.bool_and(F.col("dim") == dim), F.lit(False)).alias("dim_ok"))
+    targets = events.select(F.col("target_id").alias("id")).distinct()
+    covered = targets.join(vectors.where(fits).select("id"), "id", "left_semi").agg(F.count("*").alias("covered"))
+    row = targets.agg(F.count("*").alias("targets")).crossJoin(F.broadcast(covered)).crossJoin(F.broadcast(found))
+    none, both = F.col("vectors") == 0, F.col("model_ok") & F.col("dim_ok")
+    why = F.array(
+        F.when(none, F.lit("no vectors")), F.when(~none & ~F.col("model_ok"), F.lit("another model")), F.when(~none & ~F.col("dim_ok"), F.lit("another dimension")),
+        F.when(both & (F.col("covered") < F.col("targets")), F.lit("targets without a vector")),
+    )
+    return row.select("targets", F.when(both, F.col("covered")).otherwise(0).cast("long").alias("covered"), F.array_join(F.array_compact(why), "; ").alias("vector_reasons"))
+
+
+def profile_preview(events: DataFrame, vectors: DataFrame, model: str, dim: int) -> DataFrame:
+    """A-15: whether a build on the profile's events would pass: the gates on counts and those on vectors in one row."""
+    row = gates(events).crossJoin(F.broadcast(vector_gates(events, vectors, model, dim)))
+    reasons = F.concat_ws("; ", F.nullif("reasons", F.lit("")), F.nullif("vector_reasons", F.lit("")))
+    return row.withColumn("reasons", reasons).withColumn("ready", F.col("reasons") == "").drop("vector_reasons")
+
+
 def weighted(events: DataFrame, half_life_days: float = 30.0, recency: bool = True) -> DataFrame:
     """A-18: each event's weight: by rating, halved each half-life before the last event."""
     mark = events.agg(F.max("created_at").alias("mark"))
@@ -121,7 +166,8 @@ def tag_weights(tags: DataFrame) -> DataFrame:
 
 
 def profile_version(events: DataFrame, model: str, dim: int, config: str) -> DataFrame:
-    """A-23: an id from model, dimension, watermark, targets and settings. Targets are hashed in buckets, so that no row holds them all."""
-    each = events.groupBy(F.pmod(F.xxhash64("target_id"), F.lit(64)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.col("target_id").cast("string"))), ","), 256).alias("h"), F.max("created_at").alias("t"))
-    all_ = each.agg(F.max("t").alias("t"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x.h), ",").alias("h"))
-    return all_.select(F.concat(F.lit("profile_"), F.substring(F.sha2(F.concat_ws("|", F.lit(model), F.lit(str(dim)), F.unix_micros("t").cast("string"), "h", F.lit(config)), 256), 1, 16)).alias("profile_version"))
+    """A-23: an id from model, dimension, watermark, targets and settings. The targets enter as one digest of them all (``digests``)."""
+    targets = digests(events.select("target_id").distinct(), ["target_id"])
+    row = targets.crossJoin(F.broadcast(events.agg(F.max("created_at").alias("t"))))
+    parts = F.concat_ws("|", F.lit(model), F.lit(str(dim)), F.unix_micros("t").cast("string"), "digest", F.lit(config))
+    return row.select(F.concat(F.lit("profile_"), F.substring(F.sha2(parts, 256), 1, 16)).alias("profile_version"))

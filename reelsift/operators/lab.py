@@ -64,7 +64,7 @@ def split(items: DataFrame, seed: int = 17, tune: float = 0.7) -> DataFrame:
 
 
 def reveal(pairs: DataFrame, judgments: DataFrame) -> DataFrame:
-    """A-42, J-17, J-18: wins of each run, ties and rejects of sessions whose pairs are all judged."""
+    """A-42, J-18: wins of each run, ties and rejects of sessions whose pairs are all judged."""
     rows = pairs.join(judgments, ["session", "pair_index"], "left")
     a = ((F.col("choice") == "left") & F.col("left_is_a")) | ((F.col("choice") == "right") & ~F.col("left_is_a"))
     b = ((F.col("choice") == "right") & F.col("left_is_a")) | ((F.col("choice") == "left") & ~F.col("left_is_a"))
@@ -72,6 +72,13 @@ def reveal(pairs: DataFrame, judgments: DataFrame) -> DataFrame:
     return out.where("judged = pairs")
 
 
+def next_pairs(pairs: DataFrame, judgments: DataFrame) -> DataFrame:
+    """J-17: the first pair of each session that no judgment names; sessions that are through have none."""
+    rest = [c for c in pairs.columns if c not in ("session", "pair_index")]
+    left = pairs.join(judgments.select("session", "pair_index"), ["session", "pair_index"], "left_anti")
+    return left.groupBy("session").agg(F.min("pair_index").alias("pair_index"), *(F.min_by(c, "pair_index").alias(c) for c in rest))
+
+
 def promotion(configs: DataFrame, runs: DataFrame, sessions: DataFrame, exports: DataFrame) -> DataFrame:
     """A-43: for each config, the reasons against promotion; none recorded counts as full integrity."""
     done = lambda s, name: runs.where(f"split = '{s}' and status = 'completed'").select("config").distinct().withColumn(name, F.lit(True))
@@ -86,6 +93,26 @@ def history(log: DataFrame, key: str = "config") -> DataFrame:
     return log.withColumn("previous", F.lag(key).over(w)).withColumn("current", F.lead(key).over(w).isNull())
 
 
+def rollback_targets(log: DataFrame, key: str = "config") -> DataFrame:
+    """W-14: for each slot of a log ``(slot, id, at, config, action)`` the current config and the one that a rollback gives back,
+    which is that of the latest ``promote`` of another config; slots without one can't be rolled back and are left out."""
+    now = log.groupBy("slot").agg(F.max_by(key, F.struct("at", "id")).alias("current"))
+    earlier = log.where("action = 'promote'").join(now, "slot").where(F.col(key) != F.col("current"))
+    return earlier.groupBy("slot", "current").agg(F.max_by(key, F.struct("at", "id")).alias("target"))
+
+
+def publish(log: DataFrame, wanted: DataFrame, builds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """W-13: rows to append to a log ``(slot, version, at)`` for publications or rollbacks ``wanted`` of the same columns, each with
+    the version that it follows in its slot, and those refused: versions without a build, or whose build is not completed."""
+    state = builds.groupBy("version").agg(F.max("status").alias("state"), F.bool_or(F.col("status") == "completed").alias("done"))
+    rows = wanted.select("slot", "version", "at").join(state, "version", "left")
+    fine = rows.where("done").select("slot", "version", "at", F.lit(True).alias("new"))
+    w = Window.partitionBy("slot").orderBy("at", "new", "version")
+    both = log.select("slot", "version", "at", F.lit(False).alias("new")).union(fine)
+    appended = both.withColumn("previous", F.lag("version").over(w)).where("new").select("slot", "version", "at", "previous")
+    return appended, rows.where("not coalesce(done, false)").select("slot", "version", "at", F.when(F.col("state").isNull(), "no build").otherwise("not completed").alias("reason"))
+
+
 def next_versions(current: DataFrame, refreshed: DataFrame) -> DataFrame:
     """W-15: ranked items of refreshed collections as new versions; frozen collections are left out."""
     last = current.groupBy("collection").agg(F.max("version").alias("v"), F.bool_or("frozen").alias("frozen"))
@@ -115,3 +142,35 @@ def audit(stages: DataFrame, files: DataFrame, manifest: DataFrame) -> DataFrame
     rows = stages.join(f, "clip", "left").join(m, "clip", "left")
     fault = F.when(~F.col("status").isin("succeeded", "failed", "cancelled"), "open").when(F.col("status") != "succeeded", None).when(F.coalesce("files", F.lit(0)) != 1, "files").when(F.coalesce("rows", F.lit(0)) != 1, "manifest").when(F.col("f") != F.col("m"), "digest")
     return rows.withColumn("fault", fault).where("fault is not null").select("clip", "fault")
+
+
+#: The statuses of a clip's stage that are final, and those of a job that is under way.
+FINAL = ["succeeded", "failed", "cancelled", "needs_attention"]
+ACTIVE = ["pending", "running", "leased", "retry_wait"]
+
+
+def clip_outcomes(stages: DataFrame) -> DataFrame:
+    """A-51: clips of each video in each final status; stages that are no clip's or not through don't count."""
+    ended = stages.where((F.col("stage") == "gif_clip") & F.col("status").isin(FINAL))
+    return ended.groupBy("video").agg(*(F.count_if(F.col("status") == s).alias(s) for s in FINAL))
+
+
+def job_counts(jobs: DataFrame) -> DataFrame:
+    """A-51: one row: jobs ``(status)`` in all, under way, and in each status that is told."""
+    told = ["pending", "succeeded", "needs_attention", "cancelled"]
+    return jobs.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin(ACTIVE)).alias("active"), *(F.count_if(F.col("status") == s).alias(s) for s in told))
+
+
+def severity_counts(items: DataFrame) -> DataFrame:
+    """A-51: one row: items of the inbox of each severity; one without is information."""
+    kind = F.coalesce("severity", F.lit("info"))
+    return items.agg(*(F.count_if(kind == s).alias(s) for s in ("error", "warning", "info")))
+
+
+def config_snapshots(settings: DataFrame) -> DataFrame:
+    """S-17: of each config's ``(config, key, value)``, texts all, its JSON by sorted keys and that one's sha256 as id. Of a key that
+    occurs twice the greatest value counts; null values stay as null."""
+    one = settings.groupBy("config", "key").agg(F.max("value").alias("value"))
+    pairs = F.array_sort(F.collect_list(F.struct("key", "value")))
+    text = F.to_json(F.map_from_entries(pairs), {"ignoreNullFields": "false"})
+    return one.groupBy("config").agg(text.alias("settings")).select("config", F.sha2("settings", 256).alias("config_id"), "settings")

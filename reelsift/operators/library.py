@@ -76,6 +76,11 @@ def shown_status(candidates: DataFrame, favorites: DataFrame) -> DataFrame:
     return rows.withColumn("shown", F.when(F.col("favorite"), "favorited").otherwise(F.col("status"))).withColumn("path", F.coalesce("preview_path", "artifact_path")).drop("favorite")
 
 
+def status_counts(candidates: DataFrame, favorites: DataFrame) -> DataFrame:
+    """A-03: candidates of each status as shown."""
+    return shown_status(candidates, favorites).groupBy(F.col("shown").alias("status")).agg(F.count("*").alias("n"))
+
+
 def candidate_list(candidates: DataFrame, favorites: DataFrame, status: str | None = None, folder: str | None = None, limit: int = 100) -> DataFrame:
     """P-07: a status view, newest first; the view of ``candidate`` has no favorites. ``folder`` is a prefix of the artifact's path."""
     rows = shown_status(candidates, favorites)

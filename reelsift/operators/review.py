@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelsift.functions.columns import cosine
-from reelsift.operators.greedy import independent, shared_checkpoints
+from reelsift.functions.columns import cosine, min_max
+from reelsift.operators.greedy import shared_checkpoints
 
 
 def queue(rows: DataFrame, limit: int, ratios: tuple[float, float] = (0.7, 0.2), seed: int = 7) -> DataFrame:
@@ -68,8 +72,7 @@ def narrative(rows: DataFrame, beats: DataFrame) -> DataFrame:
     """
 
     def scaled(name: str) -> Column:
-        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        return F.coalesce(F.when(hi == lo, F.lit(0.5)).otherwise((F.col(name) - lo) / (hi - lo)), F.lit(0.0))
+        return min_max(F.col(name), F.col(f"{name}_lo"), F.col(f"{name}_hi"))
 
     shared_checkpoints(rows.sparkSession)
     span = rows.groupBy("collection").agg(*[f(x).alias(f"{x}_{n}") for x in ("quality", "preference") for f, n in ((F.min, "lo"), (F.max, "hi"))])
@@ -92,13 +95,53 @@ def narrative(rows: DataFrame, beats: DataFrame) -> DataFrame:
     return out if out is not None else rows.sparkSession.createDataFrame([], "collection long, beat long, id long, missing string")
 
 
+def near_keepers(rows: DataFrame, threshold: float, batch: int = 64) -> DataFrame:
+    """T-08: for each of ``rows(id, grp, score, vector)``, each id once, the keeper that a pass through its group in order of
+    score takes it for: itself, or the first kept row before it of a cosine of at least the threshold, with that ``similarity``.
+    Rows without a vector keep themselves and stand for no other; a null score or group is one like any other.
+
+    A round takes the ``batch`` best open rows of every group, chooses among them in order, and closes what is near one chosen:
+    a task holds a batch of a group, and rows meet the few chosen ones, not each other. All that is chosen in a round comes
+    before all that is chosen later, so the first match is the first keeper.
+    """
+    shared_checkpoints(rows.sparkSession)
+    open_ = rows.where("vector is not null").select("id", "grp", "score", F.transform("vector", lambda x: x.cast("double")).alias("vector")).checkpoint()
+    out = rows.where("vector is null").select("id", F.col("id").alias("keeper"), F.lit(None).cast("double").alias("similarity"))
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("turn")
+        kept: list[int] = []
+        units = []
+        for i, v in enumerate(frame["vector"]):
+            length = math.sqrt(sum(x * x for x in v))
+            u = np.asarray(v) / length if length else np.zeros(len(v))
+            if all(float(u @ w) < threshold for w in units):
+                kept.append(i)
+                units.append(u)
+        return frame.iloc[kept][["id", "grp", "turn", "vector"]]
+
+    order = Window.partitionBy("grp").orderBy(F.desc("score"), "id")
+    while not open_.isEmpty():
+        first = open_.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= batch).select("id", "grp", "turn", "vector")
+        kept = first.groupBy("grp").applyInPandas(choose, first.schema).checkpoint()
+        chosen = kept.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "vector"))).alias("chosen"))
+        rest = open_.join(kept.select("id"), "id", "left_anti").alias("r").join(chosen.alias("c"), F.col("r.grp").eqNullSafe(F.col("c.grp"))).select("r.*", "chosen")
+        near = F.transform("chosen", lambda k: F.struct(k.id.alias("id"), cosine(F.col("vector"), k.vector).alias("s")))
+        rest = rest.withColumn("hit", F.try_element_at(F.filter(near, lambda k: k.s >= threshold), F.lit(1))).drop("chosen").checkpoint()
+        out = out.union(kept.select("id", F.col("id").alias("keeper"), F.lit(None).cast("double").alias("similarity")))
+        out = out.union(rest.where("hit is not null").select("id", F.col("hit.id").alias("keeper"), F.col("hit.s").alias("similarity")))
+        open_ = rest.where("hit is null").drop("hit")
+    return out
+
+
+def duplicate_groups(keepers: DataFrame) -> DataFrame:
+    """T-08: of each keeper that stands for others, their number and their greatest similarity to it."""
+    return keepers.where("id <> keeper").groupBy("keeper").agg(F.count("*").alias("duplicates"), F.max("similarity").alias("max_similarity"))
+
+
 def greedy_near(rows: DataFrame, threshold: float) -> DataFrame:
-    """T-08, T-11: rows ``(id, grp, score, vector)`` of a group in order of score, each kept unless it is within the threshold of
-    a kept one. Rows without a vector are kept. Pairs are made within a group, and choices in rounds."""
-    a = rows.where("vector is not null").select("id", "grp", "score", "vector")
-    b = a.select(F.col("id").alias("other"), "grp", F.col("score").alias("rival"), F.col("vector").alias("near"))
-    edges = a.join(b, "grp").where(F.struct(-F.col("rival"), "other") < F.struct(-F.col("score"), "id")).where(cosine(F.col("vector"), F.col("near")) >= threshold).select("id", "other")
-    return rows.join(independent(rows.select("id"), edges), "id", "left_semi")
+    """T-08: the rows that ``near_keepers`` keeps."""
+    return rows.join(near_keepers(rows, threshold).where("id = keeper").select("id"), "id", "left_semi")
 
 
 def even_stride(frames: DataFrame, n: int) -> DataFrame:

@@ -28,12 +28,13 @@ def diversity(rows: DataFrame, keys: list[str], vector: str = "vector") -> DataF
     return n.join(total, keys).select(*keys, "n", F.round(F.when(F.col("n") < 2, 0.0).otherwise(1 - (F.col("all") - F.col("own")) / (F.col("n") * (F.col("n") - 1))), 6).alias("diversity"))
 
 
-def neighbours(queries: DataFrame, index: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+def neighbours(queries: DataFrame, index: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """J-08, T-07: the k nearest of ``index(id, vector)`` by cosine for each of ``queries(query_id, vector)``, itself excluded.
 
     A stated query set against all rows in blocks: the index is dealt out in blocks, the queries go to each, and each block
-    keeps its own best k per query before the last ranking.
+    keeps its own best k per query before the last ranking. There are 16 blocks at least, and one for each 50,000 rows.
     """
+    blocks = blocks or max(16, index.count() // 50_000)
     i = index.select(F.col("id"), unit(F.col("vector")).alias("iv"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
     q = queries.select("query_id", unit(F.col("vector")).alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("b"))
     scored = q.join(i, "b").where(F.col("query_id") != F.col("id")).select("query_id", "id", "b", F.round(dot(F.col("qv"), F.col("iv")), 6).alias("similarity"))
@@ -47,3 +48,16 @@ def health(candidates: DataFrame, vectors: DataFrame, excluded: DataFrame, dim:
     have = vectors.where(F.size("vector") == dim).select("id").distinct()
     marked = candidates.select("id").distinct().join(have.withColumn("have", F.lit(1)), "id", "left").join(excluded.select("id").distinct().withColumn("out", F.lit(1)), "id", "left")
     return marked.agg(F.count("*").alias("total"), F.count("have").alias("available"), F.count("out").alias("excluded"), F.count_if(F.col("have").isNull() & F.col("out").isNull()).alias("missing"))
+
+
+def index_health(candidates: DataFrame, indexed: DataFrame, vectors: DataFrame, model: str, dim: int) -> DataFrame:
+    """A-13: one row: candidates, indexed ones, those with a vector of the model and dimension, those without, whether the index
+    is complete, and what is missing. No candidates are a complete library."""
+    total = candidates.agg(F.count("*").alias("total"))
+    listed = indexed.agg(F.count("*").alias("indexed"))
+    available = vectors.where((F.col("model") == model) & (F.col("dim") == dim)).agg(F.count_distinct("id").alias("available"))
+    row = total.crossJoin(F.broadcast(listed)).crossJoin(F.broadcast(available))
+    n, short = F.col("total"), lambda c, words: F.when(F.col(c) < F.col("total"), F.concat(F.lit(words), F.col(c).cast("string"), F.lit(" of "), F.col("total").cast("string")))
+    complete = (n == 0) | ((F.col("indexed") >= n) & (F.col("available") >= n))
+    diagnosis = F.when(complete, "complete").otherwise(F.concat_ws("; ", short("indexed", "indexed "), short("available", "with vectors ")))
+    return row.select("total", "indexed", "available", (n - F.col("available")).alias("missing"), complete.alias("complete"), diagnosis.alias("diagnosis"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelsift.functions import columns as X
-from reelsift.operators import catalog, clips, evaluate, explain, feedback, lab, lineage, quality, review, search
+from reelsift.operators import catalog, clips, evaluate, explain, feedback, lab, library, lineage, quality, review, search
 from reelsift.operators import rerank as rr
 from reelsift.operators import vectors as vec
 from reelsift.plans import tables as t
@@ -109,11 +109,6 @@ def enum_rejects(spark, d):
     return feedback.expect(t.table(spark, d, "events"), "event_type", ["click", "view", "purchase"])[1].groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
-def profile_version(spark, d):
-    return feedback.profile_version(feedback.profile_events(t.events(spark, d)), "model", 64, "{}")
-
-
 # Profile and reranking ----------------------------------------------------------------------------------------------
 
 _PROFILE = f"""{t.EVENTS}, {t.CANDIDATES},
@@ -153,7 +148,7 @@ r0 AS (SELECT c.id, c.base, c.key, c.vector IS NULL AS novec, {_COS.format(a="v.
 r AS (SELECT id, base, key, novec, CASE WHEN NOT novec THEN gl END AS gl, CASE WHEN NOT novec THEN di END AS di, CASE WHEN NOT novec AND has THEN sl END AS sl FROM r0)
 SELECT id, round(base, 6) AS base, round(gl, 6) AS global_like, round(sl, 6) AS scenario_like, round(di, 6) AS dislike,
  round(CASE WHEN novec THEN NULL ELSE (0.25 * (gl + 1) / 2 + coalesce(0.15 * (sl + 1) / 2, 0) + 0.2 * (1 - di) / 2) / (0.45 + CASE WHEN sl IS NULL THEN 0 ELSE 0.15 END) END, 6) AS profile_score,
- round(CASE WHEN novec THEN base ELSE greatest(0, least(1, (0.55 * base + 0.25 * gl + coalesce(0.15 * sl, 0)) * 0.95 / (0.8 + CASE WHEN sl IS NULL THEN 0 ELSE 0.15 END) - 0.2 * di)) END, 6) AS final_score,
+ round(CASE WHEN novec THEN base ELSE greatest(0, least(1, (0.55 * base + 0.25 * gl + coalesce(0.15 * sl, 0)) / (0.8 + CASE WHEN sl IS NULL THEN 0 ELSE 0.15 END) - 0.2 * di)) END, 6) AS final_score,
  concat_ws('; ', CASE WHEN novec THEN 'no vector' END, CASE WHEN key IS NULL THEN 'no keys' WHEN sl IS NULL THEN 'no scenario' END) AS reasons FROM r""")
 def feedback_rerank(spark, d):
     g, s = _profile(spark, d)
@@ -431,8 +426,7 @@ def keyset_page(spark, d):
 @query("SELECT CASE WHEN p_partkey % 6 = 0 THEN 'favorited' ELSE ['candidate', 'promoted', 'liked', 'archived'][p_partkey % 4 + 1] END AS status, count(*) AS n FROM part GROUP BY 1")
 def candidate_counts(spark, d):
     rows = _library(spark, d)
-    fav = rows.where("id % 6 = 0").select("id", F.lit(True).alias("favorite"))
-    return rows.join(fav, "id", "left").withColumn("status", F.when(F.col("favorite"), "favorited").otherwise(F.col("status"))).groupBy("status").agg(F.count("*").alias("n"))
+    return library.status_counts(rows, rows.where("id % 6 = 0"))
 
 
 def _review(spark, d):
@@ -457,9 +451,13 @@ def narrative_collections(spark, d):
     return review.narrative(c, beats)
 
 
+def _near_rows(spark, d):
+    return t.vectors(spark, d).select("id", (F.col("id") % 50).alias("grp"), (F.col("id") * 31 % 97 / 97).alias("score"), "vector")
+
+
 @query()
 def visually_distinct(spark, d):
-    return review.greedy_near(t.vectors(spark, d).select("id", (F.col("id") % 50).alias("grp"), (F.col("id") * 31 % 97 / 97).alias("score"), "vector"), 0.3).select("id")
+    return review.greedy_near(_near_rows(spark, d), 0.3).select("id")
 
 
 @query(f"WITH {t.VECTORS}, s AS (SELECT * FROM vec WHERE id % 7 = 0), e AS (SELECT label, unnest(vector) AS x, generate_subscripts(vector, 1) AS p FROM s), a AS (SELECT list(x ORDER BY p) AS m FROM (SELECT p, avg(x) AS x FROM e GROUP BY 1)), o AS (SELECT label, list(x ORDER BY p) AS m FROM (SELECT label, p, avg(x) AS x FROM e GROUP BY 1, 2) GROUP BY 1) SELECT v.id, round(list_distance(v.vector, coalesce(o.m, a.m)), 6) AS explore FROM vec v LEFT JOIN o USING (label) CROSS JOIN a")
@@ -549,11 +547,24 @@ def idempotent_append(spark, d):
     return files.append_new(rows.where("id % 2 = 0"), rows.where("id % 3 = 0"), "id", ["id", "v"])[0]
 
 
-@query()
+def digest_sql(rows: str, fields: list[str]) -> str:
+    """SQL for ``digests``: a row ``(digest, n)`` over ``rows``."""
+    cells = " || ".join(f"coalesce(length({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields)
+    sums = " || ',' || ".join(f"coalesce(sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT), 0)::VARCHAR" for i in range(8))
+    return f"SELECT sha256(count(*)::VARCHAR || ',' || {sums}) AS digest, count(*) AS n FROM (SELECT sha256({cells}) AS h FROM {rows})"
+
+
+@query(f"WITH i AS (SELECT p_brand AS fingerprint, p_partkey AS item FROM part), g AS ({digest_sql('i', ['fingerprint', 'item'])}) SELECT sha256('1|' || digest) AS manifest_id, n AS items, (n - (SELECT count(DISTINCT fingerprint) FROM i))::BIGINT AS repeated FROM g")
 def frozen_manifest(spark, d):
     return files.freeze(t.table(spark, d, "part").select(F.col("p_brand").alias("fingerprint"), F.col("p_partkey").alias("item")))
 
 
+@query(f"""WITH {t.EVENTS}, g AS ({digest_sql('(SELECT DISTINCT target_id FROM pro)', ['target_id'])})
+SELECT 'profile_' || substr(sha256('model|64|' || (SELECT epoch_us(max(created_at)) FROM pro) || '|' || digest || '|{{}}'), 1, 16) AS profile_version FROM g""")
+def profile_version(spark, d):
+    return feedback.profile_version(feedback.profile_events(t.events(spark, d)), "model", 64, "{}")
+
+
 # Quality and text ---------------------------------------------------------------------------------------------------
 
 

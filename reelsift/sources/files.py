@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelsift.functions.columns import clip_interval
+from reelsift.functions.columns import clip_interval, scenario_keys
+from reelsift.operators.digest import digests
 
 #: Extensions of media files.
 IMAGES, VIDEOS = [".jpg", ".jpeg", ".png", ".webp"], [".mp4", ".mkv", ".avi", ".mov", ".webm"]
@@ -38,8 +39,20 @@ def run_candidates(results: DataFrame) -> DataFrame:
 
 
 def candidate_id(video, start, end, run_id):
-    """S-07."""
-    return F.concat(F.lit("cand_"), F.sha2(F.concat(video, start.cast("string"), end.cast("string"), run_id), 256))
+    """S-07: an id of video, times and the run's own id; a null part is empty."""
+    parts = [F.coalesce(x.cast("string"), F.lit("")) for x in (video, start, end, run_id)]
+    return F.concat(F.lit("cand_"), F.sha2(F.concat(*parts), 256))
+
+
+def materialize(results: DataFrame, existing: DataFrame) -> DataFrame:
+    """S-07: new candidates of runs ``(run_id, run_candidate_id, sha256, start, end, emotion, scene, tags, ...)``: those whose id is
+    not in ``existing``, with scenario keys and the status ``candidate``. Of rows of one id the first run's is taken."""
+    start, end = F.col("start").cast("double"), F.col("end").cast("double")
+    rows = results.withColumn("candidate_id", candidate_id(F.col("sha256"), start, end, F.col("run_candidate_id")))
+    rows = rows.withColumns({"scenario_keys": scenario_keys(F.col("emotion"), F.col("scene"), F.col("tags")), "status": F.lit("candidate")})
+    rest = [c for c in rows.columns if c != "candidate_id"]
+    one = rows.groupBy("candidate_id").agg(F.min_by(F.struct(*rest), F.struct("run_id", "run_candidate_id")).alias("x")).select("candidate_id", "x.*")
+    return one.join(existing.select("candidate_id"), "candidate_id", "left_anti")
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -52,24 +65,89 @@ def append_new(existing: DataFrame, incoming: DataFrame, key: str, fields: list[
     return new, rows.where("(have is not null and have <> want) or (have is null and want <> first)").select(incoming.columns)
 
 
+def read_judgments(spark: SparkSession, path: str) -> DataFrame:
+    """S-08: a JSONL file of judgments, the last of each candidate; blank lines are passed over, a broken line fails the read."""
+    rows = spark.read.schema("candidate_id string, rating string, judged_at string").option("mode", "FAILFAST").json(path)
+    return last_judgments(rows.where("candidate_id is not null"))
+
+
 def last_judgments(rows: DataFrame) -> DataFrame:
     """S-08: the last judgment of each candidate, by time and rating."""
     return rows.groupBy("candidate_id").agg(F.max_by("rating", F.struct("judged_at", "rating")).alias("rating"))
 
 
-def benchmark_items(rows: DataFrame) -> DataFrame:
-    """S-10: items of a CSV: trimmed, tags split by bar, id from the file's stem."""
-    stem = F.regexp_replace(F.element_at(F.split("source_path", "/"), -1), r"\.[^.]*$", "")
-    return rows.select(stem.alias("item_id"), F.trim("source_path").alias("source_path"), F.filter(F.transform(F.split("difficulty_tags", r"\|"), lambda x: F.trim(x)), lambda t: t != "").alias("difficulty_tags"))
+#: The columns of an item beside its id and tags.
+ITEM_FIELDS = ["source_path", "video_fingerprint", "duration_bucket", "resolution_bucket", "pace_bucket"]
 
 
-def freeze(items: DataFrame, buckets: int = 64) -> DataFrame:
-    """S-15, S-17, A-24: one digest of the items by fingerprint, whatever their order; and the fingerprints that repeat."""
-    each = items.groupBy(F.pmod(F.xxhash64("fingerprint"), F.lit(buckets)).alias("b")).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("fingerprint", "item")))), 256).alias("h"), F.count("*").alias("n"), F.count_distinct("fingerprint").alias("d"))
-    return each.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("b", "h")))), 256).alias("manifest_id"), F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.coalesce(F.sum("n") - F.sum("d"), F.lit(0)).alias("repeated"))
+def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
+    """S-10: items of a CSV with a header; columns that it lacks are null."""
+    return benchmark_items(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path))
 
 
-def export_collection(items: DataFrame, candidates: DataFrame, path: str) -> DataFrame:
-    """S-13: write ranked items as JSON, and return the ids that no candidate has."""
-    items.join(candidates, "id").repartitionByRange("collection", "rank").sortWithinPartitions("collection", "rank").write.mode("overwrite").json(path)
-    return items.join(candidates, "id", "left_anti").select("collection", "id")
+def benchmark_items(rows: DataFrame) -> DataFrame:
+    """S-10: items: every field trimmed, tags split by bar, id from the file's stem."""
+    field = lambda c: (F.trim(c) if c in rows.columns else F.lit(None).cast("string")).alias(c)
+    out = rows.select(*map(field, ITEM_FIELDS), F.split(F.coalesce("difficulty_tags", F.lit("")), r"\|").alias("tags"))
+    stem = F.regexp_replace(F.element_at(F.split("source_path", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    return out.select(stem.alias("item_id"), *ITEM_FIELDS, F.filter(F.transform("tags", lambda x: F.trim(x)), lambda x: x != "").alias("difficulty_tags"))
+
+
+def freeze(items: DataFrame, version: int = 1) -> DataFrame:
+    """S-15: one digest of the items' ``(fingerprint, item)`` and the version, whatever their order, their number, and how many
+    repeat a fingerprint."""
+    seen = items.groupBy("fingerprint").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("repeated"))
+    row = digests(items, ["fingerprint", "item"]).crossJoin(F.broadcast(seen))
+    return row.select(F.sha2(F.concat(F.lit(f"{version}|"), F.col("digest")), 256).alias("manifest_id"), F.col("n").alias("items"), "repeated")
+
+
+def write_manifest(items: DataFrame, path: str, version: int = 1) -> str:
+    """S-15: write items ``(fingerprint, item)`` of distinct fingerprints with their manifest, and return its id. A manifest that is
+    there already is not written over."""
+    row = freeze(items, version).first()
+    if row.repeated:
+        raise ValueError(f"{row.repeated} items repeat a fingerprint")
+    items.select("fingerprint", "item").write.mode("errorifexists").parquet(f"{path}/items")
+    items.sparkSession.createDataFrame([(row.manifest_id, version, row["items"])], "manifest_id string, version int, items long").coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+    return row.manifest_id
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """S-15: the items of a written manifest; fails where they are not those that it was written with, or repeat a fingerprint."""
+    kept = spark.read.schema("manifest_id string, version int, items long").json(f"{path}/manifest").first()
+    items = spark.read.parquet(f"{path}/items")
+    row = freeze(items, kept.version).first()
+    if row.manifest_id != kept.manifest_id or row.repeated:
+        raise ValueError(f"the items are not those of manifest {kept.manifest_id}")
+    return items
+
+
+def collection_manifest(items: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S-13: of the latest version of each collection ``(collection, version, rank, id)``: the items that have a candidate, ranked anew
+    from 0, those that have none, and the manifest, a row of counts for each collection."""
+    newest = items.groupBy("collection").agg(F.max("version").alias("version"))
+    latest = items.join(newest, ["collection", "version"])
+    known = candidates.select("id", *(c for c in candidates.columns if c not in items.columns))
+    rank = (F.row_number().over(Window.partitionBy("collection").orderBy("rank", "id")) - 1).cast("long")
+    rows = latest.join(known, "id").withColumn("rank", rank)
+    missing = latest.join(candidates.select("id"), "id", "left_anti").select("collection", "version", "id")
+    marked = latest.join(candidates.select("id").distinct().withColumn("there", F.lit(1)), "id", "left")
+    manifest = marked.groupBy("collection", "version").agg(F.count("there").alias("exported"), F.count_if(F.col("there").isNull()).alias("missing"))
+    return rows, missing, manifest
+
+
+def export_collections(items: DataFrame, candidates: DataFrame, path: str) -> DataFrame:
+    """S-13: write items, missing ids and manifest as JSON below the path, by collection and version, and return the manifest. What is
+    there of other collections and versions stays."""
+    parts = dict(zip(("items", "missing", "manifest"), collection_manifest(items, candidates)))
+    for name, rows in parts.items():
+        keep = [c for c in rows.columns if c not in ("collection", "version")]
+        if name == "items":
+            rows = rows.repartitionByRange("collection", "rank").sortWithinPartitions("collection", "version", "rank")
+        rows.select("collection", "version", *keep).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "version").json(f"{path}/{name}")
+    return parts["manifest"]
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """S-18: the sink of events: append to a Parquet table."""
+    rows.write.mode("append").parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -33,6 +34,52 @@ def embed(rows: DataFrame, embed_batch: Callable[[list[str]], list[list[float] |
     return rows.select("id", "text").mapInPandas(run, "id long, vector array<double>, reason string")
 
 
+class ServiceUnavailable(Exception):
+    """Raised by a batch function whose service is out of reach: the job stops, and no row is blamed for it."""
+
+
+def backfill(candidates: DataFrame, excluded: DataFrame, path: str, embed_batch: Callable[[list[str]], list[list[float] | None]], dim: int, parts: int = 1) -> DataFrame:
+    """Z-02: vectors for ``candidates(id, text)`` that are neither at ``path`` nor excluded, and the rows made, ``(id, vector, reason)``.
+
+    A row that fails has no vector but a reason, at ``path`` too, and is not tried again. Parts of the ids are committed one
+    by one; where the service fails, the parts before stay, the part at hand leaves nothing, and the next call goes on there.
+    """
+    spark = candidates.sparkSession
+    schema = "id long, vector array<double>, reason string, part int"
+
+    def stored() -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:  # nothing has been made yet
+            return spark.createDataFrame([], schema)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), 32):
+                few = f.iloc[at : at + 32]
+                made = _each(embed_batch, few["text"].tolist(), dim)
+                yield pd.DataFrame({"id": few["id"], "vector": [v for v, _ in made], "reason": [r for _, r in made]})
+
+    for part in range(parts):
+        mine = candidates.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        todo = mine.join(stored().select("id"), "id", "left_anti").join(excluded.select("id"), "id", "left_anti").select("id", "text")
+        todo.mapInPandas(run, "id long, vector array<double>, reason string").withColumn("part", F.lit(part)).write.mode("append").parquet(path)
+    return stored().select("id", "vector", "reason")
+
+
+def _each(embed_batch, texts: list[str], dim: int) -> list[tuple[list[float] | None, str | None]]:
+    """Vectors of a batch; where the batch fails, of its texts one by one."""
+    try:
+        made = embed_batch(texts)
+    except ServiceUnavailable:
+        raise
+    except Exception as e:
+        if len(texts) > 1:
+            return [x for one in texts for x in _each(embed_batch, [one], dim)]
+        return [(None, f"embedding failed: {e}")]
+    return [(list(map(float, v)), None) if v is not None and len(v) == dim else (None, "dimension") for v in made]
+
+
 class LatestRating(StatefulProcessor):
     """Z-03: for each target, the latest event that is neither undone nor superseded; a correction may come before its event.
 
@@ -104,9 +151,25 @@ def online_clips(stream: DataFrame, gap: float = 15.0, longest: float = 24.0, la
     return rows.groupBy("video").transformWithStateInPandas(OnlineClips(gap, longest), "video long, start double, end double, frames long, score double", "append", "eventtime")
 
 
-def progress(stream: DataFrame) -> DataFrame:
-    """Z-05, A-02: frames by status."""
-    return stream.groupBy("status").count()
+def progress(frames: DataFrame) -> DataFrame:
+    """A-02, Z-05: frames in all, done, failed and pending, which is the rest; on a stream in complete mode."""
+    status = F.col("status")
+    counts = frames.groupBy().agg(F.count("*").alias("total"), F.count_if(status == "done").alias("done"), F.count_if(status == "failed").alias("failed"))
+    return counts.withColumn("pending", F.col("total") - F.col("done") - F.col("failed"))
+
+
+def throughput(scored: DataFrame, every: str = "10 minutes") -> DataFrame:
+    """Z-05: frames ``(status, finished_at)`` done and failed in each window of time, and seconds for each of them."""
+    over = scored.where(F.col("status").isin("done", "failed"))
+    out = over.groupBy(F.window("finished_at", every).alias("w")).agg(F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "failed").alias("failed"))
+    span = F.unix_seconds("w.end") - F.unix_seconds("w.start")
+    return out.select(F.col("w.start").alias("start"), "done", "failed", F.round(span / (F.col("done") + F.col("failed")), 6).alias("seconds_each"))
+
+
+def remaining(counts: DataFrame, rates: DataFrame) -> DataFrame:
+    """Z-05: pending frames, seconds for each at the last window's pace, and hours left; no hours where no window is known."""
+    last = rates.agg(F.max_by("seconds_each", "start").alias("seconds_each"))
+    return counts.select("pending").crossJoin(F.broadcast(last)).withColumn("hours", F.round(F.col("pending") * F.col("seconds_each") / 3600, 6))
 
 
 def once_only(stream: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelsift.functions import columns as X
-from reelsift.operators import catalog, clips, evaluate, explain, feedback, lab, quality, review
+from reelsift.operators import catalog, clips, evaluate, explain, feedback, lab, quality, rerank, review
 from reelsift.operators.feedback import comparisons, corrections
 from reelsift.operators.greedy import independent
 from reelsift.sources import files
@@ -179,8 +179,13 @@ def test_files(spark, tmp_path):
     assert (got.source, got.start, got.end) == ("Heat", 1.0, 2.5)
     new, clash = files.append_new(spark.createDataFrame([(1, "a")], "id long, v string"), spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "c")], "id long, v string"), "id", ["id", "v"])
     assert [tuple(x) for x in new.collect()] == [(2, "c")] and [tuple(x) for x in clash.collect()] == [(1, "b")]
-    missing = files.export_collection(spark.createDataFrame([(1, 1, 5), (1, 2, 6)], "collection long, rank long, id long"), spark.createDataFrame([(5, "x")], "id long, name string"), f"file://{tmp_path}/out")
-    assert missing.first().id == 6 and spark.read.json(f"file://{tmp_path}/out").count() == 1
+    out, known = f"file://{tmp_path}/out", spark.createDataFrame([(5, "x")], "id long, name string")
+    shape = "collection long, version long, rank long, id long"
+    for rows in ([(1, 1, 1, 5), (1, 1, 2, 6), (1, 0, 1, 5)], [(2, 4, 1, 6)]):
+        made = [tuple(x) for x in files.export_collections(spark.createDataFrame(rows, shape), known, out).collect()]
+    assert made == [(2, 4, 0, 1)]
+    read = lambda name: sorted(tuple(x) for x in spark.read.json(f"{out}/{name}").select("collection", "version", "id").collect())
+    assert (read("items"), read("missing")) == ([(1, 1, 5)], [(1, 1, 6), (2, 4, 6)])
 
 
 def test_streams_equal_batches(spark, sf, tmp_path):
@@ -286,3 +291,75 @@ def test_diverse_frames_by_rounds(spark):
         want |= {(v, f, i + 1) for i, (f, _) in enumerate(chosen)}
     got = library.diverse_frames(spark.createDataFrame(rows, "video int, frame long, score double, bits long"), 1)
     assert {(x.video, x.frame, x["rank"]) for x in got.collect()} == want
+
+
+def test_near_keepers_equal_a_plain_pass(spark):
+    r = np.random.default_rng(3)
+    base = r.standard_normal((20, 6))
+    vectors = [None if i % 29 == 0 else [0.0] * 6 if i % 31 == 0 else list(map(float, base[i % 20] + r.standard_normal(6) * 0.3)) for i in range(400)]
+    rows = [(i, i % 3 or None, float(r.integers(0, 20)), v) for i, v in enumerate(vectors)][:200]
+    frame = spark.createDataFrame(rows, "id long, grp long, score double, vector array<double>")
+    got = review.near_keepers(frame, 0.8, batch=8)
+    want, kept = {}, {}
+    for i, g, _, v in sorted(rows, key=lambda x: (-x[2], x[0])):
+        want[i] = i
+        if v is None:
+            continue
+        u = np.asarray(v) / (np.linalg.norm(v) or 1.0)
+        near = next((k for k, w in kept.setdefault(g, []) if u @ w >= 0.8), None)
+        if near is None:
+            kept[g].append((i, u))
+        want[i] = i if near is None else near
+    assert {x.id: x.keeper for x in got.collect()} == want
+    groups = {x.keeper: x.duplicates for x in review.duplicate_groups(got).collect()}
+    assert sum(groups.values()) == sum(i != k for i, k in want.items()) > 0
+
+
+def test_rerank_follows_what_is_available(spark):
+    c = spark.createDataFrame([(1, [1.0, 0.0], ["k"], 0.4), (2, None, None, 0.3)], "id long, vector array<double>, keys array<string>, base double")
+    shape = "liked array<double>, disliked array<double>, confidence double"
+    scenarios = spark.createDataFrame([("k", [1.0, 0.0])], "key string, centroid array<double>")
+    run = lambda profile, **k: {x.id: (x.final_score, x.profile_score, x.reasons) for x in rerank.rerank(c, spark.createDataFrame(profile, shape), scenarios, **k).collect()}
+    assert run([([1.0, 0.0], [0.0, 1.0], 1.0)])[1] == (round((0.55 * 0.4 + 0.25 + 0.15) / 0.95, 6), round((0.25 + 0.15 + 0.2 * 0.5) / 0.6, 6), "")
+    assert run([(None, [1.0, 0.0], 1.0)])[1] == (round((0.55 * 0.4 + 0.15) / 0.7 - 0.2, 6), round(0.15 / 0.35, 6), "no liked centroid")
+    assert run([])[1] == (0.4, None, "no profile; no scenario") and run([])[2] == (0.3, None, "no vector; no profile; no keys")
+    assert run([([1.0, 0.0], None, 1.0)], enabled=False)[1] == (0.4, None, "disabled; no scenario")
+
+
+def test_manifest_is_verified(spark, tmp_path):
+    items = spark.createDataFrame([("a", "1"), ("b", None)], "fingerprint string, item string")
+    made = files.write_manifest(items, f"file://{tmp_path}/m")
+    assert files.freeze(items.orderBy(F.desc("fingerprint"))).first().manifest_id == made != files.freeze(items, 2).first().manifest_id
+    assert files.read_manifest(spark, f"file://{tmp_path}/m").count() == 2
+    spark.createDataFrame([("c", "3")], items.schema).write.mode("append").parquet(f"file://{tmp_path}/m/items")
+    with pytest.raises(ValueError):
+        files.read_manifest(spark, f"file://{tmp_path}/m")
+    with pytest.raises(ValueError):
+        files.write_manifest(items.union(items), f"file://{tmp_path}/n")
+
+
+def test_judgments_and_items_are_read(spark, tmp_path):
+    (tmp_path / "j.jsonl").write_text('{"candidate_id": "a", "rating": "like", "judged_at": "1"}\n\n{"candidate_id": "a", "rating": "skip", "judged_at": "2"}\n')
+    assert [tuple(x) for x in files.read_judgments(spark, f"file://{tmp_path}/j.jsonl").collect()] == [("a", "skip")]
+    (tmp_path / "i.csv").write_text("source_path,difficulty_tags,video_fingerprint\n /x/a.b.mp4 ,dark| |fast, f1 \n/x/.hidden,,f2\n")
+    got = {x.item_id: (x.source_path, x.video_fingerprint, x.pace_bucket, x.difficulty_tags) for x in files.read_benchmark(spark, f"file://{tmp_path}/i.csv").collect()}
+    assert got == {"a.b": ("/x/a.b.mp4", "f1", None, ["dark", "fast"]), ".hidden": ("/x/.hidden", "f2", None, [])}
+
+
+def test_backfill_resumes(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "bad" if i == 3 else "short" if i == 4 else "t") for i in range(40)], "id long, text string")
+    excluded, path = spark.createDataFrame([(7,)], "id long"), f"file://{tmp_path}/v"
+
+    def down(texts):
+        raise jobs.ServiceUnavailable("off")
+
+    def up(texts):
+        if "bad" in texts:
+            raise ValueError("bad text")
+        return [[1.0] if x == "short" else [1.0, 2.0] for x in texts]
+
+    with pytest.raises(Exception, match="off"):
+        jobs.backfill(rows, excluded, path, down, 2)
+    for _ in range(2):
+        made = {x.id: x.reason for x in jobs.backfill(rows, excluded, path, up, 2, parts=3).collect()}
+        assert len(made) == 39 and {i: m for i, m in made.items() if m} == {3: "embedding failed: bad text", 4: "dimension"}

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from reelsift.plans import library, registry  # noqa: F401
+from reelsift.plans import library, registry, runs  # noqa: F401
 
 
 @pytest.fixture(scope="module")
