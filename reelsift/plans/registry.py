@@ -329,7 +329,8 @@ def stride_sample(spark, d):
 # Catalog and duplicates ---------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH {t.HASHES}, p AS (SELECT bits, min(id) AS id FROM hs GROUP BY 1)
+SELECT x.id AS a, y.id AS b, bit_count(xor(x.bits, y.bits))::BIGINT AS distance FROM p x JOIN p y ON x.id < y.id WHERE bit_count(xor(x.bits, y.bits)) <= 5""")
 def hamming_near_pairs(spark, d):
     return catalog.hamming_pairs(t.hashes(spark, d))
 

@@ -86,6 +86,10 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.union(near)
 
 
+HASHES = """h0 AS (SELECT doc_id AS id, ('0x' || substr(sha256(coalesce(text, '')), 1, 16))::UBIGINT AS bits FROM documents),
+hs AS (SELECT * FROM h0 UNION ALL SELECT id + 100000000, xor(bits, 5::UBIGINT << (id % 60)::UBIGINT) FROM h0 WHERE id % 3 = 0)"""
+
+
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as jobs, their lines as stages of videos."""
     li = table(spark, sf_dir, "lineitem")
