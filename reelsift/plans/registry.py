@@ -335,7 +335,13 @@ def hamming_near_pairs(spark, d):
     return catalog.hamming_pairs(t.hashes(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {t.HASHES}, p AS (SELECT bits, min(id) AS id FROM hs GROUP BY 1),
+pr AS (SELECT x.id AS a, y.id AS b FROM p x JOIN p y ON x.id < y.id WHERE bit_count(xor(x.bits, y.bits)) <= 5),
+q AS (SELECT b, list(a) AS l, row_number() OVER (ORDER BY b) AS n FROM pr GROUP BY 1),
+st(n, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT q.n, CASE WHEN len(list_filter(q.l, lambda x: NOT list_contains(st.gone, x))) > 0 THEN list_append(st.gone, q.b) ELSE st.gone END FROM st JOIN q ON q.n = st.n + 1),
+g AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM st ORDER BY n DESC LIMIT 1)),
+m AS (SELECT b, min(a) AS leader FROM pr WHERE b IN (SELECT id FROM g) AND a NOT IN (SELECT id FROM g) GROUP BY 1)
+SELECT hs.id, coalesce(m.leader, p.id) AS leader FROM hs JOIN p USING (bits) LEFT JOIN m ON m.b = p.id""")
 def leader_clusters(spark, d):
     return catalog.leaders(t.hashes(spark, d))
 
