@@ -134,7 +134,7 @@ def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
 def _ask(path: str, buckets: int):
     def ask(table: pa.Table) -> pa.Table:
         _, data, offsets = C.docs_of(table)
-        return C.Vocabulary(data, offsets, splitter(specials_of(path)), buckets).requests(data, table.column("chunk")[0].as_py())
+        return C.Vocabulary(data, offsets, splitter(specials_of(path)), buckets).requests(table.column("chunk")[0].as_py())
 
     return ask
 

@@ -71,14 +71,14 @@ def docs_of(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """The distinct words of a chunk in the order of its requests: by bucket, then hash.
+    """The distinct words of a chunk, told apart by their bytes, in the order of its requests: by bucket, then hash, then bytes.
 
-    word: the number of each word of the texts, in order; to: where each text's words begin; start, end: one place of each
-    distinct word. Words are found slice by slice, so that only numbers of 4 bytes stand for all of them at once.
+    word: the number of each word of the texts, in order; to: where each text's words begin; words: the distinct words. Words
+    are found slice by slice, so that only numbers of 4 bytes stand for all of them at once.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, split: Splitter, buckets: int):
-        start, end, hashes, inverse, count, known = [], [], [], [], [np.zeros(1, np.int64)], 0
+        found, inverse, count, known = [], [], [np.zeros(1, np.int64)], 0
         for i, j in K.slices(offsets):
             lo = offsets[i]
             part = data[lo : offsets[j]]
@@ -86,25 +86,27 @@ class Vocabulary:
             count.append(np.bincount(text, minlength=j - i))
             if not len(s):
                 continue
-            h, first, again = np.unique(K.Hashes(part).of(s, e), return_index=True, return_inverse=True)
-            start.append(s[first] + lo), end.append(e[first] + lo), hashes.append(h), inverse.append((again + known).astype(np.int32))
-            known += len(h)
-        empty = [np.zeros(0, np.int64)]
-        hashes = np.concatenate(hashes or [np.zeros(0, np.uint64)])
-        distinct, first, again = np.unique(hashes, return_index=True, return_inverse=True)
-        bucket = (distinct % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+            coded = K.strings(part, s, e).dictionary_encode()
+            found.append(coded.dictionary), inverse.append(coded.indices.to_numpy() + np.int32(known))
+            known += len(coded.dictionary)
+        coded = pa.concat_arrays(found or [pa.array([], pa.large_binary())]).dictionary_encode()
+        flat, to = K.flat(coded.dictionary)
+        hashes = K.Hashes(flat).of(to[:-1], to[1:])
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((hashes, bucket))
+        # Unequal words of one hash: the order of requests must not depend on that of the texts.
+        for h in np.unique(hashes[order[1:]][hashes[order[1:]] == hashes[order[:-1]]]):
+            at = np.flatnonzero(hashes[order] == h)
+            order[at] = sorted(order[at], key=lambda i: flat[to[i] : to[i + 1]].tobytes())
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        self.start, self.end = (np.concatenate(x or empty)[first[order]] for x in (start, end))
-        self.bucket, self.to = bucket[order], np.cumsum(np.concatenate(count))
-        self.word = rank[again][np.concatenate(inverse)] if inverse else np.zeros(0, np.int32)
+        self.words, self.bucket, self.to = coded.dictionary.take(pa.array(order)), bucket[order], np.cumsum(np.concatenate(count))
+        self.word = rank[coded.indices.to_numpy()][np.concatenate(inverse)] if inverse else np.zeros(0, np.int32)
 
-    def requests(self, data: np.ndarray, chunk: int, **also: np.ndarray) -> pa.Table:
+    def requests(self, chunk: int, **also: np.ndarray) -> pa.Table:
         """One row per bucket with the words that it is asked for, and arrays along the distinct words."""
-        words = K.strings(data, self.start, self.end)
         cut = np.append(np.flatnonzero(np.diff(self.bucket, prepend=-1)), len(self.bucket))
-        blobs = [to_blob(word=words[a:b], **{k: v[a:b] for k, v in also.items()}) for a, b in zip(cut[:-1], cut[1:])]
+        blobs = [to_blob(word=self.words[a:b], **{k: v[a:b] for k, v in also.items()}) for a, b in zip(cut[:-1], cut[1:])]
         return pa.table({"bucket": pa.array(self.bucket[cut[:-1]], pa.int32()), "chunk": pa.array([chunk] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 

@@ -111,8 +111,7 @@ def windows(stream: Stream, which: int, size: int, literals: int) -> tuple[np.nd
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     words = np.append(0, np.cumsum(~slot))
     at = np.flatnonzero((text[:n] == text[size - 1 :]) & (words[size:] - words[:n] >= literals))
-    sums = np.append(np.uint64(0), np.cumsum(K.mix(token) * K._powers(0, False, len(token)), dtype=np.uint64))
-    value = (sums[at + size] - sums[at]) * K._powers(0, True, len(token))[at]
+    value = K.runs(token, at, size)
     return K.mix(value + np.uint64((which << 32) + size)), at
 
 

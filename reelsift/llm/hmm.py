@@ -248,9 +248,9 @@ def _ask(buckets: int, folds: int):
         data = K.LOWER[data]
         vocabulary = C.Vocabulary(data, offsets, _tokens, buckets)
         learn = ~held_out(ids, folds)
-        n = np.bincount(vocabulary.word[np.repeat(learn, np.diff(vocabulary.to))], minlength=len(vocabulary.start)).astype(np.int64)
+        n = np.bincount(vocabulary.word[np.repeat(learn, np.diff(vocabulary.to))], minlength=len(vocabulary.words)).astype(np.int64)
         K.tidy()
-        return vocabulary.requests(data, table.column("chunk")[0].as_py(), n=n)
+        return vocabulary.requests(table.column("chunk")[0].as_py(), n=n)
 
     return ask
 
@@ -311,7 +311,8 @@ def score_corpus(docs: DataFrame, folds: int = 10, states: int = STATES, classes
         right = C.answers_of(right)
         count = right.column("n").to_numpy() if right.num_columns else np.zeros(0, np.int64)
         c = count[vocabulary.word]
-        of = classes_of(data, vocabulary.start, vocabulary.end, classes)[vocabulary.word]
+        words, ends_at = K.flat(vocabulary.words)
+        of = classes_of(words, ends_at[:-1], ends_at[1:], classes)[vocabulary.word]
         to = vocabulary.to
         # The end token comes last; in the model it is its class's only word.
         seq, seq_to = np.insert(of, to[1:], classes - 1), to + np.arange(len(to))

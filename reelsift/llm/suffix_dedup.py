@@ -45,9 +45,8 @@ def sample(data: np.ndarray, offsets: np.ndarray, min_len: int, anchor: int) ->
     for lo, hi in _pieces(data, offsets, min_len):
         part = data[lo : hi + min_len - 1]
         one, two = K.Hashes(part, 0), K.Hashes(part, 1)
-        at = np.arange(len(part) - anchor + 1)
-        key = one.of(at, at + anchor)
-        value = (key & ~low) | at.astype(np.uint64)
+        key = one.windows(anchor)
+        value = (key & ~low) | np.arange(len(key), dtype=np.uint64)
         pad = -len(value) % width
         blocks = np.append(value, np.full(pad, ~np.uint64(0))).reshape(-1, width)
         left = np.minimum.accumulate(blocks, axis=1).ravel()
