@@ -8,6 +8,7 @@ from reelsift.llm.bpe import encode_corpus
 from reelsift.llm.chat import ROTATE_SQL, rotate_perspectives
 from reelsift.llm.decontaminate import contaminated
 from reelsift.llm.embedding_dedup import near_vectors
+from reelsift.llm.fill_middle import FIM_SQL, fim_round_trip
 from reelsift.llm.hmm import score_corpus
 from reelsift.llm.line_dedup import drop_boilerplate, line_dedup_sql
 from reelsift.llm.simhash import simhash_components
@@ -60,5 +61,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_hidden_markov_scoring, op3_perspective_rotation, op4_rotation_code_dedup, op5_simhash_dedup, op6_bpe_round_trip, op7_template_decontamination, op8_weak_supervision_toxicity, op9_token_files, op10_line_dedup)}
-ORACLE_SQL = {"op3_perspective_rotation": ROTATE_SQL, "op10_line_dedup": line_dedup_sql()}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_hidden_markov_scoring, op3_perspective_rotation, op4_rotation_code_dedup, op5_simhash_dedup, op6_bpe_round_trip, op7_template_decontamination, op8_weak_supervision_toxicity, op9_token_files, op10_line_dedup, op12_fill_in_middle)}
+ORACLE_SQL = {"op3_perspective_rotation": ROTATE_SQL, "op10_line_dedup": line_dedup_sql(), "op12_fill_in_middle": FIM_SQL}
