@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reelsift.llm.align import align_corpus
 from reelsift.llm.bpe import encode_corpus
 from reelsift.llm.chat import ROTATE_SQL, rotate_perspectives
 from reelsift.llm.decontaminate import contaminated
@@ -65,5 +66,9 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_hidden_markov_scoring, op3_perspective_rotation, op4_rotation_code_dedup, op5_simhash_dedup, op6_bpe_round_trip, op7_template_decontamination, op8_weak_supervision_toxicity, op9_token_files, op10_line_dedup, op12_fill_in_middle)}
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_corpus(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_hidden_markov_scoring, op3_perspective_rotation, op4_rotation_code_dedup, op5_simhash_dedup, op6_bpe_round_trip, op7_template_decontamination, op8_weak_supervision_toxicity, op9_token_files, op10_line_dedup, op12_fill_in_middle, op13_tokenizer_alignment)}
 ORACLE_SQL = {"op3_perspective_rotation": ROTATE_SQL, "op10_line_dedup": line_dedup_sql(), "op12_fill_in_middle": FIM_SQL}
