@@ -91,7 +91,7 @@ class Vocabulary:
             known += len(coded.dictionary)
         coded = pa.concat_arrays(found or [pa.array([], pa.large_binary())]).dictionary_encode()
         flat, to = K.flat(coded.dictionary)
-        hashes = K.Hashes(flat).of(to[:-1], to[1:])
+        hashes = K.string_hashes(flat, to)
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((hashes, bucket))
         # Unequal words of one hash: the order of requests must not depend on that of the texts.

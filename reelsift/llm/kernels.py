@@ -61,7 +61,7 @@ def _powers(which: int, inverse: bool, n: int) -> tuple[np.ndarray, np.ndarray]:
             k *= 2
         value = np.where(value >= _LOW61, value - _LOW61, value)
         have = value >> _31, value & _LOW31
-        if size <= 1 << 21:
+        if size <= 1 << 20:
             _POWERS[which, inverse] = have
     return have[0][:n], have[1][:n]
 
@@ -134,6 +134,12 @@ class Hashes:
         return self._hash(high, low, _powers(self.which, True, len(high)))
 
 
+def string_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The hash of each of the strings that lie one after another in a buffer, in bounded memory."""
+    out = [Hashes(data[offsets[i] : offsets[j]]).of(offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]) for i, j in slices(offsets)]
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def runs(token: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """A value for each run of ``size`` hashes, equal for equal runs. It finds candidates, whose hashes are compared afterwards."""
     power = np.full(len(token), np.uint64(_STEP))
