@@ -12,6 +12,7 @@ from reelsift.llm.embedding_dedup import near_vectors
 from reelsift.llm.fill_middle import FIM_SQL, fim_round_trip
 from reelsift.llm.hmm import score_corpus
 from reelsift.llm.line_dedup import drop_boilerplate, line_dedup_sql
+from reelsift.llm.main_text import main_text
 from reelsift.llm.simhash import simhash_components
 from reelsift.llm.suffix_dedup import dedup_substrings
 from reelsift.llm.token_files import tokens_round_trip
@@ -62,6 +63,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents"))
 
 
+def op11_html_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_round_trip(table(spark, sf_dir, "documents"))
 
@@ -70,5 +75,5 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_hidden_markov_scoring, op3_perspective_rotation, op4_rotation_code_dedup, op5_simhash_dedup, op6_bpe_round_trip, op7_template_decontamination, op8_weak_supervision_toxicity, op9_token_files, op10_line_dedup, op12_fill_in_middle, op13_tokenizer_alignment)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_hidden_markov_scoring, op3_perspective_rotation, op4_rotation_code_dedup, op5_simhash_dedup, op6_bpe_round_trip, op7_template_decontamination, op8_weak_supervision_toxicity, op9_token_files, op10_line_dedup, op11_html_minimum_cut, op12_fill_in_middle, op13_tokenizer_alignment)}
 ORACLE_SQL = {"op3_perspective_rotation": ROTATE_SQL, "op10_line_dedup": line_dedup_sql(), "op12_fill_in_middle": FIM_SQL}
