@@ -16,6 +16,7 @@ import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ def default_pieces() -> str:
 @lru_cache(2)
 def _first(path: str):
     """The byte-level tokenizer and the byte strings of its ids."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -83,13 +85,26 @@ class Tokens:
     def __bool__(self) -> bool:
         return bool(len(self.ia) or len(self.ib))
 
+    def marks(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """The byte before the first end, and for each byte from there on whether a token of the one or the other ends at it."""
+        if not self:
+            return 0, np.zeros(1, bool), np.zeros(1, bool)
+        base = int(min(e[0] for e in (self.ea, self.eb) if len(e))) - 1
+        size = int(max(e[-1] for e in (self.ea, self.eb) if len(e))) - base + 1
+        a, b = np.zeros(size, bool), np.zeros(size, bool)
+        a[self.ea - base], b[self.eb - base] = True, True
+        return base, a, b
+
     def common(self) -> np.ndarray:
-        return np.intersect1d(self.ea, self.eb, assume_unique=True)
+        base, a, b = self.marks()
+        return np.flatnonzero(a & b) + base
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """For each stretch between neighbouring ends, which is one overlapping pair: its end and the pair (second id, first id)."""
-        ends = np.union1d(self.ea, self.eb)
-        return ends, self.ib[np.searchsorted(self.eb, ends)].astype(np.int64) << 32 | self.ia[np.searchsorted(self.ea, ends)]
+        base, a, b = self.marks()
+        ends = np.flatnonzero(a | b)
+        first, second = (np.cumsum(x, dtype=np.int32)[ends] - x[ends] for x in (a, b))
+        return ends + base, self.ib[second].astype(np.int64) << 32 | self.ia[first]
 
     def to_blob(self) -> bytes:
         side = np.repeat(np.array([0, 1], np.int8), [len(self.ia), len(self.ib)])
@@ -113,10 +128,14 @@ def _digits(n: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
 def groups_text(t: Tokens, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All groups as bytes, ``a1,a2|b1;a3|b2,b3;``, and where each group ends in them. Tokens end at the last common end."""
     table, offsets = _digits()
-    ga, gb = np.searchsorted(common, t.ea), np.searchsorted(common, t.eb)
+    base, a, b = t.marks()
+    both = a & b
+    upto = np.cumsum(both, dtype=np.int32) - both  # common ends before each byte
+    ga, gb = upto[t.ea - base], upto[t.eb - base]
+    n_a, n_b = (np.bincount(g, minlength=len(common)) for g in (ga, gb))
     ids = np.empty(len(ga) + len(gb), np.int32)
     mark = np.full(len(ids), ord(","), np.uint8)
-    at_a, at_b = np.arange(len(ga)) + np.searchsorted(gb, ga), np.arange(len(gb)) + np.searchsorted(ga, gb, "right")
+    at_a, at_b = np.arange(len(ga)) + (np.cumsum(n_b) - n_b)[ga], np.arange(len(gb)) + np.cumsum(n_a)[gb]
     ids[at_a], ids[at_b] = t.ia, t.ib
     mark[at_a[np.append(ga[1:] != ga[:-1], True)[: len(ga)]]] = ord("|")
     last = at_b[np.append(gb[1:] != gb[:-1], True)[: len(gb)]]
@@ -169,26 +188,28 @@ def _closed(t: Tokens, common: np.ndarray) -> tuple[int, int, int, bytes, np.nda
     return int(common[0]), len(common), len(ends), groups_text(t, common)[0].tobytes(), pairs
 
 
-def _by_word(data: np.ndarray, start: np.ndarray, end: np.ndarray, encode: Callable[[list[bytes]], list[list[int]]], table: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_word(data: np.ndarray, start: np.ndarray, end: np.ndarray, encode: Callable[[list[bytes]], Iterator[list[int]]], table: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids and ends of the tokens of all words, each distinct one encoded once, and whether each word's bytes are those of its tokens."""
     coded = K.strings(data, start, end).dictionary_encode()
-    lists = pa.array(encode(coded.dictionary.to_pylist()), pa.large_list(pa.int32()))
-    ids, count = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    flat, word_to = K.flat(coded.dictionary)
+    lists = list(encode(coded.dictionary.to_pylist()))
+    count = np.fromiter(map(len, lists), np.int32, len(lists))
+    begin = np.append(0, np.cumsum(count))
+    ids = np.fromiter(chain.from_iterable(lists), np.int32, int(begin[-1]))
     size = offsets[ids + 1] - offsets[ids]
     to = np.append(0, np.cumsum(size))
     own = table[np.repeat(offsets[ids] - to[:-1], size) + np.arange(to[-1])]
-    flat, word_to = K.flat(coded.dictionary)
-    begin = np.append(0, np.cumsum(count))
     bad = to[begin[1:]] - to[begin[:-1]] != np.diff(word_to)
-    if not bad.any() and not np.array_equal(own, flat):
-        bad = np.array([own[to[begin[i]] : to[begin[i + 1]]].tobytes() != flat[word_to[i] : word_to[i + 1]].tobytes() for i in range(len(count))], bool)
-    elif bad.any():
+    if bad.any() or not np.array_equal(own, flat):
         bad |= np.array([own[to[begin[i]] : to[begin[i + 1]]].tobytes() != flat[word_to[i] : word_to[i + 1]].tobytes() for i in range(len(count))], bool)
     word = coded.indices.to_numpy()
     many = count[word]
-    after = np.cumsum(many)
-    where = np.repeat(begin[word] - after + many, many) + np.arange(after[-1] if len(after) else 0)
-    return ids[where], np.repeat(start - to[begin[word]], many) + to[where + 1], ~bad[word]
+    after = np.cumsum(many, dtype=np.int64)
+    where = np.repeat((begin[word] - after + many).astype(np.int32), many)
+    where += np.arange(len(where), dtype=np.int32)
+    ends = np.repeat(start - to[begin[word]], many)
+    ends += to[1:][where]
+    return ids[where], ends, ~bad[word]
 
 
 def tokenise(data: np.ndarray, offsets: np.ndarray, first: str, second: str) -> tuple[Tokens, np.ndarray]:
@@ -197,7 +218,7 @@ def tokenise(data: np.ndarray, offsets: np.ndarray, first: str, second: str) ->
     model, table_b, to_b, free = _second(second)
     lone = model.piece_to_id("▁")
     start, end, text = bpe.pretokens(data, offsets)
-    ia, ea, fine = _by_word(data, start, end, lambda w: [x.ids for i in range(0, len(w), 5_000) for x in tok.encode_batch_fast([s.decode() for s in w[i : i + 5_000]], add_special_tokens=False)], table_a, to_a)
+    ia, ea, fine = _by_word(data, start, end, lambda w: (x.ids for i in range(0, len(w), 5_000) for x in tok.encode_batch_fast([s.decode() for s in w[i : i + 5_000]], add_special_tokens=False)), table_a, to_a)
     good = np.bincount(text[~fine], minlength=len(offsets) - 1) == 0
     # The model puts the space before a text itself.
     cut = np.zeros(len(data) + 1, bool)
@@ -206,7 +227,7 @@ def tokenise(data: np.ndarray, offsets: np.ndarray, first: str, second: str) ->
     cut[offsets] = True
     edges = np.flatnonzero(cut)
     start, end = edges[:-1], edges[1:]
-    ib, eb, fine = _by_word(data, start, end, lambda w: [x or [lone] for x in model.encode([s[1:].decode() for s in w], num_threads=1)], table_b, to_b)
+    ib, eb, fine = _by_word(data, start, end, lambda w: (x or [lone] for i in range(0, len(w), 20_000) for x in model.encode([s[1:].decode() for s in w[i : i + 20_000]], num_threads=1)), table_b, to_b)
     good &= np.bincount(np.searchsorted(offsets, start[~fine], "right") - 1, minlength=len(offsets) - 1) == 0
     return Tokens(ia, ea, ib, eb), good
 
@@ -233,7 +254,7 @@ def _chunk(key: tuple, docs: dict[str, list], pairs: list[np.ndarray], of: list[
     return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in key), pa.array([int.from_bytes(os.urandom(8), "little", signed=True)]), pa.array([distinct], _LONGS), pa.array([count], _LONGS), pa.array([table], pa.binary())], names=[*KEY, "chunk", "pairs", "ns", "docs"])
 
 
-def _align(first: str, second: str, chunk_bytes: int, slice_bytes: int = 1 << 20):
+def _align(first: str, second: str, chunk_bytes: int, slice_bytes: int = 2 << 20):
     """Whole texts, many at a time: chunks with all documents' results but for what the corpus knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +423,7 @@ def with_counts(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk", "a", "b", "docs").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_known, RESULT)
 
 
-def align_corpus(docs: DataFrame, first: str | None = None, second: str | None = None, piece_bytes: int = 64 << 10, range_bytes: int = 32 << 10, chunk_bytes: int = 16 << 20) -> DataFrame:
+def align_corpus(docs: DataFrame, first: str | None = None, second: str | None = None, piece_bytes: int = 64 << 10, range_bytes: int = 32 << 10, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Groups and links between the tokens of two tokenizers for each whole text, with a space before it.
 
     Returns doc_id, n_a, n_b, n_groups, n_links, n_best (links whose count is the highest of their second id), count_sum (of counts
