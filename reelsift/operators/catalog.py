@@ -47,12 +47,25 @@ def representatives(members: DataFrame) -> DataFrame:
 
 
 def inherit(annotations: DataFrame, members: DataFrame) -> DataFrame:
-    """A-44: labels of a cluster from its annotated members, for the others: tag union and the most frequent emotion (ties: least)."""
-    known = members.join(annotations, "id")
-    emotion = known.groupBy("cluster", "emotion").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("emotion", F.struct("n", F.lit(0))).alias("x"), F.max("n").alias("most"))
-    votes = known.groupBy("cluster", "emotion").agg(F.count("*").alias("n")).join(emotion.select("cluster", "most"), "cluster").where("n = most").groupBy("cluster").agg(F.min("emotion").alias("emotion"))
+    """A-44: annotations for the members ``(id, cluster, representative)`` that have none and stand for no cluster, from the
+    annotated representatives of theirs, ``annotations(id, summary, emotion, notes, tags)``.
+
+    Tags: all of them. Emotion: the most frequent (ties: least), or ``unknown``. Notes: the first four distinct ones in order
+    of representative and place. Summary: the first two, after a note of where they come from; ``reps`` is how many there are.
+    """
+    known = members.where("representative and cluster is not null").join(annotations, "id")
+    emotion = known.where("emotion <> ''").groupBy("cluster", "emotion").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.min_by("emotion", F.struct(-F.col("n"), "emotion")).alias("emotion"))
     tags = known.select("cluster", F.explode("tags").alias("tag")).groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
-    return members.join(annotations.select("id"), "id", "left_anti").join(votes, "cluster").join(tags, "cluster", "left").select("id", "cluster", "emotion", "tags")
+    in_order = lambda c, rank: F.transform(F.array_sort(F.collect_list(F.struct(rank, c))), lambda x: x[c])
+    notes = known.select("cluster", "id", F.posexplode("notes").alias("pos", "note")).groupBy("cluster", "note").agg(F.min(F.struct("id", "pos")).alias("at"))
+    notes = notes.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("at"))).where("r <= 4").groupBy("cluster").agg(in_order("note", "r").alias("notes"))
+    summaries = known.where("summary <> ''").withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("id"))).where("r <= 2").groupBy("cluster").agg(F.array_join(in_order("summary", "r"), " | ").alias("said"))
+    of_cluster = known.groupBy("cluster").agg(F.count("*").alias("reps"))
+    for more in (emotion, tags, notes, summaries):
+        of_cluster = of_cluster.join(more, "cluster", "left")
+    rows = members.where("not representative").join(annotations.select("id"), "id", "left_anti").join(of_cluster, "cluster")
+    said = F.coalesce("said", F.concat(F.lit("Cluster "), F.col("cluster").cast("string")))
+    return rows.select("id", "cluster", F.coalesce("emotion", F.lit("unknown")).alias("emotion"), F.coalesce("tags", F.lit("")).alias("tags"), F.coalesce("notes", F.array().cast("array<string>")).alias("notes"), F.concat(F.lit("[Inherited from cluster "), F.col("cluster").cast("string"), F.lit("] "), said).alias("summary"), "reps")
 
 
 def relinks(catalog: DataFrame, scanned: DataFrame) -> DataFrame:

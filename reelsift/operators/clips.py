@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.operators.greedy import independent
+from reelsift.operators.scans import Segments
 
 
 def sampling_grid(videos: DataFrame, step: int, longest: int) -> DataFrame:
@@ -34,10 +35,9 @@ def united(coarse: DataFrame, fine: DataFrame) -> DataFrame:
 
 def islands(frames: DataFrame, gap: float, threshold: float) -> DataFrame:
     """W-05: frames with the number of their island: a new one after a longer gap, or where either neighbour is below the threshold."""
-    w = Window.partitionBy("video").orderBy("ts", "frame")
-    broken = (F.col("ts") - F.lag("ts").over(w) > gap) | (F.col("score") < threshold) | (F.lag("score").over(w) < threshold)
-    rows = frames.withColumn("new", F.coalesce(broken, F.lit(True)).cast("long"))
-    return rows.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    broken = (F.col("ts") - F.col("__t") > gap) | (F.col("score") < threshold) | (F.col("__s") < threshold)
+    runs = Segments(frames, ["video"], ["ts", "frame"]).add(__t=("lag", "ts"), __s=("lag", "score")).map(__new=F.coalesce(broken, F.lit(True)).cast("long"))
+    return runs.add(island=("sum", "__new")).rows.drop("__t", "__s", "__new")
 
 
 def clips(frames: DataFrame, gap: float = 15.0, threshold: float = 0.3, longest: float = 24.0, peak: float = 0.0) -> DataFrame:
@@ -92,10 +92,11 @@ def temporal_dedup(clips_: DataFrame, min_gap: float) -> DataFrame:
 
 def export_quota(rows: DataFrame, ratio: float, most: int) -> DataFrame:
     """T-03, T-04: clips ranked within their video by score and id, down to the quota: the share, at most ``most`` if that is over 0, at least 1."""
-    w = Window.partitionBy("video")
-    quota = F.floor(F.count("*").over(w) * ratio)
+    size = rows.groupBy(F.col("video").alias("__video")).agg(F.count("*").alias("__size"))
+    quota = F.floor(F.col("__size") * ratio)
     quota = F.greatest(F.lit(1), F.least(quota, F.lit(most)) if most > 0 else quota)
-    return rows.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id"))).withColumn("quota", quota).where("rank <= quota")
+    ranked = Segments(rows, ["video"], [F.desc("score"), "id"]).add(rank=("count", "id")).rows
+    return ranked.join(size, F.col("video").eqNullSafe(F.col("__video"))).withColumn("quota", quota).where("rank <= quota").drop("__video", "__size")
 
 
 def histogram(rows: DataFrame) -> DataFrame:
@@ -108,9 +109,9 @@ def histogram(rows: DataFrame) -> DataFrame:
 
 def coverage(intervals: DataFrame, videos: DataFrame) -> DataFrame:
     """A-41, W-09: share of each video's duration that its intervals cover, at most 1; 0 for no duration."""
-    w = Window.partitionBy("video").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.greatest(F.lit(0.0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(w), F.col("start"))))
-    covered = intervals.where("end > start").select("video", fresh.alias("fresh")).groupBy("video").agg(F.sum("fresh").alias("covered"))
+    fresh = F.greatest(F.lit(0.0), F.col("end") - F.greatest("start", F.coalesce("__upto", F.col("start"))))
+    runs = Segments(intervals.where("end > start").select("video", "start", "end"), ["video"], ["start", "end"]).add(__upto=("max_before", "end")).rows
+    covered = runs.select("video", fresh.alias("fresh")).groupBy("video").agg(F.sum("fresh").alias("covered"))
     share = F.when(F.col("duration") > 0, F.least(F.lit(1.0), F.coalesce("covered", F.lit(0.0)) / F.col("duration"))).otherwise(0.0)
     return videos.join(covered, "video", "left").select("video", F.round(share, 6).alias("coverage"))
 
@@ -129,5 +130,6 @@ def overlaps(windows: DataFrame, intervals: DataFrame, width: float = 600.0) ->
 
 def thumbnails(spans: DataFrame, budget: int) -> DataFrame:
     """W-10: the first ``budget`` spans of a video that have a thumbnail keep it: scenes first, then the others by start."""
-    w = Window.partitionBy("video").orderBy(F.when(F.col("kind") == "scene", 0).otherwise(1), "start", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return spans.withColumn("shown", F.coalesce(F.col("thumb").isNotNull() & (F.count("thumb").over(w) <= budget), F.lit(False)))
+    order = [F.when(F.col("kind") == "scene", 0).otherwise(1), F.col("start"), F.col("id")]
+    rows = Segments(spans, ["video"], order).add(__n=("sum", F.col("thumb").isNotNull().cast("long"))).rows
+    return rows.withColumn("shown", F.col("thumb").isNotNull() & (F.col("__n") <= budget)).drop("__n")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import IsotonicRegression
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelsift.operators.greedy import shared_checkpoints
+from reelsift.operators.scans import PART, Segments, first_at_or_above
 
 
 def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:
@@ -28,43 +32,118 @@ def auc(rows: DataFrame, buckets: int = 64) -> DataFrame:
     return sums.select(F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("wins") / (F.col("p") * F.col("n"))).otherwise(0.5), 6).alias("auc"), F.coalesce("p", F.lit(0)).alias("positives"), F.coalesce("n", F.lit(0)).alias("negatives"))
 
 
-def describe(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A-29: least, greatest, mean, and quartiles by linear interpolation, of each group's scores."""
-    q = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    r = lambda c, name: F.round(c, 6).alias(name)
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.avg("score").alias("mean"), q.alias("q"))
-    return out.select(*keys, "n", r(F.col("lo"), "least"), r(F.col("hi"), "greatest"), r(F.col("mean"), "mean"), r(F.col("q")[0], "p25"), r(F.col("q")[1], "median"), r(F.col("q")[2], "p75"))
+def order_statistics(rows: DataFrame, keys: list[str], wanted: DataFrame, bins: int = 256) -> DataFrame:
+    """The value ``score`` at each ``rank`` (from 0) of a group that ``wanted(*keys, rank, lo, hi)`` asks for; lo and hi bound the group.
+
+    A pass counts the scores of the open ranges in ``bins`` bins, of all groups and ranks at once, and goes on in the bin that
+    holds the rank; of each bin the least and greatest score that are there are known, so that a range closes on one value. No
+    task or row ever holds the scores of a group.
+    """
+    shared_checkpoints(rows.sparkSession)
+    named = [F.col(k).alias(f"__{k}") for k in keys]
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True))
+    scores = rows.select(*keys, F.col("score").cast("double").alias("score")).where("score is not null")
+    open_ = wanted.select(*named, F.col("rank").cast("long").alias("rank"), F.col("rank").cast("long").alias("left"), "lo", "hi").checkpoint()
+    done = None
+    while True:
+        ready = open_.where("lo = hi").select(*[F.col(f"__{k}").alias(k) for k in keys], "rank", F.col("lo").alias("score"))
+        done = ready if done is None else done.union(ready)
+        open_ = open_.where("lo < hi")
+        if open_.isEmpty():
+            return done
+        # A range's bins by halves of the range cannot overflow, and rise with the score, whatever the rounding.
+        bin_ = F.least(F.floor((F.col("score") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1))
+        ranges = open_.select(*[f"__{k}" for k in keys], "lo", "hi").distinct()
+        counts = scores.join(ranges, same & (F.col("score") >= F.col("lo")) & (F.col("score") <= F.col("hi"))).groupBy(*[f"__{k}" for k in keys], "lo", "hi", bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"))
+        w = Window.partitionBy(*[f"__{k}" for k in keys], "lo", "hi").orderBy("bin")
+        counts = counts.withColumn("upto", F.sum("n").over(w)).select(*[F.col(f"__{k}").alias(f"k_{k}") for k in keys], F.col("lo").alias("k_lo"), F.col("hi").alias("k_hi"), "n", "upto", "least", "most")
+        hit = reduce(lambda x, y: x & y, [F.col(f"__{k}").eqNullSafe(F.col(f"k_{k}")) for k in keys], (F.col("lo") == F.col("k_lo")) & (F.col("hi") == F.col("k_hi")) & (F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("n")))
+        open_ = open_.join(counts, hit).select(*[f"__{k}" for k in keys], "rank", (F.col("left") - F.col("upto") + F.col("n")).alias("left"), F.col("least").alias("lo"), F.col("most").alias("hi")).checkpoint()
 
 
-def calibrator(rows: DataFrame) -> DataFrame:
-    """A-27: right edges and values of an isotonic step function."""
-    pooled = rows.groupBy("score").agg(F.avg(F.col("label").cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
-    model = IsotonicRegression(featuresCol="score", weightCol="weight").fit(pooled.select("score", "label", "weight"))
-    edges = list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()))
-    steps = [e for i, e in enumerate(edges) if i + 1 == len(edges) or edges[i + 1][1] != e[1]]
-    return rows.sparkSession.createDataFrame(steps, "edge double, value double")
+def describe(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A-29: least, greatest, mean, and exact quartiles by linear interpolation, of each group's scores."""
+    shared_checkpoints(rows.sparkSession)
+    r = lambda c, name: F.round(c, 6).alias(name)
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count("score").alias("m"), F.min("score").cast("double").alias("lo"), F.max("score").cast("double").alias("hi"), F.avg("score").alias("mean")).checkpoint()
+    places = stats.where("m > 0").select(*keys, "lo", "hi", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), (F.lit(q) * (F.col("m") - 1)).alias("at")) for q in (0.25, 0.5, 0.75)])).alias("p")).select(*keys, "lo", "hi", "p.*")
+    ranks = places.select(*keys, "lo", "hi", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
+    values = order_statistics(rows, keys, ranks).withColumnsRenamed({k: f"v_{k}" for k in keys})
+    of = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"v_{k}")) for k in keys], F.lit(True))
+    near = places.join(values, of & ((F.col("rank") == F.floor("at")) | (F.col("rank") == F.ceil("at"))))
+    ends = near.groupBy(*keys, "q", "at").agg(F.min_by("score", "rank").alias("a"), F.max_by("score", "rank").alias("b"))
+    value = F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))
+    quartiles = ends.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == q, value)).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)]).withColumnsRenamed({k: f"w_{k}" for k in keys})
+    out = stats.join(quartiles, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in keys]), "left")
+    return out.select(*keys, "n", r(F.col("lo"), "least"), r(F.col("hi"), "greatest"), r(F.col("mean"), "mean"), r(F.col("q25"), "p25"), r(F.col("q50"), "median"), r(F.col("q75"), "p75"))
+
+
+def _hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The corners of each group's points, which come in order; only corners are held."""
+    group, corners = None, []
+    for rows in batches:
+        for g, k, s in zip(rows["g"].tolist(), rows["k"].tolist(), rows["s"].tolist()):
+            if g != group:
+                if corners:
+                    yield pd.DataFrame({"g": group, "k": [x for x, _ in corners], "s": [y for _, y in corners]})
+                group, corners = g, []
+            corners.append((k, s))
+            while len(corners) > 2 and (corners[-2][1] - corners[-3][1]) * (k - corners[-2][0]) >= (s - corners[-2][1]) * (corners[-2][0] - corners[-3][0]):
+                corners.pop(-2)
+    if corners:
+        yield pd.DataFrame({"g": group, "k": [x for x, _ in corners], "s": [y for _, y in corners]})
+
+
+def calibrator(rows: DataFrame, parts: int | None = None, fan: int = 16) -> DataFrame:
+    """A-27: right edges, values and sizes of the pools of an isotonic step function of integer labels; equal scores are one point.
+
+    Pools are what lies between neighbouring points at which the running sum of labels touches the greatest convex function
+    below it, so that equal neighbours stay apart. Each range of scores gives the corners of its own; those of ``fan`` ranges
+    merge, until one set is left: with n points about n ** (2/3) corners at most. Which points lie on a side of it is decided
+    by an as-of join.
+    """
+    shared_checkpoints(rows.sparkSession)
+    points = rows.where("score is not null and label is not null").groupBy("score").agg(F.count("*").alias("c"), F.sum(F.col("label").cast("long")).alias("y"))
+    placed = Segments(points, [], ["score"], parts).add(k=("sum", "c"), s=("sum", "y"))
+    points = placed._rows.checkpoint()
+    sets = points.select(F.col(PART).alias("g"), "k", "s")
+    hull, n = sets.repartition("g").sortWithinPartitions("g", "k").mapInPandas(_hulls, "g int, k long, s long"), (points.agg(F.max(PART)).first()[0] or 0) + 1
+    while n > 1:
+        hull, n = hull.select(F.floor(F.col("g") / fan).cast("int").alias("g"), "k", "s").repartition("g").sortWithinPartitions("g", "k").mapInPandas(_hulls, "g int, k long, s long").checkpoint(), -(-n // fan)
+    # The origin is the first corner of all.
+    origin = rows.sparkSession.createDataFrame([(0, 0, 0)], "g int, k long, s long")
+    hull = hull.select(F.lit(0).alias("g"), "k", "s").union(origin).repartition("g").sortWithinPartitions("g", "k").mapInPandas(_hulls, "g int, k long, s long").checkpoint()
+    sides = Segments(hull, [], ["k"]).add(before=("lag", F.struct("k", "s"))).rows.where("before is not null")
+    events = points.select("k", F.struct("score", "s").alias("point"), F.lit(None).cast("struct<k0:bigint,s0:bigint,k1:bigint,s1:bigint>").alias("side"))
+    events = events.union(sides.select("k", F.lit(None).cast(points.select(F.struct("score", "s")).schema[0].dataType).alias("point"), F.struct(F.col("before.k").alias("k0"), F.col("before.s").alias("s0"), F.col("k").alias("k1"), F.col("s").alias("s1"))))
+    met = Segments(events, [], [F.desc("k"), F.col("point").isNotNull()]).add(on=("last", "side")).rows.where("point is not null")
+    touches = (F.col("point.s") - F.col("on.s0")) * (F.col("on.k1") - F.col("on.k0")) == (F.col("on.s1") - F.col("on.s0")) * (F.col("k") - F.col("on.k0"))
+    pools = met.where(touches).select("k", F.col("point.score").alias("edge"), ((F.col("on.s1") - F.col("on.s0")) / (F.col("on.k1") - F.col("on.k0"))).alias("value"))
+    pools = Segments(pools, [], ["k"]).add(last=("lag", "k")).rows
+    return pools.select("edge", "value", (F.col("k") - F.coalesce("last", F.lit(0))).alias("n"))
 
 
 def calibrated(rows: DataFrame, steps: DataFrame) -> DataFrame:
-    """H-09: the value at the first edge not below the score, else the last value. Steps are at most as many as pools."""
-    table = steps.agg(F.array_sort(F.collect_list(F.struct("edge", "value"))).alias("steps"))
-    hit = F.filter("steps", lambda s: s.edge >= F.col("score"))
-    return rows.crossJoin(F.broadcast(table)).withColumn("probability", F.when(F.size(hit) > 0, F.try_element_at(hit, F.lit(1)).value).otherwise(F.try_element_at(F.col("steps"), F.lit(-1)).value)).drop("steps")
+    """H-09: the value at the first edge not below the score, else the last value."""
+    last = steps.agg(F.max("value").alias("__last"))
+    hit = first_at_or_above(rows, "score", steps, "edge", "value", "__value")
+    return hit.crossJoin(F.broadcast(last)).withColumn("probability", F.when(F.col("score").isNotNull(), F.coalesce("__value", "__last"))).drop("__value", "__last")
 
 
 def strategy(rows: DataFrame) -> DataFrame:
-    """A-30: how to turn scores ``(score, label)`` into decisions, from the calibrator's merging, the gap in the bin about one half,
-    the range of scores and the mean gap of the bins that have rows."""
-    total, pools = rows.count(), calibrator(rows).count() if rows.take(1) else 0
+    """A-30: how to turn scores ``(score, label)`` into decisions, from the share of points that the calibrator merges, the gap in
+    the bin about one half, the range of scores and the mean gap of the bins that have rows. Equal scores are one point."""
+    total = rows.agg(F.count("*").alias("n"), F.count_distinct("score").alias("points"), (F.max("score") - F.min("score")).alias("span"))
+    pools = calibrator(rows).agg(F.count("*").alias("pools"))
     curve = reliability(rows).where("n > 0").withColumn("gap", F.abs(F.col("mean_score") - F.col("positive_rate")))
     facts = curve.agg(F.avg("gap").alias("off"), F.max(F.when(F.col("bin") == 5, F.col("gap"))).alias("middle"))
-    span = rows.agg((F.max("score") - F.min("score")).alias("span"))
-    merged = 1 - pools / max(total, 1)
+    merged = 1 - F.col("pools") / F.greatest("points", F.lit(1))
     advice = (
-        F.when(F.lit(total < 10), "fixed-threshold (insufficient data for reliable calibration)").when(F.lit(merged > 0.3), "monotonic-calibration")
+        F.when(F.col("n") < 10, "fixed-threshold (insufficient data for reliable calibration)").when(merged > 0.3, "monotonic-calibration")
         .when(F.coalesce(F.col("middle") < 0.15, F.lit(False)), "fixed-threshold").when(F.col("span") < 0.3, "percentile-threshold").when(F.col("off") < 0.2, "fixed-threshold").otherwise("monotonic-calibration")
     )
-    return facts.crossJoin(span).select(F.lit(total).alias("n"), F.round(F.lit(merged), 6).alias("merge_ratio"), F.round("off", 6).alias("miscalibration"), advice.alias("advice"))
+    one_row = total.crossJoin(F.broadcast(pools)).crossJoin(F.broadcast(facts))
+    return one_row.select("n", "pools", F.round(merged, 6).alias("merge_ratio"), F.round("off", 6).alias("miscalibration"), advice.alias("advice"))
 
 
 def ndcg(rows: DataFrame, keys: list[str], k: int, linear: bool = False) -> DataFrame:

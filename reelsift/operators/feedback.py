@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelsift.operators.digest import digests
+from reelsift.operators.scans import Segments
 
 RATINGS = ["like", "dislike", "neutral", "skip", "quality_reject", "favorite"]
 #: The candidate status that a rating sets, and the weight of a rating in a profile.
@@ -51,10 +52,9 @@ def profile_events(events: DataFrame, mode: str = "resolved") -> DataFrame:
 
 def with_status(events: DataFrame, start: Column | str = "candidate") -> DataFrame:
     """W-03, W-16: status of the target after each event, and before it; ``start`` is its status before all, or a column of it."""
-    w = Window.partitionBy("target_id").orderBy("created_at", "event_id")
-    sets = events.withColumn("set", chosen(F.col("rating"), STATUS))
-    sets = sets.withColumn("status", F.coalesce(F.last("set", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(start)))
-    return sets.withColumn("previous_status", F.coalesce(F.last("set", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(start))).drop("set")
+    sets = events.withColumn("__set", chosen(F.col("rating"), STATUS))
+    runs = Segments(sets, ["target_id"], ["created_at", "event_id"]).add(__now=("last", "__set"), __before=("last_before", "__set")).rows
+    return runs.withColumns({"status": F.coalesce("__now", F.lit(start)), "previous_status": F.coalesce("__before", F.lit(start))}).drop("__set", "__now", "__before")
 
 
 def record(incoming: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -19,6 +19,12 @@ def shared_checkpoints(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="spark-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share, for tables that a job writes and reads again."""
+    shared_checkpoints(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
 def independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids of ``nodes(id)`` that a pass in order of priority keeps: each is kept unless a kept one comes before it on an edge.
 

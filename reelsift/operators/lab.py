@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelsift.operators.scans import Segments
+
 
 def run_status(items: DataFrame, key: str = "run") -> DataFrame:
     """A-09: status of a run from its items' statuses."""
@@ -117,8 +119,8 @@ def next_versions(current: DataFrame, refreshed: DataFrame) -> DataFrame:
     """W-15: ranked items of refreshed collections as new versions; frozen collections are left out."""
     last = current.groupBy("collection").agg(F.max("version").alias("v"), F.bool_or("frozen").alias("frozen"))
     rows = refreshed.join(last, "collection", "left").where("frozen is null or not frozen")
-    rank = F.row_number().over(Window.partitionBy("collection").orderBy(F.desc("score"), "id"))
-    return rows.select("collection", (F.coalesce("v", F.lit(0)) + 1).cast("long").alias("version"), rank.cast("long").alias("rank"), "id")
+    rows = Segments(rows, ["collection"], [F.desc("score"), "id"]).add(rank=("count", "id")).rows
+    return rows.select("collection", (F.coalesce("v", F.lit(0)) + 1).cast("long").alias("version"), F.col("rank").cast("long").alias("rank"), "id")
 
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:

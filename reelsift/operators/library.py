@@ -81,24 +81,54 @@ def status_counts(candidates: DataFrame, favorites: DataFrame) -> DataFrame:
     return shown_status(candidates, favorites).groupBy(F.col("shown").alias("status")).agg(F.count("*").alias("n"))
 
 
-def candidate_list(candidates: DataFrame, favorites: DataFrame, status: str | None = None, folder: str | None = None, limit: int = 100) -> DataFrame:
-    """P-07: a status view, newest first; the view of ``candidate`` has no favorites. ``folder`` is a prefix of the artifact's path."""
+def status_view(candidates: DataFrame, favorites: DataFrame, status: str = "all") -> DataFrame:
+    """P-07: candidates of a view, with the status they are shown with. ``candidate`` has those of that status that are no
+    favorites, ``favorited`` all favorites, any other the candidates of that stored status, favorites among them."""
     rows = shown_status(candidates, favorites)
-    if status:
-        rows = rows.where(F.col("shown") == status)
+    if status == "all":
+        return rows
+    if status == "favorited":
+        return rows.where("shown = 'favorited'")
+    rows = rows.where(F.col("status") == status)
+    return rows.where("shown <> 'favorited'") if status == "candidate" else rows
+
+
+def candidate_list(candidates: DataFrame, favorites: DataFrame, status: str = "all", folder: str | None = None, after: tuple | None = None, size: int | None = None) -> DataFrame:
+    """P-07: a status view, newest first: all of it, or a page of ``size`` rows after the ``(created_at, id)`` of the last row seen.
+    ``folder`` is what the artifact's path begins with, separated by a slash of either kind."""
+    rows = status_view(candidates, favorites, status)
     if folder:
-        rows = rows.where(F.startswith("artifact_path", F.lit(folder.rstrip("/") + "/")))
-    return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+        base = folder.rstrip("/\\")
+        inside = lambda p: F.startswith(F.translate("artifact_path", "\\", "/"), F.lit(p.replace("\\", "/") + "/"))
+        rows = rows.where(inside(base))
+    if after:
+        rows = rows.where(F.struct("created_at", "id") < F.struct(F.lit(after[0]).cast(rows.schema["created_at"].dataType), F.lit(after[1]).cast(rows.schema["id"].dataType)))
+    rows = rows.orderBy(F.desc("created_at"), F.desc("id"))
+    return rows.limit(size) if size else rows
 
 
-def folder_rollup(candidates: DataFrame, favorites: DataFrame, statuses: list[str]) -> DataFrame:
-    """A-04: per folder of artifacts: rows, those without file (``missing``) or path (``unmaterialized``), rows by shown status,
-    and depth. Rows without a path are in the folder ``(none)`` at depth 0."""
-    folder = F.coalesce(F.nullif(F.regexp_extract("artifact_path", r"^(.*)/[^/]*$", 1), F.lit("")), F.lit("(none)"))
-    rows = shown_status(candidates, favorites).withColumn("folder", folder)
+def folder_rollup(candidates: DataFrame, favorites: DataFrame, files: DataFrame, root: str, statuses: list[str], status: str = "all", suffix: str = ".gif") -> DataFrame:
+    """A-04: folders at or under ``root`` that hold the artifact of a row of the status view, or a file of the suffix without a row.
+
+    ``files(path)`` is what is there. Of each folder: n, rows whose file is not there (``missing``), files that no row of any
+    status names (``unmaterialized``, in the views of all and of candidates, where each counts as a candidate), and what there
+    is of each status as shown. Rows without a path, or with one elsewhere, are skipped. By depth, then name.
+    """
+    root = root.rstrip("/")
+    parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    named = candidates.where("artifact_path is not null").select(F.col("artifact_path").alias("path"))
+    there = files.select("path").distinct()
+    rows = status_view(candidates, favorites, status).select(F.col("artifact_path").alias("path"), "shown").where("path is not null")
+    found = rows.join(there.withColumn("there", F.lit(True)), "path", "left").select(parent.alias("folder"), F.col("shown"), F.col("there").isNull().alias("missing"), F.lit(False).alias("unmaterialized"))
+    if status in ("all", "candidate"):
+        alone = there.where(F.endswith(F.lower("path"), F.lit(suffix))).join(named, "path", "left_anti")
+        found = found.union(alone.select(parent, F.lit("candidate"), F.lit(False), F.lit(True)))
+    found = found.where((F.col("folder") == root) | F.startswith("folder", F.lit(root + "/")))
     counts = [F.count_if(F.col("shown") == s).alias(s) for s in statuses]
-    out = rows.groupBy("folder").agg(F.count("*").alias("n"), F.count_if(F.col("artifact_path").isNotNull() & ~F.col("exists")).alias("missing"), F.count_if(F.col("artifact_path").isNull()).alias("unmaterialized"), *counts)
-    return out.withColumn("depth", F.when(F.col("folder") == "(none)", 0).otherwise(F.size(F.split("folder", "/")) - 1).cast("long"))
+    out = found.groupBy("folder").agg(F.count("*").alias("n"), F.count_if("missing").alias("missing"), F.count_if("unmaterialized").alias("unmaterialized"), *counts)
+    relative = F.when(F.col("folder") == root, ".").otherwise(F.substr("folder", F.lit(len(root) + 2)))
+    out = out.withColumn("relative", relative).withColumn("depth", (F.length("relative") - F.length(F.replace("relative", F.lit("/"), F.lit("")))).cast("long"))
+    return out.orderBy("depth", F.lower("relative"))
 
 
 def profile_list(builds: DataFrame, publications: DataFrame) -> DataFrame:

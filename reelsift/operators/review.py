@@ -11,22 +11,54 @@ from pyspark.sql import functions as F
 
 from reelsift.functions.columns import cosine, min_max
 from reelsift.operators.greedy import shared_checkpoints
+from reelsift.operators.scans import Segments
+from reelsift.operators.vectors import weighted_mean
 
 
-def queue(rows: DataFrame, limit: int, ratios: tuple[float, float] = (0.7, 0.2), seed: int = 7) -> DataFrame:
-    """T-12, T-14: rows ``(id, source, score, probability, explore)`` to review: best scored, least certain, then explored.
+def queues(rows: DataFrame, key: str, limit: int, ratios: tuple[float, float] = (0.7, 0.2), seed: int = 7) -> DataFrame:
+    """T-12, T-14: a review queue for each ``key``: rows ``(id, key, source, score, probability)`` with ``explore``, or with
+    ``cluster`` and ``vector``, from which T-13 takes it after the other choices. Returns the key, id and bucket.
 
-    Earlier buckets exclude later ones; explored ones take an unseen source first. The buckets' sizes are fixed by the limit.
+    A queue holds ``limit`` rows, or all there are: int(n * ratio) of the best scored, then of the least certain, and the rest
+    explored, an unseen source first. Earlier buckets exclude later ones; each id once, so that quotas always fill. Of a hot
+    queue every task keeps no more rows than the limit before the shuffle.
     """
-    n1, n2 = int(limit * ratios[0]), int(limit * ratios[1])
-    best = rows.orderBy(F.desc("score"), "id").limit(n1).select("id", F.lit("exploit").alias("bucket"))
-    rest = rows.join(F.broadcast(best), "id", "left_anti")
-    unsure = rest.orderBy(F.abs(F.col("probability") - 0.5), "id").limit(n2).select("id", F.lit("uncertain").alias("bucket"))
-    rest = rest.join(F.broadcast(unsure), "id", "left_anti")
-    order = (F.desc("explore"), F.xxhash64(F.lit(seed), "id"), F.col("id"))
-    first = rest.groupBy("source").agg(F.min_by("id", F.struct(-F.col("explore"), F.xxhash64(F.lit(seed), "id"), "id")).alias("id")).select("id", F.lit(True).alias("first"))
-    rest = rest.join(first, "id", "left").orderBy(F.col("first").isNull(), *order).limit(limit - n1 - n2).select("id", F.lit("explore").alias("bucket"))
-    return best.union(unsure).union(rest)
+    rows = rows.dropDuplicates([key, "id"])
+    sizes = rows.groupBy(key).agg(F.least(F.lit(limit), F.count("*")).alias("n")).select(F.col(key).alias("__key"), (F.col("n") * ratios[0]).cast("int").alias("n1"), (F.col("n") * ratios[1]).cast("int").alias("n2"), "n")
+    shared_checkpoints(rows.sparkSession)
+    rows = rows.join(sizes, F.col(key).eqNullSafe(F.col("__key"))).drop("__key").checkpoint()
+    most = [int(limit * ratios[0]) + 1, int(limit * ratios[1]) + 1, limit]
+
+    def top(left: DataFrame, order: list, n, k: int, bucket: str) -> DataFrame:
+        ranked = left.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__r") <= most[k])
+        return ranked.where(F.col("__r") <= n).drop("__r").withColumn("bucket", F.lit(bucket)).checkpoint()
+
+    def without(left: DataFrame, gone: DataFrame) -> DataFrame:
+        gone = gone.select(F.col(key).alias("__key"), F.col("id").alias("__id"))
+        return left.join(gone, F.col(key).eqNullSafe(F.col("__key")) & (F.col("id") == F.col("__id")), "left_anti")
+
+    best = top(rows, [F.desc("score"), F.col("id")], F.col("n1"), 0, "exploit")
+    rest = without(rows, best)
+    unsure = top(rest, [F.abs(F.col("probability") - 0.5), F.col("id")], F.col("n2"), 1, "uncertain")
+    rest = without(rest, unsure)
+    if "explore" not in rows.columns:
+        taken = best.union(unsure).where("vector is not null")
+        own, all_ = (weighted_mean(taken.withColumnRenamed(key, "__key"), ["__key", *more]) for more in (["cluster"], []))
+        rest = rest.join(own.select(F.col("__key").alias("__k1"), F.col("cluster").alias("__c"), F.col("mean").alias("__own")), F.col(key).eqNullSafe(F.col("__k1")) & F.col("cluster").eqNullSafe(F.col("__c")), "left")
+        rest = rest.join(all_.select(F.col("__key").alias("__k2"), F.col("mean").alias("__all")), F.col(key).eqNullSafe(F.col("__k2")), "left")
+        gap = F.aggregate(F.zip_with("vector", F.coalesce("__own", "__all"), lambda a, b: (a - b) * (a - b)), F.lit(0.0).cast("double"), lambda s, x: s + x)
+        rest = rest.withColumn("explore", F.coalesce(F.sqrt(gap), F.lit(0.0))).drop("__k1", "__k2", "__c", "__own", "__all")
+    chance = F.xxhash64(F.lit(seed), "id")
+    of_source = Window.partitionBy(key, "source").orderBy(F.desc("explore"), chance, "id")
+    rest = rest.withColumn("__seen", F.row_number().over(of_source)).where(F.col("__seen") <= limit)
+    explored = top(rest, [(F.col("__seen") > 1), F.desc("explore"), chance, F.col("id")], F.col("n") - F.col("n1") - F.col("n2"), 2, "explore")
+    out = [x.select(key, "id", "bucket") for x in (best, unsure, explored)]
+    return out[0].union(out[1]).union(out[2])
+
+
+def queue(rows: DataFrame, limit: int, ratios: tuple[float, float] = (0.7, 0.2), seed: int = 7) -> DataFrame:
+    """T-12: one review queue of all rows, by ``queues``."""
+    return queues(rows.withColumn("queue", F.lit(0)), "queue", limit, ratios, seed).select("id", "bucket")
 
 
 def explore_scores(rows: DataFrame, centroids: DataFrame, overall: DataFrame) -> DataFrame:
@@ -146,7 +178,7 @@ def greedy_near(rows: DataFrame, threshold: float) -> DataFrame:
 
 def even_stride(frames: DataFrame, n: int) -> DataFrame:
     """W-18: every (count // n)th frame of a video, the first n of them."""
-    w = Window.partitionBy("video")
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / n))
-    rows = frames.withColumn("rn", F.row_number().over(w.orderBy("ts", "frame")) - 1).withColumn("step", step)
-    return rows.where((F.col("rn") % F.col("step") == 0) & (F.col("rn") / F.col("step") < n)).drop("step")
+    size = frames.groupBy(F.col("video").alias("__video")).agg(F.greatest(F.lit(1), F.floor(F.count("*") / n)).alias("step"))
+    rows = Segments(frames, ["video"], ["ts", "frame"]).add(rn=("count", "frame")).rows.withColumn("rn", F.col("rn") - 1)
+    rows = rows.join(size, F.col("video").eqNullSafe(F.col("__video")))
+    return rows.where((F.col("rn") % F.col("step") == 0) & (F.col("rn") / F.col("step") < n)).drop("step", "__video")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.functions.columns import clamp, dot, unit
+from reelsift.operators.greedy import shared_checkpoints
 
 WORD = "[^\\p{L}\\p{N}]+"
 
@@ -45,27 +46,16 @@ def postings(docs: DataFrame) -> DataFrame:
     return rows.select("id", "length", F.explode("words").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 
-def text_rank(index: DataFrame, terms: list[str], docs: int, mean_length: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """T-02: BM25 of the documents that hold all terms, as score / (1 + score). ``docs`` and ``mean_length`` describe the corpus."""
-    wanted = sorted(set(terms))
-    hits = index.where(F.col("term").isin(wanted))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_length))
-    rows = hits.join(F.broadcast(df), "term").groupBy("id").agg(F.count("*").alias("n"), F.sum(part).alias("bm25")).where(F.col("n") == len(wanted))
-    return rows.select("id", F.round(F.col("bm25") / (1 + F.col("bm25")), 6).alias("score"))
-
-
 def text_scores(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """T-02 without an index: BM25 of ``docs(id, text)`` that hold all terms, as score / (1 + score).
 
     One scan of the texts counts each one's words and the wanted terms alone; figures of the corpus come from these counts.
     """
     wanted = sorted(set(terms))
-    is_ = lambda term: lambda w: w == term
-    words = F.filter(F.split(F.lower("text"), WORD), lambda w: w != "")
-    rows = docs.where("text is not null").select("id", words.alias("words"))
-    rows = rows.select("id", F.size("words").alias("length"), *[F.size(F.filter("words", is_(term))).alias(f"tf{i}") for i, term in enumerate(wanted)]).checkpoint()
+    shared_checkpoints(docs.sparkSession)
+    rows = docs.where("text is not null").select("id", F.split(F.lower("text"), WORD).alias("words"))
+    without = lambda term: F.size(F.array_remove("words", term))
+    rows = rows.select("id", without("").alias("length"), *[(F.size("words") - without(term)).alias(f"tf{i}") for i, term in enumerate(wanted)]).checkpoint()
     tf = [F.col(f"tf{i}") for i in range(len(wanted))]
     corpus = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *[F.count_if(x > 0).alias(f"df{i}") for i, x in enumerate(tf)])
     part = lambda i, x: F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * x * (k1 + 1) / (x + k1 * (1 - b + b * F.col("length") / F.col("mean")))
@@ -82,9 +72,15 @@ def paged(rows: DataFrame, order: list[Column], size: int = 24, offset: int = 0)
     return page.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + size)
 
 
-def blended(lexical: DataFrame, vectors: DataFrame, query: list[float], weight: float = 0.5) -> DataFrame:
-    """T-02, J-09: lexical score and similarity of the query's vector, of the same dimension, blended."""
+def blended(lexical: DataFrame, vectors: DataFrame, query: list[float], weight: float = 0.5, semantic: bool = False) -> DataFrame:
+    """T-02, J-09: lexical score and similarity of the query's vector, of the same dimension, blended.
+
+    A row without a vector counts as at similarity 0, and keeps its full lexical score only where no hit has a vector. With
+    ``semantic`` (D3) rows that have a vector but no lexical hit are found too.
+    """
     same = vectors.where(F.size("vector") == len(query))
     near = same.select("id", clamp(dot(unit(F.col("vector")), unit(F.array(*map(F.lit, query))))).alias("near"))
-    rows = lexical.join(near, "id", "left").select("id", F.round(F.when(F.col("near").isNotNull(), (1 - weight) * F.col("score") + weight * F.col("near")).otherwise(F.col("score")), 6).alias("score"))
-    return rows
+    rows = lexical.join(near, "id", "full" if semantic else "left")
+    some = rows.agg((F.count("near") > 0).alias("some"))
+    both = (1 - weight) * F.coalesce("score", F.lit(0.0)) + weight * F.coalesce("near", F.lit(0.0))
+    return rows.crossJoin(F.broadcast(some)).select("id", F.round(F.when(F.col("some"), both).otherwise(F.col("score")), 6).alias("score"))

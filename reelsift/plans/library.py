@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.operators import evaluate, library, search
+from reelsift.operators.greedy import shared_folder
+from reelsift.operators.text_index import TextIndex
 from reelsift.plans import registry as r
 from reelsift.plans import tables as t
 
@@ -94,21 +100,46 @@ def _library(spark, d):
     return rows, rows.where("id % 6 = 0").select("id")
 
 
-@r.query(f"WITH {_LIB} SELECT id, shown, artifact_path AS path FROM lib WHERE shown = 'candidate' ORDER BY id DESC LIMIT 100")
+_VIEWS = ["all", "candidate", "favorited", "liked", "promoted", "archived"]
+_OF_VIEW = "(v = 'all' OR (v = 'candidate' AND status = 'candidate' AND NOT fav) OR (v = 'favorited' AND fav) OR (v NOT IN ('all', 'candidate', 'favorited') AND status = v))"
+_ROWS = "rw AS (SELECT *, id % 6 = 0 AS fav FROM lib), vw AS (SELECT unnest(['all', 'candidate', 'favorited', 'liked', 'promoted', 'archived']) AS v)"
+
+
+@r.query(f"WITH {_LIB}, {_ROWS} SELECT v AS view, id, CASE WHEN fav THEN 'favorited' ELSE status END AS shown, artifact_path AS path FROM rw, vw WHERE {_OF_VIEW}")
 def candidate_list(spark, d):
-    return library.candidate_list(*_library(spark, d), "candidate").select("id", "shown", "path")
+    """Every status view, favorites in each that has them."""
+    views = [library.candidate_list(*_library(spark, d), view).select(F.lit(view).alias("view"), "id", "shown", "path") for view in _VIEWS]
+    return reduce(DataFrame.union, views)
 
 
-@r.query(f"WITH {_LIB} SELECT id, shown FROM lib WHERE artifact_path LIKE '/clips/Brand#13/%' ORDER BY id DESC LIMIT 100")
+@r.query(f"WITH {_LIB}, {_ROWS} SELECT id, CASE WHEN fav THEN 'favorited' ELSE status END AS shown FROM rw WHERE status = 'liked' AND id < 150 ORDER BY id DESC LIMIT 24")
+def candidate_page(spark, d):
+    return library.candidate_list(*_library(spark, d), "liked", after=(150, 150), size=24).select("id", "shown")
+
+
+@r.query(f"WITH {_LIB} SELECT id, shown FROM lib WHERE artifact_path LIKE '/clips/Brand#13/%'")
 def folder_candidates(spark, d):
     return library.candidate_list(*_library(spark, d), folder="/clips/Brand#13").select("id", "shown")
 
 
-@r.query(f"""WITH {_LIB}, f AS (SELECT *, coalesce(regexp_extract(artifact_path, '^(.*)/[^/]*$', 1), '(none)') AS folder FROM lib)
-SELECT folder, count(*) AS n, count(*) FILTER (artifact_path IS NOT NULL AND NOT exists) AS missing, count(*) FILTER (artifact_path IS NULL) AS unmaterialized, count(*) FILTER (shown = 'candidate') AS candidate,
- count(*) FILTER (shown = 'liked') AS liked, count(*) FILTER (shown = 'favorited') AS favorited, CASE WHEN folder = '(none)' THEN 0 ELSE length(folder) - length(replace(folder, '/', '')) END AS depth FROM f GROUP BY 1""")
+_FILES = """fi AS (SELECT artifact_path AS path FROM lib WHERE artifact_path IS NOT NULL AND id % 7 <> 0 UNION ALL SELECT '/clips/new/' || (p_size % 4) || '/' || p_partkey || '.GIF' FROM part WHERE p_partkey % 11 = 0
+ UNION ALL SELECT '/clips/' || p_partkey || '.gif' FROM part WHERE p_partkey % 17 = 0 UNION ALL SELECT '/clips/' || p_partkey || '.txt' FROM part WHERE p_partkey % 13 = 0 UNION ALL SELECT '/other/' || p_partkey || '.gif' FROM part WHERE p_partkey % 13 = 1)"""
+
+
+@r.query(f"""WITH {_LIB}, {_ROWS}, {_FILES}, fv AS (SELECT * FROM vw WHERE v IN ('all', 'candidate', 'liked')),
+e AS (SELECT v, regexp_extract(artifact_path, '^(.*)/[^/]*$', 1) AS folder, CASE WHEN fav THEN 'favorited' ELSE status END AS shown, artifact_path NOT IN (SELECT path FROM fi) AS missing, false AS alone FROM rw, fv WHERE artifact_path IS NOT NULL AND {_OF_VIEW}
+ UNION ALL SELECT v, regexp_extract(path, '^(.*)/[^/]*$', 1), 'candidate', false, true FROM fi, fv WHERE v IN ('all', 'candidate') AND lower(path) LIKE '%.gif' AND path NOT IN (SELECT artifact_path FROM lib WHERE artifact_path IS NOT NULL))
+SELECT v AS view, CASE WHEN folder = '/clips' THEN '.' ELSE substr(folder, 8) END AS relative, count(*) AS n, count(*) FILTER (missing) AS missing, count(*) FILTER (alone) AS unmaterialized, count(*) FILTER (shown = 'candidate') AS candidate, count(*) FILTER (shown = 'liked') AS liked,
+ count(*) FILTER (shown = 'favorited') AS favorited, CASE WHEN folder = '/clips' THEN 0 ELSE length(substr(folder, 8)) - length(replace(substr(folder, 8), '/', '')) END AS depth FROM e WHERE folder = '/clips' OR folder LIKE '/clips/%' GROUP BY v, folder""")
 def folder_rollup(spark, d):
-    return library.folder_rollup(*_library(spark, d), ["candidate", "liked", "favorited"])
+    rows, favorites = _library(spark, d)
+    k, p = F.col("p_partkey"), t.table(spark, d, "part")
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    files = rows.where("artifact_path is not null and exists").select(F.col("artifact_path").alias("path"))
+    for rest, path in ((k % 11 == 0, text("/clips/new/", F.col("p_size") % 4, "/", k, ".GIF")), (k % 17 == 0, text("/clips/", k, ".gif")), (k % 13 == 0, text("/clips/", k, ".txt")), (k % 13 == 1, text("/other/", k, ".gif"))):
+        files = files.union(p.where(rest).select(path))
+    views = [library.folder_rollup(rows, favorites, files, "/clips/", ["candidate", "liked", "favorited"], view).withColumn("view", F.lit(view)) for view in ("all", "candidate", "liked")]
+    return reduce(DataFrame.union, views).drop("folder")
 
 
 @r.query("WITH p AS (SELECT s_suppkey AS version FROM supplier WHERE s_suppkey % 4 = 0 ORDER BY s_acctbal DESC, version DESC LIMIT 1) SELECT s_suppkey AS version, s_suppkey IN (SELECT version FROM p) AS current, s_nationkey % 2 = 0 AS publishable FROM supplier")
@@ -256,7 +287,7 @@ def holdout_report(spark, d):
 @r.query(f"""WITH {r._POSTINGS}, {t.VECTORS}, h AS (SELECT * FROM po WHERE term = 'the'), k AS (SELECT count(*) AS n, avg(len(ws)) AS m, (SELECT count(*) FROM h) AS df FROM w WHERE ws IS NOT NULL),
 s AS (SELECT h.id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m)) AS x FROM h, k),
 q AS (SELECT vector AS q FROM vec WHERE id = 7), b AS (SELECT s.id, round(x / (1 + x), 6) AS score, CASE WHEN v.vector IS NOT NULL THEN greatest(0, least(1, {r._COS.format(a="v.vector", b="q.q")})) END AS near FROM s JOIN documents d ON d.doc_id = s.id AND d.lang = 'en' CROSS JOIN q LEFT JOIN vec v ON v.id = s.id),
-f AS (SELECT id, round(CASE WHEN near IS NULL THEN score ELSE 0.5 * score + 0.5 * near END, 6) AS score FROM b)
+f AS (SELECT id, round(CASE WHEN (SELECT count(near) FROM b) = 0 THEN score ELSE 0.5 * score + 0.5 * coalesce(near, 0) END, 6) AS score FROM b)
 SELECT id, score, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 34 AS has_more FROM f ORDER BY score DESC, id LIMIT 24 OFFSET 10""")
 def library_search(spark, d):
     """Filter, text and vector in one, a page of it."""
@@ -267,3 +298,18 @@ def library_search(spark, d):
     scores = search.text_scores(docs, ["the"]).join(english, "id", "left_semi")
     found = search.blended(scores, v, [float(x) for x in like.vector]) if like else scores
     return search.paged(found, [F.desc("score"), F.col("id")], 24, 10)
+
+
+_INDEXED = """dd AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 3 THEN 'the that then ' || left(text, 200) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 4),
+w AS (SELECT id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM dd), po AS (SELECT id, len(ws) AS length, term, count(*) AS tf FROM (SELECT id, ws, unnest(ws) AS term FROM w) GROUP BY id, len(ws), term)"""
+
+
+@r.query(f"WITH {_INDEXED}, h AS (SELECT * FROM po WHERE term IN ('the', 'that')), f AS (SELECT term, count(*) AS df FROM h GROUP BY 1), k AS (SELECT count(*) AS n, avg(len(ws)) AS m FROM w WHERE ws IS NOT NULL), s AS (SELECT id, count(*) AS c, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m))) AS x FROM h JOIN f USING (term), k GROUP BY 1) SELECT id, round(x / (1 + x), 6) AS score FROM s WHERE c = 2")
+def indexed_search(spark, d):
+    """Search served by an index that has come about in three increments: documents, changes of some, deletions of others."""
+    docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit(1).alias("seq"))
+    index = TextIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.add(docs, "a-documents")
+    index.add(docs.where("id % 10 = 3").select("id", F.concat(F.lit("the that then "), F.substring("text", 1, 200)).alias("text"), F.lit(2).alias("seq")), "b-changes")
+    index.add(docs.where("id % 10 = 4").select("id", F.lit(None).cast("string").alias("text"), F.lit(2).alias("seq")), "c-deletions")
+    return index.search(["the", "that"])

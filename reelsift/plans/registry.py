@@ -251,13 +251,22 @@ def source_overlap(spark, d):
     return evaluate.source_overlap(j.where("id % 3 <> 0 and source < 15"), j.where("id % 3 = 0"))
 
 
-@query()
+#: Pools: a point ends one if no chord over it runs below it.
+_POOLS = f"""{t.LABELLED}, pt AS (SELECT score, count(*) AS c, sum(label)::BIGINT AS y FROM lb GROUP BY 1), cu AS (SELECT score, (sum(c) OVER w)::BIGINT AS k, (sum(y) OVER w)::BIGINT AS s FROM pt WINDOW w AS (ORDER BY score)),
+al AS (SELECT k, s FROM cu UNION ALL SELECT 0, 0), up AS (SELECT b.k, max((b.s - a.s)::DOUBLE / (b.k - a.k)) AS m FROM cu b JOIN al a ON a.k < b.k GROUP BY 1), dn AS (SELECT b.k, min((a.s - b.s)::DOUBLE / (a.k - b.k)) AS m FROM cu b JOIN cu a ON a.k > b.k GROUP BY 1),
+po AS (SELECT cu.score AS edge, cu.k, cu.s FROM cu JOIN up USING (k) LEFT JOIN dn USING (k) WHERE dn.m IS NULL OR up.m <= dn.m), st AS (SELECT edge, (s - lag(s, 1, 0) OVER (ORDER BY k))::DOUBLE / (k - lag(k, 1, 0) OVER (ORDER BY k)) AS value FROM po)"""
+
+
+@query(f"WITH {_POOLS}, la AS (SELECT max(value) AS v FROM st) SELECT id, round(coalesce((SELECT min(value) FROM st WHERE edge >= lb.score), v), 6) AS probability FROM lb, la")
 def calibrated_scores(spark, d):
     rows = t.labelled(spark, d)
     return evaluate.calibrated(rows, evaluate.calibrator(rows)).select("id", F.round("probability", 6).alias("probability"))
 
 
-@query()
+@query(f"""WITH {_POOLS}, b AS (SELECT least(greatest(floor(score * 10), 0), 9) AS bin, abs(round(avg(score), 6) - round(avg(label), 6)) AS gap FROM lb GROUP BY 1), f AS (SELECT avg(gap) AS off, max(gap) FILTER (bin = 5) AS middle FROM b),
+g AS (SELECT (SELECT count(*) FROM lb) AS n, (SELECT count(*) FROM st) AS pools, (SELECT count(*) FROM pt) AS points, (SELECT max(score) - min(score) FROM lb) AS span, f.* FROM f), h AS (SELECT *, 1 - pools / points AS merged FROM g)
+SELECT n, pools, round(merged, 6) AS merge_ratio, round(off, 6) AS miscalibration, CASE WHEN n < 10 THEN 'fixed-threshold (insufficient data for reliable calibration)' WHEN merged > 0.3 THEN 'monotonic-calibration' WHEN middle < 0.15 THEN 'fixed-threshold'
+ WHEN span < 0.3 THEN 'percentile-threshold' WHEN off < 0.2 THEN 'fixed-threshold' ELSE 'monotonic-calibration' END AS advice FROM h""")
 def calibration_advice(spark, d):
     return evaluate.strategy(t.labelled(spark, d))
 
@@ -352,12 +361,17 @@ def cluster_representatives(spark, d):
     return catalog.representatives(p).select("cluster", "id", F.col("rn").cast("long").alias("rn"))
 
 
-@query("""WITH m AS (SELECT p_partkey AS id, p_brand AS cluster, p_type AS emotion, p_name AS tag FROM part), k AS (SELECT * FROM m WHERE id % 3 = 0), c AS (SELECT cluster, emotion, count(*) AS n FROM k GROUP BY 1, 2),
-e AS (SELECT cluster, arg_min(emotion, (-n, emotion)) AS emotion FROM c GROUP BY 1), g AS (SELECT cluster, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM k GROUP BY 1)
-SELECT id, cluster, emotion, tags FROM m JOIN e USING (cluster) LEFT JOIN g USING (cluster) WHERE id % 3 <> 0""".replace("SELECT id, cluster, emotion, tags FROM m JOIN e USING (cluster)", "SELECT m.id, m.cluster, e.emotion, g.tags FROM m JOIN e USING (cluster)").replace("WHERE id % 3 <> 0", "WHERE m.id % 3 <> 0"))
+@query("""WITH m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 23 <> 0 THEN p_brand END AS cluster, p_partkey % 3 = 0 AS rep, CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS emotion, [p_name, p_brand || ' note', p_type] AS notes, p_name AS tag, CASE WHEN p_partkey % 6 = 0 THEN p_name || ' seen' END AS summary, p_partkey % 5 <> 0 AS annotated FROM part),
+k AS (SELECT * FROM m WHERE rep AND annotated AND cluster IS NOT NULL), c AS (SELECT cluster, emotion, count(*) AS n FROM k WHERE emotion IS NOT NULL GROUP BY 1, 2), e AS (SELECT cluster, arg_min(emotion, (-n, emotion)) AS emotion FROM c GROUP BY 1),
+g AS (SELECT cluster, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, count(*) AS reps FROM k GROUP BY 1),
+n1 AS (SELECT cluster, id, unnest(notes) AS note, generate_subscripts(notes, 1) AS pos FROM k), n2 AS (SELECT cluster, note, min(id * 10 + pos) AS place FROM n1 GROUP BY 1, 2), n3 AS (SELECT cluster, string_agg(note, ';' ORDER BY place) AS notes FROM (SELECT * FROM n2 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY place) <= 4) GROUP BY 1),
+u AS (SELECT cluster, string_agg(summary, ' | ' ORDER BY id) AS said FROM (SELECT * FROM k WHERE summary IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY id) <= 2) GROUP BY 1)
+SELECT m.id, m.cluster, coalesce(e.emotion, 'unknown') AS emotion, g.tags, n3.notes, '[Inherited from cluster ' || m.cluster || '] ' || coalesce(u.said, 'Cluster ' || m.cluster) AS summary, g.reps
+FROM m JOIN g ON m.cluster = g.cluster LEFT JOIN e ON e.cluster = m.cluster LEFT JOIN n3 ON n3.cluster = m.cluster LEFT JOIN u ON u.cluster = m.cluster WHERE NOT rep AND NOT annotated""")
 def inherited_labels(spark, d):
-    p = t.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("cluster"), F.col("p_type").alias("emotion"), F.array("p_name").alias("tags"))
-    return catalog.inherit(p.where("id % 3 = 0").select("id", "emotion", "tags"), p.select("id", "cluster"))
+    k = F.col("p_partkey")
+    p = t.table(spark, d, "part").select(k.alias("id"), F.when(k % 23 != 0, F.col("p_brand")).alias("cluster"), (k % 3 == 0).alias("representative"), F.when(k % 4 != 0, F.col("p_type")).alias("emotion"), F.array("p_name", F.concat("p_brand", F.lit(" note")), "p_type").alias("notes"), F.array("p_name").alias("tags"), F.when(k % 6 == 0, F.concat("p_name", F.lit(" seen"))).alias("summary"))
+    return catalog.inherit(p.where("id % 5 <> 0").drop("cluster", "representative"), p.select("id", "cluster", "representative")).withColumn("notes", F.array_join("notes", ";"))
 
 
 def _outline(text):
@@ -441,9 +455,29 @@ def _review(spark, d):
     return c.select("id", "source", F.col("base").alias("score"), (F.col("id") * 53 % 101 / 101).alias("probability"), (F.col("id") * 29 % 89 / 89).alias("explore"))
 
 
-@query()
+_CHOSEN = """n AS (SELECT {key} AS q, least({limit}, count(*)) AS n FROM c GROUP BY 1), z AS (SELECT q, n, floor(n * 0.7::DOUBLE) AS n1, floor(n * 0.2::DOUBLE) AS n2 FROM n),
+x1 AS (SELECT q, id, vector, label FROM c JOIN z ON z.q = {key} QUALIFY row_number() OVER (PARTITION BY q ORDER BY base DESC, id) <= any_value(n1) OVER (PARTITION BY q)),
+x2 AS (SELECT q, id, vector, label FROM c JOIN z ON z.q = {key} WHERE id NOT IN (SELECT id FROM x1) QUALIFY row_number() OVER (PARTITION BY q ORDER BY abs(p - 0.5), id) <= any_value(n2) OVER (PARTITION BY q))"""
+
+
+@query(f"""WITH {t.CANDIDATES}, c AS (SELECT id, id % 20 AS source, base, (id * 53 % 101)::DOUBLE / 101 AS p, (id * 29 % 89)::DOUBLE / 89 + id::DOUBLE / 1e9 AS explore, NULL AS vector, 0 AS label FROM cand), {_CHOSEN.format(key="0", limit=50)},
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY explore DESC) AS k FROM c WHERE id NOT IN (SELECT id FROM x1) AND id NOT IN (SELECT id FROM x2)), x3 AS (SELECT id FROM r, z QUALIFY row_number() OVER (ORDER BY k > 1, explore DESC) <= any_value(n - n1 - n2) OVER ())
+SELECT id, 'exploit' AS bucket FROM x1 UNION ALL SELECT id, 'uncertain' FROM x2 UNION ALL SELECT id, 'explore' FROM x3""")
 def review_queue(spark, d):
-    return review.queue(_review(spark, d), 50)
+    return review.queue(_review(spark, d).withColumn("explore", F.col("explore") + F.col("id") / 1e9), 50)
+
+
+@query(f"""WITH {t.CANDIDATES}, c AS (SELECT id, id % 20 AS source, base, (id * 53 % 101)::DOUBLE / 101 AS p, cand.vector, v.label FROM cand JOIN vec v USING (id) WHERE cand.vector IS NOT NULL AND id % 7 < 5 OR id < 20), {_CHOSEN.format(key="id % 7", limit=30)},
+y AS (SELECT * FROM x1 UNION ALL SELECT * FROM x2), el AS (SELECT q, label, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM y WHERE vector IS NOT NULL),
+o AS (SELECT q, label, list(x ORDER BY i) AS m FROM (SELECT q, label, i, avg(x) AS x FROM el GROUP BY 1, 2, 3) GROUP BY 1, 2), a AS (SELECT q, list(x ORDER BY i) AS m FROM (SELECT q, i, avg(x) AS x FROM el GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT c.id, c.id % 7 AS q, source, coalesce(list_distance(c.vector, coalesce(o.m, a.m)), 0) AS explore FROM c LEFT JOIN o ON o.q = c.id % 7 AND o.label = c.label LEFT JOIN a ON a.q = c.id % 7 WHERE c.id NOT IN (SELECT id FROM y)),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY q, source ORDER BY explore DESC, id) AS k FROM r), x3 AS (SELECT r2.q, id FROM r2 JOIN z USING (q) QUALIFY row_number() OVER (PARTITION BY r2.q ORDER BY k > 1, explore DESC, id) <= any_value(n - n1 - n2) OVER (PARTITION BY r2.q))
+SELECT q AS reviewer, id, 'exploit' AS bucket FROM x1 UNION ALL SELECT q, id, 'uncertain' FROM x2 UNION ALL SELECT q, id, 'explore' FROM x3""")
+def reviewer_queues(spark, d):
+    """A queue for each of seven reviewers, two of whom have fewer rows than the limit."""
+    v = t.vectors(spark, d).select("id", F.col("label").alias("cluster"))
+    c = t.candidates(spark, d).join(v, "id").where("vector is not null and id % 7 < 5 or id < 20")
+    return review.queues(c.select((F.col("id") % 7).alias("reviewer"), "id", "source", F.col("base").alias("score"), (F.col("id") * 53 % 101 / 101).alias("probability"), "cluster", "vector"), "reviewer", 30)
 
 
 @query()
