@@ -7,7 +7,6 @@ its own folder. A search reads the buckets of its terms alone.
 
 from __future__ import annotations
 
-import math
 import uuid
 from functools import reduce
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from reelsift.operators.search import WORD
 
 POSTINGS = "term string, id long, tf long, length long, inc string, bucket int"
-FORWARD = "id long, seq long, terms array<struct<term:string,tf:long>>, length long, inc string, bucket int"
+FORWARD = "id long, seq long, length long, term string, tf long, inc string, bucket int"
 STATS = "docs long, length long, inc string"
 COMMITS = "replaces array<string>, inc string"
 
@@ -57,7 +56,7 @@ class TextIndex:
     def _write_increment(self, postings: DataFrame, forward: DataFrame, stats: DataFrame, inc: str) -> None:
         postings = postings.withColumn("bucket", self._bucket("term")).select("term", "id", "tf", "length", "bucket")
         self._write(postings.repartition("bucket").sortWithinPartitions("bucket", "term", "id"), "postings", inc, "bucket")
-        self._write(forward.withColumn("bucket", self._bucket("id")).select("id", "seq", "terms", "length", "bucket").repartition("bucket"), "forward", inc, "bucket")
+        self._write(forward.withColumn("bucket", self._bucket("id")).select("id", "seq", "length", "term", "tf", "bucket").repartition("bucket"), "forward", inc, "bucket")
         self._write(stats.select(F.col("docs").cast("long").alias("docs"), F.col("length").cast("long").alias("length")), "stats", inc)
 
     def add(self, docs: DataFrame, inc: str) -> None:
@@ -67,34 +66,40 @@ class TextIndex:
         if inc in self.increments():
             return
         words = F.filter(F.split(F.lower("text"), WORD), lambda w: w != "")
-        newest = docs.select(F.col("id").cast("long").alias("id"), F.col("seq").cast("long").alias("seq"), "text").where("id is not null")
-        newest = newest.groupBy("id").agg(F.max_by(F.struct("seq", "text"), F.struct("seq", "text")).alias("d")).select("id", "d.*")
-        new = newest.select("id", "seq", words.alias("words"))
-        counted = new.select("id", "seq", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("id", "seq", "length", "term").agg(F.count("*").alias("tf"))
-        terms = counted.groupBy("id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
-        new = new.select("id", "seq", F.when(F.col("words").isNotNull(), F.size("words")).cast("long").alias("length")).join(terms, "id", "left")
-        old = self._live("forward", FORWARD)
+        rows = docs.select(F.col("id").cast("long").alias("id"), F.col("seq").cast("long").alias("seq"), "text").where("id is not null")
+        rows = self._kept(rows.select("id", "seq", words.alias("words")), f"{inc}-words")
+        newest = rows.groupBy("id").agg(F.max("seq").alias("seq"), F.count("*").alias("rows"))
         # Only the buckets of these ids are read; there are at most ``buckets`` of them.
         touched = [r[0] for r in newest.select(self._bucket("id")).distinct().collect()]
-        old = old.where(F.col("bucket").isin(touched)).join(newest.select("id"), "id", "left_semi").groupBy("id").agg(F.max_by(F.struct("seq", "terms", "length"), "seq").alias("old"))
-        both = new.join(old, "id", "left").where(F.col("old").isNull() | (F.col("old.seq") < F.col("seq")))
-        both = both.select("id", "seq", "length", "terms", F.col("old.terms").alias("had"), F.col("old.length").alias("had_length"))
-        work = f"{self.path}/work/{inc}-{uuid.uuid4().hex}"
-        both.write.parquet(work)
-        both = self.spark.read.schema(both.schema).parquet(work)
-        signed = lambda terms, length, sign: both.select("id", F.explode(terms).alias("t"), F.col(length).alias("n")).select(F.col("t.term").alias("term"), "id", (sign * F.col("t.tf")).alias("tf"), (sign * F.col("n")).alias("length"))
-        postings = signed("terms", "length", 1).union(signed("had", "had_length", -1))
-        stats = both.agg(F.coalesce(F.sum(F.col("length").isNotNull().cast("long") - F.col("had_length").isNotNull().cast("long")), F.lit(0)).alias("docs"), F.coalesce(F.sum(F.coalesce("length", F.lit(0)) - F.coalesce("had_length", F.lit(0))), F.lit(0)).alias("length"))
-        self._write_increment(postings, both, stats, inc)
+        old = self._live("forward", FORWARD).where(F.col("bucket").isin(touched)).join(newest.select("id"), "id", "left_semi")
+        heads = old.groupBy("id").agg(F.max("seq").alias("had_seq"), F.max_by("length", "seq").alias("had_length"))
+        newest = newest.join(heads, "id", "left").where(F.col("had_seq").isNull() | (F.col("had_seq") < F.col("seq")))
+        new = rows.join(newest.select("id", "seq", "rows", "had_seq", "had_length"), ["id", "seq"])
+        if not new.where("rows > 1").isEmpty():  # of rows with one id and seq, the one of the greatest words
+            new = new.groupBy("id", "seq", "rows", "had_seq", "had_length").agg(F.max("words").alias("words"))
+        length = F.when(F.col("words").isNotNull(), F.size("words")).cast("long")
+        counted = new.select("id", "seq", "had_seq", "had_length", length.alias("length"), F.explode_outer("words").alias("term")).groupBy("id", "seq", "had_seq", "had_length", "length", "term").agg(F.count("term").alias("tf"))
+        counted = self._kept(counted, f"{inc}-terms")
+        each = counted.select("id", "had_seq", "had_length", "length").distinct()
+        gone = old.join(each.select("id", F.col("had_seq").alias("seq")), ["id", "seq"], "left_semi")
+        postings = counted.select("term", "id", "tf", "length").union(gone.select("term", "id", -F.col("tf"), -F.col("length"))).where("term is not null")
+        stats = each.agg(F.coalesce(F.sum(F.col("length").isNotNull().cast("long") - F.col("had_length").isNotNull().cast("long")), F.lit(0)).alias("docs"), F.coalesce(F.sum(F.coalesce("length", F.lit(0)) - F.coalesce("had_length", F.lit(0))), F.lit(0)).alias("length"))
+        self._write_increment(postings, counted, stats, inc)
         self._commit(inc, [])
 
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/work/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def compact(self) -> None:
         """Sum all increments up in one; those before are left out from its commit on."""
         old = self.increments()
         if len(old) < 2:
             return
         postings = self._live("postings", POSTINGS).groupBy("term", "id").agg(F.sum("tf").alias("tf"), F.sum("length").alias("length")).where("tf <> 0")
-        forward = self._live("forward", FORWARD).groupBy("id").agg(F.max_by(F.struct("seq", "terms", "length"), "seq").alias("x")).select("id", "x.*")
+        forward = self._live("forward", FORWARD)
+        forward = forward.join(forward.groupBy("id").agg(F.max("seq").alias("seq")), ["id", "seq"])
         stats = self._live("stats", STATS).agg(F.sum("docs").alias("docs"), F.sum("length").alias("length"))
         inc = f"sum-{uuid.uuid4().hex}"
         self._write_increment(postings, forward, stats, inc)
@@ -107,29 +112,33 @@ class TextIndex:
 
     def postings(self, terms: list[str]) -> DataFrame:
         """term, id, tf and length of the documents that are there now, from the buckets of the terms alone."""
+        return self._postings(terms, self.increments())
+
+    def _postings(self, terms: list[str], live: list[str]) -> DataFrame:
         wanted = sorted(set(terms))
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "term string").select(self._bucket("term")).distinct().collect()]
-        rows = self._live("postings", POSTINGS).where(F.col("bucket").isin(buckets) & F.col("term").isin(wanted))
+        buckets = {self.spark.sql("select pmod(xxhash64(:t), :n)", args={"t": t, "n": self.buckets}).first()[0] for t in wanted}
+        rows = self._read("postings", POSTINGS).where(F.col("inc").isin(live) & F.col("bucket").isin(sorted(buckets)) & F.col("term").isin(wanted))
         return rows.groupBy("term", "id").agg(F.sum("tf").alias("tf"), F.sum("length").alias("length")).where("tf > 0")
 
+    def _corpus(self, live: list[str]) -> DataFrame:
+        total = self._read("stats", STATS).where(F.col("inc").isin(live)).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("all"))
+        return total.select("docs", F.when(F.col("docs") > 0, F.col("all") / F.col("docs")).otherwise(1.0).alias("mean"))
+
     def corpus(self) -> tuple[int, float]:
-        """Documents, and their mean length."""
-        row = self._live("stats", STATS).agg(F.sum("docs"), F.sum("length")).first()
-        docs, length = row[0] or 0, row[1] or 0
-        return docs, length / docs if docs else 0.0
+        """Documents, and their mean length (1 without any)."""
+        return tuple(self._corpus(self.increments()).first())
 
     def search(self, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """T-02: id and score of the documents that hold all terms: their BM25 as score / (1 + score)."""
-        wanted = sorted(set(terms))
-        docs, mean = self.corpus()
-        hits = self.postings(wanted)
-        # A row for each document, and figures of the corpus for each term: as many as there are terms.
-        tf = [F.sum(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(wanted)]
-        each = hits.groupBy("id").agg(F.max("length").alias("length"), *tf)
-        df = {r.term: r.n for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()}
-        idf = [math.log(1 + (docs - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in wanted]
-        part = lambda i: F.lit(idf[i]) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("length") / (mean or 1.0)))
+        wanted, live = sorted(set(terms)), self.increments()
+        hits = self._postings(wanted, live)
+        # A row for each document; and figures of the corpus, one row.
+        each = hits.groupBy("id").agg(F.max("length").alias("length"), *[F.sum(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(wanted)])
+        df = hits.agg(*[F.count_if(F.col("term") == t).alias(f"df{i}") for i, t in enumerate(wanted)])
+        figures = df.crossJoin(F.broadcast(self._corpus(live)))
+        idf = lambda i: F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        part = lambda i: idf(i) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
         all_ = reduce(lambda x, y: x & y, [F.col(f"tf{i}").isNotNull() for i in range(len(wanted))], F.lit(True))
         score = reduce(lambda x, y: x + y, map(part, range(len(wanted))), F.lit(0.0))
-        return each.where(all_).select("id", score.alias("bm25")).select("id", F.round(F.col("bm25") / (1 + F.col("bm25")), 6).alias("score"))
-
+        found = each.where(all_).crossJoin(F.broadcast(figures)).select("id", score.alias("bm25"))
+        return found.select("id", F.round(F.col("bm25") / (1 + F.col("bm25")), 6).alias("score"))

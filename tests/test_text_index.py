@@ -1,7 +1,5 @@
 """The index after increments against the search without one."""
 
-import time
-
 from pyspark.sql import functions as F
 
 from reelsift.operators import search
@@ -27,8 +25,7 @@ def test_increments_changes_and_deletions(spark, sf, tmp_path):
         want = rows_of(search.text_scores(now.select("id", "text"), terms))
         assert rows_of(index.search(terms)) == want
     before = rows_of(index.search(["the", "that"]))
-    began = time.time()
-    assert before and time.time() - began < 1
+    assert before
     index.compact()
     assert len(index.increments()) == 1 and rows_of(index.search(["the", "that"])) == before
     index.add(docs.where("id % 10 = 4").withColumn("seq", F.lit(3).cast("long")), "d")  # back again
