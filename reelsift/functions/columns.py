@@ -84,9 +84,22 @@ def label(text: Column, most: int = 60) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
 
 
+def caption_label(caption: Column, summary: Column, status: Column, kind: str = "Candidate") -> Column:
+    """X-12: a candidate's label: its caption, else its summary, trimmed and cut; without either the kind and its status."""
+    said = strip(F.when(F.coalesce(caption, F.lit("")) != "", caption).otherwise(F.coalesce(summary, F.lit(""))))
+    return F.when(said != "", label(said)).otherwise(F.concat(F.lit(f"{kind} "), F.when(F.coalesce(status, F.lit("")) != "", status).otherwise("candidate")))
+
+
+def scene_label(label_: Column, scene_type: Column, status: Column) -> Column:
+    """X-12: a scene's label: that of its score, else its type, else ``Scene`` and its status."""
+    return F.coalesce(label_, scene_type, F.concat(F.lit("Scene "), F.when(F.coalesce(status, F.lit("")) != "", status).otherwise("candidate")))
+
+
 def readable_error(raw: Column) -> Column:
-    """X-13: the message or error of a JSON text, else its first 200 characters."""
-    return F.coalesce(F.get_json_object(raw, "$.message"), F.get_json_object(raw, "$.error"), F.substring(raw, 1, 200))
+    """X-13: the message, or else the error, of a JSON object, else the first 200 characters; a sentence where there is nothing."""
+    text = strip(raw)
+    of_json = F.when(F.startswith(text, F.lit("{")), F.coalesce(F.get_json_object(text, "$.message"), F.get_json_object(text, "$.error")))
+    return F.when(F.coalesce(raw, F.lit("")) == "", "No error details recorded.").otherwise(F.coalesce(of_json, F.substring(text, 1, 200)))
 
 
 def strict_json(raw: Column, schema: str) -> Column:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelsift.functions.columns import dot
 from reelsift.operators.vectors import neighbours
 
 
@@ -34,20 +40,52 @@ def retrieval_context(queries: DataFrame, index: DataFrame, labels: DataFrame, k
     return near.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("context"))
 
 
-def taste_map(vectors: DataFrame) -> DataFrame:
-    """H-10: coordinates ``(x, y)`` of ``vectors(id, vector)`` of one length on the first two principal axes.
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each key of a batch: number, sum and products of its vectors."""
+    for batch in batches:
+        keys, vectors = batch.column("key"), batch.column("vector")
+        coded = keys.dictionary_encode() if not pa.types.is_dictionary(keys.type) else keys
+        number = pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy(zero_copy_only=False)
+        rows = np.array(vectors.to_pylist(), float) if batch.num_rows else np.zeros((0, 0))
+        for k in np.unique(number):
+            x = rows[number == k]
+            sums = np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+            yield pa.RecordBatch.from_arrays([keys.slice(int(np.argmax(number == k)), 1), pa.array([sums], pa.list_(pa.float64()))], names=["key", "sums"])
+
+
+def _axes(frame: pd.DataFrame) -> pd.DataFrame:
+    sums = np.sum(np.stack(frame["sums"].to_list()), axis=0)
+    n = sums[0]
+    d = round((math.sqrt(1 + 4 * (len(sums) - 1)) - 1) / 2)
+    mean = sums[1 : d + 1] / n
+    spread = sums[d + 1 :].reshape(d, d) / n - np.outer(mean, mean)
+    value, vector = np.linalg.eigh(spread)
+    order = np.argsort(-value)[:2]
+    axes = [vector[:, i] if value[i] > 1e-12 * max(1.0, np.trace(np.outer(mean, mean))) else np.zeros(d) for i in order] + [np.zeros(d)] * (2 - len(order))
+    return pd.DataFrame({"key": [frame["key"].iloc[0]], "mean": [mean.tolist()], "a": [axes[0].tolist()], "b": [axes[1].tolist()]})
+
 
-    The point farthest out on an axis lies on its positive side. A single vector lies at (0, 0); rows without a vector are
-    left out.
+def taste_maps(vectors: DataFrame, key: str) -> DataFrame:
+    """H-10: coordinates ``(x, y)`` of ``vectors(id, vector)`` on the first two principal axes of their ``key``, a collection say.
+
+    Vectors of a key are of one length. Tasks give sums of products, d * d cells for a key however many rows it has, and a
+    key's axes come from their sum. The point farthest out on an axis lies on its positive side (of equal ones that of the
+    least id). A single vector lies at (0, 0), and so does an axis along which nothing differs; rows without a vector are left out.
     """
-    rows = vectors.where("vector is not null").select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
-    if rows.limit(2).count() < 2:
-        return rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    axes = min(2, len(rows.first().v))
-    at = PCA(k=axes, inputCol="v", outputCol="p").fit(rows).transform(rows).select("id", vector_to_array("p").alias("p"))
-    at = at.select("id", F.col("p")[0].alias("x"), (F.col("p")[1] if axes > 1 else F.lit(0.0)).alias("y"))
-    # The model turns the vectors without centring them.
-    at = at.crossJoin(F.broadcast(at.agg(F.avg("x").alias("mx"), F.avg("y").alias("my")))).select("id", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
-    side = lambda c: F.when(F.max_by(c, F.abs(c)) < 0, -1.0).otherwise(1.0)
-    sides = at.agg(side("x").alias("sx"), side("y").alias("sy"))
-    return at.crossJoin(F.broadcast(sides)).select("id", (F.col("x") * F.col("sx")).alias("x"), (F.col("y") * F.col("sy")).alias("y"))
+    rows = vectors.where("vector is not null").select(F.col(key).alias("key"), "id", F.col("vector").cast("array<double>").alias("vector"))
+    kind = rows.schema["key"].dataType.simpleString()
+    moments = rows.select("key", "vector").mapInArrow(_moments, f"key {kind}, sums array<double>")
+    # Partial sums of a task's batches meet by position before the shuffle.
+    parts = moments.select("key", F.posexplode("sums").alias("p", "x")).groupBy("key", "p").agg(F.sum("x").alias("x"))
+    whole = parts.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda c: c.x).alias("sums"))
+    axes = whole.groupBy("key").applyInPandas(_axes, f"key {kind}, mean array<double>, a array<double>, b array<double>").withColumnRenamed("key", "__key")
+    on = lambda axis: dot(F.zip_with("vector", "mean", lambda v, m: v - m), F.col(axis))
+    at = rows.join(axes, F.col("key").eqNullSafe(F.col("__key"))).select("key", "id", on("a").alias("x"), on("b").alias("y"))
+    side = lambda c: F.when(F.max_by(c, F.struct(F.round(F.abs(c), 9), -F.col("id"))) < 0, -1.0).otherwise(1.0)
+    sides = at.groupBy(F.col("key").alias("__key")).agg(side(F.col("x")).alias("sx"), side(F.col("y")).alias("sy"))
+    return at.join(sides, F.col("key").eqNullSafe(F.col("__key"))).select(F.col("key").alias(key), "id", (F.col("x") * F.col("sx")).alias("x"), (F.col("y") * F.col("sy")).alias("y"))
+
+
+def taste_map(vectors: DataFrame) -> DataFrame:
+    """H-10: one map of all vectors, by ``taste_maps``."""
+    return taste_maps(vectors.withColumn("__all", F.lit(0)), "__all").select("id", "x", "y")

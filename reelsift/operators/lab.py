@@ -31,9 +31,12 @@ def job_status(videos: DataFrame) -> DataFrame:
     return videos.groupBy("job").agg(F.count("*").alias("videos"), status.alias("job_status"))
 
 
-def attention(stages: DataFrame) -> DataFrame:
-    """J-21: stages that need attention, by job."""
-    return stages.groupBy("job").agg(F.count_if(F.col("status") == "needs_attention").alias("n")).where("n > 0")
+def attention(jobs: DataFrame, stages: DataFrame) -> DataFrame:
+    """J-21: jobs ``(job, status, created_at)`` that need attention themselves or have stages ``(job, status)`` that do, with the
+    number of these, newest first."""
+    waiting = stages.where("status = 'needs_attention'").groupBy("job").agg(F.count("*").alias("n"))
+    rows = jobs.join(waiting, "job", "left").where((F.col("status") == "needs_attention") | F.col("n").isNotNull())
+    return rows.select("job", "status", "created_at", F.coalesce("n", F.lit(0)).alias("attention_count")).orderBy(F.desc("created_at"), F.desc("job"))
 
 
 def scorecard(values: DataFrame) -> DataFrame:

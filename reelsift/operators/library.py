@@ -253,6 +253,18 @@ def review_scores(candidates: DataFrame, vectors: DataFrame, reranked: DataFrame
     return rows.select("id", F.round(score, 6).alias("preference"), F.round(F.least(F.greatest(score, F.lit(0.01)), F.lit(0.99)), 6).alias("probability"))
 
 
+def rescored(candidates: DataFrame, vectors: DataFrame, reranked: DataFrame, model: str, dim: int, version: str) -> DataFrame:
+    """H-04: all candidates ``(id, status, base, final_score, profile_score, profile_version, ...)``, those of status ``candidate`` that
+    have a base score and a vector ``(id, model, dim)`` of the model and dimension with their new scores and the profile's
+    version, from ``reranked(id, final_score, profile_score)``; the others as they are."""
+    mine = candidates.where("status = 'candidate' and base is not null").select("id").join(vectors.where((F.col("model") == model) & (F.col("dim") == dim)).select("id"), "id", "left_semi")
+    new = mine.join(reranked.select("id", F.col("final_score").alias("__final"), F.col("profile_score").alias("__profile")), "id").select("id", "__final", "__profile", F.lit(True).alias("__new"))
+    rows = candidates.join(new, "id", "left")
+    pick = lambda fresh, old: F.when(F.col("__new"), fresh).otherwise(F.col(old)).alias(old)
+    own = {"final_score": F.col("__final"), "profile_score": F.col("__profile"), "profile_version": F.lit(version)}
+    return rows.select(*[pick(own[c], c) if c in own else F.col(c) for c in candidates.columns])
+
+
 def with_scores(clips: DataFrame, scores: DataFrame) -> DataFrame:
     """Y-02: clips ``(id, base, ...)`` ranked by a score from a table of scores, or by ``base`` where it has none."""
     return clips.join(scores.select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", "base"))

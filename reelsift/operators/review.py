@@ -68,31 +68,42 @@ def explore_scores(rows: DataFrame, centroids: DataFrame, overall: DataFrame) ->
     return near.select("id", F.round(F.coalesce(F.sqrt(gap), F.lit(0.0)), 6).alias("explore"))
 
 
-def farthest_first(rows: DataFrame, n: int, weight: float = 0.5) -> DataFrame:
-    """T-16: n rows of ``(id, score, vector)``: the best, then each time the one of highest score and distance to those chosen.
+def diverse_sets(rows: DataFrame, key: str, n: int, weight: float = 0.5) -> DataFrame:
+    """T-16: of each ``key`` n rows of ``(id, score, vector)``: the best, then each time the one of highest score and distance to
+    those chosen, with their rank. A missing vector is at distance 0 of all; of equal rows the one of least id is taken.
 
-    A missing vector is at distance 0 of all. Choices are made among the top max(5 n, 100) by score: a pool of a fixed size, in n rounds on the driver.
+    Choices are made among the top max(5 n, 100) of a key by score, each key's in a task of its own: that pool is all that a
+    task holds of a key.
     """
-    pool = rows.orderBy(F.desc("score"), "id").limit(max(5 * n, 100)).collect()
-    chosen: list[tuple[int, int]] = []
-    near = {r.id: None for r in pool}
-
-    def unit(v):
-        if v is None:
-            return None
-        length = sum(x * x for x in v) ** 0.5
-        return [x / length for x in v] if length else v
-
-    units = {r.id: unit(r.vector) for r in pool}
-    left = {r.id: r for r in pool}
-    while left and len(chosen) < n:
-        pick = max(left.values(), key=lambda r: ((1 - weight) * r.score + weight * (near[r.id] or 0.0) if chosen else r.score, -r.id))
-        chosen.append((pick.id, len(chosen) + 1))
-        del left[pick.id]
-        for i in left:
-            d = 1 - sum(a * b for a, b in zip(units[i], units[pick.id])) if units[i] and units[pick.id] else 0.0
-            near[i] = d if near[i] is None else min(near[i], d)
-    return rows.sparkSession.createDataFrame(chosen, "id long, rank long")
+    pool = rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))).where(F.col("__r") <= max(5 * n, 100))
+    kind = rows.schema[key].dataType.simpleString()
+    pool = pool.select(F.col(key).alias("k"), F.col("id").cast("long").alias("id"), F.col("score").cast("double").alias("score"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        ids, score = frame["id"].to_numpy(), frame["score"].to_numpy()
+        units = []
+        for v in frame["vector"]:
+            v = None if v is None else np.asarray(v, float)
+            units.append(None if v is None else v / (np.linalg.norm(v) or 1.0))
+        size = max((len(u) for u in units if u is not None), default=1)
+        known = np.array([u is not None for u in units])
+        table = np.stack([np.zeros(size) if u is None else u for u in units])
+        near, open_, chosen = np.full(len(ids), np.inf), np.ones(len(ids), bool), []
+        while open_.any() and len(chosen) < n:
+            worth = (1 - weight) * score + weight * np.where(np.isinf(near), 0.0, near) if chosen else score
+            at = int(np.argmax(np.where(open_, worth, -np.inf)))
+            chosen.append(at)
+            open_[at] = False
+            near = np.minimum(near, np.where(known & known[at], 1 - table @ table[at], 0.0))
+        return pd.DataFrame({"k": [frame["k"].iloc[0]] * len(chosen), "id": ids[chosen], "rank": range(1, len(chosen) + 1)})
+
+    return pool.groupBy("k").applyInPandas(choose, f"k {kind}, id long, rank long").withColumnRenamed("k", key)
+
+
+def farthest_first(rows: DataFrame, n: int, weight: float = 0.5) -> DataFrame:
+    """T-16: one set of all rows, by ``diverse_sets``."""
+    return diverse_sets(rows.withColumn("set", F.lit(0)), "set", n, weight).select("id", "rank")
 
 
 def narrative(rows: DataFrame, beats: DataFrame) -> DataFrame:

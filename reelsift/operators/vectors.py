@@ -20,6 +20,14 @@ def weighted_mean(rows: DataFrame, keys: list[str], vector: str = "vector", weig
     return sums.groupBy(*keys).agg(F.transform(cells, lambda x: x.v).alias("mean"))
 
 
+def media_vectors(media: DataFrame, texts: DataFrame, frames: DataFrame) -> DataFrame:
+    """A-45: a vector ``(id, vector, origin)`` of each of ``media(id)``: that of its text, ``texts(id, vector)``, else the mean of its
+    frames', ``frames(id, vector)``, else null."""
+    mean = weighted_mean(frames.where("vector is not null"), ["id"])
+    rows = media.select("id").join(texts.select("id", F.col("vector").cast("array<double>").alias("said")), "id", "left").join(mean, "id", "left")
+    return rows.select("id", F.coalesce("said", "mean").alias("vector"), F.when(F.col("said").isNotNull(), "text").when(F.col("mean").isNotNull(), "frames").alias("origin"))
+
+
 def diversity(rows: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
     """A-40: mean pairwise cosine distance in closed form; zero vectors are at distance 1, and fewer than two give 0."""
     u = rows.select(*keys, unit(F.col(vector)).alias("u"))

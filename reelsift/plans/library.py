@@ -8,11 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelsift.operators import evaluate, library, search
+from reelsift.functions import columns as X
+from reelsift.operators import evaluate, explain, lab, library, review, search
+from reelsift.operators import vectors as vec
 from reelsift.operators.greedy import shared_folder
 from reelsift.operators.text_index import TextIndex
 from reelsift.plans import registry as r
 from reelsift.plans import tables as t
+from reelsift.sources import files
 
 # Joins and counts ---------------------------------------------------------------------------------------------------
 
@@ -313,3 +316,68 @@ def indexed_search(spark, d):
     index.add(docs.where("id % 10 = 3").select("id", F.concat(F.lit("the that then "), F.substring("text", 1, 200)).alias("text"), F.lit(2).alias("seq")), "b-changes")
     index.add(docs.where("id % 10 = 4").select("id", F.lit(None).cast("string").alias("text"), F.lit(2).alias("seq")), "c-deletions")
     return index.search(["the", "that"])
+
+
+def _scored(spark, d):
+    """Candidates with old scores, their vectors by model and dimension, and new scores."""
+    c, k = t.candidates(spark, d), F.col("id")
+    rows = c.select("id", F.element_at(F.array(*map(F.lit, t.STATUSES)), (k % 4 + 1).cast("int")).alias("status"), F.when(k % 19 != 0, F.col("base")).alias("base"), (k % 11 / 11).alias("final_score"), F.lit(None).cast("double").alias("profile_score"), F.lit("v1").alias("profile_version"))
+    vectors = c.where("vector is not null").select("id", F.when(k % 5 != 0, "text").otherwise("image").alias("model"), F.size("vector").alias("dim"))
+    return rows, vectors, c.select("id", F.round(F.col("base") * 0.5 + 0.1, 6).alias("final_score"), F.round(1 - F.col("base"), 6).alias("profile_score"))
+
+
+@r.query(f"""WITH {t.CANDIDATES}, x AS (SELECT id, ['candidate', 'promoted', 'liked', 'archived'][id % 4 + 1] AS status, CASE WHEN id % 19 <> 0 THEN base END AS b, base, vector FROM cand), y AS (SELECT *, status = 'candidate' AND b IS NOT NULL AND vector IS NOT NULL AND id % 5 <> 0 AS fresh FROM x)
+SELECT id, round(CASE WHEN fresh THEN round(base * 0.5 + 0.1, 6) ELSE (id % 11)::DOUBLE / 11 END, 6) AS final_score, CASE WHEN fresh THEN round(1 - base, 6) END AS profile_score, CASE WHEN fresh THEN 'v2' ELSE 'v1' END AS profile_version FROM y""")
+def rescored_candidates(spark, d):
+    """Written as a snapshot, rescored from it into the next one, and read."""
+    rows, vectors, new = _scored(spark, d)
+    path = f"{shared_folder(spark)}/candidates-{uuid.uuid4().hex}"
+    files.write_snapshot(rows, path)
+    files.write_snapshot(library.rescored(files.read_snapshot(spark, path), vectors, new, "text", 64, "v2"), path)
+    return files.read_snapshot(spark, path).select("id", F.round("final_score", 6).alias("final_score"), "profile_score", "profile_version")
+
+
+@r.query(f"""WITH {t.STAGES}, j AS (SELECT o_orderkey AS job, CASE WHEN o_orderkey % 97 = 0 THEN 'needs_attention' ELSE 'running' END AS status, o_orderdate AS created_at FROM orders), n AS (SELECT job, count(*) AS n FROM st WHERE status = 'failed' GROUP BY 1)
+SELECT j.job, j.status, j.created_at, coalesce(n, 0) AS attention_count FROM j LEFT JOIN n ON n.job = j.job WHERE j.status = 'needs_attention' OR n IS NOT NULL""")
+def job_attention(spark, d):
+    jobs = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("job"), F.when(F.col("o_orderkey") % 97 == 0, "needs_attention").otherwise("running").alias("status"), F.col("o_orderdate").alias("created_at"))
+    stages = t.stages(spark, d).withColumn("status", F.when(F.col("status") == "failed", "needs_attention").otherwise(F.col("status")))
+    return lab.attention(jobs, stages)
+
+
+@r.query(f"""WITH {t.VECTORS}, tx AS (SELECT id, vector FROM vec WHERE id % 2 = 0), fe AS (SELECT id % 300 AS id, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM vec WHERE id % 3 = 1), fm AS (SELECT id, list(x ORDER BY i) AS m FROM (SELECT id, i, avg(x) AS x FROM fe GROUP BY 1, 2) GROUP BY 1)
+SELECT p_partkey AS id, CASE WHEN tx.id IS NOT NULL THEN 'text' WHEN fm.id IS NOT NULL THEN 'frames' END AS origin, round(list_sum(list_transform(coalesce(tx.vector, fm.m), lambda x, i: x * i)), 4) AS mark FROM part LEFT JOIN tx ON tx.id = p_partkey LEFT JOIN fm ON fm.id = p_partkey""")
+def media_vectors(spark, d):
+    v = t.vectors(spark, d)
+    rows = vec.media_vectors(t.table(spark, d, "part").select(F.col("p_partkey").alias("id")), v.where("id % 2 = 0"), v.where("id % 3 = 1").select((F.col("id") % 300).alias("id"), "vector"))
+    mark = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("id", "origin", F.round(mark, 4).alias("mark"))
+
+
+@r.query("""WITH x AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN '' END AS caption, CASE WHEN doc_id % 5 <> 0 THEN source || ' ' || lang END AS summary, CASE WHEN doc_id % 7 <> 0 THEN 'liked' END AS status FROM documents),
+y AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN coalesce(caption, '') <> '' THEN caption ELSE coalesce(summary, '') END, '^\s+', ''), '\s+$', '') AS s FROM x)
+SELECT id, CASE WHEN s = '' THEN 'Candidate ' || coalesce(status, 'candidate') WHEN length(s) > 60 THEN substr(s, 1, 57) || '...' ELSE s END AS label FROM y""")
+def candidate_labels(spark, d):
+    k = F.col("doc_id")
+    return t.table(spark, d, "documents").select(k.alias("id"), X.caption_label(F.when(k % 3 == 0, F.col("text")).when(k % 3 == 1, ""), F.when(k % 5 != 0, F.concat("source", F.lit(" "), "lang")), F.when(k % 7 != 0, "liked")).alias("label"))
+
+
+@r.query("""WITH x AS (SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"message": "lost ' || event_type || '", "error": "x"}' WHEN 2 THEN ' {"error": "bad ' || user_id || '"}' WHEN 3 THEN repeat('long ', 60) || event_id WHEN 4 THEN '' END AS raw FROM events)
+SELECT id, CASE WHEN coalesce(raw, '') = '' THEN 'No error details recorded.' WHEN id % 6 = 1 THEN json_extract_string(raw, '$.message') WHEN id % 6 = 2 THEN json_extract_string(trim(raw), '$.error')
+ ELSE coalesce(CASE WHEN id % 6 = 0 THEN coalesce(json_extract_string(raw, '$.message'), json_extract_string(raw, '$.error')) END, left(trim(raw), 200)) END AS error FROM x""")
+def readable_errors(spark, d):
+    k = F.col("event_id")
+    raw = F.when(k % 6 == 0, F.col("props")).when(k % 6 == 1, F.concat(F.lit('{"message": "lost '), "event_type", F.lit('", "error": "x"}'))).when(k % 6 == 2, F.concat(F.lit(' {"error": "bad '), F.col("user_id").cast("string"), F.lit('"}'))).when(k % 6 == 3, F.concat(F.repeat(F.lit("long "), F.lit(60)), k.cast("string"))).when(k % 6 == 4, "")
+    return t.table(spark, d, "events").select(k.alias("id"), X.readable_error(raw).alias("error"))
+
+
+@r.query()
+def collection_taste_maps(spark, d):
+    v = t.vectors(spark, d).select("id", "label", "vector")
+    return explain.taste_maps(v, "label").select("label", "id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@r.query()
+def diverse_collections(spark, d):
+    c = t.candidates(spark, d).select((F.col("id") % 100).alias("collection"), "id", F.col("base").alias("score"), "vector")
+    return review.diverse_sets(c, "collection", 5)

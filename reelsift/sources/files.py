@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +20,59 @@ from reelsift.operators.digest import digests
 IMAGES, VIDEOS = [".jpg", ".jpeg", ".png", ".webp"], [".mp4", ".mkv", ".avi", ".mov", ".webm"]
 
 
+#: Stores whose files tasks read in ranges. What lies elsewhere comes whole through Spark's reader, which stops at 2 GB.
+RANGED = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return store.open_input_file(inner)
+
+
+def _digested(block: int, step: int = 8 << 20):
+    """sha256 of each file, fed block by block, and of its first and last ``block`` bytes, read by seeks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, ends = [], []
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                with _opened(path) as f:
+                    edge = hashlib.sha256(f.read_at(min(block, length), 0))
+                    if length > block:
+                        edge.update(f.read_at(block, length - block))
+                    digest = hashlib.sha256()
+                    for at in range(0, length, step):
+                        digest.update(f.read_at(min(step, length - at), at))
+                whole.append(digest.hexdigest()), ends.append(edge.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole, pa.string()), pa.array(ends, pa.string())], names=[*batch.schema.names, "sha256", "ends"])
+
+    return run
+
+
 def scan_media(spark: SparkSession, root: str, block: int = 1 << 20, include_mtime: bool = False) -> DataFrame:
-    """S-01 to S-03: media files below a folder: path, media_type, sha256 and head/tail fingerprint."""
+    """S-01 to S-03: media files below a folder: path, media_type, length, sha256 and head/tail fingerprint.
+
+    The listing reads no contents; tasks then read their files in ranges, so that one of any length takes bounded memory.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     kind = F.when(ext.isin(IMAGES), "image").when(ext == ".gif", "gif").when(ext.isin(VIDEOS), "video")
-    head = F.substring("content", 1, block)
-    ends = F.when(F.col("length") > block, F.concat(head, F.expr(f"substring(content, -{block})"))).otherwise(head)
-    parts = [F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string") if include_mtime else F.lit(""), F.sha2(ends, 256)]
-    return files.withColumn("media_type", kind).where("media_type is not null").select("path", "media_type", "length", F.sha2("content", 256).alias("sha256"), F.concat_ws(":", *parts).alias("fingerprint"))
+    listed = files.withColumn("media_type", kind).where("media_type is not null")
+    scheme = re.match(r"([a-z0-9]+):", root)
+    if not scheme or scheme[1] in RANGED:
+        rows = listed.select("path", "media_type", "length", "modificationTime")
+        rows = rows.mapInArrow(_digested(block), "path string, media_type string, length long, modificationTime timestamp, sha256 string, ends string")
+    else:
+        head = F.substring("content", 1, block)
+        both = F.when(F.col("length") > block, F.concat(head, F.expr(f"substring(content, -{block})"))).otherwise(head)
+        rows = listed.select("path", "media_type", "length", "modificationTime", F.sha2("content", 256).alias("sha256"), F.sha2(both, 256).alias("ends"))
+    parts = [F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string") if include_mtime else F.lit(""), F.col("ends")]
+    return rows.select("path", "media_type", "length", "sha256", F.concat_ws(":", *parts).alias("fingerprint"))
 
 
 def folder_candidates(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -151,3 +203,32 @@ def export_collections(items: DataFrame, candidates: DataFrame, path: str) -> Da
 def append(rows: DataFrame, path: str) -> None:
     """S-18: the sink of events: append to a Parquet table."""
     rows.write.mode("append").parquet(path)
+
+
+def write_snapshot(rows: DataFrame, path: str) -> int:
+    """Replace the table at ``path`` by ``rows``, which may read the table itself; returns the number of the snapshot.
+
+    Rows go to a folder of their own and count once its commit is written, so a run that breaks off leaves the last snapshot
+    whole. Folders without a commit are left over from such runs.
+    """
+    spark = rows.sparkSession
+    number = max([r.snapshot for r in _commits(spark, path).collect()], default=0) + 1
+    folder = f"{number}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/data/{folder}")
+    spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.mode("errorifexists").parquet(f"{path}/commits/snapshot={number}")
+    return number
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema("folder string, snapshot long").parquet(f"{path}/commits")
+    except AnalysisException:  # nothing has been committed yet
+        return spark.createDataFrame([], "folder string, snapshot long")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path`` as of the last commit."""
+    last = _commits(spark, path).agg(F.max_by("folder", "snapshot")).first()[0]
+    if last is None:
+        raise ValueError(f"no snapshot at {path}")
+    return spark.read.parquet(f"{path}/data/{last}")
