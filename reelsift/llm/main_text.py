@@ -38,7 +38,7 @@ SILENT = frozenset(["head", "noscript", "template", "svg", "math", "object", "ca
 #: What elements say of their blocks, in log odds, and the words of class and id that do.
 SAYS = {"article": 3.0, "main": 2.0, "nav": -6.0, "footer": -6.0, "aside": -6.0, "header": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "fieldset": -4.0, "label": -4.0}
 ROLES = {"main": 2.0, "article": 3.0, "navigation": -6.0, "banner": -6.0, "contentinfo": -6.0, "complementary": -6.0, "search": -6.0, "dialog": -6.0, "alert": -6.0, "menu": -6.0, "menubar": -6.0, "form": -6.0}
-AGAINST = frozenset(["ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "sponsors", "promo", "promos", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "alerts", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "nav", "navbar", "navigation", "menu", "menus", "submenu", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "widget", "widgets", "related", "recommended", "recommendations", "popular", "trending", "share", "sharing", "social", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "footer", "header", "masthead", "topbar", "copyright", "disclaimer", "pager", "pagination", "toolbar", "search", "form", "aside", "skip", "hidden"])
+AGAINST = frozenset(["ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "sponsors", "promo", "promos", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "alerts", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "nav", "navbar", "navigation", "menu", "menus", "submenu", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "widget", "widgets", "related", "recommended", "recommendations", "popular", "trending", "share", "sharing", "social", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "footer", "header", "masthead", "topbar", "copyright", "disclaimer", "pager", "pagination", "toolbar", "search", "form", "aside", "skip", "hidden", "announcement", "warning", "paywall", "discussion", "responses", "guestbook", "adsense", "adsbygoogle", "outbrain", "taboola"])
 FOR = frozenset(["article", "content", "post", "entry", "story", "main", "maincontent", "articlebody", "body", "text"])
 #: Titles of sections that aren't the article, whole and in lower case.
 SECTIONS = frozenset(["comments", "reader comments", "leave a comment", "leave a reply", "related articles", "related posts", "kommentare", "commentaires", "comentarios"])
@@ -70,7 +70,10 @@ def _says(tag: str, attributes: str, open_tags: list[str]) -> tuple[float | None
     names = f"{own.get('class', '')} {own.get('id', '')}"
     if len(names) > 1:
         words = {w.lower() for w in _WORD.findall(names)} | {w.lower() for w in re.findall(r"[a-zA-Z]+", names)}
-        if words & AGAINST and tag != "main":
+        against = words & AGAINST
+        if against == {"header"} and words & FOR:
+            pass  # an article's own title
+        elif against and tag != "main":
             value = min(-6.0, value or 0.0)
         elif words & FOR:
             value = max(2.0, value or 0.0) if (value or 0) >= 0 else value
@@ -104,7 +107,7 @@ class Page:
             inside[up] += inside[e]
             around[up] |= around[e] or (self.tag[e] in ("article", "main") and (self.says[e] or 0) > 0)
             titled[up] |= titled[e] or self.tag[e] == "h1"
-            if (self.says[e] or 0) < 0 and self.tag[e] not in SAYS and (around[e] or titled[e] and inside[e] >= half):
+            if (self.says[e] or 0) < 0 and (self.tag[e] not in SAYS or self.tag[e] == "form") and (around[e] or titled[e] and inside[e] >= half):
                 self.says[e] = None
 
     def _flush(self) -> None:

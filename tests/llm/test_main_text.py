@@ -44,6 +44,8 @@ DESIGNS = [
     f"<body><header><a href=/>Home</a></header><nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav><main><article><header><h1>Rivers</h1></header><p>{ONE}<p>{TWO}<aside>See also: lakes.</aside><form><label>Mail</label><input><button>Send</button></form><p>{THREE}</article><section class='comments'><h2>Comments</h2><p>{ONE} I like it.</p></section></main><footer>&copy; us</footer>",
     # divisions whose class or id says what they are
     f"<div id=wrapper class='page-with-sidebar'><div class='topNav'><a href=x>A</a> | <a href=y>B</a></div><div id='cookie-notice'>We use cookies, as all do. Accept?</div><div class='post-content'><h1>Rivers</h1><p>{ONE}</p><div class=ad-slot>Buy now, pay later! It is the best offer.</div><p>{TWO}</p><p>{THREE}</p></div><div class='sidebar'><h3>Popular</h3><p>{THREE}</p></div><div id=comments><article class='comment-body'><p>{ONE}</p></article></div></div>",
+    # a form around everything, the article's title in a header of its own
+    f"<form action=/><div class='site-header'><a href=/>Site</a></div><div class='post'><div class='entry-header'><h1>Rivers</h1></div><p>{ONE}</p><p>{TWO}</p><p>{THREE}</p></div><div class='discussion'><p>{THREE} So it is.</p></div></form>",
     # bare divisions
     f"<table><tr><td><a href=1>News</a><br><a href=2>Sport</a></td><td><div><h1>Rivers</h1><p>{ONE}</p><p>{TWO}</p><p>{THREE}</p></div></td></tr></table><div><a href=3>Imprint</a> <a href=4>Contact</a></div>",
 ]
