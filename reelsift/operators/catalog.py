@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelsift.functions.columns import hamming
-from reelsift.operators.greedy import independent
+from reelsift.operators.greedy import independent, shared_checkpoints
+
+
+def band_masks(points: int, distance: int, bits: int = 64) -> list[int]:
+    """Masks of the bits on which hashes of at most ``distance`` differing bits meet, for so many distinct hashes.
+
+    The bits are cut in m bands; such hashes agree in m - distance of them at least, so each choice of that many bands is a mask,
+    and two of them agree on one. More bands are more keys a hash, and more bits a key: m keeps keys and expected chance pairs least.
+    """
+
+    def cost(m: int) -> float:
+        keys = math.comb(m, m - distance)
+        return points * keys + points**2 / 2 * keys / 2.0 ** (bits * (m - distance) // m)
+
+    m = min(range(distance + 1, distance + 6), key=cost)
+    cuts = [bits * i // m for i in range(m + 1)]
+    bands = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:])]
+    masks = (sum(c) for c in combinations(bands, m - distance))
+    return [x - (1 << bits) if x >> (bits - 1) else x for x in masks]
 
 
 def hamming_pairs(hashes: DataFrame, distance: int = 5) -> DataFrame:
     """J-06: pairs ``(a, b, distance)`` of ``hashes(id, bits)`` that differ in at most ``distance`` bits.
 
-    The bits are cut in one band more than the distance; two such hashes agree in a band at least, and meet in the first one
-    that they share. Equal hashes meet as one: pairs are made between distinct hashes, each named by its first id.
+    Hashes meet on the masks of ``band_masks``, which miss no such pair. Equal hashes meet as one: pairs are made between distinct
+    hashes, each named by its first id.
     """
-    bands = distance + 1
-    cuts = [64 * i // bands for i in range(bands + 1)]
-    points = hashes.where("bits is not null").groupBy("bits").agg(F.min("id").alias("id"))
-    band = lambda i: F.shiftrightunsigned("bits", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
-    rows = points.select("id", "bits", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), band(i).alias("value")) for i in range(bands)))).alias("k")).select("id", "bits", "k.*")
+    shared_checkpoints(hashes.sparkSession)
+    points = hashes.where("bits is not null").groupBy("bits").agg(F.min("id").alias("id")).checkpoint()
+    masks = band_masks(points.count(), distance)
+    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col("bits").bitwiseAND(F.lit(x)).alias("value")) for i, x in enumerate(masks))))
+    rows = points.select("id", "bits", keys.alias("k")).select("id", "bits", "k.*")
     other = rows.select(F.col("id").alias("other"), F.col("bits").alias("more"), "band", "value")
     pairs = rows.join(other, ["band", "value"]).where((F.col("id") < F.col("other")) & (hamming(F.col("bits"), F.col("more")) <= distance))
     return pairs.select(F.col("id").alias("a"), F.col("other").alias("b"), hamming(F.col("bits"), F.col("more")).cast("long").alias("distance")).distinct()
