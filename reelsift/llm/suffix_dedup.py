@@ -44,8 +44,7 @@ def sample(data: np.ndarray, offsets: np.ndarray, min_len: int, anchor: int) ->
     low = np.uint64((1 << _POSITION) - 1)
     for lo, hi in _pieces(data, offsets, min_len):
         part = data[lo : hi + min_len - 1]
-        one, two = K.Hashes(part, 0), K.Hashes(part, 1)
-        key = one.windows(anchor)
+        two, key = K.Hashes(part, 1), K.anchors(part, anchor)
         value = (key & ~low) | np.arange(len(key), dtype=np.uint64)
         pad = -len(value) % width
         blocks = np.append(value, np.full(pad, ~np.uint64(0))).reshape(-1, width)
@@ -53,7 +52,7 @@ def sample(data: np.ndarray, offsets: np.ndarray, min_len: int, anchor: int) ->
         right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         n = hi - lo
         least = (np.minimum(right[:n], left[width - 1 : width - 1 + n]) & low).astype(np.int64)
-        text = np.searchsorted(offsets, np.arange(lo, hi), "right") - 1
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, lo, hi)))
         ok = np.flatnonzero(np.arange(lo, hi) + min_len <= offsets[text + 1])
         if not len(ok):
             continue

@@ -52,6 +52,16 @@ def test_structured_strings_have_hashes_of_their_own():
             assert a != b
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 12, 32, 100])
+def test_anchors_stand_for_substrings(width):
+    data = np.frombuffer((morse(2048) + morse(2048, "b", "a")).encode() * 2, np.uint8)
+    value, seen = K.anchors(data, width), {}
+    assert len(value) == len(data) - width + 1
+    for i, v in enumerate(value.tolist()):
+        assert seen.setdefault(data[i : i + width].tobytes(), v) == v
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_words_are_told_apart_by_bytes_even_where_hashes_agree(monkeypatch):
     monkeypatch.setattr(K, "string_hashes", lambda data, offsets: np.zeros(len(offsets) - 1, np.uint64))
     made = []
