@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelsift.functions.columns import hamming, hash_bits, strip
 from reelsift.operators.catalog import hamming_pairs
+from reelsift.operators.greedy import shared_checkpoints
 
 #: The keys of a summary that an embedding text takes, in order.
 SUMMARY_KEYS = ["caption", "summary", "emotion", "emotional_core", "scene_type", "reason"]
@@ -274,23 +275,32 @@ def fingerprint_duplicates(videos: DataFrame, tolerance: float = 2.0, distance:
     """J-07: for each video ``(video, position, duration, phashes)`` that repeats an earlier one, the first such.
 
     Alike are videos of durations within ``tolerance`` and as many hashes, three at least, no pair of which differs in more than
-    ``distance`` bits. Candidates come from the banded join on the first hash, and all hashes decide; a bad hash is alike to none.
+    ``distance`` bits. A bad hash, or a duration that is null or not finite, is alike to none. Of equal positions the least video is named.
+
+    Each video looks for others by the one of its hashes, with its place, that the fewest have or come near, and they are
+    found under each of theirs: a frame that very many share, as a black one at the start, is the key of none that has a rarer one.
     """
-    rows = videos.where("size(phashes) >= 3")
-    classes = rows.groupBy("phashes", "duration").agg(F.min("position").alias("at"), F.min_by("video", "position").alias("first"))
-    classes = classes.withColumn("bits", F.transform("phashes", hash_bits)).withColumn("head", F.col("bits")[0])
-    # Classes of one first hash are one point of the banded join.
-    heads = classes.where("head is not null").groupBy("head").agg(F.min("at").alias("point"))
-    near = hamming_pairs(heads.select(F.col("point").alias("id"), F.col("head").alias("bits")), distance).select("a", "b")
-    near = near.union(near.select("b", "a")).union(heads.select("point", "point"))
-    known = classes.join(heads, "head")
-    side = lambda s: known.select(F.col("point").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("at", "first", "duration", "bits")])
-    both = near.join(side("a"), "a").join(side("b"), "b")
-    far = F.array_max(F.zip_with("a_bits", "b_bits", hamming))
-    alike = both.where((F.abs(F.col("a_duration") - F.col("b_duration")) <= tolerance) & (F.size("a_bits") == F.size("b_bits")) & (far <= distance))
-    best = alike.groupBy(F.col("a_at").alias("at")).agg(F.min("b_at").alias("earliest"), F.min_by("b_first", "b_at").alias("duplicate_of"))
-    out = rows.join(classes.select("phashes", "duration", "at"), ["phashes", "duration"]).join(best, "at")
-    return out.where("earliest < position").select("video", "duplicate_of")
+    rows = videos.where((F.size("phashes") >= 3) & (F.abs("duration") < float("inf")))
+    classes = rows.groupBy("phashes", "duration").agg(F.min(F.struct("position", "video")).alias("x")).select("phashes", "duration", F.col("x.position").alias("at"), F.col("x.video").alias("first"))
+    shared_checkpoints(videos.sparkSession)
+    classes = classes.withColumn("bits", F.transform("phashes", hash_bits)).where(F.forall("bits", lambda b: b.isNotNull()))
+    classes = classes.withColumns({"class": F.monotonically_increasing_id(), "n": F.size("bits"), "slot": F.floor(F.col("duration") / max(tolerance, 1e-9)).cast("double")}).checkpoint()
+    # Every class under each of its hashes; each distinct hash with those near it, itself too.
+    held = classes.select("class", "n", "slot", "at", "first", "duration", "bits", F.posexplode("bits").alias("place", "hash"))
+    hashes = held.select("hash").distinct()
+    pairs = hamming_pairs(hashes.select(F.col("hash").alias("id"), F.col("hash").alias("bits")), distance).select("a", "b")
+    near = pairs.union(pairs.select("b", "a")).union(hashes.select("hash", "hash")).toDF("hash", "other").checkpoint()
+    load = held.groupBy("n", "place", "hash").agg(F.count("*").alias("classes"))
+    load = near.join(load.withColumnRenamed("hash", "other"), "other").groupBy("n", "place", "hash").agg(F.sum("classes").alias("classes"))
+    rarest = held.select("class", "n", "place", "hash").join(load, ["n", "place", "hash"]).groupBy("class").agg(F.min_by(F.struct("place", "hash"), F.struct("classes", "place")).alias("k"))
+    asked = classes.join(rarest, "class").select("class", "n", "at", "duration", "bits", "k.*", F.explode(F.array(*(F.col("slot") + i for i in (-1, 0, 1)))).alias("slot")).join(near, "hash").drop("hash")
+    other = held.select("n", "slot", "place", F.col("hash").alias("other"), F.col("at").alias("b_at"), F.col("first").alias("b_first"), F.col("duration").alias("b_duration"), F.col("bits").alias("b_bits"))
+    far = F.array_max(F.zip_with("bits", "b_bits", hamming))
+    alike = asked.join(other, ["n", "slot", "place", "other"]).where((F.col("b_at") <= F.col("at")) & (F.abs(F.col("duration") - F.col("b_duration")) <= tolerance) & (far <= distance))
+    best = alike.groupBy("class").agg(F.min(F.struct("b_at", "b_first")).alias("x"))
+    # A class is alike to itself: its later videos repeat its first, or what that repeats.
+    best = classes.select("phashes", "duration", "class").join(best, "class").select("phashes", "duration", F.col("x.b_at").alias("earliest"), F.col("x.b_first").alias("duplicate_of"))
+    return rows.join(best, ["phashes", "duration"]).where("earliest < position").select("video", "duplicate_of")
 
 
 def apply_relinks(media: DataFrame, candidates: DataFrame, proposals: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -138,18 +138,26 @@ def narrative(rows: DataFrame, beats: DataFrame) -> DataFrame:
     return out if out is not None else rows.sparkSession.createDataFrame([], "collection long, beat long, id long, missing string")
 
 
+#: Rows on each side of a block of ``_first_near``, pivots of its cells at most, and rounds of ``near_keepers`` by batches.
+BLOCK, PIVOTS, BATCHES = 4096, 256, 4
+
+
 def near_keepers(rows: DataFrame, threshold: float, batch: int = 64) -> DataFrame:
     """T-08: for each of ``rows(id, grp, score, vector)``, each id once, the keeper that a pass through its group in order of
     score takes it for: itself, or the first kept row before it of a cosine of at least the threshold, with that ``similarity``.
-    Rows without a vector keep themselves and stand for no other; a null score or group is one like any other.
+    Rows without a vector, or with a component that is null or not finite, keep themselves and stand for no other; a null score
+    or group is one like any other.
 
-    A round takes the ``batch`` best open rows of every group, chooses among them in order, and closes what is near one chosen:
-    a task holds a batch of a group, and rows meet the few chosen ones, not each other. All that is chosen in a round comes
-    before all that is chosen later, so the first match is the first keeper.
+    The first ``BATCHES`` rounds each take the ``batch`` best open rows of every group, choose among them in order, and close
+    what is near one chosen, which thins out dense groups. Of what is left, a round keeps the rows that have no open row near
+    them before them, and closes what is near those: as many rounds as the longest chain of such rows, whatever the group's size.
     """
     shared_checkpoints(rows.sparkSession)
-    open_ = rows.where("vector is not null").select("id", "grp", "score", F.transform("vector", lambda x: x.cast("double")).alias("vector")).checkpoint()
-    out = rows.where("vector is null").select("id", F.col("id").alias("keeper"), F.lit(None).cast("double").alias("similarity"))
+    whole = F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
+    rows = rows.select("id", "grp", "score", "vector", whole.alias("whole")).checkpoint()
+    open_ = rows.where("whole").select("id", "grp", "score", F.transform("vector", lambda x: x.cast("double")).alias("vector")).checkpoint()
+    alone = lambda x: x.select("id", F.col("id").alias("keeper"), F.lit(None).cast("double").alias("similarity"))
+    out = alone(rows.where("not whole"))
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("turn")
@@ -158,23 +166,136 @@ def near_keepers(rows: DataFrame, threshold: float, batch: int = 64) -> DataFram
         for i, v in enumerate(frame["vector"]):
             length = math.sqrt(sum(x * x for x in v))
             u = np.asarray(v) / length if length else np.zeros(len(v))
-            if all(float(u @ w) < threshold for w in units):
+            if all(len(u) != len(w) or float(u @ w) < threshold for w in units):
                 kept.append(i)
                 units.append(u)
         return frame.iloc[kept][["id", "grp", "turn", "vector"]]
 
     order = Window.partitionBy("grp").orderBy(F.desc("score"), "id")
-    while not open_.isEmpty():
+    for _ in range(BATCHES):
+        if open_.isEmpty():
+            return out
         first = open_.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= batch).select("id", "grp", "turn", "vector")
         kept = first.groupBy("grp").applyInPandas(choose, first.schema).checkpoint()
         chosen = kept.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "vector"))).alias("chosen"))
         rest = open_.join(kept.select("id"), "id", "left_anti").alias("r").join(chosen.alias("c"), F.col("r.grp").eqNullSafe(F.col("c.grp"))).select("r.*", "chosen")
         near = F.transform("chosen", lambda k: F.struct(k.id.alias("id"), cosine(F.col("vector"), k.vector).alias("s")))
         rest = rest.withColumn("hit", F.try_element_at(F.filter(near, lambda k: k.s >= threshold), F.lit(1))).drop("chosen").checkpoint()
-        out = out.union(kept.select("id", F.col("id").alias("keeper"), F.lit(None).cast("double").alias("similarity")))
+        out = out.union(alone(kept))
         out = out.union(rest.where("hit is not null").select("id", F.col("hit.id").alias("keeper"), F.col("hit.s").alias("similarity")))
         open_ = rest.where("hit is null").drop("hit")
-    return out
+    if open_.isEmpty():
+        return out
+    placed = _placed(open_, threshold)
+    left, kept = placed, None
+    while not left.isEmpty():
+        behind = _first_near(left, left, threshold).select("id")
+        first = left.join(behind, "id", "left_anti").checkpoint()
+        rest = left.join(first.select("id"), "id", "left_anti").checkpoint()
+        left = rest.join(_first_near(rest, first, threshold).select("id"), "id", "left_anti").checkpoint()
+        kept = first if kept is None else kept.union(first)
+    # A row may be near an earlier keeper than the one that closed it: keepers are named when all are known.
+    named = _first_near(placed.join(kept.select("id"), "id", "left_anti"), kept, threshold).checkpoint()
+    return out.union(alone(kept)).union(named)
+
+
+def _placed(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows ``(id, key, late, low, vector, home, cells)``: their order within ``key``, a group's vectors of one length, as two
+    numbers before the id; the cell that they lie in; and the cells that a vector near them can lie in.
+
+    Cells are those of the nearest of a bounded set of pivots: rows picked by hash, one for each ``BLOCK`` rows of the largest
+    group, ``PIVOTS`` at most. A vector x of pivot a has one of pivot b within r only if x.a - x.b <= r |a - b|, so none is missed.
+    """
+    score = F.col("score").cast("double")
+    late = F.when(score.isNull(), 2).when(F.isnan(score), 0).otherwise(1)
+    low = F.when(score.isNull() | F.isnan(score), 0.0).otherwise(-score)
+    rows = rows.select("id", F.to_json(F.struct("grp", F.size("vector").alias("n"))).alias("key"), late.alias("late"), low.alias("low"), "vector").checkpoint()
+    most = rows.groupBy("key").count().agg(F.max("count")).first()[0]
+    few = min(PIVOTS, most // BLOCK) if threshold > 0 else 0
+    picked = [np.asarray(r[0]) for r in rows.orderBy(F.xxhash64("id")).limit(few).select("vector").toLocalIterator()] if few else []
+    picked = [v / np.linalg.norm(v) for v in picked if len(v) == len(picked[0]) and np.linalg.norm(v) > 0]
+    pivots = np.stack(picked) if picked else None
+    # A little more than the radius, for rounding.
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+
+    def place(frames):
+        for f in frames:
+            home, cells = np.zeros(len(f), int), [[0]] * len(f)
+            mine = [i for i, v in enumerate(f["vector"]) if pivots is not None and len(v) == pivots.shape[1]]
+            if mine:
+                units = np.stack(f["vector"].iloc[mine].tolist())
+                units = units / np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-300)
+                near = units @ pivots.T
+                at = near.argmax(axis=1)
+                apart = np.linalg.norm(pivots[:, None] - pivots[None], axis=2)
+                ok = near[np.arange(len(at)), at][:, None] - near <= reach * apart[at] + 1e-9
+                for i, a, mask in zip(mine, at, ok):
+                    home[i], cells[i] = a, np.flatnonzero(mask).tolist()
+            yield f.assign(home=home, cells=cells)
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInPandas(place, f"id {kind}, key string, late int, low double, vector array<double>, home int, cells array<int>").checkpoint()
+
+
+def _first_near(rows: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """For each of ``rows`` the first of ``others`` before it in its key's order of a cosine of at least the threshold; both as
+    ``_placed`` gives them. Returns ``(id, keeper, similarity)`` of those that have one.
+
+    A cell's rows and others are cut in parts of about ``BLOCK``, and each task compares a part with a part by a product of
+    matrices; a row gives one line for each such block, not one for each pair.
+    """
+    keys = ["key", "cell"]
+    asked = rows.select("id", "key", "late", "low", "vector", F.explode("cells").alias("cell"))
+    # Columns of their own: others may be the same table.
+    held = others.select(*(F.col(c).alias(n) for c, n in zip(["id", "key", "late", "low", "vector", "home"], ["id", "key", "late", "low", "vector", "cell"])))
+    parts = lambda x, name: x.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = parts(asked, "n").join(parts(held, "m"), keys)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(sizes, keys).withColumns({"i": own("n")}).withColumn("j", every("m")).drop("n", "m")
+    held = held.join(sizes, keys).withColumns({"j": own("m")}).withColumn("i", every("n")).drop("n", "m")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        order = ["late", "low", "id"]
+        b = b.sort_values(order, ignore_index=True)
+        both = pd.concat([a[order].assign(own=True), b[order].assign(own=False)]) if len(a) and len(b) else None
+        none = pd.DataFrame({"id": a["id"][:0], "late": a["late"][:0], "low": a["low"][:0], "keeper": b["id"][:0], "similarity": pd.Series([], dtype=float)})
+        if both is None:
+            return none
+        # How many of b come before each of a: a row is not before itself.
+        both["row"] = np.r_[np.arange(len(a)), np.arange(len(b))]
+        both = both.sort_values([*order, "own"], ascending=[True, True, True, False], kind="stable")
+        before = np.zeros(len(a), int)
+        mine = both["own"].to_numpy()
+        before[both["row"].to_numpy()[mine]] = np.cumsum(~mine)[mine]
+        x, y = np.stack(a["vector"].tolist()), np.stack(b["vector"].tolist())
+        # Sums in order of place, as a SQL aggregate takes them.
+        length = lambda v: np.sqrt((v * v).cumsum(axis=1)[:, -1]) if v.shape[1] else np.zeros(len(v))
+        nx, ny = length(x), length(y)
+        found = []
+        for lo in range(0, len(a), 256):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = (x[lo : lo + 256] @ y.T) / (nx[lo : lo + 256, None] * ny[None])
+            s[~np.isfinite(s)] = 0.0
+            s[np.arange(len(b))[None] >= before[lo : lo + 256, None]] = -np.inf
+            for i, k in np.argwhere(np.abs(s - threshold) < 1e-9):
+                n = nx[lo + i] * ny[k]
+                s[i, k] = (x[lo + i] * y[k]).cumsum()[-1] / n if n > 0 else 0.0
+            hit = s >= threshold
+            at = hit.argmax(axis=1)
+            found += [(lo + i, at[i]) for i in np.flatnonzero(hit.any(axis=1))]
+        if not found:
+            return none
+        i, k = np.array(found).T
+        n = nx[i] * ny[k]
+        same = np.where(n > 0, (x[i] * y[k]).cumsum(axis=1)[:, -1] / np.where(n > 0, n, 1.0), 0.0)
+        return pd.DataFrame({"id": a["id"].to_numpy()[i], "late": b["late"].to_numpy()[k], "low": b["low"].to_numpy()[k], "keeper": b["id"].to_numpy()[k], "similarity": same})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    by = [*keys, "i", "j"]
+    met = asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(meet, f"id {kind}, late int, low double, keeper {kind}, similarity double")
+    best = met.groupBy("id").agg(F.min_by(F.struct("keeper", "similarity"), F.struct("late", "low", "keeper")).alias("k"))
+    return best.select("id", "k.keeper", "k.similarity")
 
 
 def duplicate_groups(keepers: DataFrame) -> DataFrame:

@@ -80,35 +80,78 @@ def _each(embed_batch, texts: list[str], dim: int) -> list[tuple[list[float] | N
     return [(list(map(float, v)), None) if v is not None and len(v) == dim else (None, "dimension") for v in made]
 
 
+#: In place of a time, in microseconds, for an event without one: before all others.
+OLDEST = -(1 << 62) // 1000
+
+
 class LatestRating(StatefulProcessor):
     """Z-03: for each target, the latest event that is neither undone nor superseded; a correction may come before its event.
 
     A target without such an event gives nulls, which take back what was given for it before.
+
+    With ``keep`` seconds, the state of a target is what its newest event so far reaches back over, and the latest event
+    standing before that, which is settled. An event older than that span is given back as ``late`` and changes nothing; so is one
+    that supersedes what is settled, though it still counts as an event of its own. A batch is judged as a whole: what it
+    holds is in time or late by the batches before it.
     """
 
+    def __init__(self, keep: float | None = None):
+        self.keep = keep
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getMapState("events", "event_id long", "rating string, at timestamp, undone boolean")
-        self.gone = handle.getMapState("gone", "event_id long", "x boolean")
+        self.events = handle.getMapState("events", "event_id long", "rating string, at long, undone boolean")
+        self.gone = handle.getMapState("gone", "event_id long", "at long")
+        self.span = handle.getValueState("span", "horizon long, settled long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        horizon, settled = self.span.get() if self.span.exists() else (None, None)
+        late = []
         for frame in rows:
             for r in frame.itertuples():
-                self.events.updateValue((int(r.event_id),), (r.rating, r.created_at.to_pydatetime(), bool(pd.notna(r.undone_at))))
+                event, at = int(r.event_id), OLDEST if pd.isna(r.created_at) else r.created_at.value // 1000
+                if horizon is not None and at < horizon:
+                    late.append((event, r.rating, at))
+                    continue
+                self.events.updateValue((event,), (r.rating, at, bool(pd.notna(r.undone_at))))
                 if pd.notna(r.supersedes_event_id):
-                    self.gone.updateValue((int(r.supersedes_event_id),), (True,))
-        live = [(v[1], k[0], v[0]) for k, v in self.events.iterator() if not v[2] and not self.gone.containsKey(k)]
+                    if settled is not None and int(r.supersedes_event_id) == settled:
+                        late.append((event, r.rating, at))
+                    else:
+                        self.gone.updateValue((int(r.supersedes_event_id),), (at,))
+        known = list(self.events.iterator())
+        live = [(v[1], k[0], v[0]) for k, v in known if not v[2] and not self.gone.containsKey(k)]
         at, event, rating = max(live) if live else (None, None, None)
-        yield pd.DataFrame({"target_id": [key[0]], "event_id": [event], "rating": [rating], "created_at": [at]})
+        if self.keep is not None and known:
+            newest = max(v[1] for _, v in known) - int(self.keep * 1_000_000)
+            horizon = newest if horizon is None else max(horizon, newest)
+            base = max((x for x in live if x[0] < horizon), default=None)
+            for k, v in known:
+                if v[1] < horizon and (base is None or k[0] != base[1]):
+                    self.events.removeKey(k)
+            for k, v in list(self.gone.iterator()):
+                if v[0] < horizon:
+                    self.gone.removeKey(k)
+            self.span.update((horizon, base[1] if base else None))
+        found = [(event, rating, at, False), *((*x, True) for x in late)]
+        ids, ratings, times, flags = zip(*found)
+        times = [pd.NaT if x is None or x == OLDEST else pd.Timestamp(x, unit="us") for x in times]
+        yield pd.DataFrame({"target_id": [key[0]] * len(found), "event_id": pd.array(ids, dtype="Int64"), "rating": ratings, "created_at": pd.Series(times, dtype="datetime64[ns]"), "late": flags})
 
     def close(self) -> None:
         pass
 
 
-LATEST = "target_id long, event_id long, rating string, created_at timestamp"
+LATEST = "target_id long, event_id long, rating string, created_at timestamp, late boolean"
+
+
+def ratings_and_late(stream: DataFrame, keep: float | None = None) -> DataFrame:
+    """Z-03: ``latest_ratings``, and the events that came too late for them, told apart by ``late``: two outputs of one query."""
+    return stream.groupBy("target_id").transformWithStateInPandas(LatestRating(keep), LATEST, "update", "none")
 
 
-def latest_ratings(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("target_id").transformWithStateInPandas(LatestRating(), LATEST, "update", "none")
+def latest_ratings(stream: DataFrame, keep: float | None = None) -> DataFrame:
+    """Z-03: the latest rating of each target that has new events; ``keep`` bounds its state, in seconds of its events' time."""
+    return ratings_and_late(stream, keep).where("not late").drop("late")
 
 
 class OnlineClips(StatefulProcessor):
