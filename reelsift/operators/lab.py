@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelsift.operators.attention import stable_id
 from reelsift.operators.scans import Segments
 
 
@@ -137,7 +138,7 @@ def inbox(*sources: DataFrame) -> DataFrame:
     for s in sources[1:]:
         rows = rows.unionByName(s)
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return rows.select(F.concat(F.lit("att_"), F.substring(F.sha2(F.concat_ws("|", "kind", "key"), 256), 1, 16)).alias("id"), "kind", "severity", "title", "created_at", rank.alias("order")).orderBy("order", F.desc("created_at"), "id")
+    return rows.select(stable_id(F.col("kind"), F.col("key")).alias("id"), "kind", "severity", "title", "created_at", rank.alias("order")).orderBy("order", F.desc("created_at"), "id")
 
 
 def audit(stages: DataFrame, files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -172,10 +173,18 @@ def severity_counts(items: DataFrame) -> DataFrame:
     return items.agg(*(F.count_if(kind == s).alias(s) for s in ("error", "warning", "info")))
 
 
-def config_snapshots(settings: DataFrame) -> DataFrame:
-    """S-17: of each config's ``(config, key, value)``, texts all, its JSON by sorted keys and that one's sha256 as id. Of a key that
-    occurs twice the greatest value counts; null values stay as null."""
-    one = settings.groupBy("config", "key").agg(F.max("value").alias("value"))
+def canonical(entries: DataFrame, name: str) -> DataFrame:
+    """Of each config's ``(config, key, value)``, texts all, the JSON by sorted keys. Of a key that occurs twice the greatest value
+    counts; null values stay as null."""
+    one = entries.groupBy("config", "key").agg(F.max("value").alias("value"))
     pairs = F.array_sort(F.collect_list(F.struct("key", "value")))
-    text = F.to_json(F.map_from_entries(pairs), {"ignoreNullFields": "false"})
-    return one.groupBy("config").agg(text.alias("settings")).select("config", F.sha2("settings", 256).alias("config_id"), "settings")
+    return one.groupBy("config").agg(F.to_json(F.map_from_entries(pairs), {"ignoreNullFields": "false"}).alias(name))
+
+
+def config_snapshots(settings: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
+    """S-17: of each config's settings the canonical JSON and that one's sha256 as id; with ``provenance`` of the same columns its JSON
+    too, which says nothing of the id. A config without provenance has an empty object."""
+    rows = canonical(settings, "settings").select("config", F.sha2("settings", 256).alias("config_id"), "settings")
+    if provenance is None:
+        return rows
+    return rows.join(canonical(provenance, "provenance"), "config", "left").withColumn("provenance", F.coalesce("provenance", F.lit("{}")))

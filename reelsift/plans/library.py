@@ -354,7 +354,7 @@ def media_vectors(spark, d):
     return rows.select("id", "origin", F.round(mark, 4).alias("mark"))
 
 
-@r.query("""WITH x AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN '' END AS caption, CASE WHEN doc_id % 5 <> 0 THEN source || ' ' || lang END AS summary, CASE WHEN doc_id % 7 <> 0 THEN 'liked' END AS status FROM documents),
+@r.query(r"""WITH x AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN '' END AS caption, CASE WHEN doc_id % 5 <> 0 THEN source || ' ' || lang END AS summary, CASE WHEN doc_id % 7 <> 0 THEN 'liked' END AS status FROM documents),
 y AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN coalesce(caption, '') <> '' THEN caption ELSE coalesce(summary, '') END, '^\s+', ''), '\s+$', '') AS s FROM x)
 SELECT id, CASE WHEN s = '' THEN 'Candidate ' || coalesce(status, 'candidate') WHEN length(s) > 60 THEN substr(s, 1, 57) || '...' ELSE s END AS label FROM y""")
 def candidate_labels(spark, d):

@@ -568,7 +568,7 @@ def collection_versions(spark, d):
 
 
 @query("""WITH a AS (SELECT 'job' AS kind, o_orderkey::VARCHAR AS key, 'error' AS severity, 'order ' || o_orderkey AS title FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'stage', event_id::VARCHAR, 'warning', 'event ' || event_id FROM events WHERE event_type = 'error' UNION ALL SELECT 'publish', p_partkey::VARCHAR, 'info', 'part ' || p_partkey FROM part WHERE p_size > 45)
-SELECT 'att_' || substr(sha256(kind || '|' || key), 1, 16) AS id, kind, severity, title FROM a""")
+SELECT 'att_' || substr(sha256(kind || ':' || key), 1, 16) AS id, kind, severity, title FROM a""")
 def attention_inbox(spark, d):
     shape = lambda df, kind, key, severity, word: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.lit(severity).alias("severity"), F.concat(F.lit(word), F.col(key).cast("string")).alias("title"), F.col(key).cast("long").alias("created_at"))
     return lab.inbox(shape(t.table(spark, d, "orders").where("o_orderstatus = 'P'"), "job", "o_orderkey", "error", "order "), shape(t.table(spark, d, "events").where("event_type = 'error'"), "stage", "event_id", "warning", "event "), shape(t.table(spark, d, "part").where("p_size > 45"), "publish", "p_partkey", "info", "part ")).select("id", "kind", "severity", "title")

@@ -188,10 +188,21 @@ def collection_manifest(items: DataFrame, candidates: DataFrame) -> tuple[DataFr
     return rows, missing, manifest
 
 
-def export_collections(items: DataFrame, candidates: DataFrame, path: str) -> DataFrame:
-    """S-13: write items, missing ids and manifest as JSON below the path, by collection and version, and return the manifest. What is
-    there of other collections and versions stays."""
+def named_manifests(manifest: DataFrame, collections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S-13: the manifest of ``collection_manifest`` with the name and search, a JSON text, of its collections ``(collection, name,
+    search)``; and the collections that have no version to export. One that is not known is left out of the manifest."""
+    known = collections.select("collection", "name", F.coalesce("search", F.lit("{}")).alias("search"))
+    rows = manifest.join(known, "collection").select("collection", "name", "version", "search", "exported", "missing")
+    return rows, collections.join(manifest.select("collection"), "collection", "left_anti").select("collection", "name")
+
+
+def export_collections(items: DataFrame, candidates: DataFrame, path: str, collections: DataFrame | None = None) -> DataFrame:
+    """S-13: write items, missing ids and manifest as JSON below the path, by collection and version, and return the manifest, with
+    names and searches where ``collections`` gives them. What is there of other collections and versions stays."""
     parts = dict(zip(("items", "missing", "manifest"), collection_manifest(items, candidates)))
+    if collections is not None:
+        parts["manifest"] = named_manifests(parts["manifest"], collections)[0]
+        parts = {n: x.join(collections.select("collection"), "collection", "left_semi") for n, x in parts.items()}
     for name, rows in parts.items():
         keep = [c for c in rows.columns if c not in ("collection", "version")]
         if name == "items":

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from reelsift.plans import library, registry, rules, runs  # noqa: F401
+from reelsift.plans import inbox, library, registry, rules, runs  # noqa: F401
 
 
 @pytest.fixture(scope="module")
