@@ -47,11 +47,11 @@ def media_gate(media: DataFrame) -> DataFrame:
 
 
 def manifest_gate(rows: DataFrame, schema: str, versions: tuple[int, ...] = (1,)) -> DataFrame:
-    """P-13: errors of manifests ``(stage, raw)``: struct of schema_version, stage, clip_count, clips(clip_id)."""
+    """P-13: all columns of manifests ``(stage, raw)`` and their errors: struct of schema_version, stage, clip_count, clips(clip_id)."""
     m = rows.withColumn("m", F.from_json("raw", schema))
     ids = F.transform("m.clips", lambda c: c.clip_id)
     errors = _errors(
         (F.col("m").isNull() | F.col("m.schema_version").isNull(), "unreadable"), (~F.col("m.schema_version").isin(*versions), "version"), (F.col("m.stage") != F.col("stage"), "stage"),
         (F.col("m.clip_count") != F.size("m.clips"), "count"), (F.size(F.filter(ids, lambda x: x.isNull() | (F.trim(x) == ""))) > 0, "empty id"), (F.size(F.array_distinct(ids)) != F.size(ids), "repeated id"),
     )
-    return m.select("stage", "raw", errors.alias("errors"))
+    return m.select(*rows.columns, errors.alias("errors"))

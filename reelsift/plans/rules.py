@@ -32,9 +32,8 @@ def manifest_errors(spark, d):
     k = F.col("p_partkey")
     text = lambda c: c.cast("string")
     raw = F.concat(F.lit('{"schema_version": '), text(F.when(k % 5 == 0, 2).otherwise(1)), F.lit(', "stage": "'), F.when(k % 7 == 0, "cut").otherwise("export"), F.lit('", "clip_count": '), text(F.when(k % 11 == 0, 3).otherwise(2)), F.lit(', "clips": [{"clip_id": "a"}, {"clip_id": "'), F.when(k % 13 == 0, " ").when(k % 17 == 0, "a").otherwise("b"), F.lit('"}]}'))
-    rows = t.table(spark, d, "part").select(F.lit("export").alias("stage"), F.when(k % 19 == 0, F.concat(F.lit("{broken "), text(k))).otherwise(F.concat(raw, F.repeat(F.lit(" "), k.cast("int")))).alias("raw"), k.alias("id"))
-    gate = quality.manifest_gate(rows, "schema_version int, stage string, clip_count int, clips array<struct<clip_id:string>>")
-    return gate.join(rows.select("raw", "id"), "raw").select("id", "errors")
+    rows = t.table(spark, d, "part").select(F.lit("export").alias("stage"), F.when(k % 19 == 0, F.concat(F.lit("{broken "), text(k))).otherwise(raw).alias("raw"), k.alias("id"))
+    return quality.manifest_gate(rows, "schema_version int, stage string, clip_count int, clips array<struct<clip_id:string>>").select("id", "errors")
 
 
 @r.query("SELECT o_orderkey AS id, CASE WHEN count(l_orderkey) <= 0 THEN 1.0::DOUBLE ELSE round(count(*) FILTER (l_returnflag <> 'R') / count(l_orderkey), 6) END AS integrity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber > 2 GROUP BY 1")
