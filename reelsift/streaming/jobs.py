@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +84,8 @@ def _each(embed_batch, texts: list[str], dim: int) -> list[tuple[list[float] | N
 
 #: In place of a time, in microseconds, for an event without one: before all others.
 OLDEST = -(1 << 62) // 1000
+#: Events in a value of state at most.
+PIECE = 100_000
 
 
 class LatestRating(StatefulProcessor):
@@ -99,43 +103,66 @@ class LatestRating(StatefulProcessor):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getMapState("events", "event_id long", "rating string, at long, undone boolean")
-        self.gone = handle.getMapState("gone", "event_id long", "at long")
+        # Events of a batch are one value, or one for each PIECE, as an Arrow file: a call for each event took most of the time.
+        self.events = handle.getListState("events", "rows binary")
+        self.gone = handle.getListState("gone", "rows binary")
         self.span = handle.getValueState("span", "horizon long, settled long")
 
+    @staticmethod
+    def _all(state, new: pd.DataFrame) -> tuple[pd.DataFrame, int]:
+        """The last row of each event_id in the state and then ``new``, and how many values the state has."""
+        had = [pa.ipc.open_file(pa.py_buffer(bytes(x[0]))).read_pandas() for x in state.get()] if state.exists() else []
+        rows = pd.concat([x for x in (*had, new) if len(x)] or [new], ignore_index=True)
+        return rows.drop_duplicates("event_id", keep="last", ignore_index=True), len(had)
+
+    @staticmethod
+    def _packed(rows: pd.DataFrame) -> list[tuple[bytes]]:
+        out = []
+        for i in range(0, len(rows), PIECE):
+            table, sink = pa.Table.from_pandas(rows.iloc[i : i + PIECE], preserve_index=False), pa.BufferOutputStream()
+            with pa.ipc.new_file(sink, table.schema) as file:
+                file.write_table(table)
+            out.append((sink.getvalue().to_pybytes(),))
+        return out
+
+    def _put(self, state, rows: pd.DataFrame) -> None:
+        state.put(self._packed(rows)) if len(rows) else state.clear()
+
+    def _add(self, state, new: pd.DataFrame, rows: pd.DataFrame, values: int) -> None:
+        """``new`` as a value of its own; many small values become one."""
+        if values >= 32 and values > 2 * len(rows) / PIECE:
+            self._put(state, rows)
+        elif len(new):
+            state.appendList(self._packed(new))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         horizon, settled = self.span.get() if self.span.exists() else (None, None)
-        late = []
-        for frame in rows:
-            for r in frame.itertuples():
-                event, at = int(r.event_id), OLDEST if pd.isna(r.created_at) else r.created_at.value // 1000
-                if horizon is not None and at < horizon:
-                    late.append((event, r.rating, at))
-                    continue
-                self.events.updateValue((event,), (r.rating, at, bool(pd.notna(r.undone_at))))
-                if pd.notna(r.supersedes_event_id):
-                    if settled is not None and int(r.supersedes_event_id) == settled:
-                        late.append((event, r.rating, at))
-                    else:
-                        self.gone.updateValue((int(r.supersedes_event_id),), (at,))
-        known = list(self.events.iterator())
-        live = [(v[1], k[0], v[0]) for k, v in known if not v[2] and not self.gone.containsKey(k)]
-        at, event, rating = max(live) if live else (None, None, None)
-        if self.keep is not None and known:
-            newest = max(v[1] for _, v in known) - int(self.keep * 1_000_000)
+        batch = pd.concat(list(rows), ignore_index=True)
+        times = batch["created_at"].to_numpy("datetime64[us]")
+        batch = batch.assign(at=np.where(np.isnat(times), OLDEST, times.view(np.int64)), undone=batch["undone_at"].notna(), event_id=batch["event_id"].astype("int64"))
+        old = (batch["at"] < horizon) if horizon is not None else pd.Series(False, index=batch.index)
+        corrects = ~old & batch["supersedes_event_id"].notna()
+        vain = corrects & (batch["supersedes_event_id"] == settled) if settled is not None else ~corrects & corrects
+        events, hits = batch.loc[~old, ["event_id", "rating", "at", "undone"]], batch[corrects & ~vain]
+        hits = pd.DataFrame({"event_id": hits["supersedes_event_id"].astype("int64"), "at": hits["at"]})
+        (known, events_in), (gone, gone_in) = self._all(self.events, events), self._all(self.gone, hits)
+        live = known[~known["undone"].astype(bool) & ~known["event_id"].isin(gone["event_id"])].sort_values(["at", "event_id"])
+        if self.keep is None:
+            self._add(self.events, events, known, events_in)
+            self._add(self.gone, hits, gone, gone_in)
+        elif len(known):
+            newest = int(known["at"].max()) - int(self.keep * 1_000_000)
             horizon = newest if horizon is None else max(horizon, newest)
-            base = max((x for x in live if x[0] < horizon), default=None)
-            for k, v in known:
-                if v[1] < horizon and (base is None or k[0] != base[1]):
-                    self.events.removeKey(k)
-            for k, v in list(self.gone.iterator()):
-                if v[0] < horizon:
-                    self.gone.removeKey(k)
-            self.span.update((horizon, base[1] if base else None))
-        found = [(event, rating, at, False), *((*x, True) for x in late)]
-        ids, ratings, times, flags = zip(*found)
-        times = [pd.NaT if x is None or x == OLDEST else pd.Timestamp(x, unit="us") for x in times]
-        yield pd.DataFrame({"target_id": [key[0]] * len(found), "event_id": pd.array(ids, dtype="Int64"), "rating": ratings, "created_at": pd.Series(times, dtype="datetime64[ns]"), "late": flags})
+            base = live.loc[live["at"] < horizon, "event_id"].iloc[-1:]
+            self._put(self.events, known[(known["at"] >= horizon) | known["event_id"].isin(base)])
+            self._put(self.gone, gone[gone["at"] >= horizon])
+            self.span.update((horizon, int(base.iloc[0]) if len(base) else None))
+        # The latest one, or nulls, and then what is late.
+        best, late = live.iloc[-1:], batch[old | vain]
+        found = [*(best if len(best) else pd.DataFrame({"event_id": [None], "rating": [None], "at": [OLDEST]}))[["event_id", "rating", "at"]].itertuples(index=False, name=None), *late[["event_id", "rating", "at"]].itertuples(index=False, name=None)]
+        ids, ratings, at = zip(*found)
+        at = [pd.NaT if x == OLDEST else pd.Timestamp(x, unit="us") for x in at]
+        yield pd.DataFrame({"target_id": [key[0]] * len(found), "event_id": pd.array(ids, dtype="Int64"), "rating": ratings, "created_at": pd.Series(at, dtype="datetime64[ns]"), "late": [False] + [True] * len(late)})
 
     def close(self) -> None:
         pass
