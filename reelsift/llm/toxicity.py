@@ -57,19 +57,29 @@ def patterns(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents and toxic documents with each gram, summed over what a task has read."""
+    """Documents and toxic documents with each gram, summed over what a task has read: counted by slices, as a batch's hashes take many times its bytes."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         data, offsets = K.flat(batch.column("text"))
-        gram, text = grams(data, offsets)
-        order = np.lexsort((text, gram))
-        gram, text = gram[order], text[order]
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])
-        gram, text = gram[new], text[new]
-        at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(np.add.reduceat(toxic[text], at)), pa.array(np.diff(np.append(at, len(gram))))], names=["gram", "toxic", "n"])
+        sums = [np.zeros((3, 0), np.int64)]
+        for i, j in K.slices(offsets):
+            gram, text = grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            order = np.lexsort((text, gram))
+            gram, text = gram[order], text[order]
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])
+            gram, text = gram[new], text[new]
+            sums.append(_summed(gram.view(np.int64), toxic[text + i], np.ones(len(gram), np.int64)))
+        cells = _summed(*np.concatenate(sums, axis=1))
+        if cells.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["gram", "toxic", "n"])
+
+
+def _summed(gram: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
+    order = np.argsort(gram, kind="stable")
+    gram, toxic, n = gram[order], toxic[order], n[order]
+    at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+    return np.stack([gram[at], np.add.reduceat(toxic, at), np.add.reduceat(n, at)]) if len(at) else np.zeros((3, 0), np.int64)
 
 
 def votes(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

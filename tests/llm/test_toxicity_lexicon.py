@@ -49,3 +49,29 @@ def test_sparse_label_model_is_the_dense_one():
     model = toxicity.LabelModel(*np.nonzero(x), 40, labels)
     assert model.posterior == pytest.approx(p, abs=1e-6)
     assert model.share == pytest.approx(1 / related.sum(1), abs=1e-6)
+
+
+def test_grams_of_a_batch_are_counted_in_slices():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from reelsift.llm import kernels as K
+    from reelsift.llm import toxicity
+
+    texts = [" ".join(f"word{(i * 31 + k * k) % 997}" for k in range(300)) for i in range(1500)] + [None, "", "x" * 300_000]
+    marks = [i % 3 == 0 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(marks).cast(pa.int32()), pa.array(texts)], names=["toxic", "text"])
+    gram, text = toxicity.grams(*K.flat(batch.column("text")))
+    pairs = np.unique(np.stack([gram.view(np.int64), text]), axis=1)
+    want = {}
+    for g, i in pairs.T.tolist():
+        k, n = want.get(g, (0, 0))
+        want[g] = (k + marks[i], n + 1)
+    tracemalloc.start()
+    got = list(toxicity._mine(iter([batch, batch.slice(0, 0)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1 and {g: (k, n) for g, k, n in zip(*(c.to_pylist() for c in got[0].columns))} == want
+    assert peak < 100e6, peak
