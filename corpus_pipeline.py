@@ -33,7 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: five-word shingles, similarity 0.8. Texts without words are one group."""
+    """The first document of each group of near copies: links of SimHash and of minimum hashes, at a similarity of 0.8 by five-word
+    shingles. Texts without words are one group."""
     return dedup(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near copies by shared word shingles: candidates by minimum hashes, links by their exact Jaccard similarity."""
+"""Near copies by shared word shingles: candidates by SimHash (operator 5) and by minimum hashes, links by their exact Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.llm import kernels as K
+from reelsift.llm import simhash
 from reelsift.llm.common import bound_batches, components, stored
 from reelsift.llm.near import Forest, cell_groups
 
@@ -142,7 +143,8 @@ def dedup(docs: DataFrame, similarity: float = 0.8, size: int = 5, block: int =
     """The documents that are the first of their group of near copies: all columns of one row for each.
 
     Documents are linked where the Jaccard similarity of their sets of ``size``-word shingles is ``similarity`` or more, by exact
-    sets of 64-bit hashes; groups are the connected ones. Texts without words are copies of each other. Rows with a null doc_id
+    sets of 64-bit hashes; groups are the connected ones. Candidates are the links of SimHash, by popcounts of segments, their grid and
+    Manhattan bound, and, as three bits of 64 reach few pairs of 0.8, those that share a cell of minimum hashes. Texts without words are copies of each other. Rows with a null doc_id
     are kept. Rows that repeat the first doc_id are kept with it. An empty table gives an empty result.
 
     No task holds more than twice ``block`` shingles (a row counts as 256 more), or a set, if one is larger. In cells beyond ``block`` all sets are compared
@@ -155,13 +157,19 @@ def dedup(docs: DataFrame, similarity: float = 0.8, size: int = 5, block: int =
     points = stored(points.withColumn("key", F.monotonically_increasing_id()), "points")  # numbers for the 128 bits, as written
     cells = points.select(F.explode("cells").alias("cell"), "key", "size")
     shared = stored(cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.min("key").alias("pivot")).where("n > 1"), "cells")
-    wanted = stored(points.join(cells.join(shared, "cell").select("key").distinct(), "key", "left_semi").select(F.col("node").alias("doc_id"), "hash", "more", "key"), "candidates")
+    # SimHash, of one document for each set: sets that share a fingerprint meet its first one, and fingerprints near each other meet.
+    prints = stored(simhash.fingerprints(rows).join(points.where("size > 0").select(F.col("node").alias("doc_id"), "key"), "doc_id").select(F.col("key").alias("doc_id"), "fp"), "fingerprints")
+    first_of, near = simhash.links(prints)
+    same = prints.join(first_of, "fp").select(F.col("doc_id").alias("key"), F.col("node").alias("pivot"))
+    met = stored(same.union(near).where("key <> pivot").distinct(), "met")
+    in_cells = cells.join(shared, "cell").select("key").union(met.select("key")).union(met.select("pivot"))
+    wanted = stored(points.join(in_cells.distinct(), "key", "left_semi").select(F.col("node").alias("doc_id"), "hash", "more", "key"), "candidates")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     sets = rows.join(ids, "doc_id", "left_semi").mapInArrow(K.tidied(_sets(size)), "doc_id long, hash long, more long, shingles binary")
     sets = stored(sets.join(ids, ["doc_id", "hash", "more"]).select("key", "shingles").dropDuplicates(["key"]), "sets")
     # Large cells: what a pivot links is settled.
     large = cells.join(shared.where(F.col("weight") + ROW * F.col("n") > block).select("cell", "pivot"), "cell")
-    trials = large.where("key <> pivot").select("key", "pivot").distinct().join(sets, "key").join(sets.select(F.col("key").alias("pivot"), F.col("shingles").alias("of_pivot")), "pivot")
+    trials = large.where("key <> pivot").select("key", "pivot").union(met).distinct().join(sets, "key").join(sets.select(F.col("key").alias("pivot"), F.col("shingles").alias("of_pivot")), "pivot")
     linked = stored(trials.mapInArrow(K.tidied(_alike(similarity)), "a long, b long"), "linked")
     settled = large.join(linked, (F.col("key") == F.col("a")) & (F.col("pivot") == F.col("b"))).select("cell", "key", F.lit(True).alias("settled"))
     flagged = cells.join(settled, ["cell", "key"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))

@@ -95,6 +95,18 @@ def _links(radius: int):
     return run
 
 
+def links(prints: DataFrame, radius: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Of fingerprints ``(doc_id, fp)``: the distinct ones ``(fp, node)`` with their smallest doc_id, and links ``(a, b)`` between
+    such nodes whose fingerprints differ in at most ``radius`` bits: enough of them to connect all that are."""
+    points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "points")
+    n = points.count()
+    # Finer cells for more points: a choice of runs tells about 1.5 bits a segment apart.
+    groups = next((g for g in range(radius + 2, radius + 5) if 48 * (g - radius) / g >= np.log2(max(n, 2)) - 2), radius + 5)
+    cells = grid_cells(points, radius, groups)
+    edges = cell_groups(cells, "node", n * comb(groups, radius), block=4096).groupBy("g").applyInArrow(_links(radius), "a long, b long")
+    return points, stored(edges, "edges")
+
+
 def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     """Link documents whose fingerprints differ in at most ``radius`` bits.
 
@@ -105,13 +117,8 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> Da
     ignored.
     """
     prints = stored(fingerprints(docs, shingle), "fingerprints")
-    points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "points")
-    n = points.count()
-    # Finer cells for more points: a choice of runs tells about 1.5 bits a segment apart.
-    groups = next((g for g in range(radius + 2, radius + 5) if 48 * (g - radius) / g >= np.log2(max(n, 2)) - 2), radius + 5)
-    cells = grid_cells(points, radius, groups)
-    edges = cell_groups(cells, "node", n * comb(groups, radius), block=4096).groupBy("g").applyInArrow(_links(radius), "a long, b long")
-    names = components(stored(edges, "edges"))
+    points, edges = links(prints, radius)
+    names = components(edges)
     point_names = points.join(names, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(point_names, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
