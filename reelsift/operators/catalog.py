@@ -89,13 +89,28 @@ def inherit(annotations: DataFrame, members: DataFrame) -> DataFrame:
     return rows.select("id", "cluster", F.coalesce("emotion", F.lit("unknown")).alias("emotion"), F.coalesce("tags", F.lit("")).alias("tags"), F.coalesce("notes", F.array().cast("array<string>")).alias("notes"), F.concat(F.lit("[Inherited from cluster "), F.col("cluster").cast("string"), F.lit("] "), said).alias("summary"), "reps")
 
 
+def meeting(left: DataFrame, right: DataFrame, key: str, other: str, block: int = 1000) -> DataFrame:
+    """``left`` joined with ``right`` where ``key`` equals ``other``; the rows of ``left(id)`` with one key are cut in parts of about
+    ``block``, each of which meets the rows of ``right``, so that a frequent key's pairs are not the work of one task."""
+    often = F.broadcast(left.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") > block).select("__key", F.ceil(F.col("__n") / block).alias("__parts")))
+    cut = lambda rows, c: rows.join(often, F.col(c) == F.col("__key"), "left").withColumn("__parts", F.coalesce("__parts", F.lit(1).cast("long"))).drop("__key")
+    mine = cut(left, key).withColumn("__part", F.pmod(F.xxhash64("id"), "__parts")).drop("__parts")
+    theirs = cut(right, other).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")
+    return mine.join(theirs, (F.col(key) == F.col(other)) & (F.col("__part") == F.col("__other"))).drop("__other")
+
+
 def relinks(catalog: DataFrame, scanned: DataFrame) -> DataFrame:
-    """J-11 to J-13: proposals for moved files: exact by content, else probable by head and tail; ``conflict`` where a new path has several."""
+    """J-11 to J-13: proposals for moved files: exact by content, else probable by head and tail; ``conflict`` where a new path has several.
+
+    There is a row for each pair, as many as the product of the two sides of a fingerprint.
+    """
     c = catalog.select("id", F.col("path").alias("old_path"), F.col("sha256").alias("c_sha"), F.col("fingerprint").alias("c_fp"))
     s = scanned.select(F.col("path").alias("new_path"), "sha256", "fingerprint")
-    exact = c.join(s, (c.c_sha == s.sha256) & (c.old_path != s.new_path)).select("id", "old_path", "new_path", F.lit("exact").alias("kind"))
-    likely = c.join(s, (c.c_fp == s.fingerprint) & (c.c_sha != s.sha256) & (c.old_path != s.new_path)).select("id", "old_path", "new_path", F.lit("probable").alias("kind"))
-    rows = exact.union(likely.join(exact.select("id").distinct(), "id", "left_anti"))
+    exact = meeting(c, s, "c_sha", "sha256").where("old_path <> new_path").select("id", "old_path", "new_path", F.lit("exact").alias("kind"))
+    # Those of an exact one leave before the pairs are made.
+    rest = c.join(exact.select("id").distinct(), "id", "left_anti")
+    likely = meeting(rest, s, "c_fp", "fingerprint").where("c_sha <> sha256 and old_path <> new_path").select("id", "old_path", "new_path", F.lit("probable").alias("kind"))
+    rows = exact.union(likely)
     return rows.withColumn("kind", F.when(F.count("*").over(Window.partitionBy("new_path")) > 1, "conflict").otherwise(F.col("kind")))
 
 
