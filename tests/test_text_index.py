@@ -1,8 +1,9 @@
 """The index after increments against the search without one."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from reelsift.operators import search
+from reelsift.operators import search, text_index
 from reelsift.operators.text_index import TextIndex
 
 
@@ -52,3 +53,36 @@ def test_a_stream_keeps_it_up_and_goes_on_after_a_restart(spark, tmp_path):
         assert len(index.increments()) == k + 1
     assert {r.id for r in index.search(["the"]).collect()} == {3} and {r.id for r in index.search(["bird"]).collect()} == {1}
     assert index.corpus() == (2, 2.5)
+
+
+def test_an_increment_stores_blocks_of_postings(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 2).select("id", F.concat(F.lit("The dog and the Çat, the "), F.col("id")).alias("text"), F.lit(1).alias("seq"))
+    index = TextIndex(spark, f"file://{tmp_path}/index")
+    index.add(rows, "a")
+    stored = spark.read.parquet(f"file://{tmp_path}/index/postings").groupBy("term").count()
+    # Not a row for each of the 400 documents: one for each slice that a task took.
+    assert stored.where("term in ('the', 'dog', 'and', 'çat')").agg(F.max("count")).first()[0] <= 16 and stored.count() == 404
+    assert sorted(map(tuple, index.postings(["the", "7"]).collect())) == sorted([("the", i, 3, 7) for i in range(400)] + [("7", 7, 1, 7)])
+
+
+def test_slices_hold_whole_lines_and_all_of_them(monkeypatch):
+    lines = ["b a b", "x", "a " * 40 + "c", "é 字 é", "b"]
+    batch = pa.RecordBatch.from_pydict({"id": [5, 3, 9, 1, 7], "length": [len(x.split()) for x in lines], "line": lines, "sign": pa.array([1, 1, -1, 1, -1], pa.int32())}).slice(0)
+    want = sorted((w, i, s * x.split().count(w), s * len(x.split())) for i, x, s in zip([5, 3, 9, 1, 7], lines, [1, 1, -1, 1, -1]) for w in set(x.split()))
+    for size, slices in ((1, 5), (7, 4), (1 << 20, 1)):
+        monkeypatch.setattr(text_index, "SLICE_BYTES", size)
+        blocks = list(text_index._blocks([batch]))
+        assert len(blocks) == slices
+        assert sorted((r["term"], *p) for b in blocks for r in b.to_pylist() for p in zip(r["ids"], r["tfs"], r["lengths"])) == want
+
+
+def test_of_rows_with_one_id_and_seq_the_greatest_words_count(spark, tmp_path):
+    index = TextIndex(spark, f"file://{tmp_path}/index", 4)
+    rows = [(1, "ab", 2), (1, "a, z!", 2), (1, None, 2), (1, "zz", 1), (2, "", 1), (3, None, 1), (4, "a b", 1), (4, "a", 1), (5, "late", None)]
+    index.add(spark.createDataFrame(rows, "id long, text string, seq long"), "a")
+    assert index.corpus() == (3, 1.0)  # of 1, 2 and 4
+    assert {(r.term, r.id) for r in index.postings(["ab", "a", "z", "b", "zz", "late"]).collect()} == {("ab", 1), ("a", 4), ("b", 4)}
+    index.add(spark.createDataFrame([(1, "b", 3), (4, None, 3), (2, "old", 1)], "id long, text string, seq long"), "b")
+    assert index.corpus() == (2, 0.5) and {(r.term, r.id) for r in index.postings(["ab", "a", "b", "old"]).collect()} == {("b", 1)}
+    index.compact()
+    assert index.corpus() == (2, 0.5) and {(r.term, r.id) for r in index.postings(["ab", "a", "b", "old"]).collect()} == {("b", 1)}
