@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelsift.functions.columns import hamming
@@ -89,29 +89,57 @@ def inherit(annotations: DataFrame, members: DataFrame) -> DataFrame:
     return rows.select("id", "cluster", F.coalesce("emotion", F.lit("unknown")).alias("emotion"), F.coalesce("tags", F.lit("")).alias("tags"), F.coalesce("notes", F.array().cast("array<string>")).alias("notes"), F.concat(F.lit("[Inherited from cluster "), F.col("cluster").cast("string"), F.lit("] "), said).alias("summary"), "reps")
 
 
-def meeting(left: DataFrame, right: DataFrame, key: str, other: str, block: int = 1000) -> DataFrame:
-    """``left`` joined with ``right`` where ``key`` equals ``other``; the rows of ``left(id)`` with one key are cut in parts of about
-    ``block``, each of which meets the rows of ``right``, so that a frequent key's pairs are not the work of one task."""
-    often = F.broadcast(left.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") > block).select("__key", F.ceil(F.col("__n") / block).alias("__parts")))
-    cut = lambda rows, c: rows.join(often, F.col(c) == F.col("__key"), "left").withColumn("__parts", F.coalesce("__parts", F.lit(1).cast("long"))).drop("__key")
-    mine = cut(left, key).withColumn("__part", F.pmod(F.xxhash64("id"), "__parts")).drop("__parts")
-    theirs = cut(right, other).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")
-    return mine.join(theirs, (F.col(key) == F.col(other)) & (F.col("__part") == F.col("__other"))).drop("__other")
+def meeting(left: DataFrame, right: DataFrame, key: str, other: str, block: int = 1000, tasks: int | None = None) -> DataFrame:
+    """``left`` joined with ``right`` where ``key`` equals ``other``; the rows of a key are cut in parts of about ``block`` on either
+    side, and each part meets each of the other side, so that a frequent key's pairs are not the work of one task, and no task
+    holds more than a part of them. ``tasks``: so many, where the pairs are known to be too many for as few as their rows fill."""
+    count = lambda rows, c, n: rows.groupBy(F.col(c).alias("__key")).agg(F.ceil(F.count("*") / block).alias(n))
+    often = F.broadcast(count(left, key, "__parts").join(count(right, other, "__others"), "__key").where("__parts > 1 or __others > 1"))
+    cut = lambda rows, c: rows.join(often, F.col(c) == F.col("__key"), "left").withColumns({n: F.coalesce(n, F.lit(1).cast("long")) for n in ("__parts", "__others")}).drop("__key")
+    one = lambda rows, n: F.pmod(F.xxhash64(*rows.columns), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = cut(left, key).select(*left.columns, one(left, "__parts").alias("__part"), each("__others").alias("__whom"))
+    theirs = cut(right, other).select(*right.columns, one(right, "__others").alias("__other"), each("__parts").alias("__who"))
+    if tasks:
+        mine, theirs = mine.repartition(tasks, key, "__part", "__whom"), theirs.repartition(tasks, other, "__who", "__other")
+    met = (F.col(key) == F.col(other)) & (F.col("__part") == F.col("__who")) & (F.col("__whom") == F.col("__other"))
+    return mine.join(theirs.hint("merge"), met).select(*left.columns, *right.columns, "__part", "__other")
 
 
-def relinks(catalog: DataFrame, scanned: DataFrame) -> DataFrame:
+def by_paths(rows: DataFrame, key: str, path: str) -> DataFrame:
+    """``rows`` of each key, all of them and those of its least and its greatest path, for ``elsewhere``."""
+    each = rows.groupBy(F.col(key).alias("__key"), F.col(path).alias("path")).agg(F.count("*").alias("n"))
+    return each.groupBy("__key").agg(F.sum("n").alias("n"), F.min(F.struct("path", "n")).alias("low"), F.max(F.struct("path", "n")).alias("high"))
+
+
+def elsewhere(path: str) -> Column:
+    """How many rows of ``by_paths`` have another path: exact up to one. More may count those of a path between the ends, too, but
+    then there are the ends' beside it."""
+    return F.coalesce(F.col("n") - F.when(F.col("low.path") == F.col(path), F.col("low.n")).when(F.col("high.path") == F.col(path), F.col("high.n")).otherwise(0), F.lit(0))
+
+
+def relinks(catalog: DataFrame, scanned: DataFrame, block: int = 1000) -> DataFrame:
     """J-11 to J-13: proposals for moved files: exact by content, else probable by head and tail; ``conflict`` where a new path has several.
 
-    There is a row for each pair, as many as the product of the two sides of a fingerprint.
+    There is a row for each pair, as many as the product of the two sides of a fingerprint. Whether a row has an exact one and a
+    new path several is told from counts by key, before the pairs are made: they are neither shuffled nor sorted.
     """
-    c = catalog.select("id", F.col("path").alias("old_path"), F.col("sha256").alias("c_sha"), F.col("fingerprint").alias("c_fp"))
-    s = scanned.select(F.col("path").alias("new_path"), "sha256", "fingerprint")
-    exact = meeting(c, s, "c_sha", "sha256").where("old_path <> new_path").select("id", "old_path", "new_path", F.lit("exact").alias("kind"))
-    # Those of an exact one leave before the pairs are made.
-    rest = c.join(exact.select("id").distinct(), "id", "left_anti")
-    likely = meeting(rest, s, "c_fp", "fingerprint").where("c_sha <> sha256 and old_path <> new_path").select("id", "old_path", "new_path", F.lit("probable").alias("kind"))
-    rows = exact.union(likely)
-    return rows.withColumn("kind", F.when(F.count("*").over(Window.partitionBy("new_path")) > 1, "conflict").otherwise(F.col("kind")))
+    shared_checkpoints(catalog.sparkSession)
+    known = "path is not null and sha256 is not null"
+    s = scanned.where(known).select(F.col("path").alias("new_path"), "sha256", "fingerprint").checkpoint()
+    c = catalog.where(known).select("id", F.col("path").alias("old_path"), "sha256", "fingerprint")
+    c = c.join(by_paths(s, "sha256", "new_path"), F.col("sha256") == F.col("__key"), "left").withColumn("exact", elsewhere("old_path") > 0)
+    c = c.withColumn("moved", F.col("id").isNotNull() & F.max("exact").over(Window.partitionBy("id"))).where("exact or not moved")
+    at = lambda kind, key: F.concat(F.lit(kind), key)
+    # A row without an exact one has the content of a scanned file at its own path alone, so the rest differ in content.
+    mine = c.select("id", "old_path", F.when(F.col("exact"), at("exact", "sha256")).otherwise(at("probable", "fingerprint")).alias("at")).where("at is not null").checkpoint()
+    theirs = s.select("new_path", F.inline(F.array(*(F.struct(F.lit(kind).alias("kind"), at(kind, key).alias("there")) for kind, key in (("exact", "sha256"), ("probable", "fingerprint"))))))
+    theirs = theirs.join(by_paths(mine, "at", "old_path"), F.col("there") == F.col("__key")).withColumn("n", elsewhere("new_path")).where("n > 0")
+    several = F.sum("n").over(Window.partitionBy("new_path")) > 1
+    theirs = theirs.select("new_path", "there", F.when(several, "conflict").otherwise(F.col("kind")).alias("kind"), "n").checkpoint()
+    pairs = theirs.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // 10_000_000)
+    return meeting(mine, theirs.drop("n"), "at", "there", block, tasks).where("old_path <> new_path").select("id", "old_path", "new_path", "kind")
 
 
 def ingest(catalog: DataFrame, scanned: DataFrame, distance: int = 5) -> DataFrame:
